@@ -18,8 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 
 #: Keys that one bucket should hold, and keys that a map task packs at a time.
-BUCKET_KEYS = 2_000_000
-CHUNK_KEYS = 3_000_000
+BUCKET_KEYS = 1_500_000
+CHUNK_KEYS = 2_000_000
 
 BLOB_SCHEMA = "bucket int, n_items int, n_owners int, items binary, owners binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("n_items", pa.int32()), ("n_owners", pa.int32()), ("items", pa.binary()), ("owners", pa.binary())])

@@ -12,10 +12,11 @@ Documents are sets of distinct 5-word shingles (as 64-bit hashes); two documents
    Each document takes the l in 1..MAX_MATCHES with the least estimated cost: list entries
    read for the prefix plus verifications expected among them. A pair must share min(l, l')
    prefix shingles before it is verified. Documents whose prefix holds no shared shingle are out.
-4. *Links.* In each shingle's list everything is compared with one leader first (a star, not
-   all pairs), components are merged, and only pairs that still lie in different components
-   are compared, over fresh leaders, until the pairs left are few enough to be listed. A pair
-   is skipped only if its ends are connected already, so the components equal those of all links.
+4. *Links.* In each shingle's list everything is compared with one leader (a star, not all
+   pairs). A list whose members all link to their leader is settled. The documents of the other
+   lists form families (what such lists connect); a family is cut into blocks, and pairs of
+   blocks are compared by counting shared shingles as a matrix product. A block pair puts out
+   links that connect what all its links connect, so components equal those of all links.
 
 Rows with a null text or no words have an empty set and stand alone. A row is known by
 (id, text): repeated rows are one document; ids may repeat over different texts and are null-safe.
@@ -37,11 +38,12 @@ WIDTH = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 MAX_MATCHES = 4
-#: Leader rounds before the pairs left are listed; listed at once when at most this many a row.
-STAR_ROUNDS = 6
-LISTED_PER_ROW = 4
+#: Documents of a block of a family.
+BLOCK_DOCS = 256
+#: Shingles (columns) of one step of the matrix product.
+_COLUMNS = 4096
 
-_OWNER = [np.int64, np.uint64, np.uint64, np.uint32]
+_OWNER = [np.int64, np.uint64, np.uint32]
 _ALL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -73,10 +75,10 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def task(batches):
         for batch in batches:
-            parts = list(_sets(batch, width))
+            parts = [p[4:] for p in _sets(batch, width)]
             if parts:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.uint64).view(np.int64)) for k in (4, 5, 6))], names=["key", "id", "n_shingles", "fa", "fb"]
+                    [batch.column(0), batch.column(1), *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.uint64).view(np.int64)) for k in range(3))], names=["key", "id", "n_shingles", "fa", "fb"]
                 )
 
     return _keyed(docs, id_col, text_col).mapInArrow(task, "key long, id long, n_shingles long, fa long, fb long")
@@ -92,16 +94,16 @@ def _shared_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for first, end, rows, hashes, sizes, a, b in _sets(batch, width):
-                own.add(hashes, rows, [], [keys[first:end], a, b, sizes])
+                own.add(hashes, rows, [], [keys[first:end], a ^ (b << np.uint64(1)), sizes])
                 yield from own.flush()
         yield from own.flush(force=True)
 
     def reducer(blobs: pd.DataFrame) -> pd.DataFrame:
-        token, (doc, fa, fb, n), _ = packer.open(blobs)
-        order = np.lexsort((doc, fb, fa, token))
-        token, doc, fa, fb, n = (x[order] for x in (token, doc, fa, fb, n))
+        token, (doc, same, n), _ = packer.open(blobs)
+        order = np.lexsort((doc, same, token))
+        token, doc, same, n = (x[order] for x in (token, doc, same, n))
         new_set = np.ones(len(token), dtype=bool)
-        new_set[1:] = (token[1:] != token[:-1]) | (fa[1:] != fa[:-1]) | (fb[1:] != fb[:-1])
+        new_set[1:] = (token[1:] != token[:-1]) | (same[1:] != same[:-1])
         token, doc, n = token[new_set], doc[new_set], n[new_set]
         _, index, df = np.unique(token, return_inverse=True, return_counts=True)
         df = df[index]
@@ -152,38 +154,62 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.filter(fits).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("common")).filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
 
+def _block_links(percent: int):
+    """Links inside one block or between two of a family, as a forest with the same components."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, n = pdf["doc"].to_numpy(), pdf["n"].to_numpy()
+        lengths = np.array([len(t) for t in pdf["tokens"]])
+        row = np.repeat(np.arange(len(pdf)), lengths)
+        _, column, times = np.unique(np.concatenate(pdf["tokens"].to_list()), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        row, column = row[shared], column[shared]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(pdf), len(pdf)), dtype=np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+            a, b = np.searchsorted(column, [first, first + _COLUMNS])
+            part = np.zeros((len(pdf), _COLUMNS), dtype=np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+        linked = common * 100 >= (n[:, None] + n[None, :] - common) * percent
+        left, right = np.nonzero(np.triu(linked, 1))
+        parent = list(range(len(pdf)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        for x, y in zip(left.tolist(), right.tolist(), strict=True):
+            a, b = root(x), root(y)
+            if a != b:
+                parent[b] = a
+                found.append((doc[x], doc[y]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return compare
+
+
 def _links(nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that give the same components as all links do, as a durable table."""
-    lists = durable(nodes.select("doc", F.explode("base").alias("token")), "lists")
-    found = checked = None
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = lists if labels is None else lists.join(labels, "doc", "left")
-        now = now.withColumn("part", F.coalesce("label", "doc")) if labels is not None else now.withColumn("part", F.col("doc"))
-        sizes = now.groupBy("token", "part").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("parts")).filter("parts > 1")
-        open_tokens = durable(sizes, "open")
-        total = open_tokens.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not total["rows"]:
-            break
-        rows = now.join(open_tokens.select("token"), "token", "left_semi")
-        last = total["pairs"] <= LISTED_PER_ROW * total["rows"] or turn == STAR_ROUNDS
-        if last:
-            left, right = (rows.select("token", F.col("doc").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
-            pairs = left.join(right, "token").filter("a < b and part_a <> part_b")
-        else:
-            leader = rows.groupBy("token").agg(F.min_by(F.struct("doc", "part"), F.xxhash64("doc", F.lit(turn))).alias("lead"))
-            pairs = rows.join(leader, "token").filter("part <> lead.part").select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = durable(pairs, "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        more = durable(_verified(pairs, nodes, percent), "links")
-        found = more if found is None else found.unionByName(more)
-        if last:
-            break
-        labels = cc.component_labels(found)
-    return found
+    """Links (a, b) that give the same components as all links do."""
+    rows = durable(nodes.select("doc", F.explode("base").alias("token")), "lists")
+    leaders = rows.groupBy("token").agg(F.min_by("doc", F.xxhash64("doc")).alias("lead"), F.count("*").alias("m")).filter("m > 1").select("token", "lead")
+    led = durable(rows.join(leaders, "token").filter("doc <> lead").select("token", "doc", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")), "led")
+    stars = durable(_verified(led.select("a", "b").distinct(), nodes, percent), "stars")
+    unsettled = led.join(stars, ["a", "b"], "left_anti").select("token").distinct()
+    left = durable(led.join(unsettled, "token", "left_semi").select("a", "b").distinct(), "left")
+    families = cc.component_labels(left).withColumnRenamed("label", "family")
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    spread = placed.select("doc", "family", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("doc", "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    held = spread.join(nodes.select("doc", "n", "tokens"), "doc")
+    more = held.groupBy("family", "b1", "b2").applyInPandas(_block_links(percent), "a long, b long")
+    return durable(stars.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "links")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -198,10 +224,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = durable(prefix_table(shared, percent), "nodes")
     links = _links(nodes, percent)
     named = sets.filter("n_shingles > 0").groupBy("n_shingles", "fa", "fb").agg(F.min("key").alias("doc"), F.min("id").alias("low"), F.count("*").alias("rows"))
-    labelled = named.withColumn("label", F.col("doc"))
-    if links is not None:
-        labelled = named.join(cc.component_labels(links), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    labelled = durable(labelled, "labelled")
+    labelled = durable(named.join(cc.component_labels(links), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "labelled")
     parts = labelled.groupBy("label").agg(F.min("low").alias("component_id"), F.sum("rows").alias("n_members"))
     groups = labelled.join(parts, "label").select("n_shingles", "fa", "fb", F.col("label").alias("component_key"), "component_id", "n_members")
     out = sets.filter("n_shingles > 0").join(groups, ["n_shingles", "fa", "fb"]).select("key", "id", "n_shingles", "component_key", "component_id", "n_members")
