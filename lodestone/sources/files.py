@@ -8,6 +8,7 @@ import email.policy
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extensions by parser. Formats that need models or office libraries come in as block rows instead.
 PARSERS = {
@@ -28,7 +29,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", parser.alias("parser"), "content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Bytes by the first codec that reads them."""
 
@@ -42,7 +43,10 @@ def decode_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@F.pandas_udf("subject string, sender string, recipients string, body string, n_attachments int")
+_MAIL = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "sender", "recipients", "body")] + [T.StructField("n_attachments", T.IntegerType())])
+
+
+@F.pandas_udf(_MAIL)
 def parse_mail(content: pd.Series) -> pd.DataFrame:
     """Headers, the plain body (HTML if there is none) and the number of attachments."""
     rows = []

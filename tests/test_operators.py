@@ -141,7 +141,7 @@ def test_store_and_connector(spark, tmp_path):
     store.update(F.col("id") == 3, {"t": F.lit("z")})
     before = store._pointer()
     store.delete(F.col("id") == 4)
-    assert [tuple(r) for r in store.read().collect()] == [(3, 11, "z")]
+    assert [(r["id"], r["file"], r["t"]) for r in store.read().collect()] == [(3, 11, "z")]
     store.switch(before)
     assert {r["id"] for r in store.read().collect()} == {3, 4}
     pages = tmp_path / "pages"
