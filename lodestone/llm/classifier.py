@@ -23,7 +23,8 @@ from .common import RollingHash, mix, text_slices, word_spans
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-EPOCHS = 4
+#: Passes over the rows: so many that rows are visited VISITS times at least.
+EPOCHS, VISITS = 4, 16_000
 RATE = 2.0
 BATCH = 16
 #: Labelled rows that the model is fitted on at most.
@@ -84,9 +85,10 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> SubwordModel:
         ids, _ = word_features([raw[a:b] for a, b in zip(starts, ends, strict=True)])
         found, times = np.unique(ids, return_counts=True)
         docs.append((found.astype(np.int32), (times / max(1, len(ids))).astype(np.float32), y))
-    steps = EPOCHS * -(-len(docs) // BATCH)
+    epochs = max(EPOCHS, -(-VISITS // max(1, len(docs))))
+    steps = epochs * -(-len(docs) // BATCH)
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs if docs else 0):
         order = rng.permutation(len(docs))
         for at in range(0, len(docs), BATCH):
             part = [docs[i] for i in order[at : at + BATCH]]
