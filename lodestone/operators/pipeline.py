@@ -48,13 +48,13 @@ def embed_once(df: DataFrame, text_col: str, model: Callable[[list[str]], list[l
     def task(batches):
         for pdf in batches:
             out = []
-            texts = pdf["t"].to_list()
+            texts = pdf[text_col].to_list()
             for i in range(0, len(texts), batch):
                 out += model(texts[i : i + batch])
-            yield pd.DataFrame({"t": texts, "embedding": out})
+            yield pd.DataFrame({text_col: texts, "embedding": out})
 
-    vectors = df.select(F.col(text_col).alias("t")).filter("t is not null").distinct().mapInPandas(task, "t string, embedding array<double>")
-    return df.join(vectors, df[text_col] == vectors["t"], "left").drop("t")
+    texts = df.select(text_col).filter(F.col(text_col).isNotNull()).distinct()
+    return df.join(texts.mapInPandas(task, f"`{text_col}` string, embedding array<double>"), text_col, "left")
 
 
 def evaluate(search: Callable[[DataFrame], DataFrame], queries: DataFrame, judgments: DataFrame, k: int) -> DataFrame:

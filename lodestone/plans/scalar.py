@@ -224,3 +224,43 @@ def jsn01_jsn02_flatten_json(t):
 @query("""select distinct event_type, sha256('{"event_type":"' || event_type || '"}') as fingerprint from events""")
 def jsn05_fingerprint(t):
     return t.events.select("event_type").distinct().select("event_type", F.sha2(F.to_json(F.struct("event_type")), 256).alias("fingerprint"))
+
+
+@query(r"""select o_orderkey, [lower(o_orderpriority), 'ord-' || o_orderkey || '_a'] as terms from orders where o_orderkey < 2000 and o_orderpriority <> '4-NOT SPECIFIED' """)
+def str04_exact_terms(t):
+    from ..functions.terms import exact_terms
+
+    o = t.orders.filter("o_orderkey < 2000 and o_orderpriority <> '4-NOT SPECIFIED'")
+    return o.select("o_orderkey", exact_terms(F.concat_ws(" ", "o_orderpriority", F.concat(F.lit("see ORD-"), "o_orderkey", F.lit("_A")), F.lit("now"))).alias("terms"))
+
+
+@query(r"""select conv_id, turn, case when x = '' then text else x end as bare from (select *, regexp_replace(regexp_replace(text, '(?i)(^| )(what|who|how|which|where|why)(''re|''s)? ', ' ', 'g'), '(?i)(^| )(is|are|the|a|an|of|to|and|in|on|at|for|with|by|as|so|be|or|if|it''s|do|has|have|was|were|there|you|me|my|i|up|out|go|your|mine|just|please|may|did|does|done|will|would|should|down|they) ', ' ', 'g') as x from conversations where role = 'user')""")
+def str06_question_words(t):
+    from ..functions.terms import without_question_words
+
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", without_question_words(F.col("text")).alias("bare"))
+
+
+@query("select p_partkey, p_size as number from part")
+def str30_numerals(t):
+    from ..functions.terms import number_of
+
+    return t.part.select("p_partkey", number_of(F.col("p_size").cast("string")).alias("number"))
+
+
+@query(f"""with w as (select item_id, regexp_extract_all(lower(text), '{_W}') as ws from benchmark), s as (select distinct item_id, array_to_string(ws[i:i + 2], ' ') as g from (select item_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w)), n as (select item_id, count(*) as n from s group by 1)
+  select a.item_id as left_id, b.item_id as right_id, round(count(*) / (x.n + y.n - count(*))::double, 6) as jaccard from s a join s b on a.g = b.g and a.item_id < b.item_id join n x on x.item_id = a.item_id join n y on y.item_id = b.item_id group by 1, 2, x.n, y.n""")
+def str35_str36_shingle_jaccard(t):
+    s = t.benchmark.select("item_id", F.explode(T.shingles(F.col("text"), 3)).alias("g"))
+    n = s.groupBy("item_id").agg(F.count("*").alias("n"))
+    a, b = s.withColumnRenamed("item_id", "left_id"), s.withColumnRenamed("item_id", "right_id")
+    common = a.join(b, "g").filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("c"))
+    sized = common.join(n.withColumnsRenamed({"item_id": "left_id", "n": "nl"}), "left_id").join(n.withColumnsRenamed({"item_id": "right_id", "n": "nr"}), "right_id")
+    return sized.select("left_id", "right_id", F.round(F.col("c") / (F.col("nl") + F.col("nr") - F.col("c")), 6).alias("jaccard"))
+
+
+@query()
+def str37_title_similarity(t):
+    from ..functions.terms import title_similarity
+
+    return t.part.select("p_partkey", F.round(title_similarity("p_name", "p_type"), 6).alias("similarity"))

@@ -270,3 +270,22 @@ def win05_win07_pack_and_paths(t):
             yield pd.DataFrame(rows, columns=["doc_id", "line", "bin", "path"])
 
     return t.documents.select("doc_id", "text").mapInPandas(task, "doc_id long, line int, bin int, path string")
+
+
+@query(f"""with w as (select item_id as query_id, regexp_extract_all(lower(text), '{_W}') as ws from benchmark), t as (select query_id, unnest(ws) as term, generate_subscripts(ws, 1) as pos from w), p as (select query_id, term, lead(term) over (partition by query_id order by pos) as nxt from t)
+ select query_id, term, max(weight) as weight from (select query_id, term, 1.0::double as weight from t union all select query_id, 'syn-' || term, 0.25 from t where length(term) > 5 union all select query_id, term || ' ' || nxt, 2.0 from p where nxt is not null) group by 1, 2 qualify row_number() over (partition by query_id order by max(weight) desc, term) <= 256""")
+def ret08_ret09_expansion(t):
+    from ..operators.expansion import expand_query
+
+    terms = t.benchmark.select(F.col("item_id").alias("query_id"), F.posexplode(T.words(F.col("text"))).alias("pos", "term")).withColumn("weight", F.lit(1.0))
+    synonyms = terms.filter("length(term) > 5").select("term", F.concat(F.lit("syn-"), "term").alias("synonym"), F.lit(1).alias("rank")).distinct()
+    return expand_query(terms, synonyms).select("query_id", "term", "weight")
+
+
+@query()
+def clu01_cluster_tree(t):
+    from ..operators.clustering import cluster_tree
+
+    nodes = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("text"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    mean = F.transform(F.get("embeddings", F.lit(0)), lambda x, i: F.aggregate("embeddings", F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.size("embeddings"))
+    return cluster_tree(nodes, lambda g: g.select("cluster", F.get("texts", F.lit(0)).alias("text"), mean.alias("embedding")), levels=1)

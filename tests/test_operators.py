@@ -156,3 +156,70 @@ def test_store_and_connector(spark, tmp_path):
 def test_stream_equals_batch(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert jobs.windowed_counts(spark, sf_dir).agg(F.sum("n")).first()[0] == n
+
+
+def test_terms(spark):
+    from lodestone.functions import terms as X
+
+    assert X.find_identifiers("see GB/T 19001-2016, a-b_c and A1B2C, ＡB-12; word") == ["gb/t 19001-2016", "a-b_c", "a1b2c", "ab-12"]
+    assert X.find_identifiers("") == []
+    numbers = {"42": 42, "-3": -3, "twenty one": 21, "two hundred and five": 205, "十二": 12, "一百零三": 103, "两万三千": 23000, "XIV": 14, "none": -1, "": -1}
+    assert {t: X.read_number(t) for t in numbers} == numbers
+    assert X.find_collapsed("a  b\nc", "b c") == (3, 6) and X.find_collapsed("abc", "x") == (-1, -1)
+    df = spark.createDataFrame([("what is the plan",), ("is the",), (None,)], "q string")
+    assert [r[0] for r in df.select(X.without_question_words(F.col("q"))).collect()][0] == " the plan"  # one pass: the blank before "the" is used up
+    fixed = spark.createDataFrame([("```json\n{\"a\": [1,],}\n```",), ("none",)], "t string").select(X.repair_json("t")).collect()
+    assert [r[0] for r in fixed] == ['{"a": [1]}', None]
+
+
+def test_search_rules(spark):
+    from lodestone.operators import expansion as X
+
+    assert X.plan_search(10, 0.7, True, "light", [1]).limit == 30
+    assert X.plan_search(10, 0.7, False, "precise", [1]).limit == 20
+    assert X.plan_search(10, 0.7, False, "deep", []).limit == 0
+    assert not X.plan_search(10, 0.7, False, "deep", None).sparse and X.plan_search(10, 0.0, False, "deep", [1]).dense is False
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    calls = []
+
+    def search(share, similarity):
+        calls.append(share)
+        return rows.filter(F.lit(share < 0.2))
+
+    assert X.search_with_retry(search).count() == 2 and calls == [0.3, 0.1]
+    found = X.research("q", lambda q: rows.filter(F.col("id") <= len(q)), lambda q, _: [q + "x"], "id")
+    assert sorted(r["id"] for r in found.collect()) == [1, 2]
+
+
+def test_clusters_of_two_clouds(spark):
+    import numpy as np
+
+    from lodestone.operators import clustering as K
+
+    rng = np.random.default_rng(0)
+    rows = [(str(i), [float(x) for x in rng.normal(8 * (i % 2), 1, 4)]) for i in range(60)]
+    got = {r["id"]: r["cluster"] for r in K.best_clusters(spark.createDataFrame(rows, "id string, embedding array<double>"), "id", "embedding", 3).collect()}
+    even = {got[i] for i in got if int(i) % 2 == 0}
+    assert even.isdisjoint({got[i] for i in got if int(i) % 2})
+    assert K.best_clusters(spark.createDataFrame(rows[:2], "id string, embedding array<double>"), "id", "embedding").count() == 2
+
+
+def test_expiring_cache(spark, tmp_path):
+    rows = [("k", "v1", "2024-01-01 00:00:00"), ("k", "v2", "2024-01-01 12:00:00"), ("k", "v3", "2024-01-03 00:00:00")]
+    spark.createDataFrame(rows, "key string, value string, ts string").selectExpr("key", "value", "cast(ts as timestamp) as ts").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key string, value string, ts timestamp").parquet(f"{tmp_path}/in").withWatermark("ts", "10 days")
+    q = jobs.expiring_cache(stream).writeStream.format("memory").queryName("cache").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["value"], r["hit"]) for r in spark.sql("select * from cache").collect()) == [("v1", False), ("v1", True), ("v3", False)]
+
+
+def test_registry_and_embedding(spark):
+    from lodestone.operators.pipeline import Pipeline, Registry, embed_once
+
+    chunkers = Registry("chunker")
+    chunkers.register("one")(lambda df: df.withColumn("n", F.lit(1)))
+    with pytest.raises(KeyError):
+        chunkers.get("two")
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
+    assert Pipeline(chunkers.get("one"), lambda d: d.filter("t is not null"))(df).count() == 2
+    assert [r["embedding"] for r in embed_once(df, "t", lambda texts: [[float(len(x))] for x in texts]).orderBy("t").collect()] == [None, [1.0], [1.0]]
