@@ -167,11 +167,11 @@ def mth04_mth05_mth09_numbers(t):
 
 
 @query("""select l_orderkey, l_linenumber, round(case when l_returnflag = 'A' then 0.1 when l_returnflag = 'N' then case l_linenumber when 1 then 0.08 when 2 then 0.06 when 3 then 0.04 else 0.02 end else 0 end, 6)::double as hierarchy,
-  round(0.05 / (1 + (l_linenumber - 1) * 0.2) + case when l_extendedprice > 48000 then least(1.0::double, l_extendedprice / 240000::double) * 0.1::double * 0.5::double else 0 end, 6) as place from lineitem""")
+  round(0.05::double / (1 + (l_linenumber - 1) * 0.2::double) + case when l_extendedprice > 48000 then least(1.0::double, l_extendedprice / 240000::double) * 0.1::double * 0.5::double else 0 end, 3) as place from lineitem""")
 def mth06_mth07_boosts(t):
     kind = F.when(F.col("l_returnflag") == "A", "title").when(F.col("l_returnflag") == "N", "heading")
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", F.round(V.hierarchy_boost(F.col("l_linenumber"), kind), 6).alias("hierarchy"), F.round(V.position_boost(F.col("l_linenumber"), F.col("l_extendedprice")), 6).alias("place")
+        "l_orderkey", "l_linenumber", F.round(V.hierarchy_boost(F.col("l_linenumber"), kind), 6).alias("hierarchy"), F.round(V.position_boost(F.col("l_linenumber"), F.col("l_extendedprice")), 3).alias("place")
     )
 
 
