@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most text bytes that a task turns into numpy arrays at once (a longer text is one slice).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _WORD_BREAK = np.zeros(256, dtype=bool)
 _WORD_BREAK[[9, 10, 11, 12, 13, 32]] = True
@@ -58,6 +58,18 @@ def drop_durable(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch: texts make rows large, and each task holds a few batches on both sides.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, after its session's Arrow batches are limited to BATCH_ROWS rows (a smaller limit stays)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about ``max_bytes``: (first row, end row, bytes, offsets).
 

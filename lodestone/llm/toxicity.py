@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, text_slices, word_spans
+from .common import RollingHash, bound_batches, text_slices, word_spans
 from .training_rows import logistic, logistic_score
 
 LEVEL = 12
@@ -35,7 +35,7 @@ CLASS_BYTES = 1024
 #: Labelled rows that the model is fitted on at most.
 MAX_TRAINING_ROWS = 12_000
 #: Words that a task keeps the result of.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 #: Differences from which windows are counted, in bytes.
 STEPS = (2, 3, 5, 8, 12)
 
@@ -61,13 +61,24 @@ class ToxicityModel:
     ordinary: bytes
     weights: tuple | None = None
 
+    def _packers(self) -> list:
+        """Compressors with the ordinary and the toxic dictionary, made once a process."""
+        if not hasattr(self, "_made"):
+            self._made = []
+            for content in (self.ordinary, self.toxic):
+                zdict = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                zdict.precompute_compress(level=LEVEL)
+                self._made.append(zstandard.ZstdCompressor(dict_data=zdict, level=LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False))
+        return self._made
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}
+
     def differences(self, words: list[bytes]) -> np.ndarray:
         """How many bytes shorter each word compresses with the toxic dictionary."""
         coded = [_CODE[np.frombuffer(b" " + w + b" ", dtype=np.uint8)].tobytes() for w in words]
         lengths = []
-        for content in (self.ordinary, self.toxic):
-            zdict = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zdict, write_content_size=False, write_dict_id=False, write_checksum=False)
+        for packer in self._packers():
             packed = packer.multi_compress_to_buffer(coded, threads=1) if coded else []
             lengths.append(np.array([len(packed[i]) for i in range(len(coded))], dtype=np.int32))
         return lengths[0] - lengths[1]
@@ -86,16 +97,26 @@ def features(rows: np.ndarray, difference: np.ndarray, n_rows: int) -> np.ndarra
 
 
 def train(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """Dictionaries from two thirds of the rows, calibration from the rest. With one class only, scores are its share."""
-    parts = [(set(_fold(t).split()), _fold(t).split(), y, zlib.crc32(t.encode()) % 3) for t, y in rows]
-    fit, rest = [p for p in parts if p[3]], [p for p in parts if not p[3]]
-    seen = {y: Counter() for y in (0, 1)}
-    common = Counter()
-    n = Counter(p[2] for p in fit)
-    for words, _, y, _ in fit:
-        seen[y].update(_openings(words))
-        if not y:
+    """Dictionaries from two thirds of the rows, calibration from the rest. With one class only, scores are its share.
+
+    Texts are folded one at a time, in passes, so that memory is that of the counts."""
+    fit = [(t, y) for t, y in rows if zlib.crc32(t.encode()) % 3]
+    rest = [(t, y) for t, y in rows if not zlib.crc32(t.encode()) % 3]
+    n = Counter(y for _, y in fit)
+    common: Counter = Counter()
+    toxic: Counter = Counter()
+    for t, y in fit:
+        words = set(_fold(t).split())
+        if y:
+            toxic.update(_openings(words))
+        else:
             common.update(words)
+    usual = [w for w, _ in sorted(common.items(), key=lambda x: (x[1], x[0]))[-COMMON_WORDS:]]
+    wanted = {p for p, k in toxic.items() if k >= 5} | _openings({w for w, k in common.items() if k >= 5})
+    del common, toxic
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for t, y in fit:
+        seen[y].update(_openings(set(_fold(t).split())) & wanted)
 
     def excess(y: int) -> bytes:
         score = {}
@@ -111,17 +132,19 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
                 chosen.append(piece)
         return b"".join(chosen[::-1])[-CLASS_BYTES:].rjust(CLASS_BYTES)
 
-    words = b" ".join(w for w, _ in sorted(common.items(), key=lambda x: (x[1], x[0]))[-COMMON_WORDS:])
-    shared = b" " + words + b" "
+    shared = b" " + b" ".join(usual) + b" "
     expand = lambda b: _CODE[np.frombuffer(b, dtype=np.uint8)].tobytes()
     model = ToxicityModel(expand(shared + excess(1)), expand(shared + excess(0)))
-    y = np.array([p[2] for p in rest], dtype=float)
+    y = np.array([y for _, y in rest], dtype=float)
     if len(set(y)) == 2:
-        flat = [w for p in rest for w in p[1]]
-        different = sorted(set(flat))
-        value = dict(zip(different, model.differences(different).tolist(), strict=True))
-        index = np.repeat(np.arange(len(rest)), [len(p[1]) for p in rest])
-        model.weights = logistic(features(index, np.array([value[w] for w in flat], dtype=float), len(rest)), y)
+        known: dict[bytes, int] = {}
+        parts = []
+        for t, _ in rest:
+            words = _fold(t).split()
+            new = sorted(set(words).difference(known))
+            known.update(zip(new, model.differences(new).tolist(), strict=True))
+            parts.append(features(np.zeros(len(words), dtype=np.int64), np.array([known[w] for w in words], dtype=float), 1))
+        model.weights = logistic(np.concatenate(parts), y)
     else:
         model.weights = (np.array([math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5))] + [0.0] * (2 + 2 * len(STEPS))), 0.0, 1.0)
     return model
@@ -151,4 +174,4 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
                 out.append(logistic_score(features(rows, value[inverse] if len(value) else np.zeros(0), end - first), shared.value.weights))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(task, schema)
+    return bound_batches(docs).mapInArrow(task, schema)
