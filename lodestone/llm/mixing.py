@@ -26,8 +26,9 @@ from .common import durable
 
 PERIOD = 1000
 BLOCK_BYTES = 256 * 1024
-#: Ranges of a source's documents (by hash) that are summed on their own, so that a hot source is many tasks.
-SPLITS = 64
+#: Ranges of a source's documents (by hash) are summed on their own, so that a hot source is many tasks: at least
+#: SPLITS, and so many that none holds much more than SPLIT_ROWS documents even if one source has them all.
+SPLITS, SPLIT_ROWS = 64, 100_000
 
 
 def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -85,7 +86,8 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float], source_col: str = "sou
     period, names = len(schedule), sorted(shares)
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col), F.lit(""))
-    keyed = docs.withColumns({"_s": source, "_size": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "_h": F.xxhash64(F.col(id_col), F.col(text_col))}).withColumn("_split", F.pmod(F.shiftright("_h", 40), F.lit(SPLITS)).cast("int"))
+    splits = max(SPLITS, -(-docs.count() // SPLIT_ROWS))
+    keyed = docs.withColumns({"_s": source, "_size": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "_h": F.xxhash64(F.col(id_col), F.col(text_col))}).withColumn("_split", F.pmod(F.shiftright("_h", 20), F.lit(splits)).cast("int"))
     # bytes before each document in its source: those of earlier splits, and those before it in its own
     sums = keyed.groupBy("_s", "_split").agg(F.sum("_size").alias("_sum"))
     earlier = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -97,7 +99,7 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float], source_col: str = "sou
     inside = F.coalesce(F.sum("_size").over(Window.partitionBy("_s", "_split").orderBy("_h", id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # of a source, the last block also takes documents without bytes that follow its last byte
     blocks = F.create_map(*[x for s in sizes for x in (F.lit(s), F.lit(n_blocks[s]).cast("long"))]) if sizes else F.create_map().cast("map<string,bigint>")
-    placed = keyed.withColumn("_in", inside).join(F.broadcast(earlier.select("_s", "_split", "_base")), ["_s", "_split"])
+    placed = keyed.withColumn("_in", inside).join(earlier.select("_s", "_split", "_base"), ["_s", "_split"])
     placed = placed.withColumn("block", F.least(F.expr(f"(_base + _in) div {int(block_bytes)}"), F.element_at(blocks, F.col("_s")) - 1))
     # one period as a table: per source and block of the period its slot, and how many slots each source has before it
     rows, got = [], dict.fromkeys(names, 0)
