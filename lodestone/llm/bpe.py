@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import bound_batches, give_back, text_slices
 
 #: Pieces that a task keeps; beyond, the table starts anew.
-TABLE_PIECES = 300_000
+TABLE_PIECES = 150_000
 
 
 def byte_table() -> dict[int, str]:
@@ -61,9 +61,10 @@ def tokenizer(path: str):
 @functools.lru_cache(maxsize=2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all tokens in id order, and their offsets, by way of the reversed byte table."""
-    model, reverse = tokenizer(path), {c: b for b, c in byte_table().items()}
-    size = max(load_ranks(path).values()) + 1
-    tokens = [bytes(reverse[c] for c in model.id_to_token(i) or "") for i in range(size)]
+    table = byte_table()
+    reverse = {c: b for b, c in table.items()}
+    shown = {rank: "".join(table[b] for b in token) for token, rank in load_ranks(path).items()}
+    tokens = [bytes(reverse[c] for c in shown.get(i, "")) for i in range(max(shown) + 1)]
     return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum([0, *map(len, tokens)])
 
 
@@ -110,31 +111,26 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", off
         found, pieces = regex.compile(pattern).findall, _Pieces(path)
         sizes = np.diff(_token_bytes(path)[1])
         for batch in batches:
-            ids, counts, split, starts = [np.zeros(0, dtype=np.int32)], [], [], [np.zeros(0, dtype=np.int32)]
-            for _, _, data, cuts in text_slices(batch, text_col):
+            for first, end, data, cuts in text_slices(batch, text_col):
                 raw = data.tobytes()
                 texts = [found(raw[a:b].decode()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                got, lengths = pieces.encode([p for t in texts for p in t])
-                per_text = np.cumsum([0, *map(len, texts)])
-                ends = np.append(0, np.cumsum(lengths))[per_text]
-                counts.append(np.diff(ends))
-                ids.append(got)
+                ids, lengths = pieces.encode([p for t in texts for p in t])
+                ends = np.append(0, np.cumsum(lengths))[np.cumsum([0, *map(len, texts)])]
                 # bytes to characters: a character starts at each byte that continues none
                 heads = np.append((data & 0xC0) != 0x80, True)
-                at = np.cumsum(sizes[got]) - sizes[got]
+                at = np.cumsum(sizes[ids]) - sizes[ids]
                 inside = np.append(0, np.cumsum(~heads[at]))
-                split.append(inside[ends[1:]] - inside[ends[:-1]])
+                bounds = pa.array(ends.astype(np.int32))
+                added = [pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.array((inside[ends[1:]] - inside[ends[:-1]]).astype(np.int32))]
                 if offsets:
                     chars = np.cumsum(heads) - 1
-                    base = chars[cuts[:-1]]
-                    starts.append((chars[at] - np.repeat(base, np.diff(ends))).astype(np.int32))
-            bounds = pa.array(np.append(0, np.cumsum(np.concatenate(counts))).astype(np.int32) if counts else np.zeros(1, dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(ids))), pa.array((np.concatenate(split) if split else np.zeros(0)).astype(np.int32))]
-            if offsets:
-                lists.append(pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(starts))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "ids", "n_split", *["starts"] * offsets])
+                    starts = chars[at] - np.repeat(chars[cuts[:-1]], np.diff(ends))
+                    added.append(pa.ListArray.from_arrays(bounds, pa.array(starts.astype(np.int32))))
+                # a slice at a time, so that the next step holds little at once
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, *added], names=[*batch.schema.names, "ids", "n_split", *["starts"] * offsets])
+        give_back()
 
-    return docs.mapInArrow(task, schema)
+    return bound_batches(docs).mapInArrow(task, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -158,5 +154,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", drop: tuple[str,
                 out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 first, at = last, int(ends[last - 1])
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(out, type=pa.binary())], names=[*(f.name for f in kept), "decoded"])
+        give_back()
 
     return encoded.mapInArrow(task, schema)

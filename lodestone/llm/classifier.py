@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, mix, text_slices, word_spans
+from .common import RollingHash, bound_batches, give_back, mix, text_slices, word_spans
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -29,7 +29,7 @@ RATE = 2.0
 BATCH = 16
 #: Labelled rows that the model is fitted on at most.
 MAX_TRAINING_ROWS = 4_000
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -137,5 +137,6 @@ def score(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataF
                 total = np.array([np.bincount(rows, weights=sums[index, c], minlength=end - first) for c in range(3)]).T
                 out.append(shared.value.probability(total))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, "score"])
+        give_back()
 
-    return docs.mapInArrow(task, schema)
+    return bound_batches(docs).mapInArrow(task, schema)

@@ -17,9 +17,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 #: Keys that one bucket should hold, and keys that a map task packs at a time.
 BUCKET_KEYS = 1_500_000
-CHUNK_KEYS = 2_000_000
+CHUNK_KEYS = 1_000_000
 
 BLOB_SCHEMA = "bucket int, n_items int, n_owners int, items binary, owners binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("n_items", pa.int32()), ("n_owners", pa.int32()), ("items", pa.binary()), ("owners", pa.binary())])
@@ -85,6 +87,9 @@ class Packer:
             used, local = np.unique(owner[a:b], return_inverse=True)
             delta = np.diff(rest[a:b], prepend=np.uint64(0))
             rows.append((int(bucket[a]), b - a, len(used), pack([delta, local.astype(np.uint32), *(x[a:b] for x in items)], self.widths), pack([x[used] for x in owners], [x.itemsize for x in owners])))
+        del keys, owner, items, owners, rest, bucket, order
+        if force:
+            give_back()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     def open(self, blobs: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -100,4 +105,10 @@ class Packer:
 
 def reduce_buckets(blobs: DataFrame, reducer, schema: str) -> DataFrame:
     """``reducer(pandas blobs of one bucket) -> pandas`` for every bucket."""
-    return blobs.groupBy("bucket").applyInPandas(reducer, schema)
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = reducer(pdf)
+        give_back()
+        return out
+
+    return blobs.groupBy("bucket").applyInPandas(reduced, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import durable, scratch_dir
+from .common import bound_batches, durable, scratch_dir
 
 SEQUENCE_TOKENS = 1024
 PER_SHARD = 4096
@@ -82,7 +82,7 @@ def token_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, lengt
             padded[: len(rest)] = rest
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(rest)], pa.int32()), pa.array([padded.tobytes()], pa.binary())], schema=schema)
 
-    return docs.select(text_col).mapInArrow(task, "part int, seq_no long, n_tokens int, tokens binary")
+    return bound_batches(docs).select(text_col).mapInArrow(task, "part int, seq_no long, n_tokens int, tokens binary")
 
 
 def _local(path: str) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components as cc
-from .common import durable, shingle_hashes, text_slices
+from .common import bound_batches, durable, give_back, shingle_hashes, text_slices
 from .exchange import BLOB_SCHEMA, Packer, bucket_bits, reduce_buckets
 
 WIDTH = 5
@@ -67,7 +67,7 @@ def _sets(batch: pa.RecordBatch, width: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return bound_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -80,6 +80,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.uint64).view(np.int64)) for k in range(3))], names=["key", "id", "n_shingles", "fa", "fb"]
                 )
+        give_back()
 
     return _keyed(docs, id_col, text_col).mapInArrow(task, "key long, id long, n_shingles long, fa long, fb long")
 

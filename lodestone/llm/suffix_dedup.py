@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, durable, mix, text_slices
+from .common import RollingHash, bound_batches, drop_durable, durable, mix, text_slices
 from .exchange import BLOB_SCHEMA, Packer, bucket_bits, reduce_buckets
 
 #: Bytes of a repeated string.
@@ -102,7 +102,7 @@ def _blocks(data: np.ndarray, offsets: np.ndarray):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return bound_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -318,6 +318,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_pairs = 2 * (anchors.agg(F.sum(F.size("anchors"))).first()[0] or 0)
     sure = _sure_starts(anchors, n_pairs).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "lead"))).alias("sure"))
     ranked = durable(anchors.join(sure, "key", "left"), "ranked")
+    drop_durable(anchors)
     checks = durable(_open_starts(ranked, n_pairs).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "open"))).alias("checks")), "checks")
     n_checks = checks.agg(F.sum(F.expr("aggregate(checks, 0L, (t, x) -> t + x.stop - x.start)"))).first()[0] or 0
     exact = _exact_spans(texts.join(checks, "key"), n_checks)
@@ -329,9 +330,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), _span_lists(len(batch), r, s, e)], names=["key", "spans"])
 
     sure_spans = F.coalesce(F.expr("transform(sure, x -> struct(x.start as start, x.stop as stop))"), F.array().cast(_SPAN))
-    spans = F.concat(sure_spans, F.coalesce(F.expr("transform(starts, x -> struct(x as start, cast(x + 1 as int) as stop))"), F.array().cast(_SPAN)))
-    both = ranked.select("key", "sure").join(exact, "key", "left").select("key", spans.alias("spans")).filter("size(spans) > 0")
-    return durable(both.mapInArrow(merge, f"key long, spans {_SPAN}"), "spans")
+    starts = F.concat(sure_spans, F.coalesce(F.expr("transform(starts, x -> struct(x as start, cast(x + 1 as int) as stop))"), F.array().cast(_SPAN)))
+    both = ranked.select("key", "sure").join(exact, "key", "left").select("key", starts.alias("spans")).filter("size(spans) > 0")
+    spans = durable(both.mapInArrow(merge, f"key long, spans {_SPAN}"), "spans")
+    drop_durable(ranked)
+    drop_durable(checks)
+    return spans
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, bound_batches, text_slices, word_spans
+from .common import RollingHash, bound_batches, give_back, text_slices, word_spans
 from .training_rows import logistic, logistic_score
 
 LEVEL = 12
@@ -173,5 +173,6 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
                 value = np.fromiter(map(known.__getitem__, names), np.float64, len(names))
                 out.append(logistic_score(features(rows, value[inverse] if len(value) else np.zeros(0), end - first), shared.value.weights))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, "score"])
+        give_back()
 
     return bound_batches(docs).mapInArrow(task, schema)
