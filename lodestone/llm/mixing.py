@@ -1,13 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source, in hash order, are cut into blocks of equal bytes. With weights as
-whole shares of a period of PERIOD slots, block j of a source with share w has release time
-``floor(j * PERIOD / w)`` and deadline ``ceil((j + 1) * PERIOD / w)``; each slot goes to the
-released block with the earliest deadline. One period of this schedule is worked out (its size
-is a parameter, not the data's) and repeats exactly, since every source is on target at the end
-of each. Any block's slot is then a lookup, so Spark places all blocks independently:
-``period = j div w``, and slots whose source has run out close up, by counting for each block
-how many blocks of each source stand before it.
+The documents of a source, in hash order, are cut into blocks of equal bytes. With the exact
+rational weight w of a source (weights over their sum, no rounding), its block j has release time
+``floor(j / w)`` and deadline ``ceil((j + 1) / w)``; each slot goes to the released block with the
+earliest deadline. Sorting by deadline alone would not do: a heavy source would run ahead of
+many light ones. The schedule is worked out on the driver over numbers of blocks, one short row a
+block (a 30 GB mix has about 115,000 blocks of 256 KiB), and is broadcast; documents only look up
+their block's row. A slot whose source has run out is not filled, and positions close up.
 
 Up to the slot where the first source runs out, each source is within one block of its weight at
 every moment; then the others keep their proportions. Every document is placed exactly once.
@@ -17,13 +16,17 @@ A null source is a source of its own. Equal ids keep a fixed order by text.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 
+#: Slots of the whole shares of :func:`whole_shares`; :func:`pfair_mix` does not round its weights.
 PERIOD = 1000
 BLOCK_BYTES = 256 * 1024
 #: Ranges of a source's documents (by hash) are summed on their own, so that a hot source is many tasks: at least
@@ -43,22 +46,56 @@ def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, i
     return shares
 
 
-def period_schedule(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    waiting = [(0, s, 0) for s in sorted(shares)]
+def exact_weights(weights: dict[str, float]) -> tuple[dict[str, int], int]:
+    """Weights as whole numbers in their exact proportions, and the sum of these."""
+    if bad := sorted(s for s, w in weights.items() if not w > 0):
+        raise ValueError(f"weights must be positive: {bad[:5]}")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: x.numerator * (scale // x.denominator) for s, x in exact.items()}
+    return whole, sum(whole.values())
+
+
+def block_schedule(weights: dict[str, float], n_blocks: dict[str, int]) -> tuple[dict[str, array], int]:
+    """Per block in the order of the mix its source (an index into the sorted names), block, release, deadline
+    and slot, and the first slot that a source which ran out leaves empty.
+
+    Earliest deadline first among released blocks; after its last block a source has one more, which only
+    marks where it runs out."""
+    whole, total = exact_weights(weights)
+    names = sorted(whole)
+    width, counts = [whole[s] for s in names], [n_blocks.get(s, 0) for s in names]
+    out = {c: array("q") for c in ("source", "block", "release", "deadline", "slot")}
+    waiting = [(0, i, 0) for i in range(len(names))]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    ready: list[tuple[int, int, int, int]] = []
+    slot, runs_out = 0, None
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // shares[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[s], s, j + 1))
-    return out
+            release, i, j = heapq.heappop(waiting)
+            if j < counts[i] or runs_out is None:
+                heapq.heappush(ready, (-(-(j + 1) * total // width[i]), i, j, release))
+        if not ready:
+            continue
+        deadline, i, j, release = heapq.heappop(ready)
+        if j < counts[i]:
+            for c, x in zip(out.values(), (i, j, release, deadline, slot), strict=True):
+                c.append(x)
+            heapq.heappush(waiting, ((j + 1) * total // width[i], i, j + 1))
+        elif runs_out is None:
+            runs_out = slot
+        else:
+            continue
+        slot += 1
+    return out, runs_out or 0
+
+
+def period_schedule(shares: dict[str, int]) -> list[str]:
+    """The source of each slot of one period of whole shares."""
+    names = sorted(shares)
+    return [names[i] for i in block_schedule(shares, shares)[0]["source"]]
 
 
 def largest_deviation(schedule: list[str], shares: dict[str, int]) -> Fraction:
@@ -71,8 +108,8 @@ def largest_deviation(schedule: list[str], shares: dict[str, int]) -> Fraction:
 
 
 def even_tempered_weights(docs: DataFrame, source_col: str = "source", text_col: str = "text", power: float = 0.5) -> dict[str, float]:
-    """Target weights by temperature: bytes of a source to the given power (a source report: bounded by PERIOD sources)."""
-    rows = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("s")).agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("b")).orderBy("s").limit(PERIOD + 1).collect()
+    """Target weights by temperature: bytes of a source to the given power (a source report: one row a source)."""
+    rows = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("s")).agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("b")).orderBy("s").collect()
     return {r["s"]: max(1.0, float(r["b"] or 0)) ** power for r in rows}
 
 
@@ -81,9 +118,6 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float], source_col: str = "sou
     deadline (slots) and on_target (the block stands before the first source runs out).
 
     Sources without a weight are not allowed; weights without rows take no slots."""
-    shares = whole_shares(weights)
-    schedule = period_schedule(shares)
-    period, names = len(schedule), sorted(shares)
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col), F.lit(""))
     splits = max(SPLITS, -(-docs.count() // SPLIT_ROWS))
@@ -91,40 +125,25 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float], source_col: str = "sou
     # bytes before each document in its source: those of earlier splits, and those before it in its own
     sums = keyed.groupBy("_s", "_split").agg(F.sum("_size").alias("_sum"))
     earlier = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    earlier = durable(earlier, "splits")
-    sizes = {r["_s"]: r["b"] for r in earlier.groupBy("_s").agg(F.sum("_sum").alias("b")).orderBy("_s").limit(period + 1).collect()}
-    if missing := sorted(set(sizes) - set(shares)):
+    # of a source, the last block also takes documents without bytes that follow its last byte
+    n_blocks = F.ceil(F.greatest(F.lit(1), F.sum("_sum").over(Window.partitionBy("_s"))) / F.lit(int(block_bytes)))
+    earlier = durable(earlier.withColumn("_blocks", n_blocks), "splits")
+    counts = {r["_s"]: r["n"] for r in earlier.groupBy("_s").agg(F.max("_blocks").alias("n")).collect()}
+    if missing := sorted(set(counts) - set(weights)):
         raise ValueError(f"no weight for sources {missing[:5]}")
-    n_blocks = {s: -(-max(1, sizes[s]) // block_bytes) for s in sizes}
     inside = F.coalesce(F.sum("_size").over(Window.partitionBy("_s", "_split").orderBy("_h", id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # of a source, the last block also takes documents without bytes that follow its last byte
-    blocks = F.create_map(*[x for s in sizes for x in (F.lit(s), F.lit(n_blocks[s]).cast("long"))]) if sizes else F.create_map().cast("map<string,bigint>")
-    placed = keyed.withColumn("_in", inside).join(earlier.select("_s", "_split", "_base"), ["_s", "_split"])
-    placed = placed.withColumn("block", F.least(F.expr(f"(_base + _in) div {int(block_bytes)}"), F.element_at(blocks, F.col("_s")) - 1))
-    # one period as a table: per source and block of the period its slot, and how many slots each source has before it
-    rows, got = [], dict.fromkeys(names, 0)
-    for slot, s in enumerate(schedule):
-        rows.append((s, got[s], slot, [got[x] for x in names]))
-        got[s] += 1
-    table = F.broadcast(spark.createDataFrame(rows, "_s string, _k long, _slot long, _before array<long>"))  # PERIOD rows
-    share = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(shares[s]).cast("long"))])
-    placed = placed.withColumn("_w", F.element_at(share, F.col("_s"))).withColumn("_period", F.expr("block div _w")).withColumn("_k", F.expr("block % _w")).join(table, ["_s", "_k"])
-    counts = "array(" + ", ".join(f"{n_blocks.get(s, 0)}L" for s in names) + ")"
-    widths = "array(" + ", ".join(f"{shares[s]}L" for s in names) + ")"
-    position = F.expr(f"aggregate(zip_with(zip_with({widths}, _before, (w, b) -> _period * w + b), {counts}, (have, most) -> least(have, most)), 0L, (t, x) -> t + x)")
-    # the first slot that a source which ran out leaves empty
-    runs_out = min((_slot_of(n_blocks.get(s, 0), s, shares, schedule) for s in names), default=0)
-    out = placed.withColumns(
-        {
-            "position": position,
-            "release": F.expr(f"(block * {period}L) div _w"),
-            "deadline": F.expr(f"((block + 1) * {period}L + _w - 1) div _w"),
-            "on_target": (F.col("_period") * period + F.col("_slot")) < F.lit(runs_out),
-        }
-    )
+    placed = keyed.withColumn("_in", inside).join(earlier.select("_s", "_split", "_base", "_blocks"), ["_s", "_split"])
+    placed = placed.withColumn("block", F.least(F.expr(f"(_base + _in) div {int(block_bytes)}"), F.col("_blocks") - 1))
+    plan, runs_out = block_schedule(weights, counts)
+    index, n = pa.array(plan["source"], pa.int64()), len(plan["source"])
+    columns = {
+        "_s": pa.array(sorted(weights), pa.string()).take(index),
+        "block": pa.array(plan["block"], pa.int64()),
+        "position": pa.array(range(n), pa.int64()),
+        "release": pa.array(plan["release"], pa.int64()),
+        "deadline": pa.array(plan["deadline"], pa.int64()),
+        "on_target": pa.array([t < runs_out for t in plan["slot"]], pa.bool_()),
+    }
+    table = F.broadcast(spark.createDataFrame(pa.table(columns)))  # a row a block
+    out = placed.join(table, ["_s", "block"])
     return out.select(*docs.columns, "block", "position", "release", "deadline", "on_target")
-
-
-def _slot_of(block: int, source: str, shares: dict[str, int], schedule: list[str]) -> int:
-    places = [t for t, s in enumerate(schedule) if s == source]
-    return block // shares[source] * len(schedule) + places[block % shares[source]]

@@ -127,6 +127,48 @@ def test_mix_follows_its_targets(spark):
     assert t > 300
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {f"s{i}": (1 + i * 37 % 101) ** 0.5 for i in range(40)}, {"big": 30, **{f"s{i}": 1 for i in range(30)}}, {"x": 1e6, "y": 1}])
+def test_schedule_keeps_to_the_given_weights(weights):
+    """Far past PERIOD slots, against the exact weights."""
+    total = sum(Fraction(w) for w in weights.values())
+    exact = {s: Fraction(w) / total for s, w in weights.items()}
+    plan, runs_out = mixing.block_schedule(weights, {s: int(20000 * w) + 2 for s, w in exact.items()})
+    assert runs_out > 20 * mixing.PERIOD
+    names, got = sorted(weights), dict.fromkeys(weights, 0)
+    for t, (i, j, release, deadline, slot) in enumerate(zip(*plan.values(), strict=True)):
+        if slot >= runs_out:
+            break
+        s = names[i]
+        # each block inside its window, and none in between: got stays within one block of its weight
+        assert slot == t and j == got[s] and release <= slot < deadline
+        assert abs(exact[s] * t - got[s]) < 1
+        got[s] += 1
+        assert abs(exact[s] * (t + 1) - got[s]) < 1
+    assert all(abs(exact[s] * runs_out - n) < 1 for s, n in got.items())
+
+
+def test_mix_keeps_to_uneven_weights(spark):
+    weights = {"s0": 0.7, "s1": 0.2, "s2": 0.1}
+    rows = [(i, "x" * 100, "s0" if i % 10 < 7 else "s1" if i % 10 < 9 else "s2") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.pfair_mix(df, weights, block_bytes=100).select("source", "position", "on_target").orderBy("position").collect()
+    got, n = dict.fromkeys(weights, 0), 0
+    for t, r in enumerate(mixed, 1):
+        assert r["position"] == t - 1
+        if r["on_target"]:
+            n, got[r["source"]] = t, got[r["source"]] + 1
+            assert all(abs(weights[s] * t - got[s]) < 1 + 1e-9 for s in weights)
+    assert n > 5900
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, "x" * (1 + i % 7), f"s{i % 1500}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.pfair_mix(df, mixing.even_tempered_weights(df), block_bytes=4).collect()
+    assert sorted(r["doc_id"] for r in mixed) == list(range(3000))
+    assert all(r["release"] < r["deadline"] for r in mixed)
+
+
 def test_mix_edges(awkward, empty):
     weights = mixing.even_tempered_weights(awkward)
     assert mixing.pfair_mix(awkward, weights).count() == awkward.count()
