@@ -119,7 +119,8 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def _ranked_anchors(texts: DataFrame, n_bytes: int) -> DataFrame:
-    """Per text with repeated blocks: key, n and its anchors (struct array ordered by position)."""
+    """Per text with repeated blocks: key, n, its anchors (struct array ordered by position) and
+    copies: two or more input rows are this text, so that each of its anchors came more than once."""
     types, owners = _ITEMS, [np.int64, np.uint32]
     bits = bucket_bits(2 * n_bytes // WINDOW)
 
@@ -140,7 +141,8 @@ def _ranked_anchors(texts: DataFrame, n_bytes: int) -> DataFrame:
         return pd.DataFrame({"key": key[keep], "n": n[keep].astype(np.int64), "rank": rank[keep]} | {c: x[keep].astype(np.int32) for c, x in zip(_NAMES, items, strict=True)})
 
     rows = reduce_buckets(texts.mapInArrow(task, BLOB_SCHEMA), reducer, "key long, n long, rank long, " + ", ".join(f"{c} int" for c in _NAMES))
-    return rows.groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct(*_NAMES, "rank"))).alias("anchors"))
+    anchors = F.collect_set(F.struct(*_NAMES, "rank"))
+    return rows.groupBy("key", "n").agg(F.sort_array(anchors).alias("anchors"), (F.count("*") > F.size(anchors)).alias("copies"))
 
 
 _GAP = 1 << 34
@@ -317,7 +319,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = durable(_ranked_anchors(texts, n_bytes), "anchors")
     n_pairs = 2 * (anchors.agg(F.sum(F.size("anchors"))).first()[0] or 0)
     sure = _sure_starts(anchors, n_pairs).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "lead"))).alias("sure"))
-    ranked = durable(anchors.join(sure, "key", "left"), "ranked")
+    # all strings of a repeated row are repeated, and stand for what other texts share with it
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("n") - (THRESHOLD - 1)).cast("int").alias("stop"), F.lit(True).alias("lead")))
+    found = F.when(F.col("copies") & (F.col("n") >= THRESHOLD), whole).otherwise(F.col("sure"))
+    ranked = durable(anchors.join(sure, "key", "left").select("key", "n", "anchors", found.alias("sure")), "ranked")
     drop_durable(anchors)
     checks = durable(_open_starts(ranked, n_pairs).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "open"))).alias("checks")), "checks")
     n_checks = checks.agg(F.sum(F.expr("aggregate(checks, 0L, (t, x) -> t + x.stop - x.start)"))).first()[0] or 0

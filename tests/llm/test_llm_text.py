@@ -194,6 +194,19 @@ def test_dedup_boundaries(spark):
     assert order(spark_cut(df)) == order(brute_cut(list(enumerate(rows))))
 
 
+def test_dedup_of_repeated_rows(spark):
+    """Equal rows (id and text) whose text stands nowhere else, whole or in part, and texts that share a part with them."""
+    rng = np.random.default_rng(2)
+    piece = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    lone, short, edge, no_id, shared = piece(1000), piece(399), piece(400), piece(700), piece(1500)
+    rows = [(0, lone), (0, lone), (1, short), (1, short), (2, edge), (2, edge), (2, edge), (None, no_id), (None, no_id), (3, shared), (3, shared)]
+    rows += [(4, piece(90) + shared[:430] + piece(80)), (5, shared[-405:] + piece(300)), (6, piece(200) + shared[500:915] + piece(200)), (7, shared[700:1099]), (8, piece(900))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = order(spark_cut(df))
+    assert got == order(brute_cut(rows))
+    assert [r[2] for r in got if r[0] == 0] == [1000, 1000]
+
+
 def test_cut_text_keeps_valid_characters(spark):
     shared = "é" * 300
     rows = [(0, "x" + shared + "ab"), (1, "yy" + shared + "cd"), (2, None)]
