@@ -65,22 +65,60 @@ def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return j.filter("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
+_ASCII = "^[ -~]*$"
+
+
+def _bigrams(c: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))
+
+
 def similar_names(a: Column, b: Column) -> Column:
-    """Names that may be one entity: no digit differs, edit distance at most half the shorter, or 80 % of characters shared."""
-    bigrams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))
-    differ = F.array_union(F.array_except(bigrams(a), bigrams(b)), F.array_except(bigrams(b), bigrams(a)))
+    """Names that may be one entity: no digit differs, edit distance at most half the shorter, or 80 % of characters shared
+    (of fewer than four, two)."""
+    differ = F.array_union(F.array_except(_bigrams(a), _bigrams(b)), F.array_except(_bigrams(b), _bigrams(a)))
     digit = F.exists(differ, lambda x: x.rlike(r"\d"))
     close = F.levenshtein(a, b) <= F.floor(F.least(F.length(a), F.length(b)) / 2)
     chars = lambda c: F.array_distinct(F.split(c, ""))
-    shared = F.size(F.array_intersect(chars(a), chars(b))) / F.greatest(F.size(chars(a)), F.size(chars(b)))
-    return ~digit & F.when(a.rlike("^[ -~]*$") & b.rlike("^[ -~]*$"), close).otherwise(shared >= 0.8)
+    shared, most = F.size(F.array_intersect(chars(a), chars(b))), F.greatest(F.size(chars(a)), F.size(chars(b)))
+    return ~digit & F.when(a.rlike(_ASCII) & b.rlike(_ASCII), close).otherwise(F.when(most < 4, shared > 1).otherwise(shared / most >= 0.8))
+
+
+def _name_prefixes(n: DataFrame, tokens: Column, size: Column) -> DataFrame:
+    """One row per name and token of its prefix (its ``size`` rarest tokens, in one order for all names)."""
+    held = n.select("name", "type", "digits", size.alias("size"), F.explode(tokens).alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = held.join(counts, "token").groupBy("name", "type", "digits", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    prefixes = ranked.select("name", "type", "digits", F.expr("transform(slice(all, 1, size), x -> x.token)").alias("prefix"))
+    return prefixes.withColumn("token", F.explode("prefix"))
+
+
+def _prefix_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of a type with the same digits that share a prefix token, each once (at the first one they share)."""
+    side = lambda df, c: df.select("type", "digits", "token", F.col("name").alias(c), F.col("prefix").alias(f"p_{c}"))
+    return side(left, "x").join(side(right, "y"), ["type", "digits", "token"]).filter("array_intersect(p_x, p_y)[0] = token")
 
 
 def resolution_candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of one type with similar names; blocked by type and leading character, each block an equi-join."""
-    n = nodes.select("name", "type", F.substring("name", 1, 1).alias("head"))
-    j = n.withColumnRenamed("name", "a").join(n.withColumnRenamed("name", "b"), ["type", "head"]).filter("a < b")
-    return j.filter(similar_names(F.col("a"), F.col("b"))).select("a", "b")
+    """(a, b): pairs of one type with similar names, the same as among all pairs; the blocks lose none:
+
+    - the bigrams with a digit are equal, so they are part of the key;
+    - names of l characters within the edit bound share ceil(l / 2) characters, counted with repeats: of each name's
+      characters in one order, the first floor(l / 2) + 1 have one in common;
+    - if one is not ASCII, of m different characters ceil(0.8 m) are shared (2 if m < 4): the first m - that + 1 have one in common."""
+    digits = F.array_join(F.array_sort(F.array_distinct(F.filter(_bigrams(F.col("name")), lambda x: x.rlike(r"\d")))), "\0")
+    n = nodes.select("name", "type").distinct().withColumn("digits", digits).withColumn("chars", F.split("name", ""))
+    latin = n.filter(F.col("name").rlike(_ASCII))
+    # a character and how many of the same stand before it
+    counted = F.transform("chars", lambda c, i: F.concat(c, F.size(F.filter(F.slice("chars", 1, i), lambda x: x == c)).cast("string")))
+    near = _name_prefixes(latin, counted, F.expr("cast(length(name) div 2 + 1 as int)"))
+    ascii_pairs = _prefix_pairs(near, near).filter("x < y and abs(length(x) - length(y)) <= least(length(x), length(y)) div 2")
+    m = F.size(F.array_distinct("chars"))
+    alike = _name_prefixes(n, F.array_distinct("chars"), m - F.when(m < 4, F.lit(2)).otherwise(F.expr("cast((4 * size(array_distinct(chars)) + 4) div 5 as int)")) + 1)
+    other = ~F.col("name").rlike(_ASCII)
+    # of two names that are not ASCII the smaller is on the left
+    mixed = _prefix_pairs(alike.filter(other), alike).filter(F.col("y").rlike(_ASCII) | (F.col("x") < F.col("y")))
+    both = ascii_pairs.select("x", "y").unionByName(mixed.select("x", "y"))
+    return both.filter(similar_names(F.col("x"), F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

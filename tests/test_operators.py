@@ -1,6 +1,7 @@
 """Golden vectors of operators that SQL does not express, and edge cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,19 @@ def test_graph(spark):
     assert [tuple(r) for r in G.resolution_candidates(names).collect()] == [("BETA", "BETAS")]
 
 
+def test_resolution_equals_all_pairs(spark):
+    rng = random.Random(5)
+    names = ["TIM", "JIM", "CATHERINE", "KATHERINE", "", "A", "AB", "BA", "AAAA", "AAA", "A1", "B1", "1", "PART 12", "KART 12", "KART 13", "x\ty", "王伟", "王伟明", "伟王", "李", "北京大学医院", "北京大学医学院", "Ægir", "Ægirs", "Agir", "ABé", "ABC"]
+    names += ["".join(rng.choice("ABCDE") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["".join(rng.choice("abé1") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    rows = sorted({(x, "T") for x in names} | {(x, "U") for x in names[:20]})
+    n = spark.createDataFrame(rows, "name string, type string")
+    pairs = n.withColumnRenamed("name", "a").join(n.withColumnRenamed("name", "b"), "type").filter("a < b")
+    want = sorted(tuple(r) for r in pairs.filter(G.similar_names(F.col("a"), F.col("b"))).select("a", "b").collect())
+    got = sorted(tuple(r) for r in G.resolution_candidates(n).collect())
+    assert got == want
+    assert {("JIM", "TIM"), ("CATHERINE", "KATHERINE"), ("KART 12", "PART 12"), ("王伟", "王伟明")} <= set(got) and ("KART 12", "KART 13") not in got
+
+
 def test_quotas_and_deletion(spark):
     p = spark.createDataFrame([(1, 10, 3.0, 5), (2, 10, 1.0, 5), (3, 1, 1.0, 5), (4, 5, 9.0, 0)], "workspace int, pending long, weight double, free long")
     q = {r["workspace"]: r["quota"] for r in L.fair_quotas(p, 8).collect()}
