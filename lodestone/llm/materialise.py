@@ -1,37 +1,42 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
-Texts become token ids (``tiktoken``, ids below 65536, written as little-endian unsigned 16-bit
-numbers), each followed by an end-of-text id; a task joins them to one stream and cuts it into
-sequences of equal length, the last one padded with the end id. The sequences get a gapless
+Texts become token ids (``tiktoken``; little-endian, two bytes each, four if the vocabulary has
+ids above 65535), each followed by an end-of-text id; a task joins them to one stream and cuts it
+into sequences of equal length, the last one padded with the end id. The sequences get a gapless
 number, and a keyed Feistel network over the next power of four, walked along its cycle until it
 lands inside, permutes the numbers: the slot of a sequence is known without sorting or a table,
-and the key alone gives the order back. One range exchange by slot puts each shard's slots into
-one task, in order, which writes a file of ``sequences x stride`` bytes; slot s is at byte
-``(s mod per_shard) * stride`` of shard ``s div per_shard``, so that a reader resumes anywhere.
-
-Files are written under another name and renamed, so a lost or repeated task leaves whole files.
-A null or empty text is one end id. The same rows over other partitions give another numbering,
-but every token is written exactly once; an empty table writes nothing.
+and the key alone gives the order back. One exchange by ranges of slots, each of whole shards,
+puts a shard's slots into one task, in order, which writes a file of ``sequences x stride`` bytes;
+slot s is at byte ``(s mod per_shard) * stride`` of shard ``s div per_shard``, so that a reader
+resumes anywhere. Before the files, ids travel as compressed byte planes.
+
+Files are written under another name and renamed, so a lost or repeated task leaves whole files;
+any store that ``pyarrow.fs`` opens will do. A null or empty text is one end id. The same rows over
+other partitions give another numbering, but every token is written exactly once; an empty table
+writes nothing. Only the text column is read: other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import bound_batches, durable, scratch_dir
+from .common import bound_batches, drop_durable, durable, scratch_dir
 
 SEQUENCE_TOKENS = 1024
 PER_SHARD = 4096
 ROUNDS = 6
+#: Ranges of the exchange: one a shard, and several shards each once there are more shards than this.
+RANGES = 20_000
 
 
 def feistel_slots(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -54,8 +59,23 @@ def feistel_slots(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
+def id_type(path: str, end_id: int) -> np.dtype:
+    """The narrowest type of two or four bytes that holds all ids of a vocabulary."""
+    return np.dtype("<u2" if max(end_id, *load_ranks(path).values()) < 1 << 16 else "<u4")
+
+
+def _pack(ids: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
+    """Ids as byte planes (all low bytes, then all high ones), compressed."""
+    return packer.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes())
+
+
+def _unpack(packed: bytes, kind: np.dtype, reader: zstandard.ZstdDecompressor) -> bytes:
+    return np.ascontiguousarray(np.frombuffer(reader.decompress(packed), dtype=np.uint8).reshape(kind.itemsize, -1).T).tobytes()
+
+
 def token_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = SEQUENCE_TOKENS, text_col: str = "text") -> DataFrame:
-    """(part, seq_no, n_tokens, tokens): the streams of all tasks in sequences of ``length`` ids."""
+    """(part, seq_no, n_tokens, tokens): the streams of all tasks in sequences of ``length`` ids, packed."""
+    kind = id_type(path, end_id)
     schema = pa.schema([("part", pa.int32()), ("seq_no", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.binary())])
 
     def task(batches):
@@ -63,39 +83,44 @@ def token_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, lengt
         from pyspark import TaskContext
 
         encoder = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        part, number, rest = TaskContext.get().partitionId(), 0, np.zeros(0, dtype="<u2")
+        packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        part, number, rest, end = TaskContext.get().partitionId(), 0, np.zeros(0, dtype=kind), np.array([end_id], dtype=kind)
+
+        def rows(sequences: list[np.ndarray], used: int) -> pa.RecordBatch:
+            k = len(sequences)
+            packed = [_pack(s, packer) for s in sequences]
+            return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(number, number + k), pa.int64()), pa.array([used] * k, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0)
             for at in range(0, len(texts), 256):
                 parts = [rest]
-                for text in texts[at : at + 256]:
-                    parts.append(np.array([*encoder.encode_ordinary(text or ""), end_id], dtype="<u2"))
+                for text in texts.slice(at, 256):
+                    parts += [encoder.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(kind), end]
                 stream = np.concatenate(parts)
                 k = len(stream) // length
                 if k:
-                    raw = stream[: k * length].tobytes()
-                    stride = 2 * length
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(number, number + k), pa.int64()), pa.array([length] * k, pa.int32()), pa.array([raw[i * stride : (i + 1) * stride] for i in range(k)], pa.binary())], schema=schema)
-                rest, number = stream[k * length :], number + k
+                    yield rows([stream[i * length : (i + 1) * length] for i in range(k)], length)
+                rest, number = stream[k * length :].copy(), number + k
         if len(rest):
-            padded = np.full(length, end_id, dtype="<u2")
+            padded = np.full(length, end_id, dtype=kind)
             padded[: len(rest)] = rest
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(rest)], pa.int32()), pa.array([padded.tobytes()], pa.binary())], schema=schema)
+            yield rows([padded], len(rest))
 
     return bound_batches(docs).select(text_col).mapInArrow(task, "part int, seq_no long, n_tokens int, tokens binary")
 
 
-def _local(path: str) -> str:
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI and the path in it."""
     url = urlparse(path)
-    if url.scheme not in ("", "file"):
-        raise ValueError("shard files need a folder that executors mount (file:); copy them to a store afterwards")
-    return url.path
+    return (fs.LocalFileSystem(), url.path) if url.scheme in ("", "file") else fs.FileSystem.from_uri(path)
 
 
 def materialise(docs: DataFrame, path: str, pattern: str, end_id: int, key: int, length: int = SEQUENCE_TOKENS, per_shard: int = PER_SHARD, out_dir: str | None = None, text_col: str = "text") -> DataFrame:
     """Write the shards; one row per sequence: slot, shard, byte_offset, part, seq_no, n_tokens, crc32, file."""
     spark = docs.sparkSession
-    folder = _local(out_dir or f"{scratch_dir(spark)}/lodestone/shards-{uuid.uuid4().hex}")
+    folder = out_dir or f"{scratch_dir(spark)}/lodestone/shards-{uuid.uuid4().hex}"
+    kind = id_type(path, end_id)
     sequences = durable(token_sequences(docs, path, pattern, end_id, length, text_col), "sequences")
     counts = sequences.groupBy("part").agg(F.count("*").alias("n"))
     # one row a task of the scan
@@ -109,49 +134,58 @@ def materialise(docs: DataFrame, path: str, pattern: str, end_id: int, key: int,
         return pd.Series(feistel_slots(index.to_numpy(), n, key))
 
     shards = max(1, -(-n // per_shard))
-    numbered = sequences.join(F.broadcast(offsets.select("part", "base")), "part").withColumn("slot", slot_of(F.col("base") + F.col("seq_no")))
-    ranged = numbered.drop("base").withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
-    stride = 2 * length
+    wide = -(-shards // RANGES)  # shards of a range
+    numbered = sequences.join(offsets.select("part", "base"), "part").withColumn("slot", slot_of(F.col("base") + F.col("seq_no")))
+    ranged = numbered.select("slot", F.expr(f"cast(slot div {per_shard} as int)").alias("shard"), "part", "seq_no", "n_tokens", "tokens")
+    stride = kind.itemsize * length
     schema = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("part", pa.int32()), ("seq_no", pa.int64()), ("n_tokens", pa.int32()), ("crc32", pa.int64()), ("file", pa.string())])
 
     def write(batches):
-        os.makedirs(folder, exist_ok=True)
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+        reader = zstandard.ZstdDecompressor()
         shard, file, temporary = -1, None, ""
 
         def close():
             if file is not None:
-                file.flush()
-                os.fsync(file.fileno())
                 file.close()
-                os.replace(temporary, f"{folder}/shard-{shard:06d}.bin")
+                store.move(temporary, f"{base}/shard-{shard:06d}.bin")
 
         for batch in batches:
             rows = batch.to_pydict()
-            for s, tokens in zip(rows["shard"], rows["tokens"], strict=True):
+            sums = []
+            for s, packed in zip(rows["shard"], rows["tokens"], strict=True):
                 if s != shard:
                     close()
-                    shard, temporary = s, f"{folder}/.{uuid.uuid4().hex}"
-                    file = open(temporary, "wb")
+                    shard, temporary = s, f"{base}/.{uuid.uuid4().hex}"
+                    file = store.open_output_stream(temporary)
+                tokens = _unpack(packed, kind, reader)
                 file.write(tokens)
+                sums.append(zlib.crc32(tokens))
             slot = np.array(rows["slot"], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(rows["shard"], pa.int32()), pa.array(slot % per_shard * stride), pa.array(rows["part"], pa.int32()), pa.array(rows["seq_no"], pa.int64()), pa.array(rows["n_tokens"], pa.int32()), pa.array([zlib.crc32(t) for t in rows["tokens"]], pa.int64()), pa.array([f"shard-{s:06d}.bin" for s in rows["shard"]], pa.string())],
+                [pa.array(slot), pa.array(rows["shard"], pa.int32()), pa.array(slot % per_shard * stride), pa.array(rows["part"], pa.int32()), pa.array(rows["seq_no"], pa.int64()), pa.array(rows["n_tokens"], pa.int32()), pa.array(sums, pa.int64()), pa.array([f"shard-{s:06d}.bin" for s in rows["shard"]], pa.string())],
                 schema=schema,
             )
         close()
 
-    dealt = ranged.repartition(min(shards, 4096), "shard").sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, "slot long, shard int, byte_offset long, part int, seq_no long, n_tokens int, crc32 long, file string")
+    dealt = ranged.repartitionById(-(-shards // wide), F.expr(f"shard div {wide}").cast("int")).sortWithinPartitions("slot")
+    written = durable(dealt.mapInArrow(write, "slot long, shard int, byte_offset long, part int, seq_no long, n_tokens int, crc32 long, file string"), "shard-rows")
+    drop_durable(sequences)
+    drop_durable(offsets)
+    return written
 
 
-def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE_TOKENS, per_shard: int = PER_SHARD) -> np.ndarray:
+def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE_TOKENS, per_shard: int = PER_SHARD, kind: str = "<u2") -> np.ndarray:
     """Resume reading at a slot: ``count`` sequences as an array of ids, straight from the files."""
+    store, base = _store(folder)
+    stride = np.dtype(kind).itemsize * length
     out = []
     while count > 0:
         inside = first % per_shard
         k = min(count, per_shard - inside)
-        with open(f"{_local(folder)}/shard-{first // per_shard:06d}.bin", "rb") as f:
-            f.seek(inside * 2 * length)
-            out.append(np.frombuffer(f.read(k * 2 * length), dtype="<u2").reshape(-1, length))
+        with store.open_input_file(f"{base}/shard-{first // per_shard:06d}.bin") as f:
+            f.seek(inside * stride)
+            out.append(np.frombuffer(f.read(k * stride), dtype=kind).reshape(-1, length))
         first, count = first + k, count - k
     return np.concatenate(out)

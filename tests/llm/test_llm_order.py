@@ -86,6 +86,49 @@ def test_materialised_shards_hold_every_token(spark, docs, tmp_path):
     assert np.array_equal(materialise.read_slots(folder, 60, 10, 128, 64), data[60:70])
 
 
+def plain_slot(i, n, key, rounds=materialise.ROUNDS):
+    """The permutation of one number by plain integer arithmetic."""
+    half = 1
+    while 4**half < n:
+        half += 1
+    wrap, mask = (1 << 64) - 1, (1 << half) - 1
+    x = i
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(rounds):
+            k = (key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03 + 1) & wrap
+            f = (right + k) * 0xBF58476D1CE4E5B9 & wrap
+            f = (f ^ (f >> 29)) * 0x94D049BB133111EB & wrap
+            left, right = right, left ^ ((f >> 32) & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 63, 1000])
+def test_feistel_equals_a_plain_loop(n):
+    assert materialise.feistel_slots(np.arange(n), n, 77).tolist() == [plain_slot(i, n, 77) for i in range(n)]
+
+
+def test_op4_rows_equal_a_plain_loop(spark, sf_dir):
+    """The registered query: numbers of the sequences by part and place, slots by the plain loop, no shard in two tasks."""
+    rows = sorted(queries.op4_training_order(spark, sf_dir).collect(), key=lambda r: (r["part"], r["seq_no"]))
+    n = len(rows)
+    assert n > 100
+    for i, r in enumerate(rows):
+        slot = plain_slot(i, n, queries.ORDER_KEY)
+        assert (r["slot"], r["shard"], r["byte_offset"]) == (slot, slot // 4096, slot % 4096 * 2048)
+
+
+def test_ids_of_four_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(materialise, "id_type", lambda path, end_id: np.dtype("<u4"))
+    df = spark.createDataFrame([(i, f"text {i} äöü 𝄞") for i in range(200)], "doc_id long, text string")
+    path = public_tokenizers.path(queries.ORDER_VOCABULARY)
+    rows = materialise.materialise(df, path, public_tokenizers.PATTERN, queries.END_ID, 3, length=16, per_shard=8, out_dir=str(tmp_path / "s")).collect()
+    data = materialise.read_slots(str(tmp_path / "s"), 0, len(rows), 16, 8, "<u4")
+    assert all(zlib.crc32(data[r["slot"]].tobytes()) == r["crc32"] for r in rows)
+
+
 def test_materialise_edges(awkward, empty):
     path = public_tokenizers.path(queries.ORDER_VOCABULARY)
     assert materialise.materialise(awkward, path, public_tokenizers.PATTERN, queries.END_ID, 1).count() > 0
