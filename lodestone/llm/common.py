@@ -9,6 +9,7 @@ polynomial hashes modulo 2**64, bit mixing).
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,9 +42,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: its cleaner goes by the
+    driver's garbage collection, which a long job with little on the driver's heap hardly ever needs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
+    free_shuffles(spark)
     path = f"{scratch_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

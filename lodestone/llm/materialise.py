@@ -8,7 +8,8 @@ lands inside, permutes the numbers: the slot of a sequence is known without sort
 and the key alone gives the order back. One exchange by ranges of slots, each of whole shards,
 puts a shard's slots into one task, in order, which writes a file of ``sequences x stride`` bytes;
 slot s is at byte ``(s mod per_shard) * stride`` of shard ``s div per_shard``, so that a reader
-resumes anywhere. Before the files, ids travel as compressed byte planes.
+resumes anywhere. Before the files, ids travel compressed, with a dictionary trained on a few
+sequences (it changes the size on the way only, not what is written).
 
 Files are written under another name and renamed, so a lost or repeated task leaves whole files;
 any store that ``pyarrow.fs`` opens will do. A null or empty text is one end id. The same rows over
@@ -37,6 +38,8 @@ PER_SHARD = 4096
 ROUNDS = 6
 #: Ranges of the exchange: one a shard, and several shards each once there are more shards than this.
 RANGES = 20_000
+#: Of the dictionary that ids are compressed with on the way: rows it is trained on, its size, and the level.
+DICTIONARY_TEXTS, DICTIONARY_BYTES, LEVEL = 400, 1 << 16, 6
 
 
 def feistel_slots(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -64,17 +67,30 @@ def id_type(path: str, end_id: int) -> np.dtype:
     return np.dtype("<u2" if max(end_id, *load_ranks(path).values()) < 1 << 16 else "<u4")
 
 
-def _pack(ids: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
-    """Ids as byte planes (all low bytes, then all high ones), compressed."""
-    return packer.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T).tobytes())
+def travel_dictionary(docs: DataFrame, path: str, pattern: str, end_id: int, text_col: str) -> bytes:
+    """A zstandard dictionary of ids from DICTIONARY_TEXTS rows at most, of 4000 characters each; empty if these are too few."""
+    import tiktoken
+
+    encoder = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    rows = docs.select(F.substring(F.col(text_col), 1, 4000).alias("t")).filter("t <> ''").limit(DICTIONARY_TEXTS).collect()
+    kind = id_type(path, end_id)
+    samples = [encoder.encode_to_numpy(r["t"], disallowed_special=()).astype(kind).tobytes() for r in rows]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
 
 
-def _unpack(packed: bytes, kind: np.dtype, reader: zstandard.ZstdDecompressor) -> bytes:
-    return np.ascontiguousarray(np.frombuffer(reader.decompress(packed), dtype=np.uint8).reshape(kind.itemsize, -1).T).tobytes()
+def _learned(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    if not dictionary:
+        return None
+    learned = zstandard.ZstdCompressionDict(dictionary)
+    learned.precompute_compress(level=LEVEL)
+    return learned
 
 
-def token_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = SEQUENCE_TOKENS, text_col: str = "text") -> DataFrame:
-    """(part, seq_no, n_tokens, tokens): the streams of all tasks in sequences of ``length`` ids, packed."""
+def token_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = SEQUENCE_TOKENS, text_col: str = "text", dictionary: bytes = b"") -> DataFrame:
+    """(part, seq_no, n_tokens, tokens): the streams of all tasks in sequences of ``length`` ids, compressed."""
     kind = id_type(path, end_id)
     schema = pa.schema([("part", pa.int32()), ("seq_no", pa.int64()), ("n_tokens", pa.int32()), ("tokens", pa.binary())])
 
@@ -83,12 +99,12 @@ def token_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, lengt
         from pyspark import TaskContext
 
         encoder = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-        packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_learned(dictionary))
         part, number, rest, end = TaskContext.get().partitionId(), 0, np.zeros(0, dtype=kind), np.array([end_id], dtype=kind)
 
         def rows(sequences: list[np.ndarray], used: int) -> pa.RecordBatch:
             k = len(sequences)
-            packed = [_pack(s, packer) for s in sequences]
+            packed = [packer.compress(s.tobytes()) for s in sequences]
             return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(number, number + k), pa.int64()), pa.array([used] * k, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
         for batch in batches:
@@ -121,7 +137,8 @@ def materialise(docs: DataFrame, path: str, pattern: str, end_id: int, key: int,
     spark = docs.sparkSession
     folder = out_dir or f"{scratch_dir(spark)}/lodestone/shards-{uuid.uuid4().hex}"
     kind = id_type(path, end_id)
-    sequences = durable(token_sequences(docs, path, pattern, end_id, length, text_col), "sequences")
+    dictionary = travel_dictionary(docs, path, pattern, end_id, text_col)
+    sequences = durable(token_sequences(docs, path, pattern, end_id, length, text_col, dictionary), "sequences")
     counts = sequences.groupBy("part").agg(F.count("*").alias("n"))
     # one row a task of the scan
     offsets = durable(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), "n"), "offsets")
@@ -143,7 +160,7 @@ def materialise(docs: DataFrame, path: str, pattern: str, end_id: int, key: int,
     def write(batches):
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        reader = zstandard.ZstdDecompressor()
+        reader = zstandard.ZstdDecompressor(dict_data=_learned(dictionary))
         shard, file, temporary = -1, None, ""
 
         def close():
@@ -159,7 +176,7 @@ def materialise(docs: DataFrame, path: str, pattern: str, end_id: int, key: int,
                     close()
                     shard, temporary = s, f"{base}/.{uuid.uuid4().hex}"
                     file = store.open_output_stream(temporary)
-                tokens = _unpack(packed, kind, reader)
+                tokens = reader.decompress(packed)
                 file.write(tokens)
                 sums.append(zlib.crc32(tokens))
             slot = np.array(rows["slot"], dtype=np.int64)
