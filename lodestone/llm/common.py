@@ -29,6 +29,7 @@ _LOWER[65:91] += 32
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_SECOND_CODE = np.random.default_rng(20250301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,6 +69,13 @@ def drop_durable(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def no_clash(df: DataFrame, *added: str) -> None:
+    """Refuse a table that already has a column of a name that an operator adds (Spark compares names without case)."""
+    have = {c.lower() for c in df.columns}
+    if found := [c for c in added if c.lower() in have]:
+        raise ValueError(f"the table already has columns {found}; rename or drop them first")
+
+
 #: Rows of an Arrow batch: texts make rows large, and each task holds a few batches on both sides.
 BATCH_ROWS = 1000
 
@@ -141,11 +149,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class RollingHash:
     """Hashes of arbitrary spans of a byte array from one prefix sum, modulo 2**64."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, second: bool = False):
+        """``second``: hashes that are independent of the usual ones."""
         n = len(data) + 1
         self._grow(n)
         self.prefix = np.zeros(n, dtype=np.uint64)
-        np.cumsum(_BYTE_CODE[data] * self._powers[: n - 1], out=self.prefix[1:])
+        np.cumsum((_SECOND_CODE if second else _BYTE_CODE)[data] * self._powers[: n - 1], out=self.prefix[1:])
 
     _powers = np.ones(1, dtype=np.uint64)
     _inverses = np.ones(1, dtype=np.uint64)

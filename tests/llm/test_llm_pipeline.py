@@ -1,7 +1,7 @@
 """The pipeline, each stage against brute force on its own input."""
 
 import corpus_pipeline
-from test_llm_text import brute_components, brute_cut
+from test_llm_text import brute_components, brute_runs
 
 from lodestone.llm import queries
 
@@ -23,12 +23,15 @@ def test_stages(spark, sf_dir, tmp_path):
     rows = [(r["doc_id"], r["text"]) for r in was.collect()]
     assert {r["doc_id"] for r in now.collect()} == {d for d, _, c in brute_components(rows) if d == c}
     was, now = results["repeated_passages"]
-    cut = {d: n - gone for d, n, gone, _, _ in brute_cut([(r["doc_id"], r["text"]) for r in was.collect()])}
+    rows = [(r["doc_id"], r["text"]) for r in was.collect()]
+    long_runs = {d: [x for x in runs if len(x.split()) >= 50] for d, runs in brute_runs(rows, 200)}
     got = {r["doc_id"]: r for r in now.collect()}
-    assert got.keys() == cut.keys()
-    for d, r in got.items():
+    assert got.keys() == long_runs.keys() and any(long_runs.values())
+    for d, text in rows:
+        left = len(text.encode()) - sum(map(len, long_runs[d]))
         # only the bytes of characters that a cut splits may be missing besides
-        assert cut[d] - 12 <= len(r["text"].encode()) <= cut[d] and r["n_chars"] == len(r["text"])
+        assert left - 6 * len(long_runs[d]) <= len(got[d]["text"].encode()) <= left and got[d]["n_chars"] == len(got[d]["text"])
+        assert long_runs[d] or got[d]["text"] == text
     was, now = results["mixing"]
     assert sorted(map(str, was.collect())) == sorted(map(str, now.collect()))
     was, now = results["byte_bpe"]
@@ -42,3 +45,15 @@ def test_run_and_empty(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_rows(spark, awkward, sf_dir, tmp_path):
+    """Nulls, empty texts, repeated rows and columns of clashing names through all stages."""
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == awkward.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count() > 0

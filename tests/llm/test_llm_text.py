@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, ngram_join, quality_rules, queries, suffix_dedup
+from lodestone.llm import bpe, exchange, ngram_join, quality_rules, queries, suffix_dedup
 from lodestone.llm import components as cc
 
 WORDS = re.compile("[^\x20\x09-\x0D]+")
@@ -154,37 +154,40 @@ def test_components(spark):
 # --- suffix dedup ------------------------------------------------------------------------------
 
 
-def brute_cut(rows):
+def brute_cut(rows, size=400):
     data = [(d, (t or "").encode()) for d, t in rows]
-    seen = Counter(b[p : p + 400] for _, b in data for p in range(len(b) - 399))
+    seen = Counter(b[p : p + size] for _, b in data for p in range(len(b) - size + 1))
     out = []
     for d, b in data:
         edge = np.zeros(len(b) + 1, dtype=int)
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
+        for p in range(len(b) - size + 1):
+            if seen[b[p : p + size]] > 1:
                 edge[p] += 1
-                edge[p + 400] -= 1
+                edge[p + size] -= 1
         gone = np.cumsum(edge)[:-1] > 0
         kept = np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()
         out.append((d, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-def spark_cut(df):
-    cut = suffix_dedup.cut_spans(df.select("doc_id", "text"), suffix_dedup.repeated_spans(df))
+def spark_cut(df, size=400):
+    cut = suffix_dedup.cut_spans(df.select("doc_id", "text"), suffix_dedup.repeated_spans(df, threshold=size))
     n = F.coalesce(F.octet_length("text"), F.lit(0))
     rows = cut.select("doc_id", n.alias("n"), (n - F.octet_length("kept")).alias("r"), F.coalesce(F.size("spans"), F.lit(0)).alias("s"), F.sha2("kept", 256).alias("h")).collect()
     return [(r["doc_id"], r["n"], r["r"], max(r["s"], 0), r["h"]) for r in rows]
 
 
-@pytest.mark.parametrize("table", ["awkward", "docs"])
-def test_dedup_against_brute_force(table, request):
+@pytest.mark.parametrize(("table", "size"), [("awkward", 400), ("docs", 400), ("awkward", 200), ("docs", 200), ("docs", 64), ("docs", 1000)])
+def test_dedup_against_brute_force(table, size, request):
     df = request.getfixturevalue(table)
-    assert order(spark_cut(df)) == order(brute_cut(collect(df)))
+    assert order(spark_cut(df, size)) == order(brute_cut(collect(df), size))
 
 
-def test_dedup_boundaries(spark):
-    """Shared strings around the threshold, next to each other, overlapping, periodic and inside one text."""
+@pytest.mark.parametrize("chunk", [1_000_000, 50])
+def test_dedup_boundaries(spark, chunk, monkeypatch):
+    """Shared strings around the threshold, next to each other, overlapping, periodic and inside one text; tasks that
+    settle all repeats by themselves, and hardly any."""
+    monkeypatch.setattr(exchange, "CHUNK_KEYS", chunk)
     rng = np.random.default_rng(1)
     piece = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
     a, b, c = piece(399), piece(400), piece(401)
@@ -194,6 +197,34 @@ def test_dedup_boundaries(spark):
     assert order(spark_cut(df)) == order(brute_cut(list(enumerate(rows))))
 
 
+def brute_runs(rows, size):
+    """Per row the runs under repeated strings."""
+    data = [(d, (t or "").encode()) for d, t in rows]
+    seen = Counter(b[p : p + size] for _, b in data for p in range(len(b) - size + 1))
+    for d, b in data:
+        gone = np.zeros(len(b) + 2, dtype=bool)
+        for p in range(len(b) - size + 1):
+            if seen[b[p : p + size]] > 1:
+                gone[p + 1 : p + size + 1] = True
+        edges = np.flatnonzero(np.diff(gone.astype(int)))
+        yield d, [b[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def test_op5_equals_brute_force(spark, sf_dir):
+    """The registered query with its further column."""
+    docs = collect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    passages = {d: sum(len(re.findall(rb"[^\x20\x09-\x0D]+", r)) >= 50 for r in runs) for d, runs in brute_runs(docs, 200)}
+    got = queries.op5_repeated_spans(spark, sf_dir).collect()
+    assert order(tuple(r)[:5] for r in got) == order(brute_cut(docs))
+    assert {r["doc_id"]: r["n_passages"] for r in got} == passages and sum(passages.values()) > 0
+
+
+def test_cut_refuses_clashing_names(awkward):
+    with pytest.raises(ValueError, match="spans"):
+        suffix_dedup.cut_spans(awkward, suffix_dedup.repeated_spans(awkward))
+    assert suffix_dedup.cut_text(awkward, suffix_dedup.repeated_spans(awkward)).columns == awkward.columns
+
+
 def test_dedup_of_repeated_rows(spark):
     """Equal rows (id and text) whose text stands nowhere else, whole or in part, and texts that share a part with them."""
     rng = np.random.default_rng(2)
