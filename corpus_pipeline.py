@@ -2,8 +2,9 @@
 
 1. toxicity: documents that the compression-distance classifier rejects go (clean ones stay).
 2. near copies: one document of each group of the n-gram Jaccard join stays, that of the smallest id.
-3. repeated passages: every byte under a 400-byte string that occurs twice goes from the text
-   (a character cut in part goes as a whole; n_chars follows; no document is dropped).
+3. repeated passages: runs of 50 words or more under 200-byte strings that occur twice go from the text
+   (50 words of prose have 240 bytes or more, so every passage of over 50 words holds such strings;
+   shorter repeats stay; a character cut in part goes as a whole; n_chars follows; no document is dropped).
 4. mixing: documents stand in the order of their block in the Pfair mix, over files in order.
 5. byte-level BPE: ids of the text, and the text read back from the ids.
 """
@@ -33,7 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.cut_text(docs, suffix_dedup.repeated_spans(docs))
+    spans = suffix_dedup.repeated_spans(docs, threshold=queries.PASSAGE_BYTES)
+    cut = suffix_dedup.cut_text(docs, spans, min_words=queries.PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
