@@ -8,7 +8,8 @@ and kept in a bounded table, and the ids of whole texts are gathered from it.
 
 Decoding maps ids to the characters that stand for bytes and reverses the byte table; the bytes
 of a text are joined before they are read as UTF-8, so characters split over tokens come back.
-A null text counts as empty (no ids). Any input gives back its own bytes.
+A null text counts as empty (no ids). Any input gives back its own bytes. An input column named
+like a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, give_back, text_slices
+from .common import bound_batches, give_back, give_way, text_slices
 
 #: Pieces that a task keeps; beyond, the table starts anew.
 TABLE_PIECES = 150_000
@@ -104,6 +105,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", off
     """``docs`` with ``ids`` (array of int) and ``n_split`` (tokens that start inside a character).
 
     With ``offsets`` also ``starts``: the character at which each token starts."""
+    docs = give_way(docs, "ids", "n_split", *["starts"] * offsets)
     fields = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>, n_split int" + ", starts array<int>" * offsets
 
@@ -135,6 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", off
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """``encoded`` with ``decoded`` (binary: the bytes of the ids; ``decode(decoded, 'UTF-8')`` reads them)."""
+    encoded = give_way(encoded, "decoded")
     kept = [f for f in encoded.schema.fields if f.name not in drop]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", decoded binary"
 

@@ -7,7 +7,7 @@ numpy, on a bounded sample of labelled rows.
 
 Since the average and the output layer are linear, a word's share of both class sums needs to
 be worked out only once per task. A text without words has the average zero, so its score is
-that of the output layer's bias.
+that of the output layer's bias. An input column ``score`` gives way to the new one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, bound_batches, give_back, mix, text_slices, word_spans
+from .common import RollingHash, bound_batches, give_back, give_way, mix, text_slices, word_spans
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -113,6 +113,7 @@ def train(rows: list[tuple[str, int]], seed: int = 11) -> SubwordModel:
 
 def score(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1."""
+    docs = give_way(docs, "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIMENSIONS doubles: 4 MB
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most text bytes that a task turns into numpy arrays at once (a longer text is one slice).
 SLICE_BYTES = 1 << 19
@@ -69,11 +70,17 @@ def drop_durable(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def no_clash(df: DataFrame, *added: str) -> None:
-    """Refuse a table that already has a column of a name that an operator adds (Spark compares names without case)."""
-    have = {c.lower() for c in df.columns}
-    if found := [c for c in added if c.lower() in have]:
-        raise ValueError(f"the table already has columns {found}; rename or drop them first")
+def give_way(df: DataFrame, *added: str) -> DataFrame:
+    """``df`` without columns of the names that an operator adds (Spark compares names without case): in all
+    operators an input column of such a name gives way to the new one."""
+    names = {c.lower() for c in added}
+    return df.drop(*(c for c in df.columns if c.lower() in names))
+
+
+def set_aside(df: DataFrame, *used: str):
+    """``df`` with its columns renamed, but for those in ``used``, so that none clashes; and how to name them back."""
+    names = [c if c in used else f"_column_{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)))
 
 
 #: Rows of an Arrow batch: texts make rows large, and each task holds a few batches on both sides.

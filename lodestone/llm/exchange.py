@@ -62,8 +62,8 @@ class Packer:
 
     ``owner_types`` are the columns known once per document (its key first), ``item_types``
     the columns known per item. ``key_bytes`` of each key are kept below the bucket's bits.
-    ``settle(keys, items)`` gives the masks of settled and of sent items of a chunk (sent ones
-    are settled, too); it may write to the items."""
+    ``settle(keys, items, owner keys)`` gives the masks of settled and of sent items of a chunk
+    (sent ones are settled, too); it may write to the items."""
 
     def __init__(self, bits: int, owner_types: list, item_types: list, key_bytes: int = 5, settle=None):
         self.bits, self.owner_types, self.item_types, self.key_bytes, self.settle = bits, owner_types, [*item_types, np.uint8], key_bytes, settle
@@ -96,7 +96,7 @@ class Packer:
         items.append(np.zeros(len(keys), dtype=np.uint8))
         rows: list[tuple] = []
         if self.settle:
-            settled, sent = self.settle(keys, items[:-1])
+            settled, sent = self.settle(keys, items[:-1], owners[0][owner])
             spread = -1 - zlib.crc32(b"%d %d" % (TaskContext.get().partitionId(), self.n_chunks)) % (1 << 30)
             if settled.any():
                 rows.append(self._blob(spread, keys[settled], owner[settled], [x[settled] for x in items], owners))

@@ -3,23 +3,26 @@
 Documents are sets of distinct 5-word shingles (as 64-bit hashes); two documents link when
 ``100 * |A & B| >= 80 * |A | B|``. The join runs in these steps:
 
-1. *Equal sets collapse.* A 128-bit set fingerprint groups documents with the same set.
+1. *Equal sets collapse.* A set is known by its size and a 64-bit fingerprint.
 2. *Document frequency.* Shingles go through the packed exchange; a bucket sees every holder
-   of a shingle, counts different sets, and returns (representative, shingle, frequency) only
-   where two or more different sets hold it. All other shingles can match nothing.
+   of a shingle, counts different sets, and returns (set, shingle, frequency) only where two or
+   more different sets hold it. All other shingles can match nothing. Shingles that many rows of a
+   bounded sample hold (HOT_ROWS of SAMPLE_ROWS) stay out of the exchange: every task knows them, a
+   set carries its own, and all of them count as more frequent than any other.
 3. *Adaptive prefixes.* Under the order (frequency, shingle) a set of n shingles has the
    l-prefix of its first ``n - ceil(0.8 n) + l`` shingles, and a linked pair shares l of them.
-   Each document takes the l in 1..MAX_MATCHES with the least estimated cost: list entries
-   read for the prefix plus verifications expected among them. A pair must share min(l, l')
-   prefix shingles before it is verified. Documents whose prefix holds no shared shingle are out.
-4. *Links.* In each shingle's list everything is compared with one leader (a star, not all
-   pairs). A list whose members all link to their leader is settled. The documents of the other
-   lists form families (what such lists connect); a family is cut into blocks, and pairs of
-   blocks are compared by counting shared shingles as a matrix product. A block pair puts out
-   links that connect what all its links connect, so components equal those of all links.
-
-Rows with a null text or no words have an empty set and stand alone. A row is known by
-(id, text): repeated rows are one document; ids may repeat over different texts and are null-safe.
+   Each set takes the l in 1..MAX_MATCHES with the least estimated cost: list entries read for the
+   prefix plus verifications expected among them.
+4. *Candidates.* The prefixes are inverted. Short lists (LIST_DOCS sets at most) give pairs, which
+   are counted; a pair goes on only if it shares min(l, l') prefix shingles. Sets that long lists
+   connect form a family; a family is cut into blocks, and for two blocks the shared prefix shingles
+   of all pairs are counted at once as a matrix product. Pairs of one family are compared there only.
+5. *Verification.* Candidates are verified on their whole sets. A pair of short lists is a link; a
+   pair of blocks puts out, of its links, each set's number and a forest with the same components.
+
+Rows with a null text or no words have an empty set and stand alone, without links. A row is known
+by (id, text); ids may repeat and may be null. Other columns are not read; ``one_per_component`` keeps
+them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +34,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components as cc
-from .common import bound_batches, durable, give_back, shingle_hashes, text_slices
+from .common import bound_batches, drop_durable, durable, give_back, shingle_hashes, text_slices
 from .exchange import BLOB_SCHEMA, Packer, bucket_bits, reduce_buckets
 
 WIDTH = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 MAX_MATCHES = 4
-#: Documents of a block of a family.
-BLOCK_DOCS = 256
+#: Sets in a list of the inverted prefixes that is read pair by pair.
+LIST_DOCS = 48
+#: Sets, and shingles, of a block of a family.
+BLOCK_DOCS, BLOCK_TOKENS = 512, 400_000
+#: Hot shingles: held by so many rows of a sample of about so many; so many of them at most (the most frequent).
+SAMPLE_ROWS, HOT_ROWS, HOT_SHINGLES = 20_000, 40, 200_000
+#: The frequency that a hot shingle counts with.
+HOT_DF = 1 << 30
 #: Shingles (columns) of one step of the matrix product.
 _COLUMNS = 4096
 
-_OWNER = [np.int64, np.uint64, np.uint32]
+_OWNER = [np.int64, np.uint32]
 _ALL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,41 +79,68 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bound_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per input row: key, id, n_shingles and the set's fingerprint (fa, fb)."""
+def _set_id(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a ^ (b << np.uint64(1))
+
+
+def hot_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_rows: int) -> np.ndarray:
+    """The sorted hashes of shingles that many rows of a sample hold."""
+    one_in = max(1, n_rows // SAMPLE_ROWS)
+    picked = _keyed(docs, id_col, text_col).filter(F.pmod("key", F.lit(one_in)) == 0)
+
+    def task(batches):
+        for batch in batches:
+            for part in _sets(batch, width):
+                yield pa.RecordBatch.from_arrays([pa.array(part[3].view(np.int64))], names=["token"])
+
+    counted = picked.mapInArrow(task, "token long").groupBy("token").agg(F.count("*").alias("held")).filter(F.col("held") >= HOT_ROWS)
+    found = counted.orderBy(F.desc("held"), "token").limit(HOT_SHINGLES).select("token").collect()
+    return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def _held(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), dtype=bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hot: np.ndarray | None = None) -> DataFrame:
+    """One row per input row: key, id, n_shingles, the set's fingerprint (doc), and of its shingles the hot ones."""
+    known = docs.sparkSession.sparkContext.broadcast(np.zeros(0, dtype=np.uint64) if hot is None else hot)  # HOT_SHINGLES at most
 
     def task(batches):
         for batch in batches:
-            parts = [p[4:] for p in _sets(batch, width)]
-            if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *(pa.array(np.concatenate([p[k] for p in parts]).astype(np.uint64).view(np.int64)) for k in range(3))], names=["key", "id", "n_shingles", "fa", "fb"]
-                )
+            for first, end, rows, hashes, sizes, a, b in _sets(batch, width):
+                k = np.flatnonzero(_held(known.value, hashes))
+                cuts = np.searchsorted(rows[k], np.arange(end - first + 1)).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[k].view(np.int64)))
+                own = [pa.array(x.astype(np.uint64).view(np.int64)) for x in (sizes, _set_id(a, b))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:2], *own, found], names=["key", "id", "n_shingles", "doc", "hot"])
         give_back()
 
-    return _keyed(docs, id_col, text_col).mapInArrow(task, "key long, id long, n_shingles long, fa long, fb long")
+    return _keyed(docs, id_col, text_col).mapInArrow(task, "key long, id long, n_shingles long, doc long, hot array<long>")
 
 
-def _shared_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_keys: int) -> DataFrame:
-    """Rows (doc, n, token, df) of shingles that two or more different sets hold; doc is the
-    smallest row key among the documents with that set."""
+def _shared_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_keys: int, hot: np.ndarray) -> DataFrame:
+    """Rows (doc, n, token, df) of shingles, but for hot ones, that two or more different sets hold."""
     packer = Packer(bucket_bits(n_keys), _OWNER, [])
+    known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def task(batches):
         own = Packer(packer.bits, _OWNER, [])
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for first, end, rows, hashes, sizes, a, b in _sets(batch, width):
-                own.add(hashes, rows, [], [keys[first:end], a ^ (b << np.uint64(1)), sizes])
+            for _, _, rows, hashes, sizes, a, b in _sets(batch, width):
+                k = np.flatnonzero(~_held(known.value, hashes))
+                own.add(hashes[k], rows[k], [], [_set_id(a, b).view(np.int64), sizes])
                 yield from own.flush()
         yield from own.flush(force=True)
 
     def reducer(blobs: pd.DataFrame) -> pd.DataFrame:
-        token, (doc, same, n), *_ = packer.open(blobs)
-        order = np.lexsort((doc, same, token))
-        token, doc, same, n = (x[order] for x in (token, doc, same, n))
+        token, (doc, n), *_ = packer.open(blobs)
+        order = np.lexsort((doc, token))
+        token, doc, n = (x[order] for x in (token, doc, n))
         new_set = np.ones(len(token), dtype=bool)
-        new_set[1:] = (token[1:] != token[:-1]) | (same[1:] != same[:-1])
+        new_set[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
         token, doc, n = token[new_set], doc[new_set], n[new_set]
         _, index, df = np.unique(token, return_inverse=True, return_counts=True)
         df = df[index]
@@ -115,121 +151,150 @@ def _shared_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_
     return reduce_buckets(blobs, reducer, "doc long, n long, token long, df long")
 
 
-def prefix_table(shared: DataFrame, percent: int = PERCENT, max_matches: int = MAX_MATCHES) -> DataFrame:
-    """Documents that can have a link: doc, n, matches (the chosen l), prefix (its l-prefix),
-    base (its 1-prefix) and tokens (all shared shingles, sorted)."""
-    by_doc = Window.partitionBy("doc")
-    ordered = by_doc.orderBy("df", "token")
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def prefix_table(shared: DataFrame, hot: DataFrame, percent: int = PERCENT, max_matches: int = MAX_MATCHES) -> DataFrame:
+    """Sets that can have a link: doc, n, rows, matches (the chosen l), prefix (its l-prefix) and tokens (all
+    shared shingles, sorted). hot: doc, n, rows and the hot shingles of every set."""
+    own = shared.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    hots = F.expr(f"transform(array_sort(hot), x -> struct(cast({HOT_DF} as bigint) as df, x as token))")
+    none = F.array().cast("array<struct<df:bigint,token:bigint>>")
+    held = hot.join(own, ["doc", "n"], "left").withColumn("all", F.concat(F.coalesce("own", none), F.coalesce(hots, none)))
     # first: how many of its shared shingles stand in the 1-prefix, after those that nobody shares
-    placed = (
-        shared.withColumn("held", F.count("*").over(by_doc))
-        .withColumn("first", F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - held)"))
-        .filter("first > 0")
-        .withColumn("at", F.row_number().over(ordered))
-        .withColumn("read", F.sum("df").over(running))
-    )
-    cost = [F.max(F.when(F.col("at") < F.col("first") + k, F.col("read"))).alias(f"read_{k}") for k in range(1, max_matches + 1)]
-    rows = placed.groupBy("doc").agg(
-        F.first("n").alias("n"), F.first("first").alias("first"), *cost, F.sort_array(F.collect_list(F.struct("at", "token"))).alias("all")
-    )
+    placed = held.withColumn("first", F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 - (n - size(all)) as int)")).filter("first > 0")
     # reading a list entry costs 1, verifying a candidate about a quarter of its shingles; at most read/l candidates share l
-    price = [F.col(f"read_{k}") * (1 + F.col("n") / (4.0 * k)) for k in range(1, max_matches + 1)]
-    best = F.least(*price)
-    matches = F.coalesce(*[F.when(p <= best, F.lit(k + 1)) for k, p in enumerate(price)])
-    return rows.withColumn("matches", matches).select(
-        "doc",
-        "n",
-        "matches",
-        F.expr("transform(slice(all, 1, cast(first + matches - 1 as int)), x -> x.token)").alias("prefix"),
-        F.expr("transform(slice(all, 1, cast(first as int)), x -> x.token)").alias("base"),
-        F.expr("transform(all, x -> x.token)").alias("tokens"),
+    price = []
+    for k in range(1, max_matches + 1):
+        read = F.expr(f"aggregate(slice(all, 1, first + {k - 1}), 0D, (t, x) -> t + x.df)")
+        price.append(F.when(F.expr(f"({percent} * n + 99) div 100 >= {k}"), read * (1 + F.col("n") / (4.0 * k))))  # a link shares no more than that
+    priced = placed.withColumn("price", F.array(*price))
+    matches = F.expr("cast(array_position(price, array_min(price)) as int)")
+    return priced.withColumn("matches", matches).select(
+        "doc", "n", "rows", "matches", F.expr("transform(slice(all, 1, first + matches - 1), x -> x.token)").alias("prefix"), F.expr("transform(all, x -> x.token)").alias("tokens")
     )
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share enough prefix shingles and link."""
-    sides = [nodes.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("matches").alias(f"l_{s}"), F.col("prefix").alias(f"p_{s}"), F.col("tokens").alias(f"t_{s}")) for s in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.size(F.array_intersect("p_a", "p_b")) >= F.least("l_a", "l_b"))
-    return both.filter(fits).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).cast("long").alias("common")).filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
+def _short_list_links(nodes: DataFrame, families: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets that are not of one family."""
+    placed = nodes.select("doc", "n", "matches", "prefix").join(families, "doc", "left").select("doc", "n", "matches", "family", F.explode("prefix").alias("token"))
+    lists = placed.join(sizes.filter(F.col("m") <= LIST_DOCS).select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("doc", "n", "matches", "family")).alias("held"))
+    pair = f"""explode(flatten(transform(held, x -> transform(
+        filter(held, y -> y.doc > x.doc and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and not coalesce(x.family = y.family, false)),
+        y -> struct(x.doc as a, y.doc as b, least(x.matches, y.matches) as need)))))"""
+    counted = lists.select(F.expr(pair).alias("p")).groupBy("p.a", "p.b", "p.need").agg(F.count("*").alias("met"))
+    candidates = counted.filter("met >= need").select("a", "b")
+    sides = [nodes.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}")) for s in "ab"]
+    both = candidates.join(sides[0], "a").join(sides[1], "b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")).cast("long"))
+    return both.filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each array on the left shares with each on the right (values of an array differ)."""
+    sides = []
+    for arrays in (left, right):
+        values = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+        sides.append((np.repeat(np.arange(len(arrays)), [len(x) for x in arrays]), values))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    placed = []
+    for row, values in sides:
+        at = np.searchsorted(both, values)
+        k = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == values) if len(both) else np.zeros(0, dtype=np.int64)
+        order = np.argsort(at[k], kind="stable")
+        placed.append((row[k][order], at[k][order]))
+    for first in range(0, len(both), _COLUMNS):
+        parts = []
+        for (row, column), n in zip(placed, common.shape, strict=True):
+            a, b = np.searchsorted(column, [first, first + _COLUMNS])
+            part = np.zeros((n, _COLUMNS), dtype=np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    return common.astype(np.int64)
 
 
 def _block_links(percent: int):
-    """Links inside one block or between two of a family, as a forest with the same components."""
+    """Of the links inside one block or between two: a forest with the same components (a, b), and each set's
+    number of linked rows (a, met)."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, n = pdf["doc"].to_numpy(), pdf["n"].to_numpy()
-        lengths = np.array([len(t) for t in pdf["tokens"]])
-        row = np.repeat(np.arange(len(pdf)), lengths)
-        _, column, times = np.unique(np.concatenate(pdf["tokens"].to_list()), return_inverse=True, return_counts=True)
-        shared = times[column] > 1
-        row, column = row[shared], column[shared]
-        _, column = np.unique(column, return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(pdf), len(pdf)), dtype=np.float32)
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
-            a, b = np.searchsorted(column, [first, first + _COLUMNS])
-            part = np.zeros((len(pdf), _COLUMNS), dtype=np.float32)
-            part[row[a:b], column[a:b] - first] = 1
-            common += part @ part.T
-        common = common.astype(np.int64)
-        linked = common * 100 >= (n[:, None] + n[None, :] - common) * percent
-        left, right = np.nonzero(np.triu(linked, 1))
-        parent = list(range(len(pdf)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        one = pdf[pdf["block"] == pdf["b1"]]
+        two = one if pdf["b1"].iloc[0] == pdf["b2"].iloc[0] else pdf[pdf["block"] == pdf["b2"]]
+        n = [x["n"].to_numpy() for x in (one, two)]
+        need = np.minimum(one["matches"].to_numpy()[:, None], two["matches"].to_numpy()[None, :])
+        fits = np.minimum(n[0][:, None], n[1][None, :]) * 100 >= np.maximum(n[0][:, None], n[1][None, :]) * percent
+        fits &= _shared_counts(one["prefix"].to_list(), two["prefix"].to_list()) >= need
+        if one is two:
+            fits = np.triu(fits, 1)
+        linked = np.zeros_like(fits)
+        x, y = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
+        if len(x):
+            common = _shared_counts([one["tokens"].iloc[i] for i in x], [two["tokens"].iloc[i] for i in y])
+            total = n[0][x][:, None] + n[1][y][None, :] - common
+            linked[np.ix_(x, y)] = fits[np.ix_(x, y)] & (common * 100 >= total * percent)
+        doc = [t["doc"].to_numpy() for t in (one, two)]
+        rows = [t["rows"].to_numpy() for t in (one, two)]
+        met = [(doc[0], linked @ rows[1]), (doc[1], linked.T @ rows[0])]
+        parent: dict = {}
+
+        def root(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
 
         found = []
-        for x, y in zip(left.tolist(), right.tolist(), strict=True):
-            a, b = root(x), root(y)
+        left, right = np.nonzero(linked)
+        for u, v in zip(doc[0][left].tolist(), doc[1][right].tolist(), strict=True):
+            a, b = root(u), root(v)
             if a != b:
                 parent[b] = a
-                found.append((doc[x], doc[y]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                found.append((u, v))
+        forest = pd.DataFrame({"a": [f[0] for f in found], "b": [f[1] for f in found], "met": 0})
+        counts = pd.concat([pd.DataFrame({"a": d[c > 0], "met": c[c > 0]}) for d, c in met])
+        return pd.concat([forest.astype({"a": "int64", "b": "Int64", "met": "int64"}), counts.assign(b=pd.NA).astype({"a": "int64", "b": "Int64", "met": "int64"})[["a", "b", "met"]]])
 
     return compare
 
 
-def _links(nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that give the same components as all links do."""
-    rows = durable(nodes.select("doc", F.explode("base").alias("token")), "lists")
-    leaders = rows.groupBy("token").agg(F.min_by("doc", F.xxhash64("doc")).alias("lead"), F.count("*").alias("m")).filter("m > 1").select("token", "lead")
-    led = durable(rows.join(leaders, "token").filter("doc <> lead").select("token", "doc", F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")), "led")
-    stars = durable(_verified(led.select("a", "b").distinct(), nodes, percent), "stars")
-    unsettled = led.join(stars, ["a", "b"], "left_anti").select("token").distinct()
-    left = durable(led.join(unsettled, "token", "left_semi").select("a", "b").distinct(), "left")
-    families = cc.component_labels(left).withColumnRenamed("label", "family")
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
-    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    spread = placed.select("doc", "family", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("doc", "family", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    held = spread.join(nodes.select("doc", "n", "tokens"), "doc")
-    more = held.groupBy("family", "b1", "b2").applyInPandas(_block_links(percent), "a long, b long")
-    return durable(stars.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "links")
+def _links(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that give the same components as all links do, and (doc, met): rows of other sets that a set's links reach."""
+    entries = nodes.select("doc", F.explode("prefix").alias("token"))
+    sizes = durable(entries.groupBy("token").agg(F.count("*").alias("m"), F.min("doc").alias("lead")).filter("m > 1"), "sizes")
+    connected = entries.join(sizes.filter(F.col("m") > LIST_DOCS).select("token", "lead"), "token").filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
+    families = durable(cc.component_labels(connected).select("doc", F.col("label").alias("family")), "families")
+    single = durable(_short_list_links(nodes, families, sizes, percent), "links")
+    drop_durable(sizes)
+    members = nodes.join(families, "doc")
+    cuts = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    placed = members.join(cuts, "family").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc", "n", "rows", "matches", "prefix", "tokens", "family", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    blocks = durable(spread.groupBy("family", "b1", "b2").applyInPandas(_block_links(percent), "a long, b long, met long"), "blocks")
+    links = single.unionByName(blocks.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rows = nodes.select(F.col("doc").alias("b"), "rows")
+    ways = single.unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(rows, "b").select(F.col("a").alias("doc"), F.col("rows").alias("met"))
+    met = ways.unionByName(blocks.filter("b is null").select(F.col("a").alias("doc"), "met")).groupBy("doc").agg(F.sum("met").alias("met"))
+    return links, met
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: ``key`` (xxhash64 of id and text), ``id``, n_shingles,
-    component_key (the same for all rows of a component), component_id (the smallest id that links reach, itself included; null ids count as
-    largest) and n_members, the rows of its component.
+    """One row per input row: ``key`` (xxhash64 of id and text), ``id``, n_shingles, component_key (the same for all
+    rows of a component), component_id (the smallest id that links reach, itself included; null ids count as largest),
+    n_members, the rows of its component, and n_links, the other rows that it links with itself.
 
     An empty table gives an empty result. Documents without words stand alone."""
-    sets = durable(shingle_sets(docs, id_col, text_col, width), "sets")
+    hot = hot_shingles(docs, id_col, text_col, width, docs.count())
+    sets = durable(shingle_sets(docs, id_col, text_col, width, hot), "sets")
     n_keys = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = _shared_shingles(docs, id_col, text_col, width, n_keys)
-    nodes = durable(prefix_table(shared, percent), "nodes")
-    links = _links(nodes, percent)
-    named = sets.filter("n_shingles > 0").groupBy("n_shingles", "fa", "fb").agg(F.min("key").alias("doc"), F.min("id").alias("low"), F.count("*").alias("rows"))
-    labelled = durable(named.join(cc.component_labels(links), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "labelled")
+    named = durable(sets.filter("n_shingles > 0").groupBy("doc", F.col("n_shingles").alias("n")).agg(F.min("id").alias("low"), F.count("*").alias("rows"), F.first("hot").alias("hot")), "named")
+    shared = _shared_shingles(docs, id_col, text_col, width, n_keys, hot)
+    nodes = durable(prefix_table(shared, named.select("doc", "n", "rows", "hot"), percent), "nodes")
+    links, met = _links(nodes, percent)
+    labels = durable(cc.component_labels(links), "labels")
+    labelled = durable(named.select("doc", "n", "low", "rows").join(labels, "doc", "left").join(met, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "labelled")
+    drop_durable(nodes)
     parts = labelled.groupBy("label").agg(F.min("low").alias("component_id"), F.sum("rows").alias("n_members"))
-    groups = labelled.join(parts, "label").select("n_shingles", "fa", "fb", F.col("label").alias("component_key"), "component_id", "n_members")
-    out = sets.filter("n_shingles > 0").join(groups, ["n_shingles", "fa", "fb"]).select("key", "id", "n_shingles", "component_key", "component_id", "n_members")
-    alone = sets.filter("n_shingles = 0").select("key", "id", "n_shingles", F.col("key").alias("component_key"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_members"))
+    groups = labelled.join(parts, "label").select("doc", F.col("n").alias("n_shingles"), F.col("label").alias("component_key"), "component_id", "n_members", (F.coalesce("met", F.lit(0)) + F.col("rows") - 1).cast("long").alias("n_links"))
+    out = sets.filter("n_shingles > 0").select("key", "id", "doc", "n_shingles").join(groups, ["doc", "n_shingles"]).select("key", "id", "n_shingles", "component_key", "component_id", "n_members", "n_links")
+    alone = sets.filter("n_shingles = 0").select("key", "id", "n_shingles", F.col("key").alias("component_key"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_members"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 

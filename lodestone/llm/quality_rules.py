@@ -4,7 +4,8 @@ Counts come from built-in functions only (no Python, no shuffle, one pass over t
 ``text_counts`` adds them, ``compile_rules`` turns the table RULES into one boolean column.
 Repeated three-word windows are found inside the row by sorting one packed long a window
 (hash above, position below) and comparing neighbours; equal neighbours are confirmed on the
-full 64-bit hash. A null or empty text has zero counts and fails the base rule.
+full 64-bit hash. A null or empty text has zero counts and fails the base rule. An input column
+named like a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_way
+
 # Word breaks, symbols and stop words.
 BREAKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -50,6 +53,7 @@ RULES = (
 
 def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words."""
+    docs = give_way(docs, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
     out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumn("_words", F.filter(F.split("_text", r"[ \t-\r]+"), lambda w: w != "")).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.translate(x, BREAKS, "") != ""))
     out = out.withColumns(
@@ -88,5 +92,5 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept`` (false where the base fails)."""
-    counted = text_counts(docs, text_col).withColumn("base_failed", base_failed())
+    counted = text_counts(give_way(docs, "base_failed", "kept"), text_col).withColumn("base_failed", base_failed())
     return counted.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))

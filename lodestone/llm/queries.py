@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, classifier, materialise, media, mixing, ngram_join, quality_rules, sharding, suffix_dedup, toxicity
+from .common import give_way
 from .training_rows import held_out, labelled_sample
 
 #: The vocabularies stay where the tokenizer package has them; their paths are parameters of the operators.
@@ -43,27 +44,29 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Repeated passages are runs of 50 words or more under repeated strings of so many bytes (50 words of the test tables have 239 at least).
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+#: Runs of repeated first ranks that op5 counts: a window shorter at each end than the passages behind them.
+RUN_BYTES = 160
 
 
 def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Besides the contract's columns, from the same ranks: n_passages, the repeated passages of 50 words or more (they may be shorter than 400 bytes)."""
+    """Besides the contract's columns n_passages: runs of 160 bytes or more under repeated first ranks, which also shows
+    repeated passages of 50 words and more that are shorter than 400 bytes."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, also=(PASSAGE_BYTES,)))
+    cut = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, runs=True))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    words = suffix_dedup.whole_words("text", f"spans_{PASSAGE_BYTES}")
     return cut.select(
         "doc_id",
         n_bytes.alias("n_bytes"),
         (n_bytes - F.octet_length("kept")).alias("n_removed"),
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
-        F.coalesce(F.size(F.filter(words, lambda n: n >= PASSAGE_WORDS)), F.lit(0)).cast("long").alias("n_passages"),
+        F.coalesce(F.size(F.filter("runs", lambda x: x.stop - x.start >= RUN_BYTES)), F.lit(0)).cast("long").alias("n_passages"),
     )
 
 
 def _scored(docs: DataFrame, labels: DataFrame, module, label: str, parts: int, part: int) -> DataFrame:
     sample = labelled_sample(docs, labels, label, held_out(parts, part), module.MAX_TRAINING_ROWS)
-    scored = module.score(docs, module.train(sample))
+    scored = module.score(give_way(docs, "held_out", "predicted"), module.train(sample))
     return scored.withColumn("held_out", held_out(parts, part)).withColumn("predicted", (F.col("score") >= SCORE_THRESHOLD).cast("int"))
 
 
@@ -78,7 +81,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_components(_read(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_members")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_members", "n_links")
 
 
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +154,12 @@ links as (
   join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
   group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
 reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
-low as (select a, min(b) as b from reach group by a)
+low as (select a, min(b) as b from reach group by a),
+degrees as (select a, count(*) as k from links group by a)
 select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) as component_id,
-       count(*) over (partition by least(d.doc_id, coalesce(l.b, d.doc_id)))::bigint as n_members
-from documents d left join sizes s using (doc_id) left join low l on l.a = d.doc_id"""
+       count(*) over (partition by least(d.doc_id, coalesce(l.b, d.doc_id)))::bigint as n_members,
+       coalesce(g.k, 0)::bigint as n_links
+from documents d left join sizes s using (doc_id) left join low l on l.a = d.doc_id left join degrees g on g.a = d.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,17 +9,19 @@ hash in the same way. Rows are exchanged once, with the splitters known; the slo
 exact number of rows below its part plus its place there, so no later count is needed.
 
 Law: bytes. Shards differ by the tolerance (0.2 % of a shard) or one row, whichever is larger;
-rows that agree in id and text cannot be told apart and stay together. A null text has 8 bytes.
+rows that agree in id and text cannot be told apart and stay together. A null text has 8 bytes. An
+input column named like a new one gives way to it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, give_way
 
 SHARDS = 24
 ROW_BYTES = 8
@@ -108,9 +110,10 @@ def _between(low: tuple[int, int], high: tuple[int, int]) -> list[tuple[int, int
 
 def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with size, text_crc32, shard and slot (gapless from 0 in each shard)."""
+    docs = give_way(docs, "size", "text_crc32", "shard", "slot")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.withColumns({"size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "k1": F.xxhash64(text), "k2": F.xxhash64(F.col(id_col))})
-    keys = durable(sized.select("k1", "k2", "size"), "keys")
+    sized = docs.withColumns({"size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.col(id_col))})
+    keys = durable(sized.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "size"), "keys")
     total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     per_shard = max(1, -(-n_rows // (shards * PART_ROWS)))
     parts = shards * per_shard
@@ -125,7 +128,8 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_i
     # rows below each part, less the rows below its shard: the first slot of the part
     below = [0, *(c[3] for c in cuts)] if n_rows else [0] * parts
     first = [below[i] - below[i - i % per_shard] for i in range(parts)]
-    placed = sized.withColumn("_part", part_of("k1", "k2"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("k1", "k2"))
-    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in first]), F.col("_part") + 1)
-    return placed.withColumn("slot", (inside - 1 + start).cast("long")).withColumn("shard", F.floor(F.col("_part") / per_shard).cast("int")).drop("_part", "k1", "k2")
+    placed = sized.withColumn("_part", part_of("_k1", "_k2"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_k1", "_k2"))
+    starts = docs.sparkSession.createDataFrame(pa.table({"_part": pa.array(range(parts), pa.int32()), "_start": pa.array(first, pa.int64())}))
+    placed = placed.join(F.broadcast(starts), "_part")  # a row a part, of PART_ROWS rows each
+    return placed.withColumn("slot", (inside - 1 + F.col("_start")).cast("long")).withColumn("shard", F.floor(F.col("_part") / per_shard).cast("int")).select(*docs.columns, "size", "text_crc32", "shard", "slot")

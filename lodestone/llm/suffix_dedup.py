@@ -9,8 +9,8 @@ the next one's gram are a phrase. Any string of the threshold's length holds ``b
 1. *First ranks.* A suffix that starts at an anchor is ranked by its first ``base`` phrases.
    Suffixes whose rank is unique drop out.
 2. *Doubling.* In round r Spark sorts the pairs (rank of a suffix, rank of the one ``base * 2**r``
-   phrases later) by a sort-merge join with the pairs that occur twice or more; a pair is the
-   suffix's next rank, unique ones drop out. A suffix whose next rank would reach past the
+   phrases later, where the first rank ends) by a sort-merge join with the pairs that occur twice
+   or more; a pair is the suffix's next rank, unique ones drop out. A suffix whose next rank would reach past the
    threshold stops. Rounds go on until no pair is left. Ranks only need to tell equal from
    different, so the name of a pair (128 bits) is its rank.
 3. *Threshold.* A string that starts at byte p lies inside a sequence of phrases around it; two
@@ -25,11 +25,12 @@ repeated, whatever the ids. A key that a task meets twice is settled there and t
 of it is sent on, so a passage in a third of all documents makes no large bucket.
 
 A null text counts as empty; texts under the threshold are kept whole; an empty table gives none.
-``cut_spans`` and ``cut_text`` refuse inputs that have a column of the names they add.
+An input column named like a column that ``cut_spans`` adds gives way to it.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, bound_batches, drop_durable, durable, mix, no_clash, text_slices
+from .common import RollingHash, bound_batches, drop_durable, durable, give_way, mix, text_slices
 from .exchange import BLOB_SCHEMA, Packer, bucket_bits, reduce_buckets
 
 #: Bytes of a repeated string.
@@ -74,7 +75,7 @@ class Shape:
         return self.threshold + 2 * self.window + GRAM
 
 
-_FIRST = [("i", np.uint32), ("pos", np.uint32), ("gap", np.uint8), ("low", np.uint8), ("low_next", np.uint8), ("last", np.uint8), ("last_gap", np.uint8), ("end_low", np.uint8), ("end_next", np.uint8), ("r2", np.uint32)]
+_FIRST = [("pos", np.uint32), ("gap", np.uint8), ("low", np.uint8), ("low_next", np.uint8), ("last", np.uint8), ("last_gap", np.uint8), ("end_low", np.uint8), ("end_next", np.uint8), ("r2", np.uint32)]
 _SPAN = "array<struct<start:int,stop:int>>"
 _KEY = ["k1", "k2"]
 
@@ -99,7 +100,7 @@ def _minimisers(rolling: RollingHash, window: int) -> np.ndarray:
 def _first_ranks(data: np.ndarray, offsets: np.ndarray, shape: Shape):
     """Suffixes with a first rank: (row, name, and the item columns of _FIRST).
 
-    The items: the number of the anchor in its text; its position; the gap to the next; how far
+    The items: the position; the gap to the next; how far
     before it the first window starts whose minimum it is; how far before it (plus 1) that of the
     next anchor; the distance to the last phrase of the rank, and that phrase's gap; of the anchor
     where the rank ends, the same two distances of windows; a second name."""
@@ -123,12 +124,11 @@ def _first_ranks(data: np.ndarray, offsets: np.ndarray, shape: Shape):
     final = np.ones(len(at), dtype=bool)
     final[:-1] = row[1:] != row[:-1]
     next_low = np.where(final, last[row] + 1, np.roll(low, -1))
-    number = np.arange(len(at)) - np.searchsorted(row, row, side="left")
     k = np.flatnonzero(row[b:] == row[:-b])
     end = at[k + b] + GRAM
     names = rolling.spans(at[k], end)
     second = RollingHash(data, second=True).spans(at[k], end) >> np.uint64(32)
-    items = [number[k], (at - offsets[row])[k], (at[1:] - at[:-1])[k], (at - low)[k], (at + 1 - next_low)[k], at[k + b - 1] - at[k], at[k + b] - at[k + b - 1], at[k + b] - low[k + b], at[k + b] + 1 - next_low[k + b], second]
+    items = [(at - offsets[row])[k], (at[1:] - at[:-1])[k], (at - low)[k], (at + 1 - next_low)[k], at[k + b - 1] - at[k], at[k + b] - at[k + b - 1], at[k + b] - low[k + b], at[k + b] + 1 - next_low[k + b], second]
     return row[k], names, items
 
 
@@ -172,7 +172,7 @@ def _ranked(texts: DataFrame, n_bytes: int, shape: Shape) -> DataFrame:
     bits = bucket_bits(2 * n_bytes // shape.window)
 
     def task(batches):
-        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items: _settled(keys, items[-1], _repeated(keys, items[-1])))
+        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items, _: _settled(keys, items[-1], _repeated(keys, items[-1])))
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, end, data, offsets in text_slices(batch, "text"):
@@ -190,7 +190,7 @@ def _ranked(texts: DataFrame, n_bytes: int, shape: Shape) -> DataFrame:
 
     columns = ", ".join(f"{c} {'long' if c == 'r2' else 'int'}" for c, _ in _FIRST)
     rows = reduce_buckets(texts.mapInArrow(task, BLOB_SCHEMA), reducer, "k1 long, k2 long, n long, r1 long, " + columns)
-    suffixes = F.collect_set(F.struct("i", "pos", *(c for c, _ in _FIRST[2:-1]), "r1", "r2"))
+    suffixes = F.collect_set(F.struct(*(c for c, _ in _FIRST[:-1]), "r1", "r2"))
     return rows.groupBy("k1", "k2", "n").agg(F.sort_array(suffixes).alias("suffixes"), (F.count("*") > F.size(suffixes)).alias("copies"))
 
 
@@ -214,47 +214,49 @@ def _names(a1, a2, b1, b2, apart) -> tuple[np.ndarray, np.ndarray]:
     return first, second
 
 
-def _doubled(state: DataFrame, step: int, most: int) -> DataFrame:
-    """One round: per text (k1, k2, next), the suffixes whose pair of ranks ``step`` phrases apart is repeated.
+def _doubled(state: DataFrame, most: int) -> DataFrame:
+    """One round: per text (k1, k2, next), the suffixes whose pair of ranks, its own and that of the suffix where its
+    rank ends, is repeated.
 
-    state: k1, k2, now (struct array i, pos, end, r1, r2, by i; end is where the rank's last anchor is)."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("i", pa.int32()), ("pos", pa.int32()), ("end", pa.int32()), ("r1", pa.int64()), ("r2", pa.int64())])
+    state: k1, k2, now (struct array pos, end, r1, r2, by pos; end is the anchor where the rank ends)."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("end", pa.int32()), ("r1", pa.int64()), ("r2", pa.int64())])
 
     def pairs(batches):
         for batch in batches:
             rows, x = _flat(batch, "now")
-            place = rows * _GAP + x["i"]
-            other = np.searchsorted(place, place + step)
+            place, goal = rows * _GAP + x["pos"], rows * _GAP + x["end"]
+            other = np.searchsorted(place, goal)
             other[other == len(place)] = 0
-            k = np.flatnonzero(place[other] == place + step) if len(place) else np.zeros(0, dtype=np.int64)
+            k = np.flatnonzero(place[other] == goal) if len(place) else np.zeros(0, dtype=np.int64)
             o = other[k]
             near = x["end"][o].astype(np.int64) + GRAM - x["pos"][k] <= most
             k, o = k[near], o[near]
             r1, r2 = _names(x["r1"][k], x["r2"][k], x["r1"][o], x["r2"][o], x["pos"][o] - x["pos"][k])
             k1, k2 = (batch.column(c).to_numpy()[rows[k]] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, x["i"][k], x["pos"][k], x["end"][o], r1.view(np.int64), r2.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, x["pos"][k], x["end"][o], r1.view(np.int64), r2.view(np.int64))], schema=schema)
 
-    ranks = state.select("k1", "k2", "now").mapInArrow(pairs, "k1 long, k2 long, i int, pos int, end int, r1 long, r2 long")
+    ranks = state.select("k1", "k2", "now").mapInArrow(pairs, "k1 long, k2 long, pos int, end int, r1 long, r2 long")
     again = ranks.groupBy("r1", "r2").agg(F.count("*").alias("times")).filter("times > 1").select("r1", "r2")
     kept = ranks.join(again.hint("merge"), ["r1", "r2"], "left_semi")
-    return kept.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("i", "pos", "end", "r1", "r2"))).alias("next"))
+    return kept.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "r1", "r2"))).alias("next"))
 
 
 def _levels(ranked: DataFrame, shape: Shape) -> tuple[DataFrame, int]:
-    """``ranked`` with one column of ranks for each round that found repeats (level_1, ...), and their number."""
-    first = F.expr("transform(suffixes, x -> struct(x.i as i, x.pos as pos, x.pos + x.last + x.last_gap as end, x.r1 as r1, x.r2 as r2))")
-    state, found = ranked.select("k1", "k2", first.alias("now")), []
+    """``ranked`` with ``levels`` (struct array level, pos, end, r1, r2), the ranks of all rounds, and the number of rounds."""
+    first = F.expr("transform(suffixes, x -> struct(x.pos as pos, x.pos + x.last + x.last_gap as end, x.r1 as r1, x.r2 as r2))")
+    state, found = ranked.select(*_KEY, first.alias("now")), []
     while True:
-        table = durable(_doubled(state, shape.base << len(found), shape.far), "ranks")
+        table = durable(_doubled(state, shape.far), "ranks")
         if table.isEmpty():
             drop_durable(table)
             break
         found.append(table)
         state = table.withColumnRenamed("next", "now")
-    out = ranked
-    for r, table in enumerate(found, 1):
-        ranks = F.expr("transform(next, x -> struct(x.i as i, x.r1 as r1, x.r2 as r2))")
-        out = out.join(table.select("k1", "k2", ranks.alias(f"level_{r}")), _KEY, "left")
+    every = [t.select(*_KEY, F.expr(f"transform(next, x -> struct({r} as level, x.pos as pos, x.end as end, x.r1 as r1, x.r2 as r2))").alias("ranks")) for r, t in enumerate(found, 1)]
+    out = ranked.withColumn("levels", F.expr("cast(null as array<struct<level:int,pos:int,end:int,r1:bigint,r2:bigint>>)"))
+    if every:
+        every = functools.reduce(DataFrame.unionByName, every).groupBy(*_KEY).agg(F.flatten(F.collect_list("ranks")).alias("levels"))
+        out = ranked.join(every, _KEY, "left")
     out = durable(out, "levels")
     for table in found:
         drop_durable(table)
@@ -278,17 +280,22 @@ def _proper(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class _Suffixes:
-    """The ranked suffixes of a batch of texts, flat, with their ranks at all levels."""
+    """The ranked suffixes of a batch of texts, flat, with their ranks at all levels (starts, ends, two names)."""
 
     def __init__(self, batch: pa.RecordBatch, shape: Shape, n_levels: int):
         self.shape = shape
         self.rows, self.x = _flat(batch, "suffixes")
         self.n = batch.column(batch.schema.get_field_index("n")).to_numpy()
-        self.place = self.rows * _GAP + self.x["i"]
-        self.ranks = [(self.place, self.x["r1"], self.x["r2"])]
+        self.place = self.rows * _GAP + self.x["pos"]
+        self.end = self.place + self.x["last"] + self.x["last_gap"]
+        self.ranks = [(self.place, self.end, self.x["r1"], self.x["r2"])]
+        rows, x = _flat(batch, "levels")
         for r in range(1, n_levels + 1):
-            rows, x = _flat(batch, f"level_{r}")
-            self.ranks.append((rows * _GAP + x["i"], x["r1"], x["r2"]))
+            k = np.flatnonzero(x["level"] == r)
+            place = rows[k] * _GAP + x["pos"][k]
+            order = np.argsort(place, kind="stable")
+            k = k[order]
+            self.ranks.append((place[order], rows[k] * _GAP + x["end"][k], x["r1"][k], x["r2"][k]))
 
     def starts(self, side: str) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix the starts p of strings of which it is, around the string (out), the one that begins at
@@ -313,24 +320,22 @@ class _Suffixes:
         (ls, le, lk), (rs, re, rk) = (_proper(*self.starts(side)) for side in (left, right))
         starts, stops, i, j = _overlay((ls, le), (rs, re))
         i, j = lk[i], rk[j]
-        span = self.x["i"][j].astype(np.int64) - self.x["i"][i]  # of the starts of the outermost first ranks
-        good = span >= 0
-        starts, stops, i, j, span = starts[good], stops[good], i[good], j[good], span[good]
-        b = self.shape.base
-        level = np.minimum(np.log2((span + b) // b + 0.5).astype(np.int64), len(self.ranks)) if len(span) else span
+        left, right = self.place[i], self.end[j]
+        apart = right - left
         first, second = np.zeros(len(i), dtype=np.uint64), np.zeros(len(i), dtype=np.uint64)
-        known = np.zeros(len(i), dtype=bool)
-        for r, (place, r1, r2) in enumerate(self.ranks):
-            k = np.flatnonzero(level == r)
+        open_ = apart > 0
+        for r, (place, end, r1, r2) in reversed(list(enumerate(self.ranks))):
+            k = np.flatnonzero(open_)
             if not len(k) or not len(place):
                 continue
-            # the second rank ends where the sequence ends
-            p, q = self.place[i[k]], self.place[j[k]] + b - (b << r)
-            u, v = (np.minimum(np.searchsorted(place, y), len(place) - 1) for y in (p, q))
-            has = (place[u] == p) & (place[v] == q)
-            k, u, v = k[has], u[has], v[has]
-            names = _names(r1[u], r2[u], r1[v], r2[v], self.x["pos"][j[k]].astype(np.int64) - self.x["pos"][i[k]] + (r << 40))
-            first[k], second[k], known[k] = *names, True
+            u, v = np.minimum(np.searchsorted(place, left[k]), len(place) - 1), np.minimum(np.searchsorted(end, right[k]), len(end) - 1)
+            # the longest rank inside the sequence from its start on, and the one of that length up to its end
+            fits = (place[u] == left[k]) & (end[u] <= right[k])
+            open_[k[fits]] = False
+            whole = fits & (end[v] == right[k]) & (place[v] >= left[k]) & (place[v] <= end[u])
+            k, u, v = k[whole], u[whole], v[whole]
+            first[k], second[k] = _names(r1[u], r2[u], r1[v], r2[v], apart[k] + (r << 40))
+        known = first != 0
         return starts[known], stops[known], i[known], first[known], second[known]
 
 
@@ -349,7 +354,7 @@ def _sure_starts(levels: DataFrame, n_levels: int, n_keys: int, shape: Shape) ->
         out[order[new]] = True
         return out
 
-    def settle(keys, items):
+    def settle(keys, items, _):
         start, length, shift, _, check = items
         items[3][lead(keys, check, shift, length)] = 1
         return _settled(keys, check, _repeated(keys, check))
@@ -384,7 +389,7 @@ def _open_starts(ranked: DataFrame, n_levels: int, n_keys: int, shape: Shape) ->
         return (np.bincount(group)[group] > 1) & (np.bincount(group, weights=is_open)[group] > 0)
 
     def task(batches):
-        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items: _settled(keys, items[3], alike(keys, items[3], items[2]), items[2]))
+        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items, _: _settled(keys, items[3], alike(keys, items[3], items[2]), items[2]))
         for batch in batches:
             starts, stops, _, first, second = _Suffixes(batch, shape, n_levels).sequences("left_in", "right_in")
             sure_rows, s = _flat(batch, "sure")
@@ -429,7 +434,7 @@ def _exact_starts(texts: DataFrame, n_keys: int, shapes: list[Shape]) -> DataFra
     bits, owners, types = bucket_bits(n_keys), [np.int64, np.int64], [np.uint32, np.uint8, np.uint8, np.uint32]
 
     def task(batches):
-        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items: _settled(keys, items[3], _repeated(keys, items[3])))
+        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items, _: _settled(keys, items[3], _repeated(keys, items[3])))
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             flat = [_flat(batch, f"checks_{c}") for c in range(len(shapes))]
@@ -456,16 +461,27 @@ def _exact_starts(texts: DataFrame, n_keys: int, shapes: list[Shape]) -> DataFra
     return found.groupBy("k1", "k2").agg(*(F.collect_set(F.when(F.col("which") == c, F.col("start"))).alias(f"starts_{c}") for c in range(len(shapes))))
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, also: tuple[int, ...] = ()) -> DataFrame:
+def _runs(batches):
+    for batch in batches:
+        rows, x = _flat(batch, "suffixes")
+        pos = x["pos"].astype(np.int64)
+        r, s, e = _union(rows, pos, pos + x["last"] + x["last_gap"] + GRAM)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _span_lists(len(batch), r, s, e)], names=[*_KEY, "runs"])
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, also: tuple[int, ...] = (), runs: bool = False) -> DataFrame:
     """(k1, k2, spans): for each text with repeats the maximal byte runs to remove, in order (null: none).
 
     ``k1``, ``k2`` are :func:`text_key`; texts without repeats have no row. For each further threshold in
-    ``also`` there is a column ``spans_<threshold>``, from the same ranks."""
+    ``also`` there is a column ``spans_<threshold>``, from the same ranks. With ``runs`` there is one more,
+    the maximal runs of bytes under repeated first ranks, of any length: a string that is repeated stands in
+    such a run but for a window at most at each of its ends, if it has ``base + 2`` windows."""
     thresholds = [threshold, *also]
     shapes = [Shape(t, min(thresholds)) for t in thresholds]
     texts = _keyed(docs.filter(F.octet_length(text_col) >= min(thresholds)), text_col)
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranked = durable(_ranked(texts, n_bytes, shapes[0]), "suffixes")
+    first = durable(ranked.mapInArrow(_runs, f"k1 long, k2 long, runs {_SPAN}"), "runs") if runs else None
     levels, n_levels = _levels(ranked, max(shapes, key=lambda s: s.far))
     drop_durable(ranked)
     n_pairs = 2 * (levels.agg(F.sum(F.size("suffixes"))).first()[0] or 0)
@@ -512,12 +528,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THR
     spans = durable(spans.select(*_KEY, *(F.when(F.size(name) > 0, F.col(name)).alias(name) for name in names)), "spans")
     drop_durable(sure)
     drop_durable(checks)
-    return spans
-
-
-def whole_words(text: str, spans: str) -> Column:
-    """How many words lie in each of the spans of a text (SQL names of both columns); null without spans."""
-    return F.expr(f"transform({spans}, s -> size(filter(split(decode(substring(encode({text}, 'UTF-8'), s.start + 1, s.stop - s.start), 'ISO-8859-1'), '[ \\\\x09-\\\\x0D]+'), w -> w <> '')))")
+    return first.join(spans, _KEY, "left").select(*_KEY, *names, "runs") if runs else spans
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
@@ -530,7 +541,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
 def cut_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of spans (null where nothing goes) and ``kept``, the bytes that stay without ``spans`` (binary)."""
     found = [c for c in spans.columns if c not in _KEY]
-    no_clash(docs, *found, "kept")
+    docs = give_way(docs, *found, "kept")
     joined = _with_spans(docs, spans, text_col).withColumn("_bytes", F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     # the bytes between the end of each span and the start of the next; Latin-1 maps bytes to characters one to one
     pieces = "zip_with(concat(array(0), _spans.stop), concat(_spans.start, array(octet_length(_bytes))), (a, b) -> decode(substring(_bytes, a + 1, b - a), 'ISO-8859-1'))"

@@ -11,7 +11,7 @@ and how large these differences are in a document, by a logistic regression on l
 that the dictionaries have not seen.
 
 A task compresses each different word once. A text without words (null, empty) has score from
-all-zero features. Scores depend on the text alone.
+all-zero features. Scores depend on the text alone. An input column ``score`` gives way to the new one.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, bound_batches, give_back, text_slices, word_spans
+from .common import RollingHash, bound_batches, give_back, give_way, text_slices, word_spans
 from .training_rows import logistic, logistic_score
 
 LEVEL = 12
@@ -152,6 +152,7 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1)."""
+    docs = give_way(docs, "score")
     fields = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the dictionaries: about 60 KB
