@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, ngram_join, queries, suffix_dedup
-from lodestone.llm.common import scratch_dir
+from lodestone.llm.common import scratch_dir, set_aside
 
 #: Blocks of the mix that one output file holds.
 BLOCKS_PER_FILE = 128
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = queries.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    plain, named = set_aside(docs, "doc_id", "text")
+    scored = queries.toxicity_scores(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return named(scored.filter("predicted = 0"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +41,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.pfair_mix(docs, mixing.even_tempered_weights(docs))
-    n_blocks = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = n_blocks // (mixing.BLOCK_BYTES * BLOCKS_PER_FILE) + docs.select("source").distinct().count() // BLOCKS_PER_FILE + 2
+    plain, named = set_aside(docs, "doc_id", "text", "source")
+    mixed = mixing.pfair_mix(plain, mixing.even_tempered_weights(plain))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes = max(mixing.BLOCK_BYTES, -(-n_bytes // mixing.MAX_BLOCKS))
+    files = n_bytes // (block_bytes * BLOCKS_PER_FILE) + docs.select("source").distinct().count() // BLOCKS_PER_FILE + 2
     placed = mixed.withColumn("_file", F.least(F.expr(f"cast(position div {BLOCKS_PER_FILE} as int)"), F.lit(files - 1)))
-    return placed.repartitionById(files, F.col("_file")).sortWithinPartitions("position", "doc_id").select(*docs.columns)
+    return named(placed.repartitionById(files, F.col("_file")).sortWithinPartitions("position", "doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
