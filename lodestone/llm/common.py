@@ -36,9 +36,11 @@ _BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``, or a
-    fresh local folder when none is set (tests on ``local[*]``)."""
+    fresh local folder when none is set and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

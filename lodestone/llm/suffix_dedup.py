@@ -219,7 +219,7 @@ def _doubled(state: DataFrame, most: int) -> DataFrame:
     rank ends, is repeated.
 
     state: k1, k2, now (struct array pos, end, r1, r2, by pos; end is the anchor where the rank ends)."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("end", pa.int32()), ("r1", pa.int64()), ("r2", pa.int64())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("end", pa.int32()), ("r1", pa.int64()), ("r2", pa.int64()), ("known", pa.bool_())])
 
     def pairs(batches):
         for batch in batches:
@@ -233,11 +233,12 @@ def _doubled(state: DataFrame, most: int) -> DataFrame:
             k, o = k[near], o[near]
             r1, r2 = _names(x["r1"][k], x["r2"][k], x["r1"][o], x["r2"][o], x["pos"][o] - x["pos"][k])
             k1, k2 = (batch.column(c).to_numpy()[rows[k]] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, x["pos"][k], x["end"][o], r1.view(np.int64), r2.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, x["pos"][k], x["end"][o], r1.view(np.int64), r2.view(np.int64), _repeated(r1, r2))], schema=schema)
 
-    ranks = state.select("k1", "k2", "now").mapInArrow(pairs, "k1 long, k2 long, pos int, end int, r1 long, r2 long")
+    ranks = state.select("k1", "k2", "now").mapInArrow(pairs, "k1 long, k2 long, pos int, end int, r1 long, r2 long, known boolean")
     again = ranks.groupBy("r1", "r2").agg(F.count("*").alias("times")).filter("times > 1").select("r1", "r2")
-    kept = ranks.join(again.hint("merge"), ["r1", "r2"], "left_semi")
+    # a pair that a batch meets twice is repeated: those rows need no sorting, and a hot pair makes no hot task
+    kept = ranks.filter("known").unionByName(ranks.filter("not known").join(again.hint("merge"), ["r1", "r2"], "left_semi"))
     return kept.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "end", "r1", "r2"))).alias("next"))
 
 

@@ -243,12 +243,74 @@ def test_crops_and_edits_are_found(spark):
             truth[10 * i + k] = 10 * i
     rows += [(900, None), (901, b""), (902, b"P5 broken"), (903, media.write_map(np.zeros((4, 4))))]
     got = {r["image_id"]: r["component_id"] for r in media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
-    assert len(got) == len(rows) and all(got[i] in (i, 901) for i in (900, 902, 903))
+    assert len(got) == len(rows) and all(got[i] == i for i in (900, 901, 902, 903))
     right = sum(got[i] == truth[i] for i in truth)
     assert right >= 0.9 * len(truth), right
     assert all(got[i] // 10 == i // 10 for i in truth)  # no false links
 
 
+def plain_links(images):
+    """Links by comparing every pair of images on all their corners."""
+    found, described = set(), {i: media.describe(media.read_map(d)) for i, d in images.items()}
+    for a in described:
+        for b in described:
+            votes = {}
+            for t in range(4):
+                for p in described[a] if a < b and images[a] != images[b] else []:
+                    for q in described[b][described[b][:, 4 + t] == p[4 + t]]:
+                        turned, ratio = (q[3] - p[3]) % media.TURNS, q[2] / p[2]
+                        c, s = np.cos(turned * (2 * np.pi / media.TURNS)), np.sin(turned * (2 * np.pi / media.TURNS))
+                        place = (np.floor((q[0] - ratio * (c * p[0] - s * p[1])) / 8 + 0.5), np.floor((q[1] - ratio * (s * p[0] + c * p[1])) / 8 + 0.5), turned, ratio)
+                        votes[place] = votes.get(place, 0) + 1
+            if max(votes.values(), default=0) >= max(media.MIN_VOTES, 4 * media.MIN_SHARE * min(len(described[a]), len(described[b]))):
+                found.add((a, b))
+    return found
+
+
+@pytest.mark.parametrize(("leaders", "few"), [(3, 48), (1, 48), (1, 2)])
+def test_components_are_those_of_all_pairs(spark, leaders, few, monkeypatch):
+    """Pictures that share parts with several others: whatever the leaders miss is found pair by pair, or in blocks."""
+    monkeypatch.setattr(media, "LEADERS", leaders)
+    monkeypatch.setattr(media, "LIST_ENTRIES", few)
+    monkeypatch.setattr(media, "BLOCK_ENTRIES", 300)
+    rng = np.random.default_rng(4)
+    parts = [picture(100 + k, 80, 100) for k in range(5)]
+    images = {}
+    for i in range(24):
+        tiles = [parts[k] if rng.random() < 0.7 else picture(1000 + 4 * i + k, 80, 100) for k in rng.integers(0, 5, 2)]
+        images[i] = media.write_map(np.hstack(tiles))
+    label = list(range(24))
+    for a, b in plain_links(images):
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    first = {}
+    for i, d in images.items():  # equal pictures are one
+        if d in first:
+            old, new = max(label[i], label[first[d]]), min(label[i], label[first[d]])
+            label = [new if x == old else x for x in label]
+        first.setdefault(d, i)
+    got = {r["image_id"]: r["component_id"] for r in media.image_copies(spark.createDataFrame(list(images.items()), "image_id long, image binary").repartition(3)).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) > 1
+
+
+def test_recall_on_rendered_pages(spark, sf_dir):
+    """Crops, patches, half size and quarter turns of the pages that the query renders."""
+    pages = media.render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    big = [(r["page_id"], media.read_map(r["image"])) for r in pages]
+    big = [(i, m) for i, m in big if m.shape[0] >= 120][:25]
+    rows, edits = [], {}
+    for i, m in big:
+        patched = m.copy()
+        patched[20:50, 30:70] = 255
+        half = (m[: len(m) // 2 * 2].reshape(len(m) // 2, 2, 64, 2)).mean((1, 3))
+        for k, x in enumerate([m, m[10:, 8:-12], patched, np.rot90(m), half]):
+            rows.append((10 * i + k, media.write_map(np.rint(x))))
+            edits[10 * i + k] = k
+    got = {r["image_id"]: r["component_id"] for r in media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    recall = {k: np.mean([got[i] == got[i - k] for i in edits if edits[i] == k]) for k in range(1, 5)}
+    assert all(v >= 0.9 for v in recall.values()), recall
+
+
 def test_descriptors_turn_with_the_image():
     image = picture(3, 120, 120)
     a, b = media.describe(image), media.describe(np.rot90(image).copy())

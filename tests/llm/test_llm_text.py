@@ -126,6 +126,30 @@ def test_join_of_a_family_with_chains(spark):
     assert order(got) == order(brute_components(rows))
 
 
+@pytest.mark.parametrize(("short", "block", "hot"), [(1, 4, 40), (3, 16, 3), (48, 512, 2)])
+def test_join_by_lists_blocks_and_hot_shingles(spark, short, block, hot, monkeypatch):
+    """Families of copies of all sizes, a line that most hold, and equal sets: components and numbers of links as brute force has them."""
+    for name, value in (("LIST_DOCS", short), ("BLOCK_DOCS", block), ("HOT_ROWS", hot)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(0, 3000)}"
+    line = " ".join(word() for _ in range(12))
+    rows = []
+    for family in range(8):
+        base = [word() for _ in range(int(rng.integers(6, 120)))]
+        for _ in range(int(rng.integers(1, 14))):
+            words = list(base)
+            for p in rng.integers(0, len(words), int(rng.integers(0, 4))):
+                words[p] = word()
+            rows.append((len(rows), " ".join(words) + (" " + line if family % 2 else "")))
+    rows += [(len(rows), rows[3][1]), (len(rows) + 1, line), (len(rows) + 2, line)]
+    sets = [shingle_set(t) for _, t in rows]
+    links = [sum(i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert order((r["id"], r["n_shingles"], r["component_id"]) for r in got) == order(brute_components(rows))
+    assert {r["id"]: r["n_links"] for r in got} == dict(enumerate(links)) and max(links) > 3
+
+
 def test_one_per_component(awkward):
     kept = ngram_join.one_per_component(awkward)
     assert kept.columns == awkward.columns
