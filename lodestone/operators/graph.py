@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.durable import durable
+from ..sources.durable import drop_durable, durable
 
 SEPARATOR = "<SEP>"
 ALPHA, ITERATIONS = 0.85, 100
@@ -132,8 +132,10 @@ def components(pairs: DataFrame) -> DataFrame:
         jump = labels.select(F.col("a").alias("label"), F.col("label").alias("next"))
         new = durable(new.join(jump, "label", "left").select("a", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         changed = new.join(labels, ["a", "label"], "left_anti").limit(1).count()
+        drop_durable(labels)
         labels = new
         if not changed:
+            drop_durable(ways)
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
 
 
@@ -148,6 +150,7 @@ def pagerank(edges: DataFrame, iterations: int = ITERATIONS, tolerance: float =
         spread = ways.join(ranks, ways["src"] == ranks["name"]).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
         new = durable(spread.select(F.col("dst").alias("name"), (F.lit((1 - alpha) / max(n, 1)) + alpha * F.col("got")).alias("pagerank")), "ranks")
         moved = new.join(ranks.withColumnRenamed("pagerank", "old"), "name").agg(F.coalesce(F.sum(F.abs(F.col("pagerank") - F.col("old"))), F.lit(0.0))).first()[0]
+        drop_durable(ranks)
         ranks = new
         if moved < n * tolerance:
             break
@@ -199,10 +202,10 @@ def graph_search(similar: DataFrame, nodes: DataFrame, edges: DataFrame, k: int,
 
     similar: name, sim of the entities that a query matched (a stated set)."""
     ranked = similar.join(nodes.select("name", "pagerank"), "name").select("name", (F.col("sim") * F.col("pagerank")).alias("s"))
-    p = paths(edges, similar, hops).join(F.broadcast(similar), F.get("path", F.lit(0)) == F.col("name")).select(F.posexplode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(least(get(path, i - 1), get(path, i)) as src, greatest(get(path, i - 1), get(path, i)) as dst))")).alias("i", "e"), "sim")
+    p = paths(edges, similar, hops).join(similar, F.get("path", F.lit(0)) == F.col("name")).select(F.posexplode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(least(get(path, i - 1), get(path, i)) as src, greatest(get(path, i - 1), get(path, i)) as dst))")).alias("i", "e"), "sim")
     reached = p.groupBy("e.src", "e.dst").agg(F.sum(F.col("sim") / (2 + F.col("i"))).alias("score"))
     boost = ranked.select(F.col("name").alias("src"), F.col("s").alias("bs"))
-    j = reached.join(F.broadcast(boost), "src", "left").join(F.broadcast(boost.withColumnsRenamed({"src": "dst", "bs": "bd"})), "dst", "left")
+    j = reached.join(boost, "src", "left").join(boost.withColumnsRenamed({"src": "dst", "bs": "bd"}), "dst", "left")
     return j.withColumn("score", F.col("score") * (1 + F.coalesce("bs", F.lit(0.0)) + F.coalesce("bd", F.lit(0.0)))).orderBy(F.desc(F.round("score", 9)), "src", "dst").limit(k).select("src", "dst", "score")
 
 

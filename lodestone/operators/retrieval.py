@@ -74,6 +74,35 @@ def bm25(terms: DataFrame, stats: DataFrame, queries: DataFrame, scope: DataFram
     return j.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
 
 
+def scan_bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score) as :func:`bm25` gives them, straight from the texts, for a stated set of queries
+    (query_id, term): all term counts of a document are worked out inside its row, so that nothing but one row a
+    query term is shuffled, and the top-k that follows keeps k rows a task.
+
+    Two passes over the texts: document frequencies and lengths, then scores. A null text has no words."""
+    terms = queries.select("query_id", "term").distinct()
+    wanted = terms.agg(F.array_sort(F.collect_set("term")).alias("wanted"))
+    words = F.coalesce(T.words(F.col(text_col)), F.array().cast("array<string>"))
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("w")).join(F.broadcast(wanted)).select("id", "w", F.size("w").alias("dl"), F.array_intersect("w", "wanted").alias("hit"))
+    counted = rows.select("dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "hit")).alias("term")).groupBy("term").agg(F.count("*").alias("c"), F.sum("dl").alias("total"))
+    every = F.col("term").isNull()
+    stats = counted.agg(F.max(F.when(every, F.col("c"))).alias("n"), F.max(F.when(every, F.col("total") / F.col("c"))).alias("avgdl"), F.map_from_entries(F.collect_list(F.when(~every, F.struct("term", "c")))).alias("dfs"))
+    asked = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms")).agg(F.collect_list(F.struct("query_id", "terms")).alias("asked"))
+    plan = stats.join(F.broadcast(asked)).join(F.broadcast(wanted)).select(
+        "avgdl",
+        F.expr("transform(wanted, t -> ln(1 + (n - coalesce(dfs[t], 0) + 0.5D) / (coalesce(dfs[t], 0) + 0.5D)))").alias("idf"),
+        "wanted",
+        F.expr("transform(asked, q -> struct(q.query_id as query_id, transform(q.terms, t -> cast(array_position(wanted, t) as int)) as places))").alias("asked"),
+    )
+    if scope is not None:
+        rows = rows.join(scope, "id", "left_semi")
+    length = f"{K1} * (1 - {B} + {B} * dl / avgdl)"
+    weights = f"transform(wanted, (t, i) -> if(array_contains(hit, t), transform(array(dl - size(array_remove(w, t))), tf -> idf[i] * tf * ({K1} + 1) / (tf + {length}))[0], 0D))"
+    scored = rows.filter(F.size("hit") > 0).join(F.broadcast(plan)).select("id", "asked", F.expr(weights).cast("array<double>").alias("weights"))
+    each = scored.select("id", F.explode(F.expr("transform(asked, q -> struct(q.query_id as query_id, aggregate(q.places, 0D, (s, p) -> s + weights[p - 1]) as score))")).alias("s"))
+    return each.select("s.query_id", "id", "s.score").filter("score > 0")
+
+
 def weighted_rrf(dense: DataFrame, sparse: DataFrame, item: str, dense_weight: float, k: int = RRF_K, limit: int | None = None) -> DataFrame:
     """Fused (query_id, item, score, dense_rank, sparse_rank, rank) of ranked lists (query_id, item, rank).
 
@@ -120,15 +149,15 @@ def tag_portions(tags: DataFrame, smoothing: int = 1000) -> DataFrame:
 def tag_items(matches: DataFrame, priors: DataFrame, top: int, smoothing: int = 1000) -> DataFrame:
     """(id, tag, score): tags of matched rows against their portion in the corpus. matches: id, tag."""
     c = matches.groupBy("id", "tag").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("id")))
-    s = c.join(F.broadcast(priors), "tag").withColumn("score", F.bround(0.1 * (F.col("c") + 1) / (F.col("n") + smoothing) / F.greatest(F.lit(1e-6), F.col("portion"))).cast("int"))
+    s = c.join(priors, "tag").withColumn("score", F.bround(0.1 * (F.col("c") + 1) / (F.col("n") + smoothing) / F.greatest(F.lit(1e-6), F.col("portion"))).cast("int"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "tag")
     return s.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("id", "tag", "score")
 
 
 def cite(sentences: DataFrame, chunks: DataFrame, most: int = 4) -> DataFrame:
     """(sentence_id, chunk_id): chunks whose similarity reaches .99 of the sentence's best, if that passes the
-    threshold, which falls from .63 by a fifth at a time down to .3. Both are one answer's rows (bounded)."""
-    pairs = sentences.join(F.broadcast(chunks)).select("sentence_id", "chunk_id", V.cosine(F.col("s"), F.col("c")).alias("sim"))
+    threshold, which falls from .63 by a fifth at a time down to .3. Every sentence of a stated set meets every chunk."""
+    pairs = sentences.crossJoin(chunks).select("sentence_id", "chunk_id", V.cosine(F.col("s"), F.col("c")).alias("sim"))
     pairs = pairs.withColumn("best", F.max("sim").over(Window.partitionBy("sentence_id")))
     levels, t = [], 0.63
     while t > 0.3:

@@ -54,9 +54,9 @@ def grf04_pagerank(t):
     return G.pagerank(_edges(t), iterations=_STEPS, tolerance=0.0).select("name", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query("""with recursive pr as (select o_orderkey as a, o_orderkey + 10 * (o_custkey % 3) as b from orders where o_orderkey % 10 = 1 and o_orderkey < 3000), e as (select a, b from pr where a <> b union select b, a from pr where a <> b), reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on e.a = r.b) select a as node, least(a, min(b)) as component from reach group by a""")
+@query("""with recursive pr as (select o_orderkey as a, o_orderkey + case when o_custkey % 3 = 0 then 1 when o_custkey % 7 = 1 then 2 else 0 end as b from orders), e as (select a, b from pr where a <> b union select b, a from pr where a <> b), reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on e.a = r.b) select a as node, least(a, min(b)) as component from reach group by a""")
 def grf05_components(t):
-    p = t.orders.filter("o_orderkey % 10 = 1 and o_orderkey < 3000").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 10 * (F.col("o_custkey") % 3)).alias("b")).filter("a <> b")
+    p = t.orders.select(F.col("o_orderkey").alias("a"), F.expr("o_orderkey + case when o_custkey % 3 = 0 then 1 when o_custkey % 7 = 1 then 2 else 0 end").alias("b")).filter("a <> b")
     return G.components(p)
 
 

@@ -353,10 +353,10 @@ def win02_minmax(t):
     return minmax(t.documents.select("doc_id", "source", "n_chars"), "n_chars", ["source"]).select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
-@query("select l_orderkey, l_linenumber, sum(case when l_returnflag = 'R' then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding)::bigint as section from lineitem where l_orderkey % 10 = 0")
+@query("select l_orderkey, l_linenumber, sum(case when l_returnflag = 'R' then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding)::bigint as section from lineitem")
 def win06_section_ids(t):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    return t.lineitem.filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).over(w).alias("section"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).over(w).alias("section"))
 
 
 @query("select doc_id, first_value(doc_id) over (partition by sha256(text) order by doc_id) as kept_by, row_number() over (partition by sha256(text) order by doc_id) = 1 as kept from documents")

@@ -15,30 +15,27 @@ family = Family()
 query = family.query
 
 _W = r"[\p{L}\p{N}_]+"
-#: The query sets of these searches: the first benchmark passages' words, and the first vectors.
-N_QUERIES = 5
+#: The query sets of these searches: all words of the benchmark passages, and the vectors, whose id is divisible by this.
+ONE_IN = 50
 
 
 def _query_terms(t):
-    first = t.benchmark.orderBy("item_id").limit(N_QUERIES)
-    terms = first.select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_distinct(T.words(F.col("text"))), 1, 8)).alias("term"))
-    return terms
+    return t.benchmark.filter(F.col("item_id") % ONE_IN == 0).select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
 
 
 def _query_vectors(t):
-    return t.embeddings.orderBy("vec_id").limit(N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return t.embeddings.filter(F.col("vec_id") % ONE_IN == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 _TERMS_SQL = f"""w as materialized (select doc_id as id, regexp_extract_all(lower(text), '{_W}') as ws from documents),
  terms as materialized (select id, unnest(ws) as term, len(ws) as dl from w),
  tf as materialized (select id, term, count(*) as tf, any_value(dl) as dl from terms group by id, term),
  st as materialized (select count(*) as n, avg(len(ws)) as avgdl from w),
- qw as materialized (select item_id as query_id, regexp_extract_all(lower(text), '{_W}') as ws from benchmark order by item_id limit {N_QUERIES}),
- qp as materialized (select query_id, unnest(ws) as term, generate_subscripts(ws, 1) as i from qw),
- q as materialized (select query_id, term from (select query_id, term, row_number() over (partition by query_id order by min(i)) as r from qp group by query_id, term) where r <= 8),
+ qw as materialized (select item_id as query_id, regexp_extract_all(lower(text), '{_W}') as ws from benchmark where item_id % {ONE_IN} = 0),
+ q as materialized (select distinct query_id, unnest(ws) as term from qw),
  df as materialized (select term, count(*) as df from tf group by term),
  bm as materialized (select q.query_id, tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from q join tf on tf.term = q.term join df on df.term = q.term cross join st group by 1, 2)"""
-_DENSE_SQL = f"""qv as (select vec_id as query_id, embedding as q from embeddings order by vec_id limit {N_QUERIES}),
+_DENSE_SQL = f"""qv as (select vec_id as query_id, embedding as q from embeddings where vec_id % {ONE_IN} = 0),
  de as (select query_id, vec_id, list_cosine_similarity(embedding::double[], q::double[]) as score from embeddings, qv)"""
 
 
@@ -54,8 +51,7 @@ def ret02_ret03_dense_scoped(t):
 
 
 def _bm25(t, scope=None):
-    terms = R.term_table(t.documents, "doc_id", "text")
-    return R.bm25(terms, R.corpus_stats(t.documents, "text"), _query_terms(t), scope)
+    return R.scan_bm25(t.documents, "doc_id", "text", _query_terms(t), scope)
 
 
 @query(f"with {_TERMS_SQL} select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from bm) where rank <= 10")
@@ -71,9 +67,9 @@ def ret05_exact_boost(t):
     return s.filter("exact or score > 3").select("query_id", "id", F.round(F.col("score") + F.when(F.col("exact"), R.EXACT_BOOST).otherwise(0), 6).alias("score"))
 
 
-@query(f"with {_TERMS_SQL}, wanted as (select query_id, doc_id as id from (select distinct query_id from q), documents where doc_id % 100 = 0) select x.query_id, x.id, round(coalesce(bm.score, 0), 6) as score from wanted x left join bm on bm.query_id = x.query_id and bm.id = x.id")
+@query(f"with {_TERMS_SQL}, wanted as (select query_id, doc_id as id from (select distinct query_id from q), documents) select x.query_id, x.id, round(coalesce(bm.score, 0), 6) as score from wanted x left join bm on bm.query_id = x.query_id and bm.id = x.id")
 def ret06_bounded_scores(t):
-    scope = t.documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("id"))
+    scope = t.documents.select(F.col("doc_id").alias("id"))
     wanted = scope.join(F.broadcast(_query_terms(t).select("query_id").distinct()))
     return wanted.join(_bm25(t, scope), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
@@ -126,18 +122,17 @@ def ret13_contextual(t):
     return R.contextual(layers, chunks, _query_vectors(t), 10, 5, 20)
 
 
-@query("""with h as (select l_orderkey as query_id, l_linenumber as id, l_extendedprice / 100000.0 as retrieval, l_discount as m, l_partkey, l_suppkey from lineitem where l_orderkey % 50 = 0), x as (select *, min(m) over (partition by query_id) as lo, max(m) over (partition by query_id) as hi from h)
+@query("""with h as (select l_orderkey as query_id, l_linenumber as id, l_extendedprice / 100000.0 as retrieval, l_discount as m, l_partkey, l_suppkey from lineitem), x as (select *, min(m) over (partition by query_id) as lo, max(m) over (partition by query_id) as hi from h)
  select query_id, id, l_partkey, l_suppkey, round(0.6 * case when hi = lo then 0.5 else (m - lo) / (hi - lo) end + 0.4 * retrieval, 6) as score from x""")
 def ret18_rerank(t):
-    h = t.lineitem.filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("id"), (F.col("l_extendedprice") / 100000.0).alias("score"), "l_discount", "l_partkey", "l_suppkey")
+    h = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("id"), (F.col("l_extendedprice") / 100000.0).alias("score"), "l_discount", "l_partkey", "l_suppkey")
     return R.rerank(h, F.col("l_discount")).select("query_id", "id", "l_partkey", "l_suppkey", F.round("score", 6).alias("score"))
 
 
-@query(f"""with q as materialized (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_W}'))) as tok from (select * from benchmark order by item_id limit {N_QUERIES})), d as materialized (select doc_id as id, unnest(list_distinct(regexp_extract_all(lower(text), '{_W}'))) as tok from documents)
+@query(f"""with q as materialized (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_W}'))) as tok from benchmark where item_id % {ONE_IN} = 0), d as materialized (select doc_id as id, unnest(list_distinct(regexp_extract_all(lower(text), '{_W}'))) as tok from documents)
  select q.query_id, d.id, round(count(*) / any_value(n)::double, 6) as similarity from q join d using (tok) join (select query_id, count(*) as n from q group by 1) using (query_id) group by 1, 2""")
 def ret17_token_similarity(t):
-    first = t.benchmark.orderBy("item_id").limit(N_QUERIES)
-    q = first.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("tok"), F.lit(1.0).alias("weight"))
+    q = t.benchmark.filter(F.col("item_id") % ONE_IN == 0).select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("tok"), F.lit(1.0).alias("weight"))
     d = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("tok"))
     return R.token_similarity(q, d).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
@@ -155,12 +150,12 @@ def ret20_srt07_tag_content(t):
     return R.tag_items(m, priors, 3)
 
 
-@query(f"""with s as (select vec_id as sentence_id, embedding as s from embeddings order by vec_id limit 5), c as (select vec_id as chunk_id, embedding as c from embeddings order by vec_id desc limit 50), p as (select *, max(sim) over (partition by sentence_id) as best from (select sentence_id, chunk_id, list_cosine_similarity(s::double[], c::double[]) as sim from s, c)),
+@query(f"""with s as (select vec_id as sentence_id, embedding as s from embeddings where vec_id % {ONE_IN} = 0), c as (select vec_id as chunk_id, embedding as c from embeddings), p as (select *, max(sim) over (partition by sentence_id) as best from (select sentence_id, chunk_id, list_cosine_similarity(s::double[], c::double[]) as sim from s, c)),
  l as (select coalesce(max(case when best * 0.99 >= 0.63 then 0.63 when best * 0.99 >= 0.504 then 0.504 when best * 0.99 >= 0.4032 then 0.4032 when best * 0.99 >= 0.32256 then 0.32256 end), 9) as level from p)
- select sentence_id, chunk_id from p, l where best * 0.99 >= level and sim >= best * 0.99""")
+ select sentence_id, chunk_id from (select *, row_number() over (partition by sentence_id order by sim desc, chunk_id) as r from p, l where best * 0.99 >= level and sim >= best * 0.99) where r <= 4""")
 def ret21_citations(t):
-    s = t.embeddings.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("sentence_id"), F.col("embedding").alias("s"))
-    c = t.embeddings.orderBy(F.desc("vec_id")).limit(50).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("c"))
+    s = t.embeddings.filter(F.col("vec_id") % ONE_IN == 0).select(F.col("vec_id").alias("sentence_id"), F.col("embedding").alias("s"))
+    c = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("c"))
     return R.cite(s, c)
 
 

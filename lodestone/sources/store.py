@@ -11,20 +11,29 @@ MOST_ROWS = 1000
 
 
 class Store:
-    """Versioned snapshots of one table under a folder; ``CURRENT`` names the live one.
+    """Versioned snapshots of one table under a folder; the highest of the files ``CURRENT-<number>`` names the live one.
 
-    Every write makes a new snapshot and then moves the pointer in one small file, so readers see
-    the old or the new state. One writer at a time."""
+    Every write makes a new snapshot and then a pointer of the next number, by renaming a finished
+    file, so readers see the old or the new state. Of two writers that move the same pointer, the
+    later one fails and changes nothing."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, file_key: str):
         self.spark, self.folder, self.key, self.file_key = spark, folder.rstrip("/"), key, file_key
 
-    def _pointer(self) -> str | None:
-        path = f"{self.folder}/CURRENT"
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.text(path).orderBy(F.desc("value")).first()[0].split("\t")[1] if fs.exists(p) else None
+        folder = jvm.org.apache.hadoop.fs.Path(self.folder)
+        return jvm, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _latest(self) -> tuple[int, str | None]:
+        """Number and name of the live snapshot."""
+        jvm, fs = self._files()
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT-*"))
+        last = max((s.getPath().getName() for s in found), default=None) if found is not None else None
+        return (0, None) if last is None else (int(last.split("-")[1]), self.spark.read.text(f"{self.folder}/{last}").first()[0])
+
+    def _pointer(self) -> str | None:
+        return self._latest()[1]
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self._pointer()}")
@@ -35,11 +44,19 @@ class Store:
         self.switch(name)
         return name
 
-    def switch(self, name: str) -> str | None:
-        """Point readers to a snapshot; returns the former one, to restore."""
-        before = self._pointer()
-        number = F.lit(f"{uuid.uuid1().time:020d}\t{name}")
-        self.spark.range(1).select(number.alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.folder}/CURRENT")
+    def switch(self, name: str, expected: str | None = None) -> str | None:
+        """Point readers to a snapshot; returns the former one, to restore. With ``expected``, only if that is the live one."""
+        number, before = self._latest()
+        if expected is not None and before != expected:
+            raise RuntimeError(f"the live snapshot is {before}, not {expected}")
+        jvm, fs = self._files()
+        path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p}")
+        temporary = f".pointer-{uuid.uuid4().hex}"
+        self.spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.text(f"{self.folder}/{temporary}")
+        target = path(f"CURRENT-{number + 1:012d}")
+        if fs.exists(target) or not fs.rename(path(temporary), target):
+            fs.delete(path(temporary), True)
+            raise RuntimeError("another writer moved the pointer")
         return before
 
     def insert(self, rows: DataFrame) -> int:

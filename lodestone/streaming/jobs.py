@@ -1,7 +1,9 @@
 """Event streams: windowed counts with a watermark, latest state by upsert, de-duplication, timed state.
 
 The table folder is read as a file stream with ``availableNow``, so that a run ends when all
-files are read and goes on from its checkpoint when it is started again."""
+files are read. A job keeps its checkpoint, and its results, in the folder ``out``: started again
+with the same folder it reads new files only and goes on from its last state. Without one it
+takes a new folder in the shared one."""
 
 from __future__ import annotations
 
@@ -12,49 +14,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.durable import durable
+from ..sources.durable import shared_folder
 
 
-def _folder(spark: SparkSession) -> str:
-    durable_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not durable_dir:
-        durable(spark.range(1), "probe")  # sets the folder
-        durable_dir = spark.conf.get("spark.checkpoint.dir")
-    return f"{durable_dir.rstrip('/')}/lodestone/stream-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, out: str | None = None) -> str:
+    return out.rstrip("/") if out else f"{shared_folder(spark)}/lodestone/stream-{uuid.uuid4().hex}"
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def events(spark: SparkSession, folder: str, copy: str | None = None) -> DataFrame:
     """The events table as a stream (its own schema, event time as a timestamp)."""
     path = f"{folder}/events.parquet"
     schema = spark.read.parquet(path).schema
     # a table may be one file or a folder of files
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    return source.parquet(_parent(spark, path)).withColumn("ts", F.col("ts").cast("timestamp"))
+    return source.parquet(_parent(spark, path, copy)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _parent(spark: SparkSession, path: str) -> str:
+def _parent(spark: SparkSession, path: str, copy: str | None) -> str:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.getFileStatus(p).isDirectory():
         return path
-    # a stream reads folders: a single file is copied as a table first
-    out = _folder(spark) + "/input"
-    spark.read.parquet(path).write.parquet(out)
+    # a stream reads folders: a single file is copied as a table first, once for each job folder
+    out = (copy or _folder(spark)) + "/input"
+    target = jvm.org.apache.hadoop.fs.Path(out + "/_SUCCESS")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        spark.read.parquet(path).write.mode("overwrite").parquet(out)
     return out
 
 
-def _run(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
-    out = _folder(spark)
+def _run(stream: DataFrame, mode: str, spark: SparkSession, out: str) -> DataFrame:
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def windowed_counts(spark: SparkSession, folder: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+def windowed_counts(spark: SparkSession, folder: str, width: str = "1 hour", late: str = "1 hour", out: str | None = None) -> DataFrame:
     """(start, event_type, n, total) by tumbling windows; the batches upsert the latest value of each window."""
-    agg = events(spark, folder).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    out = _folder(spark)
+    out = _folder(spark, out)
+    agg = events(spark, folder, out).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
@@ -66,30 +65,45 @@ def windowed_counts(spark: SparkSession, folder: str, width: str = "1 hour", lat
     return last.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", F.col("v.n").alias("n"), F.round("v.total", 4).alias("total"))
 
 
-def latest_state(spark: SparkSession, folder: str) -> DataFrame:
-    """(user_id, n, last_event): each batch is folded into a state table by key; replayed batches change nothing."""
-    out = _folder(spark)
-    state: dict[int, str] = {}
+def _states(spark: SparkSession, out: str) -> dict[int, str]:
+    """The finished state tables of a job folder by batch."""
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(f"{out}/state-*/_SUCCESS")
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob)
+    return {int(p.getName().split("-")[1]): p.toString() for p in (s.getPath().getParent() for s in found or [])}
+
+
+def latest_state(spark: SparkSession, folder: str, out: str | None = None) -> DataFrame:
+    """(user_id, n, last_event): each batch is folded into a state table by key; replayed batches change nothing.
+
+    A batch writes one new state beside the last, and the one before that goes."""
+    out = _folder(spark, out)
 
     def fold(batch: DataFrame, number: int) -> None:
         new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
-        before = [k for k in state if k < number]
+        state = _states(spark, out)
+        before = sorted(k for k in state if k < number)
         if before:
-            old = batch.sparkSession.read.parquet(state[max(before)])
+            old = batch.sparkSession.read.parquet(state[before[-1]])
             new = old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last_event").alias("last_event"))
-        path = f"{out}/state-{number}"
-        new.write.mode("overwrite").parquet(path)
-        state[number] = path
+        new.write.mode("overwrite").parquet(f"{out}/state-{number}")
+        for k in before[:-1]:  # the last one stays: a batch that fails after this is folded again from it
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state[k])
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    q = events(spark, folder).writeStream.foreachBatch(fold).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q = events(spark, folder, out).writeStream.foreachBatch(fold).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
+    state = _states(spark, out)
+    if not state:  # no file has come yet
+        return spark.createDataFrame([], "user_id long, n long, last_event long")
     return spark.read.parquet(state[max(state)])
 
 
-def deduplicated(spark: SparkSession, folder: str, late: str = "1 hour") -> DataFrame:
+def deduplicated(spark: SparkSession, folder: str, late: str = "1 hour", out: str | None = None) -> DataFrame:
     """Counts of event types over a stream without repeated ids (at-least-once sources deliver some twice)."""
-    once = events(spark, folder).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
-    return _run(once, "append", spark).groupBy("event_type").agg(F.count("*").alias("n"))
+    out = _folder(spark, out)
+    once = events(spark, folder, out).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
+    return _run(once, "append", spark, out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def expiring_cache(stream: DataFrame, ttl: str = "24 hours") -> DataFrame:

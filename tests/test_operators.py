@@ -156,7 +156,10 @@ def test_store_and_connector(spark, tmp_path):
     before = store._pointer()
     store.delete(F.col("id") == 4)
     assert [(r["id"], r["file"], r["t"]) for r in store.read().collect()] == [(3, 11, "z")]
-    store.switch(before)
+    now = store._pointer()
+    with pytest.raises(RuntimeError):
+        store.switch(now, expected="v-other")
+    assert store.switch(before, expected=now) == now
     assert {r["id"] for r in store.read().collect()} == {3, 4}
     pages = tmp_path / "pages"
     pages.mkdir()
@@ -172,6 +175,33 @@ def test_stream_equals_batch(spark, sf_dir):
     assert jobs.windowed_counts(spark, sf_dir).agg(F.sum("n")).first()[0] == n
 
 
+def test_stream_goes_on_from_its_state(spark, sf_dir, tmp_path):
+    """Two runs with one folder, more files for the second: the state counts each file once."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table, out = f"{tmp_path}/t/events.parquet", f"file://{tmp_path}/job"
+    rows.filter("event_id % 2 = 0").write.parquet(table)
+    jobs.latest_state(spark, f"{tmp_path}/t", out)
+    rows.filter("event_id % 2 = 1").write.mode("append").parquet(table)
+    got = {r["user_id"]: (r["n"], r["last_event"]) for r in jobs.latest_state(spark, f"{tmp_path}/t", out).collect()}
+    want = {r["user_id"]: (r["n"], r["m"]) for r in rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("m")).collect()}
+    assert got == want
+    again = {r["user_id"]: (r["n"], r["last_event"]) for r in jobs.latest_state(spark, f"{tmp_path}/t", out).collect()}
+    assert again == want
+
+
+def test_scan_bm25_equals_the_index(spark, sf_dir):
+    """Scores straight from the texts are those of the inverted rows, and no document crosses an exchange before the top-k."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.createDataFrame([(-1, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 4").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(T.words(F.col("text"))), F.lit(0))).alias("avgdl"))
+    want = {(r["query_id"], r["id"]): r["score"] for r in R.bm25(R.term_table(docs, "doc_id", "text"), stats, q).collect()}
+    scan = R.scan_bm25(docs, "doc_id", "text", q)
+    got = {(r["query_id"], r["id"]): r["score"] for r in scan.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(got) > 10
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(doc_id" not in plan
+
+
 def test_terms(spark):
     from lodestone.functions import terms as X
 
