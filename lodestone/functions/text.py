@@ -159,10 +159,11 @@ def heading_level(c: Column) -> Column:
 
 # Families of numbered headings, from the outermost level.
 BULLETS = (
-    (r"^第[零一二三四五六七八九十百0-9]+(分?编|部分)", r"^第[零一二三四五六七八九十百0-9]+章", r"^第[零一二三四五六七八九十百0-9]+节", r"^第[零一二三四五六七八九十百0-9]+条"),
-    (r"^[0-9]{1,2}[. 、]", r"^[0-9]{1,2}\.[0-9]{1,2}[^0-9]", r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{1,2}[^0-9]"),
-    (r"^PART (ONE|TWO|THREE|FOUR|FIVE|SIX)", r"^Chapter (I+V?|VI*|XI|IX|X)", r"^Section [0-9]+", r"^Article [0-9]+"),
-    (r"^#[^#]", r"^##[^#]", r"^###[^#]"),
+    (r"^第[零一二三四五六七八九十百0-9]+(分?编|部分)", r"^第[零一二三四五六七八九十百0-9]+章", r"^第[零一二三四五六七八九十百0-9]+节", r"^第[零一二三四五六七八九十百0-9]+条", r"^[(（][零一二三四五六七八九十百]+[)）]"),
+    (r"^第[0-9]+章", r"^第[0-9]+节", r"^[0-9]{0,2}[. 、]", r"^[0-9]{0,2}\.[0-9]{0,2}[^a-zA-Z/%~-]", r"^[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}", r"^[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}"),
+    (r"^第[零一二三四五六七八九十百0-9]+章", r"^第[零一二三四五六七八九十百0-9]+节", r"^[零一二三四五六七八九十百]+[ 、]", r"^[(（][零一二三四五六七八九十百]+[)）]", r"^[(（][0-9]{0,2}[)）]"),
+    (r"^PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)", r"^Chapter (I+V?|VI*|XI|IX|X)", r"^Section [0-9]+", r"^Article [0-9]+"),
+    (r"^#[^#]", r"^##[^#]", r"^###.*", r"^####.*", r"^#####.*", r"^######.*"),
 )
 
 

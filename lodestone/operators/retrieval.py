@@ -103,6 +103,19 @@ def scan_bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, s
     return each.select("s.query_id", "id", "s.score").filter("score > 0")
 
 
+def retry_where_empty(hits: DataFrame, strict: Column) -> DataFrame:
+    """Of each query's hits under loose bounds, those under the strict ones, or all where it has none of these: a search with
+    its retry as one plan."""
+    marked = hits.withColumn("_strict", F.coalesce(strict, F.lit(False)))
+    found = marked.groupBy("query_id").agg(F.max("_strict").alias("_any"))
+    return marked.join(found, "query_id").filter(F.col("_strict") | ~F.col("_any")).drop("_strict", "_any")
+
+
+def similarity_bound(threshold: float, vector_weight: float, ids_given: bool) -> float:
+    """The least score of a result: none for searches by words only, and for documents that were asked for by id."""
+    return 0.0 if vector_weight <= 0 or ids_given else threshold
+
+
 def weighted_rrf(dense: DataFrame, sparse: DataFrame, item: str, dense_weight: float, k: int = RRF_K, limit: int | None = None) -> DataFrame:
     """Fused (query_id, item, score, dense_rank, sparse_rank, rank) of ranked lists (query_id, item, rank).
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, graphs, ingest, relational, scalar, search
+from . import analytics, blocks, graphs, ingest, relational, scalar, search
 
-FAMILIES = (scalar.family, relational.family, search.family, analytics.family, graphs.family, ingest.family)
+FAMILIES = (scalar.family, relational.family, search.family, blocks.family, analytics.family, graphs.family, ingest.family)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -87,7 +87,7 @@ def str22_highlight(t):
     return t.documents.select("doc_id", T.highlight(F.col("text"), ["the", "and"]).alias("highlighted")).filter("highlighted <> ''")
 
 
-@query(r"""select doc_id, pos::int as line_no, length(regexp_extract(line, '^(#{1,6})\s', 1))::int as heading, case when regexp_matches(line, '^[0-9]{1,2}[. 、]') then 1 when regexp_matches(line, '^[0-9]{1,2}\.[0-9]{1,2}[^0-9]') then 2 when regexp_matches(line, '^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{1,2}[^0-9]') then 3 end::int as bullet
+@query(r"""select doc_id, pos::int as line_no, length(regexp_extract(line, '^(#{1,6})\s', 1))::int as heading, case when regexp_matches(line, '^第[0-9]+章') then 1 when regexp_matches(line, '^第[0-9]+节') then 2 when regexp_matches(line, '^[0-9]{0,2}[. 、]') then 3 when regexp_matches(line, '^[0-9]{0,2}\.[0-9]{0,2}[^a-zA-Z/%~-]') then 4 when regexp_matches(line, '^[0-9]{0,2}\.[0-9]{0,2}\.[0-9]{0,2}') then 5 end::int as bullet
   from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)""")
 def str25_heading_lines(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
