@@ -65,7 +65,7 @@ def chk10_chk17_article_chunks(t):
 @query()
 def chk11_sheet_chunks(t):
     """Parts of a brand as a sheet: narrow, wide and very long rows, by the token limit."""
-    rows = t.part.selectExpr("p_brand as sheet", "cast(p_partkey as int) as row", "array(p_name, p_type, repeat(p_container, cast(p_size as int)), cast(p_retailprice as string)) as cells")
+    rows = t.part.selectExpr("p_brand as sheet", "cast(p_partkey as int) as row", "array(p_name, p_type, repeat(p_type, cast(p_size as int)), cast(p_retailprice as string)) as cells")
     return B.sheet_chunks(rows, "sheet", "row", ["name", "type", "container", "price"], 96)
 
 
