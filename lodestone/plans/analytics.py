@@ -91,7 +91,11 @@ def cln03_cln04_clean_lines(t):
     return C.clean_lines(t.documents, "doc_id", "text").select("doc_id", F.md5("clean").alias("clean_md5"), "removed_separator")
 
 
-@query()
+@query(f"""with {_CLEAN_SQL}, xx as (select d.doc_id, coalesce(c.clean, '') as clean, length(regexp_replace(coalesce(c.clean, ''), '\\s+', '', 'g')) as n from documents d left join c on c.doc_id = d.doc_id),
+ re as (select *, case when n = 0 then 'empty' when n < 20 then 'too_short' end as why, sha256(clean) as clean_sha256 from xx),
+ fi as (select clean_sha256, min(doc_id) as first_id from re where why is null group by 1)
+ select doc_id, case when why is null and first_id = doc_id then 'kept' else 'dropped' end as decision, coalesce(why, case when first_id <> doc_id then 'duplicate' else 'ok' end) as reason, case when why is null and first_id <> doc_id then first_id end as kept_by, clean_sha256
+ from re left join fi using (clean_sha256)""")
 def cln05_cln06_decisions(t):
     cleaned = C.clean_lines(t.documents, "doc_id", "text")
     return C.decide(cleaned, "doc_id", "doc_id").select("doc_id", "decision", "reason", "kept_by", "clean_sha256")

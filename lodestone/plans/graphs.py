@@ -60,7 +60,10 @@ def grf05_components(t):
     return G.components(p)
 
 
-@query()
+@query(r"""with n as (select distinct upper(p_name) as name, p_brand as type from part), g as (select *, list_distinct(list_transform(range(1, greatest(length(name) - 1, 1) + 1), lambda i: substr(name, i, 2))) as grams from n)
+ select least(x.name, y.name) as a, greatest(x.name, y.name) as b from g x join g y on x.type = y.type and x.name < y.name
+ where levenshtein(x.name, y.name) <= floor(least(length(x.name), length(y.name)) / 2)
+ and len(list_filter(x.grams, lambda s: not list_contains(y.grams, s) and regexp_matches(s, '\d'))) + len(list_filter(y.grams, lambda s: not list_contains(x.grams, s) and regexp_matches(s, '\d'))) = 0""")
 def grf06_jn10_resolution(t):
     n = t.part.select(F.upper("p_name").alias("name"), "p_brand").distinct().select("name", F.col("p_brand").alias("type"))
     return G.resolution_candidates(n)

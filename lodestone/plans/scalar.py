@@ -64,7 +64,7 @@ def str16_str17_token_budget(t):
     return t.documents.select("doc_id", T.token_count(F.col("text")).alias("tokens"), F.md5(T.truncate_tokens(F.col("text"), 32)).alias("head"))
 
 
-@query()
+@query("select doc_id, cut, strlen(cut)::int as n_bytes from (select doc_id, substr(text, 1, list_max(list_filter(range(0, 102), lambda k: strlen(substr(text, 1, k)) <= 101))) as cut from documents)")
 def str18_utf8_truncate(t):
     cut = T.utf8_truncate(F.col("text"), 101)
     return t.documents.select("doc_id", cut.alias("cut"), F.octet_length(cut).alias("n_bytes"))

@@ -112,14 +112,24 @@ def ret12_blend(t):
     return R.blend(h, "vector", "text", 0.7, ["query_id"]).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""with qv as (select vec_id as query_id, embedding as q from embeddings where vec_id % {ONE_IN} = 0),
+ ly as (select label::bigint as file_id, vec_id % 2 = 0 as even, embedding, row_number() over (partition by label, vec_id % 2 = 0 order by vec_id) as r from embeddings),
+ s as (select query_id, file_id, even, list_cosine_similarity(embedding::double[], q::double[]) as raw from ly, qv where r = 1),
+ t0 as (select *, row_number() over (partition by query_id order by raw desc, file_id) as k from s where even),
+ l0 as (select query_id, file_id, case when max(raw) over w = min(raw) over w then 0.5 else (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) end as l0 from t0 where k <= 80 window w as (partition by query_id)),
+ t1 as (select *, row_number() over (partition by query_id order by raw desc, file_id) as k from s where not even and file_id in (select file_id from l0)),
+ l1 as (select query_id, file_id, case when max(raw) over w = min(raw) over w then 0.5 else (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) end as l1 from t1 where k <= 5 window w as (partition by query_id)),
+ c as (select l0.query_id, l0.file_id, e.vec_id, l0, l1, list_cosine_similarity(e.embedding::double[], q::double[]) as raw from l0 join l1 on l0.query_id = l1.query_id and l0.file_id = l1.file_id join embeddings e on e.label = l0.file_id join qv on qv.query_id = l0.query_id),
+ n as (select *, row_number() over (partition by query_id, file_id order by raw desc, vec_id) as k from c),
+ m as (select query_id, file_id, vec_id, 0.2 * l0 + 0.3 * l1 + 0.5 * case when max(raw) over w = min(raw) over w then 0.5 else (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) end as score from n where k <= 20 window w as (partition by query_id))
+ select query_id, file_id, vec_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from m) where rank <= 10""")
 def ret13_contextual(t):
     e = t.embeddings
     layers = e.select(F.col("label").cast("long").alias("file_id"), F.when(F.col("vec_id") % 2 == 0, "l0").otherwise("l1").alias("layer"), "embedding", "vec_id")
     one = Window.partitionBy("file_id", "layer").orderBy("vec_id")
     layers = layers.withColumn("r", F.row_number().over(one)).filter("r = 1")
     chunks = e.select("vec_id", F.col("label").cast("long").alias("file_id"), "embedding")
-    return R.contextual(layers, chunks, _query_vectors(t), 10, 5, 20)
+    return R.contextual(layers, chunks, _query_vectors(t), 10, 5, 20).withColumn("score", F.round("score", 6))
 
 
 @query("""with h as (select l_orderkey as query_id, l_linenumber as id, l_extendedprice / 100000.0 as retrieval, l_discount as m, l_partkey, l_suppkey from lineitem), x as (select *, min(m) over (partition by query_id) as lo, max(m) over (partition by query_id) as hi from h)
@@ -258,7 +268,7 @@ def win05_win07_pack_and_paths(t):
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                lines = text.split("\n")
+                lines = (text or "").split("\n")
                 levels = [1 + len(x) % 3 if len(x) < 40 else 0 for x in lines]
                 bins = C.pack([max(1, len(x) // 4) for x in lines], 256)
                 rows += [(doc, i, b, p) for i, (b, p) in enumerate(zip(bins, C.heading_paths(levels, lines), strict=True))]
