@@ -267,7 +267,8 @@ def _links(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     cuts = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed = members.join(cuts, "family").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     spread = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc", "n", "rows", "matches", "prefix", "tokens", "family", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    blocks = durable(spread.groupBy("family", "b1", "b2").applyInPandas(_block_links(percent), "a long, b long, met long"), "blocks")
+    # dealt by pairs of blocks: else all of a family would stay in one task, as the table comes dealt by family
+    blocks = durable(spread.repartition("family", "b1", "b2").groupBy("family", "b1", "b2").applyInPandas(_block_links(percent), "a long, b long, met long"), "blocks")
     links = single.unionByName(blocks.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     rows = nodes.select(F.col("doc").alias("b"), "rows")
     ways = single.unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(rows, "b").select(F.col("a").alias("doc"), F.col("rows").alias("met"))
