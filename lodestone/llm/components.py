@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop_durable, durable
 
 MAX_ROUNDS = 60
 
@@ -29,10 +29,12 @@ def component_labels(links: DataFrame) -> DataFrame:
     """(doc, label): for every node of the links (a, b) the smallest node of its component."""
     edges = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        edges = durable(_star(_star(edges, large=True), large=False), "edges")
+        before, edges = edges, durable(_star(_star(edges, large=True), large=False), "edges")
+        drop_durable(before)
         # done when every node has one smaller neighbour that has none itself
-        tops = edges.select(F.col("b").alias("a")).distinct()
-        if edges.join(tops, "a", "left_semi").limit(1).count() == 0 and edges.groupBy("a").count().filter("count > 1").limit(1).count() == 0:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
+        if ends.filter("up > 1 or up = 1 and all > 1").isEmpty():
             break
     else:
         raise RuntimeError(f"links did not settle in {MAX_ROUNDS} rounds")
