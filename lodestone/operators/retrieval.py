@@ -103,6 +103,19 @@ def scan_bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, s
     return each.select("s.query_id", "id", "s.score").filter("score > 0")
 
 
+def multi_field(docs: DataFrame, fields: dict[str, float], queries: DataFrame, min_match: float) -> DataFrame:
+    """(query_id, id, score): the best field counts, each with its boost times the query terms it has; documents must have
+    ``min_match`` of the terms in all fields together. docs: id and arrays of words; queries: query_id, term (a stated set).
+
+    Words meet terms, so documents without a term are never paired; a document's words never leave its row otherwise."""
+    terms = queries.select("query_id", "term").distinct()
+    sizes = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
+    words = docs.select("id", F.explode(F.array_distinct(F.flatten(F.array(*fields)))).alias("term"), *(F.col(f) for f in fields))
+    met = words.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("met"), *(F.sum(F.array_contains(f, F.col("term")).cast("int")).alias(f) for f in fields))
+    best = F.greatest(*(F.col(f) * b for f, b in fields.items())) if len(fields) > 1 else F.col(next(iter(fields))) * next(iter(fields.values()))
+    return met.join(sizes, "query_id").filter(F.col("met") / F.col("asked") >= min_match).select("query_id", "id", best.cast("double").alias("score"))
+
+
 def retry_where_empty(hits: DataFrame, strict: Column) -> DataFrame:
     """Of each query's hits under loose bounds, those under the strict ones, or all where it has none of these: a search with
     its retry as one plan."""

@@ -241,11 +241,18 @@ def str06_question_words(t):
     return t.conversations.filter("role = 'user'").select("conv_id", "turn", without_question_words(F.col("text")).alias("bare"))
 
 
-@query("select p_partkey, p_size as number from part")
+@query("select p_partkey, p_size::bigint as digits, p_size::bigint as words, p_size::bigint as chinese, (1 + p_size % 10)::bigint as roman from part")
 def str30_numerals(t):
+    """Sizes written as digits, English words, Chinese and Roman numerals, and read back."""
     from ..functions.terms import number_of
 
-    return t.part.select("p_partkey", number_of(F.col("p_size").cast("string")).alias("number"))
+    pick = lambda words, at: f"element_at(split('{words}', ' ', -1), cast({at} as int) + 1)"
+    ones = " one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    words = f"trim(if(p_size < 20, {pick(ones, 'p_size')}, concat({pick('  twenty thirty forty fifty sixty seventy eighty ninety', 'p_size div 10')}, ' ', {pick(ones, 'p_size % 10')})))"
+    digits = " 一 二 三 四 五 六 七 八 九"
+    chinese = f"concat(if(p_size < 20, '', {pick(digits, 'p_size div 10')}), if(p_size < 10, '', '十'), {pick(digits, 'p_size % 10')})"
+    written = {"digits": "cast(p_size as string)", "words": words, "chinese": chinese, "roman": pick("I II III IV V VI VII VIII IX X", "p_size % 10")}
+    return t.part.select("p_partkey", *(number_of(F.expr(w)).cast("long").alias(name) for name, w in written.items()))
 
 
 @query(f"""with w as (select item_id, regexp_extract_all(lower(text), '{_W}') as ws from benchmark), s as (select distinct item_id, array_to_string(ws[i:i + 2], ' ') as g from (select item_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w)), n as (select item_id, count(*) as n from s group by 1)

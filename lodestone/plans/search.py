@@ -74,11 +74,14 @@ def ret06_bounded_scores(t):
     return wanted.join(_bm25(t, scope), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
-@query("""select p_partkey, greatest(10.0 * len(list_intersect(string_split(lower(p_name), ' '), ['green', 'steel', 'part', '1'])), 2.0 * len(list_intersect(string_split(lower(p_type), ' '), ['green', 'steel', 'part', '1'])))::double as score from part""")
+@query(f"""with q as (select p_partkey as query_id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) as qw from part where p_partkey % {ONE_IN} = 0), d as (select p_partkey as id, string_split(lower(p_name), ' ') as f1, string_split(lower(p_type), ' ') as f2 from part)
+ select query_id, id, greatest(10.0 * len(list_intersect(qw, f1)), 2.0 * len(list_intersect(qw, f2)))::double as score from q, d where len(list_intersect(qw, list_concat(f1, f2)))::double / len(qw) >= 0.3""")
 def ret07_multi_field(t):
-    wanted = F.array(*[F.lit(x) for x in ("green", "steel", "part", "1")])
-    field = lambda c, b: F.size(F.array_intersect(F.split(F.lower(c), " "), wanted)) * b
-    return t.part.select("p_partkey", F.greatest(field("p_name", 10.0), field("p_type", 2.0)).alias("score"))
+    """Every fiftieth part's words as a query over the names and types of all parts."""
+    field = lambda c: F.split(F.lower(c), " ")
+    q = t.part.filter(F.col("p_partkey") % ONE_IN == 0).select(F.col("p_partkey").alias("query_id"), F.explode(F.array_distinct(field(F.concat_ws(" ", "p_name", "p_type")))).alias("term"))
+    d = t.part.select(F.col("p_partkey").alias("id"), field("p_name").alias("name"), field("p_type").alias("type"))
+    return R.multi_field(d, {"name": 10.0, "type": 2.0}, q, 0.3)
 
 
 _HYBRID_SQL = f"""{_TERMS_SQL}, {_DENSE_SQL},
