@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -101,6 +101,16 @@ def merge_metadata(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.array_union(F.coalesce(x, empty), F.coalesce(y, empty)))
 
 
+def metadata_schema(keys: DataFrame) -> DataFrame:
+    """One row: the JSON schema of metadata keys (key, description, enum, one row each; keys without a name are left out).
+    A key with an enumeration is a string; other keys are not allowed."""
+    known = F.size(F.coalesce("enum", F.array().cast("array<string>"))) > 0
+    prop = F.struct(F.coalesce("description", F.lit("")).alias("description"), F.when(known, F.col("enum")).alias("enum"), F.when(known, F.lit("string")).alias("type"))
+    every = keys.filter("key <> ''").agg(F.array_sort(F.collect_list(F.struct("key", prop.alias("p")))).alias("all"))
+    properties = F.map_from_entries("all")
+    return every.select(F.to_json(F.struct(F.lit("object").alias("type"), properties.alias("properties"), F.lit(False).alias("additionalProperties"))).alias("schema"))
+
+
 def sparse_map(indices: Column, values: Column) -> Column:
     return F.map_from_arrays(indices, values)
 

@@ -217,9 +217,13 @@ def jn15_collapse_children(t):
     return t.orders.select("o_orderkey").join(c, "o_orderkey")
 
 
-@query("select md5(text) as mom_id, min(doc_id) as first_doc, count(*) as n from documents group by 1")
+@query("""with m as (select md5(text) as mom_id, min(doc_id) as first_doc, count(*) as n from documents group by 1), c as (select distinct md5(text) as mom_id, unnest(string_split(text, chr(10))) as child from documents)
+ select mom_id, first_doc, n, count(*) as n_children, min(md5(child)) as least_child from c join m using (mom_id) group by 1, 2, 3""")
 def jn19_snk09_mother_chunks(t):
-    return t.documents.groupBy(F.md5("text").alias("mom_id")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    """Mother chunks once each, by the hash of their text, and their children linked to them by that hash."""
+    mothers = t.documents.groupBy(F.md5("text").alias("mom_id")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    children = t.documents.select(F.md5("text").alias("mom_id"), F.explode(F.split("text", "\n")).alias("child")).distinct()
+    return children.join(mothers, "mom_id").groupBy("mom_id", "first_doc", "n").agg(F.count("*").alias("n_children"), F.min(F.md5("child")).alias("least_child"))
 
 
 # --- aggregates --------------------------------------------------------------------------------

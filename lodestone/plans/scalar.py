@@ -200,12 +200,21 @@ def arr03_arr04_coerce(t):
     return t.embeddings.select("vec_id", F.aggregate(parsed, F.lit(0.0), lambda s, x: s + x).isNotNull().alias("parsed"), F.element_at(m, 2).cast("double").alias("second"))
 
 
-@query("""select c_custkey, list_distinct([c_mktsegment, 'all']) is not null as has, case when c_nationkey % 2 = 0 then 2 else 1 end::int as n_values from customer""")
+@query("""select c_custkey, c_mktsegment || case when c_nationkey % 2 = 0 then ',all' else '' end as tags, 'N' || c_nationkey as nation, case when c_custkey % 3 = 0 then 'late' end as late from customer""")
 def map01_merge_metadata(t):
-    a = F.create_map(F.lit("tags"), F.array("c_mktsegment"))
-    b = F.create_map(F.lit("tags"), F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("all"))).otherwise(F.array("c_mktsegment")))
+    a = F.create_map(F.lit("tags"), F.array("c_mktsegment"), F.lit("nation"), F.array(F.concat(F.lit("N"), "c_nationkey")))
+    more = F.when(F.col("c_nationkey") % 2 == 0, F.array("c_mktsegment", F.lit("all"))).otherwise(F.array("c_mktsegment", "c_mktsegment"))
+    b = F.map_concat(F.create_map(F.lit("tags"), more), F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("late"), F.array(F.lit("late")))).otherwise(F.create_map().cast("map<string,array<string>>")))
     m = V.merge_metadata(a, b)
-    return t.customer.select("c_custkey", m["tags"].isNotNull().alias("has"), F.size(m["tags"]).alias("n_values"))
+    return t.customer.select("c_custkey", *(F.array_join(m[k], ",").alias(k) for k in ("tags", "nation", "late")))
+
+
+@query("""with k as (select source, count(*) as n, list(distinct lang order by lang) as langs from documents group by 1)
+ select '{"type":"object","properties":{' || string_agg('"' || source || '":{"description":"' || n || ' documents","enum":["' || array_to_string(langs, '","') || '"],"type":"string"}', ',' order by source) || '},"additionalProperties":false}' as schema from k""")
+def jsn03_metadata_schema(t):
+    """The languages of each source as the enumeration of a metadata key."""
+    keys = t.documents.groupBy(F.col("source").alias("key")).agg(F.concat(F.count("*").cast("string"), F.lit(" documents")).alias("description"), F.sort_array(F.collect_set("lang")).alias("enum"))
+    return V.metadata_schema(keys)
 
 
 @query("""select s_suppkey, round(10 * (s_suppkey % 7 * 2.0) / (sqrt(s_suppkey % 7 * (s_suppkey % 7) + 9.0) * sqrt(5.0)) + 10 * 3.0 / (sqrt(s_suppkey % 7 * (s_suppkey % 7) + 9.0) * sqrt(5.0)), 6) as score from supplier""")
