@@ -86,7 +86,7 @@ def set_aside(df: DataFrame, *used: str):
 
 
 #: Rows of an Arrow batch: texts make rows large, and each task holds a few batches on both sides.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def bound_batches(df: DataFrame) -> DataFrame:

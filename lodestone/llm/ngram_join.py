@@ -46,7 +46,7 @@ LIST_DOCS = 48
 #: Sets, and shingles, of a block of a family.
 BLOCK_DOCS, BLOCK_TOKENS = 512, 400_000
 #: Hot shingles: held by so many rows of a sample of about so many; so many of them at most (the most frequent).
-SAMPLE_ROWS, HOT_ROWS, HOT_SHINGLES = 20_000, 40, 200_000
+SAMPLE_ROWS, HOT_ROWS, HOT_SHINGLES = 8_000, 20, 100_000
 #: The frequency that a hot shingle counts with.
 HOT_DF = 1 << 30
 #: Shingles (columns) of one step of the matrix product.
@@ -90,10 +90,14 @@ def hot_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_rows
 
     def task(batches):
         for batch in batches:
-            for part in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(part[3].view(np.int64))], names=["token"])
+            # counted by batch, so that few rows leave the task
+            parts = [part[3] for part in _sets(batch, width)]
+            if parts:
+                token, held = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(held.astype(np.int64))], names=["token", "held"])
+        give_back()
 
-    counted = picked.mapInArrow(task, "token long").groupBy("token").agg(F.count("*").alias("held")).filter(F.col("held") >= HOT_ROWS)
+    counted = picked.mapInArrow(task, "token long, held long").groupBy("token").agg(F.sum("held").alias("held")).filter(F.col("held") >= HOT_ROWS)
     found = counted.orderBy(F.desc("held"), "token").limit(HOT_SHINGLES).select("token").collect()
     return np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
 

@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of all texts of a sample together; of rows in hash order those that fit are taken.
+MAX_SAMPLE_BYTES = 64 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """At most ``max_rows`` (text, label) of rows that are not held out, chosen by a hash of the id.
+    """At most ``max_rows`` (text, label), of MAX_SAMPLE_BYTES together, of rows that are not held out, chosen by a hash of the id.
 
-    Which rows depends on ids alone, not on how the table is split; rows without text or label are left out."""
+    Which rows depends on ids and lengths alone, not on how the table is split; rows without text or label are left out.
+    An id with several labels or texts counts with each."""
     chosen = labels.filter(F.col(label_col).isNotNull() & ~held_out).select(id_col, F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col, "y").limit(max_rows)
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).filter(F.col(text_col).isNotNull())
-    rows = found.select(F.xxhash64(id_col).alias("h"), text_col, "y").collect()
+    found = found.withColumn("h", F.xxhash64(id_col))
+    total = 0
+    for h, n in sorted(found.select("h", F.octet_length(text_col)).collect()):  # numbers only: two a row
+        total += n
+        if total > MAX_SAMPLE_BYTES:
+            found = found.filter(F.col("h") < h)
+            break
+    rows = found.select("h", text_col, "y").collect()
     return [(r[1], r[2]) for r in sorted(rows)][:max_rows]
 
 
