@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import durable, give_way
 
-#: Slots of the whole shares of :func:`whole_shares`; :func:`pfair_mix` does not round its weights.
-PERIOD = 1000
 BLOCK_BYTES = 256 * 1024
 #: Blocks of a mix, besides one a source; larger mixes have larger blocks.
 MAX_BLOCKS = 200_000
@@ -42,18 +40,6 @@ def _name(source: str | None) -> str:
     return "" if source is None else f"={source}"
 
 
-def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as whole shares of the period, each at least 1, by largest remainder."""
-    if len(weights) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    shares = {s: int(x) + 1 for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(shares.values())]:
-        shares[s] += 1
-    return shares
-
-
 def exact_weights(weights: dict[str, float]) -> tuple[dict[str, int], int]:
     """Weights as whole numbers in their exact proportions, and the sum of these."""
     if bad := sorted(s for s, w in weights.items() if not w > 0):
@@ -100,21 +86,6 @@ def block_schedule(weights: dict[str, float], n_blocks: dict[str, int]) -> tuple
     return out, runs_out or 0
 
 
-def period_schedule(shares: dict[str, int]) -> list[str]:
-    """The source of each slot of one period of whole shares."""
-    names = sorted(shares)
-    return [names[i] for i in block_schedule(shares, shares)[0]["source"]]
-
-
-def largest_deviation(schedule: list[str], shares: dict[str, int]) -> Fraction:
-    """The largest distance, in blocks, between what a source got and its share at any slot."""
-    period, got, most = len(schedule), dict.fromkeys(shares, 0), Fraction(0)
-    for t, s in enumerate(schedule, 1):
-        got[s] += 1
-        most = max(most, *(abs(Fraction(shares[x] * t, period) - got[x]) for x in shares))
-    return most
-
-
 def even_tempered_weights(docs: DataFrame, source_col: str = "source", text_col: str = "text", power: float = 0.5) -> dict[str | None, float]:
     """Target weights by temperature: bytes of a source to the given power (a source report: one row a source)."""
     rows = docs.groupBy(F.col(source_col).alias("s")).agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("b")).orderBy("s").collect()

@@ -138,13 +138,6 @@ def test_materialise_edges(awkward, empty):
 # --- mixing ------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {f"s{i}": 1 + i * i for i in range(20)}, {"x": 1000, "y": 1}])
-def test_schedule_is_within_one_block(weights):
-    shares = mixing.whole_shares(weights)
-    assert sum(shares.values()) == mixing.PERIOD
-    assert mixing.largest_deviation(mixing.period_schedule(shares), shares) < Fraction(1)
-
-
 def test_mix_places_every_document_once(docs):
     mixed = mixing.pfair_mix(docs, mixing.even_tempered_weights(docs), block_bytes=4096)
     rows = mixed.collect()
@@ -172,11 +165,11 @@ def test_mix_follows_its_targets(spark):
 
 @pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {f"s{i}": (1 + i * 37 % 101) ** 0.5 for i in range(40)}, {"big": 30, **{f"s{i}": 1 for i in range(30)}}, {"x": 1e6, "y": 1}])
 def test_schedule_keeps_to_the_given_weights(weights):
-    """Far past PERIOD slots, against the exact weights."""
+    """Over many thousand slots, against the exact weights."""
     total = sum(Fraction(w) for w in weights.values())
     exact = {s: Fraction(w) / total for s, w in weights.items()}
     plan, runs_out = mixing.block_schedule(weights, {s: int(20000 * w) + 2 for s, w in exact.items()})
-    assert runs_out > 20 * mixing.PERIOD
+    assert runs_out > 20_000
     names, got = sorted(weights), dict.fromkeys(weights, 0)
     for t, (i, j, release, deadline, slot) in enumerate(zip(*plan.values(), strict=True)):
         if slot >= runs_out:
