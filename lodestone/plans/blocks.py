@@ -62,6 +62,11 @@ def chk10_chk17_article_chunks(t):
     return B.article_chunks(_lines(t), "doc_id", "ord", "^[A-F]").select("doc_id", "idx", F.md5("text").alias("text_md5"))
 
 
+@query(f"""with {_LINES_SQL} select doc_id, (ord // 40)::int as page, md5(coalesce(string_agg(trim(text, ' '), chr(10) order by ord) filter (where trim(text, ' ') <> ''), '')) as text_md5, count(*) filter (where trim(text, ' ') <> '') as n from lines group by 1, 2""")
+def chk17_presentation_pages(t):
+    return B.page_chunks(_boxed(t), "doc_id", "page", "ord").select("doc_id", "page", F.md5("text").alias("text_md5"), "n")
+
+
 @query()
 def chk11_sheet_chunks(t):
     """Parts of a brand as a sheet: narrow, wide and very long rows, by the token limit."""
