@@ -5,6 +5,8 @@ semi-joins before the top-k. Query-side tables are a stated query set of bounded
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ RRF_K = 60
 EXACT_BOOST = 8.0
 #: Terms, or queries, of one search call (a query is at most this many terms).
 MAX_TERMS = 256
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
 
 
 def ranked_unique(hits: DataFrame, scope: str, item: str, order: list[str]) -> DataFrame:
@@ -34,9 +38,14 @@ def minmax(df: DataFrame, value: str, scope: list[str]) -> DataFrame:
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine top-k. queries: query_id, q — a stated set, broadcast."""
+    """(query_id, vec_id, score, rank): exact cosine top-k. queries: query_id, q — a stated set, broadcast in blocks of
+    QUERY_BLOCK at most."""
     rows = vectors if scope is None else vectors.join(scope, "vec_id", "left_semi")
-    scored = rows.join(F.broadcast(queries)).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    parts = -(-queries.count() // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts)))
+    blocks = [queries] if parts <= 1 else [queries.filter(block == i) for i in range(parts)]
+    met = reduce(DataFrame.unionByName, (rows.join(F.broadcast(b)).select("query_id", "vec_id", "embedding", "q") for b in blocks))
+    scored = met.select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)
     return topk(scored, k, "vec_id")

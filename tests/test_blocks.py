@@ -124,3 +124,12 @@ def test_retry(spark):
     hits = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.1), (2, "c", 0.1), (2, "d", None)], "query_id int, id string, s double")
     assert sorted(r["id"] for r in R.retry_where_empty(hits, F.col("s") >= 0.3).collect()) == ["a", "c", "d"]
     assert (R.similarity_bound(0.2, 0.0, False), R.similarity_bound(0.2, 0.5, True), R.similarity_bound(0.2, 0.5, False)) == (0.0, 0.0, 0.2)
+
+
+def test_dense_topk_in_blocks(spark, sf_dir, monkeypatch):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = sorted(map(tuple, R.dense_topk(vectors, asked, 5).collect()))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, R.dense_topk(vectors, asked, 5).collect())) == want and len(want) == 5 * asked.count()
+    assert R.dense_topk(vectors, asked.limit(0), 5).count() == 0
