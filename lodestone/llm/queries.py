@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, materialise, media, mixing, ngram_join, quality_rules, sharding, suffix_dedup, toxicity
+from . import bpe, classifier, materialise, media, mixing, ngram_join, periodic_runs, quality_rules, sharding, suffix_dedup, toxicity
 from .common import give_way
 from .training_rows import held_out, labelled_sample
 
@@ -108,8 +108,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, _read(spark, sf_dir, "labels"), classifier, "quality", 5, 0).select("doc_id", "held_out", "score", "predicted")
 
 
+def cycled_text(docs: DataFrame) -> DataFrame:
+    """``docs`` whose text repeats itself from word a on, every p words, in a tenth of the rows (by the crc32 of the id)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("ws", F.when(F.col("g").isNotNull(), F.expr(r"filter(split(text, '[ \\t-\\r]+'), w -> w <> '')")))
+    docs = docs.withColumn("a", F.expr("if(size(ws) > 0, cast(g % size(ws) as int), null)")).withColumn("p", F.expr("1 + cast((size(ws) - a) div (3 + g % 8) as int)"))
+    again = F.expr("array_join(transform(ws, (w, i) -> if(i < a, w, ws[a + (i - a) % p])), ' ')")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(cycled_text(_read(spark, sf_dir, "documents")), drop=("text",))
+    # of the longest runs the first, of those the one of the smallest period
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_image_copies, op2_quality_rules, op3_histogram_shards, op4_training_order, op5_repeated_spans, op6_toxicity, op7_ngram_join, op8_pfair_mix, op9_byte_bpe, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_image_copies, op2_quality_rules, op3_histogram_shards, op4_training_order, op5_repeated_spans, op6_toxicity, op7_ngram_join, op8_pfair_mix, op9_byte_bpe, op10_quality_classifier, op13_periodic_runs)}
 
 
 def _op2_sql() -> str:
@@ -162,5 +188,32 @@ select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, least(d.doc_id, coalesc
 from documents d left join sizes s using (doc_id) left join low l on l.a = d.doc_id left join degrees g on g.a = d.doc_id"""
 
 
+#: crc32 bit by bit; pairs of equal words q apart; stretches of such pairs; those without a smaller period.
+_OP13_SQL = r"""
+with hashed as (
+  select doc_id, coalesce(text, '') as text,
+         xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+             lambda x, c: list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)), 4294967295) as h
+  from documents),
+split as (select doc_id, h // 10 as g, h % 10 = 0 as cycled, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda w: w <> '') as ws from hashed),
+cut as (select *, case when cycled and len(ws) > 0 then g % len(ws) end as a from split),
+words as (
+  select doc_id, i, ws[1 + case when a is null or i < a then i else a + (i - a) % (1 + (len(ws) - a) // (3 + g % 8)) end] as w
+  from cut, unnest(range(len(ws))) as s(i)),
+equal as (select x.doc_id, x.i, y.i - x.i as q from words x join words y on y.doc_id = x.doc_id and y.w = x.w and y.i > x.i),
+islands as (select doc_id, q, min(i) as s, count(*) + q as n from (select *, i - row_number() over (partition by doc_id, q order by i) as island from equal) group by doc_id, q, island),
+stretches as (select * from islands where n >= greatest(12, 2 * q)),
+runs as (select * from stretches x where not exists (select 1 from stretches y where y.doc_id = x.doc_id and y.q < x.q and y.s <= x.s and y.s + y.n >= x.s + x.n)),
+listed as (
+  select doc_id, count(*) as n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) as lines,
+         max(row(n, -s, -q)) as best
+  from runs group by doc_id),
+dropped as (select distinct doc_id, unnest(range(s + q, s + n)) as i from runs),
+kept as (select doc_id, string_agg(w, ' ' order by i) as t from words anti join dropped using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, (-best[2])::bigint as start, best[1]::bigint as length, (-best[3])::bigint as period,
+       (1000 * best[1] // -best[3])::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from documents d left join listed using (doc_id) left join kept using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _op2_sql(), "op7_ngram_join": _OP7_SQL}
+    return {"op2_quality_rules": _op2_sql(), "op7_ngram_join": _OP7_SQL, "op13_periodic_runs": _OP13_SQL}
