@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, materialise, media, mixing, ngram_join, periodic_runs, quality_rules, sharding, suffix_dedup, toxicity
+from . import bpe, classifier, materialise, media, mixing, ngram_join, periodic_runs, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
 from .common import give_way
 from .training_rows import held_out, labelled_sample
 
@@ -108,6 +108,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, _read(spark, sf_dir, "labels"), classifier, "quality", 5, 0).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint) as n_{kind}") for k, kind in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.span_text("base"), 256).alias("base_sha256"), secret_scan.span_text("spans").alias("spans"))
+
+
 def cycled_text(docs: DataFrame) -> DataFrame:
     """``docs`` whose text repeats itself from word a on, every p words, in a tenth of the rows (by the crc32 of the id)."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -135,7 +141,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_image_copies, op2_quality_rules, op3_histogram_shards, op4_training_order, op5_repeated_spans, op6_toxicity, op7_ngram_join, op8_pfair_mix, op9_byte_bpe, op10_quality_classifier, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_image_copies, op2_quality_rules, op3_histogram_shards, op4_training_order, op5_repeated_spans, op6_toxicity, op7_ngram_join, op8_pfair_mix, op9_byte_bpe, op10_quality_classifier, op12_secret_scan, op13_periodic_runs)}
 
 
 def _op2_sql() -> str:
