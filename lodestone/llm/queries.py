@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, materialise, media, mixing, ngram_join, periodic_runs, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
+from . import bpe, classifier, cross_tokens, materialise, media, mixing, ngram_join, periodic_runs, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
 from .common import give_way
 from .training_rows import held_out, labelled_sample
 
@@ -16,6 +16,7 @@ from .training_rows import held_out, labelled_sample
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 ORDER_VOCABULARY, END_ID, ORDER_KEY = "byte_bpe_50k.tiktoken", 50256, 20240607
 SCORE_THRESHOLD = 0.3
+ALIGNED_VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -108,6 +109,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, _read(spark, sf_dir, "labels"), classifier, "quality", 5, 0).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = cross_tokens.aligned_tokens(docs, public_tokenizers.path(ALIGNED_VOCABULARIES[0]), public_tokenizers.path(ALIGNED_VOCABULARIES[1]))
+    return found.select("doc_id", *cross_tokens.COLUMNS)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint) as n_{kind}") for k, kind in enumerate(secret_scan.KINDS[:3])]
@@ -141,7 +148,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_image_copies, op2_quality_rules, op3_histogram_shards, op4_training_order, op5_repeated_spans, op6_toxicity, op7_ngram_join, op8_pfair_mix, op9_byte_bpe, op10_quality_classifier, op12_secret_scan, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_image_copies, op2_quality_rules, op3_histogram_shards, op4_training_order, op5_repeated_spans, op6_toxicity, op7_ngram_join, op8_pfair_mix, op9_byte_bpe, op10_quality_classifier, op11_token_alignment, op12_secret_scan, op13_periodic_runs)}
 
 
 def _op2_sql() -> str:
