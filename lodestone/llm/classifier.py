@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, bound_batches, give_back, give_way, mix, text_slices, word_spans
+from .common import RollingHash, bound_batches, give_back, give_way, mix, span_hashes, text_slices, word_spans
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -73,7 +73,11 @@ class SubwordModel:
 
 
 def train(rows: list[tuple[str, int]], seed: int = 11) -> SubwordModel:
-    """Learn from (text, label 0 or 1) rows; the order of steps is fixed by ``seed``."""
+    """Learn from (text, label 0 or 1) rows; the order of steps is fixed by ``seed``.
+
+    Without rows of both classes nothing is known: every score is 0 (but for rounding)."""
+    if len({y for _, y in rows}) < 2:
+        return SubwordModel(np.zeros((BUCKETS, DIMENSIONS)), np.zeros((2, DIMENSIONS)), np.array([30.0, 0.0]))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     output, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
@@ -125,7 +129,7 @@ def score(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataF
             for first, end, data, offsets in text_slices(batch, text_col):
                 data = _LOWER[data]
                 starts, ends, rows = word_spans(data, offsets)
-                names, at, inverse = np.unique(RollingHash(data).spans(starts, ends), return_index=True, return_inverse=True)
+                names, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
                 if len(known) > TABLE_WORDS:
                     known, sums = {}, np.zeros((0, 3))
                 names = names.tolist()

@@ -3,7 +3,7 @@
 Two kinds of helper live here: durable intermediate tables (lineage is cut by a Parquet
 table in the folder that ``spark.checkpoint.dir`` names, so a lost executor never costs more
 than its own tasks), and vectorised byte arithmetic for Arrow batches (word spans, rolling
-polynomial hashes modulo 2**64, bit mixing).
+polynomial hashes modulo a prime, bit mixing).
 """
 
 from __future__ import annotations
@@ -22,16 +22,23 @@ from pyspark.sql import functions as F
 #: Most text bytes that a task turns into numpy arrays at once (a longer text is one slice).
 SLICE_BYTES = 1 << 19
 
+#: Bytes that are hashed, or looked through for anchors, at once: a longer text is taken in pieces.
+PIECE_BYTES = 1 << 20
+
 _WORD_BREAK = np.zeros(256, dtype=bool)
 _WORD_BREAK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Odd multiplier of the rolling hash and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_SECOND_CODE = np.random.default_rng(20250301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Multiplier of sums of few hashes, modulo 2**64.
+_STEP = 0x9E3779B97F4A7C15
+#: Rolling hashes are polynomials modulo this prime (so that folding the high bits onto the low ones reduces), each lane
+#: with a base and byte codes of its own, drawn at random once.
+PRIME = (1 << 31) - 1
+_P, _BITS = np.uint64(PRIME), np.uint64(31)
+_DRAWN = np.random.default_rng(20240229)
+_BASES = [int(x) for x in _DRAWN.integers(1 << 20, PRIME - 1, 4)]
+_BYTE_CODES = [_DRAWN.choice(PRIME - 1, 256, replace=False).astype(np.uint64) + np.uint64(1) for _ in range(4)]
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -80,9 +87,10 @@ def give_way(df: DataFrame, *added: str) -> DataFrame:
 
 
 def set_aside(df: DataFrame, *used: str):
-    """``df`` with its columns renamed, but for those in ``used``, so that none clashes; and how to name them back."""
+    """``df`` with its columns renamed, but for those in ``used``, so that none clashes; and how to name
+    them back (further columns follow)."""
     names = [c if c in used else f"_column_{i}" for i, c in enumerate(df.columns)]
-    return df.toDF(*names), lambda out: out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)))
+    return df.toDF(*names), lambda out, *more: out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)), *more)
 
 
 #: Rows of an Arrow batch: texts make rows large, and each task holds a few batches on both sides.
@@ -155,30 +163,69 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Equal modulo PRIME, and under 2**32 for what is under 2**62."""
+    return (x & _P) + (x >> _BITS)
+
+
 class RollingHash:
-    """Hashes of arbitrary spans of a byte array from one prefix sum, modulo 2**64."""
+    """Hashes of arbitrary spans of a byte array from prefix sums: two polynomials, 62 bits together.
 
-    def __init__(self, data: np.ndarray, second: bool = False):
-        """``second``: hashes that are independent of the usual ones."""
-        n = len(data) + 1
-        self._grow(n)
-        self.prefix = np.zeros(n, dtype=np.uint64)
-        np.cumsum((_SECOND_CODE if second else _BYTE_CODE)[data] * self._powers[: n - 1], out=self.prefix[1:])
+    Two different spans of n bytes agree in both for n * n in 2**62 of the bases at most, whatever their bytes."""
+
+    _powers: dict[int, np.ndarray] = {}
 
-    _powers = np.ones(1, dtype=np.uint64)
-    _inverses = np.ones(1, dtype=np.uint64)
+    def __init__(self, data: np.ndarray, second: bool = False):
+        """``second``: hashes by other bases and codes, independent of the usual ones."""
+        n = len(data)
+        self.lanes = (2, 3) if second else (0, 1)
+        self.prefixes = []
+        for lane in self.lanes:
+            prefix = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_folded(_BYTE_CODES[lane][data] * self._table(lane, n, 1)[:n]), out=prefix[1:])
+            self.prefixes.append(prefix)
 
     @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls._powers) < n:
-            for name, base in (("_powers", _BASE), ("_inverses", _BASE_INVERSE)):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
+    def _table(cls, lane: int, n: int, sign: int) -> np.ndarray:
+        """Powers of a lane's base (sign -1: of its inverse), n + 1 at least."""
+        key = sign * (lane + 1)
+        table = cls._powers.get(key, np.ones(1, dtype=np.uint32))
+        if len(table) <= n:
+            base = pow(_BASES[lane], sign, PRIME)
+            while len(table) <= n:
+                step = np.uint64(pow(base, len(table), PRIME))
+                table = np.concatenate([table, (table * step % _P).astype(np.uint32)])
+            cls._powers[key] = table
+        return table
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[ends] - self.prefix[starts]) * self._inverses[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        both = np.zeros(len(starts), dtype=np.uint64)
+        for lane, prefix in zip(self.lanes, self.prefixes, strict=True):
+            raw = _folded(_folded(prefix[ends] - prefix[starts]))
+            raw = _folded(_folded(raw * self._table(lane, len(prefix), -1)[starts]))
+            raw -= (raw >= _P) * _P
+            both = (both << _BITS) | raw
+        return mix(both + np.asarray(ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """:class:`RollingHash` of spans in the order of their starts, a piece of the bytes at a time (a longer span is one piece)."""
+    out, at = np.zeros(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE_BYTES)))
+        low, high = int(starts[at]), int(ends[at:stop].max())
+        out[at:stop] = RollingHash(data[low:high], second).spans(starts[at:stop] - low, ends[at:stop] - low)
+        at = stop
+    return out
+
+
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A number for every window of ``width`` bytes (a power of two), to order windows by: equal bytes, equal numbers."""
+    x, done, steps = _BYTE_CODES[0][data], 1, np.random.default_rng(7)
+    while done < width:
+        x = x[:-done] + x[done:] * np.uint64(int(steps.integers(1 << 60, 1 << 62)) * 2 + 1) if len(x) > done else x[:0]
+        done *= 2
+    return mix(x)
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +236,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tup
     starts, ends, rows = word_spans(data, offsets)
     if len(starts) == 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    words = RollingHash(data).spans(starts, ends)
-    steps = [np.uint64(pow(_BASE, 2 * k + 3, 1 << 64)) for k in range(width)]
+    words = span_hashes(data, starts, ends)
+    steps = [np.uint64(pow(_STEP, 2 * k + 3, 1 << 64)) for k in range(width)]
     out_rows, out = [], []
     if len(words) >= width:
         n = len(words) - width + 1

@@ -38,8 +38,8 @@ PER_SHARD = 4096
 ROUNDS = 6
 #: Ranges of the exchange: one a shard, and several shards each once there are more shards than this.
 RANGES = 20_000
-#: Of the dictionary that ids are compressed with on the way: rows it is trained on, its size, and the level.
-DICTIONARY_TEXTS, DICTIONARY_BYTES, LEVEL = 400, 1 << 16, 6
+#: Of the dictionary that ids are compressed with on the way: texts it is trained on, their most bytes, its size, and the level.
+DICTIONARY_TEXTS, DICTIONARY_TEXT_BYTES, DICTIONARY_BYTES, LEVEL = 400, 1 << 14, 1 << 16, 6
 
 
 def feistel_slots(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -68,11 +68,13 @@ def id_type(path: str, end_id: int) -> np.dtype:
 
 
 def travel_dictionary(docs: DataFrame, path: str, pattern: str, end_id: int, text_col: str) -> bytes:
-    """A zstandard dictionary of ids from DICTIONARY_TEXTS rows at most, of 4000 characters each; empty if these are too few."""
+    """A zstandard dictionary of ids from the DICTIONARY_TEXTS texts of the smallest hashes among those of DICTIONARY_TEXT_BYTES
+    at most, whole; empty if these are too few. It changes the bytes in flight, not the result."""
     import tiktoken
 
     encoder = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    rows = docs.select(F.substring(F.col(text_col), 1, 4000).alias("t")).filter("t <> ''").limit(DICTIONARY_TEXTS).collect()
+    short = docs.select(F.col(text_col).alias("t")).filter(F.octet_length("t").between(1, DICTIONARY_TEXT_BYTES))
+    rows = short.orderBy(F.xxhash64("t"), "t").limit(DICTIONARY_TEXTS).collect()
     kind = id_type(path, end_id)
     samples = [encoder.encode_to_numpy(r["t"], disallowed_special=()).astype(kind).tobytes() for r in rows]
     try:

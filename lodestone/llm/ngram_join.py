@@ -21,7 +21,7 @@ Documents are sets of distinct 5-word shingles (as 64-bit hashes); two documents
    pair of blocks puts out, of its links, each set's number and a forest with the same components.
 
 Rows with a null text or no words have an empty set and stand alone, without links. A row is known
-by (id, text); ids may repeat and may be null. Other columns are not read; ``one_per_component`` keeps
+by (id, text); ids may be of any type that has an order, may repeat and may be null. Other columns are not read; ``one_per_component`` keeps
 them all, whatever their names.
 """
 
@@ -76,7 +76,7 @@ def _sets(batch: pa.RecordBatch, width: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return bound_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return bound_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def _set_id(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[:2], *own, found], names=["key", "id", "n_shingles", "doc", "hot"])
         give_back()
 
-    return _keyed(docs, id_col, text_col).mapInArrow(task, "key long, id long, n_shingles long, doc long, hot array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(task, f"key long, id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, doc long, hot array<long>")
 
 
 def _shared_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, n_keys: int, hot: np.ndarray) -> DataFrame:

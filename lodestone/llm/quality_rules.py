@@ -69,6 +69,10 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         }
     )
     out = out.withColumn("_sorted", F.expr("sort_array(transform(_hash, (h, i) -> shiftleft(h, _bits) | cast(i as bigint)))")).withColumn("_mask", F.expr("shiftleft(1L, _bits) - 1"))
+    # texts of a million words leave 44 bits: where two of these stand for different windows, whole hashes are sorted
+    clash = "exists(zip_with(_sorted, slice(_sorted, 2, size(_sorted)), (x, y) -> shiftrightunsigned(x, _bits) = shiftrightunsigned(y, _bits) and get(_hash, cast(x & _mask as int)) <> get(_hash, cast(y & _mask as int))), x -> x)"
+    whole = "transform(sort_array(transform(_hash, (h, i) -> struct(h as h, cast(i as bigint) as i))), s -> shiftleft(s.h, _bits) | s.i)"
+    out = out.withColumn("_sorted", F.expr(f"if({clash}, {whole}, _sorted)"))
     same = "shiftrightunsigned(x, _bits) = shiftrightunsigned(y, _bits) and get(_hash, cast(x & _mask as int)) = get(_hash, cast(y & _mask as int))"
     out = out.withColumn("_next", F.expr(f"zip_with(_sorted, slice(_sorted, 2, size(_sorted)), (x, y) -> coalesce({same}, false))"))
     out = out.withColumn("_starts", F.expr("sort_array(array_compact(zip_with(_sorted, zip_with(_next, concat(array(false), _next), (a, b) -> coalesce(a, false) or b), (x, hit) -> if(hit and x is not null, x & _mask, cast(null as bigint)))))"))

@@ -5,7 +5,8 @@ are found by counting: each round sets probes inside the interval that still hol
 every partition counts the exact bytes and rows between probes, and only these sums (bounded by
 splitters x probes) come back. An interval is left once its cut is within tolerance, or once it
 has shrunk to one text; a group of equal texts larger than the tolerance is then cut by the id
-hash in the same way. Rows are exchanged once, with the splitters known; the slot of a row is the
+hash in the same way. A shard of many small rows (null texts, say) is cut again at equal numbers of rows,
+so that no task gets more than PART_ROWS and a little. Rows are exchanged once, with the splitters known; the slot of a row is the
 exact number of rows below its part plus its place there, so no later count is needed.
 
 Law: bytes. Shards differ by the tolerance (0.2 % of a shard) or one row, whichever is larger;
@@ -65,9 +66,10 @@ def _place(p1: np.ndarray, p2: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np
     return at
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float, total: int, n_rows: int) -> list[tuple[int, int, int, int]]:
-    """``parts - 1`` cuts (k1, k2, bytes below, rows below) of the keys at near-equal bytes."""
-    goal = [total * (i + 1) / parts for i in range(parts - 1)]
+def splitters(keys: DataFrame, goals: list[tuple[int, float]], tolerance: tuple[float, float], total: int, n_rows: int) -> list[tuple[int, int, int, int]]:
+    """A cut (k1, k2, bytes below, rows below) of the keys for each goal (0: bytes, 1: rows; so many below); tolerance: of both."""
+    goal = [g for _, g in goals]
+    of = [1 + measure for measure, _ in goals]
     # per splitter: lower and upper end as ((k1, k2), bytes, rows)
     state = [[((_LOW, _LOW), 0, 0), ((_HIGH, _HIGH), total, n_rows)] for _ in goal]
     done: list[tuple | None] = [None] * len(goal)
@@ -83,14 +85,14 @@ def splitters(keys: DataFrame, parts: int, tolerance: float, total: int, n_rows:
                 continue
             for p in (p for p in ordered if low[0] < p < high[0]):
                 here = (p, *counts[p])
-                if here[1] <= goal[i]:
+                if here[of[i]] <= goal[i]:
                     low = here
                 else:
                     high = here
                     break
-            nearer = min(low, high, key=lambda x: abs(x[1] - goal[i]))
+            nearer = min(low, high, key=lambda x: abs(x[of[i]] - goal[i]))
             state[i] = [low, high]
-            if abs(nearer[1] - goal[i]) <= tolerance or not _between(low[0], high[0]) or low[2] + 1 >= high[2]:
+            if abs(nearer[of[i]] - goal[i]) <= tolerance[of[i] - 1] or not _between(low[0], high[0]) or low[2] + 1 >= high[2]:
                 done[i] = nearer
     return [(d[0][0], d[0][1], d[1], d[2]) for d in done]
 
@@ -115,9 +117,19 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_i
     sized = docs.withColumns({"size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.col(id_col))})
     keys = durable(sized.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "size"), "keys")
     total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    per_shard = max(1, -(-n_rows // (shards * PART_ROWS)))
-    parts = shards * per_shard
-    cuts = splitters(keys, parts, TOLERANCE * total / shards, total, n_rows) if n_rows else []
+    tolerance = (TOLERANCE * total / shards, PART_ROWS / 50)
+    # cuts between shards, and of each shard the rows below it; then cuts inside shards of many rows
+    between = splitters(keys, [(0, total * i / shards) for i in range(1, shards)], tolerance, total, n_rows) if n_rows else []
+    below = [0, *(c[3] for c in between)] if n_rows else [0] * shards
+    inner: list[tuple[int, float]] = []
+    for low, high in zip(below, [*below[1:], n_rows], strict=True):
+        pieces = -(-(high - low) // PART_ROWS)
+        inner += [(1, low + (high - low) * i / pieces) for i in range(1, pieces)]
+    cuts = [(*c, i + 1) for i, c in enumerate(between)]
+    for c in splitters(keys, inner, tolerance, total, n_rows) if inner else []:
+        if c[:2] not in {k[:2] for k in cuts}:
+            cuts.append((*c, sum(b[:2] <= c[:2] for b in between)))
+    cuts.sort()
     p1 = np.array([c[0] for c in cuts], dtype=np.int64)
     p2 = np.array([c[1] for c in cuts], dtype=np.int64)
 
@@ -126,10 +138,10 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_i
         return pd.Series(_place(p1, p2, k1.to_numpy(), k2.to_numpy()).astype(np.int32))
 
     # rows below each part, less the rows below its shard: the first slot of the part
-    below = [0, *(c[3] for c in cuts)] if n_rows else [0] * parts
-    first = [below[i] - below[i - i % per_shard] for i in range(parts)]
+    shard = [0, *(c[4] for c in cuts)]
+    first = [rows - below[s] for rows, s in zip([0, *(c[3] for c in cuts)], shard, strict=True)]
     placed = sized.withColumn("_part", part_of("_k1", "_k2"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_k1", "_k2"))
-    starts = docs.sparkSession.createDataFrame(pa.table({"_part": pa.array(range(parts), pa.int32()), "_start": pa.array(first, pa.int64())}))
-    placed = placed.join(F.broadcast(starts), "_part")  # a row a part, of PART_ROWS rows each
-    return placed.withColumn("slot", (inside - 1 + F.col("_start")).cast("long")).withColumn("shard", F.floor(F.col("_part") / per_shard).cast("int")).select(*docs.columns, "size", "text_crc32", "shard", "slot")
+    starts = docs.sparkSession.createDataFrame(pa.table({"_part": pa.array(range(len(shard)), pa.int32()), "_shard": pa.array(shard, pa.int32()), "_start": pa.array(first, pa.int64())}))
+    placed = placed.join(F.broadcast(starts), "_part")  # a row a part, of PART_ROWS rows or a shard each
+    return placed.withColumn("slot", (inside - 1 + F.col("_start")).cast("long")).withColumn("shard", F.col("_shard")).select(*docs.columns, "size", "text_crc32", "shard", "slot")

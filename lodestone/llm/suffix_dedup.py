@@ -19,7 +19,8 @@ the next one's gram are a phrase. Any string of the threshold's length holds ``b
    overlapping ranks) must occur twice; these lie near the ends of repeats, and are compared by
    names of all their bytes, together with one occurrence of each repeated pair around.
 
-Strings never cross documents. Names have 94 bits or more. A text is known by 128 bits of hash, so
+Strings never cross documents. Names have 90 bits or more, of polynomials modulo a prime with bases of their
+own, so that no pattern of bytes makes two strings alike. A text is known by two hashes of 64 bits, so
 that equal texts are ranked as one; all strings of a text that stands in two rows or more are
 repeated, whatever the ids. A key that a task meets twice is settled there and then, and only one
 of it is sent on, so a passage in a third of all documents makes no large bucket.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, bound_batches, drop_durable, durable, give_way, mix, text_slices
+from .common import PIECE_BYTES, bound_batches, drop_durable, durable, give_way, gram_hashes, mix, span_hashes, text_slices
 from .exchange import BLOB_SCHEMA, Packer, bucket_bits, reduce_buckets
 
 #: Bytes of a repeated string.
@@ -80,14 +81,14 @@ _SPAN = "array<struct<start:int,stop:int>>"
 _KEY = ["k1", "k2"]
 
 
-def _minimisers(rolling: RollingHash, window: int) -> np.ndarray:
+def _minimisers(data: np.ndarray, window: int) -> np.ndarray:
     """For every window of grams the position of its smallest gram (of equal ones the last)."""
-    n = len(rolling.prefix) - GRAM
+    n = len(data) + 1 - GRAM
     if n < window:
         return np.zeros(0, dtype=np.int64)
     at = np.arange(n, dtype=np.int64)
     place = (1 << int(n).bit_length()) - 1
-    low = rolling.spans(at, at + GRAM) & np.uint64(~place & 0xFFFFFFFFFFFFFFFF) | (place - at).astype(np.uint64)
+    low = gram_hashes(data, GRAM) & np.uint64(~place & 0xFFFFFFFFFFFFFFFF) | (place - at).astype(np.uint64)
     width = 1
     while width * 2 <= window:
         low = np.minimum(low[: len(low) - width], low[width:])
@@ -104,8 +105,7 @@ def _first_ranks(data: np.ndarray, offsets: np.ndarray, shape: Shape):
     before it the first window starts whose minimum it is; how far before it (plus 1) that of the
     next anchor; the distance to the last phrase of the rank, and that phrase's gap; of the anchor
     where the rank ends, the same two distances of windows; a second name."""
-    rolling = RollingHash(data)
-    least = _minimisers(rolling, shape.window)
+    least = _minimisers(data, shape.window)
     # a window lies inside one text if it starts at most `last` there
     last = np.minimum(offsets[1:] - (shape.window + GRAM - 1), len(least) - 1)
     opens = np.zeros(len(least) + 1, dtype=np.int64)
@@ -126,12 +126,26 @@ def _first_ranks(data: np.ndarray, offsets: np.ndarray, shape: Shape):
     next_low = np.where(final, last[row] + 1, np.roll(low, -1))
     k = np.flatnonzero(row[b:] == row[:-b])
     end = at[k + b] + GRAM
-    names = rolling.spans(at[k], end)
-    second = RollingHash(data, second=True).spans(at[k], end) >> np.uint64(32)
+    names = span_hashes(data, at[k], end)
+    second = span_hashes(data, at[k], end, second=True) >> np.uint64(32)
     items = [(at - offsets[row])[k], (at[1:] - at[:-1])[k], (at - low)[k], (at + 1 - next_low)[k], at[k + b - 1] - at[k], at[k + b] - at[k + b - 1], at[k + b] - low[k + b], at[k + b] + 1 - next_low[k + b], second]
     return row[k], names, items
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray, shape: Shape, size: int):
+    """:func:`_first_ranks`, of one long text piece by piece: a suffix's items depend on the bytes near its anchor only."""
+    if len(offsets) > 2 or len(data) <= size:
+        yield _first_ranks(data, offsets, shape)
+        return
+    reach = (shape.base + 3) * (shape.window + GRAM)
+    for core in range(0, len(data), size):
+        low, high = max(0, core - reach), min(len(data), core + size + reach)
+        row, names, items = _first_ranks(data[low:high], np.array([0, high - low]), shape)
+        pos = items[0] + low
+        keep = (pos >= core) & (pos < core + size)
+        yield row[keep], names[keep], [pos[keep], *(x[keep] for x in items[1:])]
+
+
 def text_key(text_col: str) -> list[Column]:
     """The 128 bits that a text is known by."""
     return [F.xxhash64(F.col(text_col)).alias("k1"), F.xxhash64(F.col(text_col), F.lit(1)).alias("k2")]
@@ -176,10 +190,10 @@ def _ranked(texts: DataFrame, n_bytes: int, shape: Shape) -> DataFrame:
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, end, data, offsets in text_slices(batch, "text"):
-                row, names, items = _first_ranks(data, offsets, shape)
-                if len(row):
-                    own.add(names, row, items, [k1[first:end], k2[first:end], np.diff(offsets)])
-                yield from own.flush()
+                for row, names, items in _pieces(data, offsets, shape, PIECE_BYTES):
+                    if len(row):
+                        own.add(names, row, items, [k1[first:end], k2[first:end], np.diff(offsets)])
+                    yield from own.flush()
         yield from own.flush(force=True)
 
     def reducer(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -440,7 +454,6 @@ def _exact_starts(texts: DataFrame, n_keys: int, shapes: list[Shape]) -> DataFra
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             flat = [_flat(batch, f"checks_{c}") for c in range(len(shapes))]
             for first, end, data, offsets in text_slices(batch, "text"):
-                usual, second = RollingHash(data), RollingHash(data, second=True)
                 for c, ((rows, x), shape) in enumerate(zip(flat, shapes, strict=True)):
                     a, b = np.searchsorted(rows, [first, end])
                     start, length, row = x["start"][a:b].astype(np.int64), (x["stop"][a:b] - x["start"][a:b]).astype(np.int64), rows[a:b] - first
@@ -448,8 +461,8 @@ def _exact_starts(texts: DataFrame, n_keys: int, shapes: list[Shape]) -> DataFra
                     row = np.repeat(row, length)
                     if len(place):
                         at = place + offsets[row]
-                        check = second.spans(at, at + shape.threshold) >> np.uint64(32)
-                        own.add(usual.spans(at, at + shape.threshold), row, [place, np.repeat(x["open"][a:b].astype(np.uint8), length), np.full(len(place), c), check], [k1[first:end], k2[first:end]])
+                        check = span_hashes(data, at, at + shape.threshold, second=True) >> np.uint64(32)
+                        own.add(span_hashes(data, at, at + shape.threshold), row, [place, np.repeat(x["open"][a:b].astype(np.uint8), length), np.full(len(place), c), check], [k1[first:end], k2[first:end]])
                 yield from own.flush()
         yield from own.flush(force=True)
 
@@ -462,27 +475,16 @@ def _exact_starts(texts: DataFrame, n_keys: int, shapes: list[Shape]) -> DataFra
     return found.groupBy("k1", "k2").agg(*(F.collect_set(F.when(F.col("which") == c, F.col("start"))).alias(f"starts_{c}") for c in range(len(shapes))))
 
 
-def _runs(batches):
-    for batch in batches:
-        rows, x = _flat(batch, "suffixes")
-        pos = x["pos"].astype(np.int64)
-        r, s, e = _union(rows, pos, pos + x["last"] + x["last_gap"] + GRAM)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _span_lists(len(batch), r, s, e)], names=[*_KEY, "runs"])
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, also: tuple[int, ...] = (), runs: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THRESHOLD, also: tuple[int, ...] = ()) -> DataFrame:
     """(k1, k2, spans): for each text with repeats the maximal byte runs to remove, in order (null: none).
 
     ``k1``, ``k2`` are :func:`text_key`; texts without repeats have no row. For each further threshold in
-    ``also`` there is a column ``spans_<threshold>``, from the same ranks. With ``runs`` there is one more,
-    the maximal runs of bytes under repeated first ranks, of any length: a string that is repeated stands in
-    such a run but for a window at most at each of its ends, if it has ``base + 2`` windows."""
+    ``also`` there is a column ``spans_<threshold>``, from the same ranks."""
     thresholds = [threshold, *also]
     shapes = [Shape(t, min(thresholds)) for t in thresholds]
     texts = _keyed(docs.filter(F.octet_length(text_col) >= min(thresholds)), text_col)
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranked = durable(_ranked(texts, n_bytes, shapes[0]), "suffixes")
-    first = durable(ranked.mapInArrow(_runs, f"k1 long, k2 long, runs {_SPAN}"), "runs") if runs else None
     levels, n_levels = _levels(ranked, max(shapes, key=lambda s: s.far))
     drop_durable(ranked)
     n_pairs = 2 * (levels.agg(F.sum(F.size("suffixes"))).first()[0] or 0)
@@ -529,7 +531,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THR
     spans = durable(spans.select(*_KEY, *(F.when(F.size(name) > 0, F.col(name)).alias(name) for name in names)), "spans")
     drop_durable(sure)
     drop_durable(checks)
-    return first.join(spans, _KEY, "left").select(*_KEY, *names, "runs") if runs else spans
+    return spans
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import RollingHash, bound_batches, give_back, give_way, text_slices, word_spans
+from .common import bound_batches, give_back, give_way, span_hashes, text_slices, word_spans
 from .training_rows import logistic, logistic_score
 
 LEVEL = 12
@@ -97,11 +97,13 @@ def features(rows: np.ndarray, difference: np.ndarray, n_rows: int) -> np.ndarra
 
 
 def train(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """Dictionaries from two thirds of the rows, calibration from the rest. With one class only, scores are its share.
+    """Dictionaries from two thirds of the rows, calibration from the rest (from all rows where either lacks a class).
 
+    Without rows of both classes nothing is known: every score is 0 (but for rounding), and no text is taken for toxic.
     Texts are folded one at a time, in passes, so that memory is that of the counts."""
     fit = [(t, y) for t, y in rows if zlib.crc32(t.encode()) % 3]
     rest = [(t, y) for t, y in rows if not zlib.crc32(t.encode()) % 3]
+    fit, rest = (part if len({y for _, y in part}) == 2 else rows for part in (fit, rest))
     n = Counter(y for _, y in fit)
     common: Counter = Counter()
     toxic: Counter = Counter()
@@ -146,7 +148,7 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
             parts.append(features(np.zeros(len(words), dtype=np.int64), np.array([known[w] for w in words], dtype=float), 1))
         model.weights = logistic(np.concatenate(parts), y)
     else:
-        model.weights = (np.array([math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5))] + [0.0] * (2 + 2 * len(STEPS))), 0.0, 1.0)
+        model.weights = (np.array([-30.0] + [0.0] * (2 + 2 * len(STEPS))), 0.0, 1.0)
     return model
 
 
@@ -164,7 +166,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             for first, end, data, offsets in text_slices(batch, text_col):
                 data = _FOLD[data]
                 starts, ends, rows = word_spans(data, offsets)
-                names, at, inverse = np.unique(RollingHash(data).spans(starts, ends), return_index=True, return_inverse=True)
+                names, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
                 if len(known) > TABLE_WORDS:
                     known.clear()
                 names = names.tolist()

@@ -13,19 +13,23 @@ MAX_SAMPLE_BYTES = 64 << 20
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """At most ``max_rows`` (text, label), of MAX_SAMPLE_BYTES together, of rows that are not held out, chosen by a hash of the id.
 
-    Which rows depends on ids and lengths alone, not on how the table is split; rows without text or label are left out.
-    An id with several labels or texts counts with each."""
+    Which rows depends on ids and texts alone, not on how the table is split; rows without text or label are left out.
+    An id with several labels or texts counts with each, rows that agree in id, text and label count once. In the order of the
+    hash a text that does not fit any more is passed over, and the next ones are tried."""
     chosen = labels.filter(F.col(label_col).isNotNull() & ~held_out).select(id_col, F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col, "y").limit(max_rows)
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).filter(F.col(text_col).isNotNull())
-    found = found.withColumn("h", F.xxhash64(id_col))
-    total = 0
-    for h, n in sorted(found.select("h", F.octet_length(text_col)).collect()):  # numbers only: two a row
-        total += n
-        if total > MAX_SAMPLE_BYTES:
-            found = found.filter(F.col("h") < h)
-            break
-    rows = found.select("h", text_col, "y").collect()
-    return [(r[1], r[2]) for r in sorted(rows)][:max_rows]
+    found = found.withColumns({"h": F.xxhash64(id_col), "t": F.xxhash64(text_col), "n": F.octet_length(text_col)})
+    sizes = found.filter(F.col("n") <= MAX_SAMPLE_BYTES).groupBy("h", "t", "y").agg(F.min("n").alias("n"))
+    total, fitting = 0, []
+    for h, t, y, n in sizes.orderBy("h", "t", "y").limit(max_rows).collect():  # numbers only
+        if total + n <= MAX_SAMPLE_BYTES:
+            total += n
+            fitting.append((h, t, y))
+    if not fitting:
+        return []
+    keys = docs.sparkSession.createDataFrame(fitting, "h long, t long, y int")  # max_rows at most
+    rows = found.join(F.broadcast(keys), ["h", "t", "y"]).groupBy("h", "t", "y").agg(F.first(text_col).alias("text")).collect()
+    return [(r[3], r[2]) for r in sorted(rows)]
 
 
 def held_out(parts: int, part: int, id_col: str = "doc_id") -> Column:
