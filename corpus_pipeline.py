@@ -1,12 +1,13 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read by the next.
 
-1. toxicity: documents that the compression-distance classifier rejects go (clean ones stay).
+1. toxicity: documents that the compression-distance classifier rejects go (clean ones stay; without labels of both
+   classes, all).
 2. near copies: one document of each group of the n-gram Jaccard join stays, that of the smallest id.
 3. repeated passages: runs of 50 words or more under 200-byte strings that occur twice go from the text
    (50 words of prose have 240 bytes or more, so every passage of over 50 words holds such strings;
    shorter repeats stay; a character cut in part goes as a whole; n_chars follows; no document is dropped).
 4. mixing: documents stand in the order of their block in the Pfair mix, over files in order.
-5. byte-level BPE: ids of the text, and the text read back from the ids.
+5. byte-level BPE: ids of the text, and the text read back from the ids (a null text comes back empty); other columns stay.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, ngram_join, queries, suffix_dedup
-from lodestone.llm.common import scratch_dir, set_aside
+from lodestone.llm.common import give_way, scratch_dir, set_aside
 
 #: Blocks of the mix that one output file holds.
 BLOCKS_PER_FILE = 128
@@ -52,9 +53,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(queries.VOCABULARY)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, path, drop=("text", "n_split"))
-    return decoded.select("doc_id", F.decode("decoded", "UTF-8").alias("text"), "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    docs = give_way(docs, "n_tokens", "ids")
+    plain, named = set_aside(docs, "text")
+    decoded = bpe.decode(bpe.encode(plain, path, public_tokenizers.PATTERN), path, drop=("text", "n_split"))
+    return named(decoded.withColumn("text", F.decode("decoded", "UTF-8")), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("mixing", mix), ("byte_bpe", encode)]
