@@ -7,11 +7,12 @@ are a quarter of the characters, at least one."""
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -168,26 +169,30 @@ def token_chunks(blocks: DataFrame, doc: str, order: str, limit: int = 512, over
 # --- profiles --------------------------------------------------------------------------------------
 
 
-def manual_chunks(units: DataFrame, doc: str, order: str) -> DataFrame:
-    """(doc, idx, section, kinds, text): a unit joins the one before if that is short, or of the same section (or the unit is a
-    table or an image) and not long yet. units: doc, order, section, kind, text."""
+def running_groups(rows: DataFrame, doc: str, item: Column) -> DataFrame:
+    """(doc, at, idx): the chunk of each unit of a document in order. A unit joins the one before if that is short, or of the same
+    section (or the unit is a table or an image) and not long yet. item: struct(at, text, section, kind)."""
+    gathered = rows.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lengths = F.transform("items", lambda x: F.struct(F.length(F.coalesce(x["text"], F.lit(""))).cast("long").alias("n"), x["section"].alias("section"), x["kind"].alias("kind")))
+    section = dict(gathered.select(lengths.alias("x")).select("x.section").dtypes)["section"].removeprefix("array<").removesuffix(">")
+    tokens_ = "greatest(1, s.n div 4)"
+    joins = f"s.idx >= 0 and ({tokens_} < {SECTION_LEAST} or {tokens_} < {SECTION_MOST} and (s.section <=> x.section or x.kind in ('table', 'image')))"
+    step = f"""(s, x) -> if({joins}, named_struct('idx', s.idx, 'n', s.n + 1 + x.n, 'section', s.section, 'places', concat(s.places, array(s.idx))),
+        named_struct('idx', s.idx + 1, 'n', x.n, 'section', x.section, 'places', concat(s.places, array(s.idx + 1))))"""
+    start = f"named_struct('idx', -1, 'n', 0L, 'section', cast(null as {section}), 'places', cast(array() as array<int>))"
+    found = gathered.withColumn("_lengths", lengths).withColumn("_places", F.expr(f"aggregate(_lengths, {start}, {step}).places"))
+    return found.select(doc, F.explode(F.arrays_zip(F.col("items.at").alias("at"), F.col("_places").alias("idx"))).alias("x")).select(doc, "x.at", "x.idx")
 
-    def fold(items: list[dict]) -> list[tuple]:
-        out: list[dict] = []
-        for item in items:
-            text, last = item["text"] or "", out[-1] if out else None
-            n = tokens(last["text"]) if last else 0
-            if last and (n < SECTION_LEAST or n < SECTION_MOST and (last["section"] == item["section"] or item["kind"] in MEDIA)):
-                last["text"] += "\n" + text
-                last["kinds"].add(item["kind"] or "text")
-            else:
-                out.append({"section": item["section"], "text": text, "kinds": {item["kind"] or "text"}})
-        return [(k, x["section"], ",".join(sorted(x["kinds"])), x["text"]) for k, x in enumerate(out)]
 
-    return per_document(units, doc, order, ["section", "kind", "text"], fold, "idx int, section string, kinds string, text string")
+def manual_chunks(units: DataFrame, doc: str, order: str) -> DataFrame:
+    """(doc, idx, section, kinds, text): units joined by :func:`running_groups`. units: doc, order, section, kind, text."""
+    units = units.withColumns({"kind": F.coalesce("kind", F.lit("text")), "text": F.coalesce("text", F.lit(""))})
+    placed = running_groups(units, doc, F.struct(F.col(order).alias("at"), "text", "section", "kind"))
+    joined = units.join(placed.withColumnRenamed("at", order), [doc, order]).groupBy(doc, "idx").agg(F.array_sort(F.collect_list(F.struct(order, "section", "kind", "text"))).alias("us"))
+    return joined.select(doc, "idx", F.col("us")[0]["section"].alias("section"), F.array_join(F.array_sort(F.array_distinct("us.kind")), ",").alias("kinds"), F.array_join("us.text", "\n").alias("text"))
 
 
-def article_chunks(lines: DataFrame, doc: str, order: str, article: str = "^第[零一二三四五六七八九十百0-9]+条|^(?i)article [0-9]+") -> DataFrame:
+def article_chunks(lines: DataFrame, doc: str, order: str, article: str = "^第[一二三四五六七八九十百千万0-9]+条") -> DataFrame:
     """(doc, idx, text): one chunk for each article of a law, from its line to the next article's; lines before the first are left out."""
     number = F.sum(F.when(F.col("text").rlike(article), 1).otherwise(0)).over(Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     held = lines.withColumn("idx", (number - 1).cast("int")).filter("idx >= 0")
@@ -288,20 +293,24 @@ def without_contents(lines: DataFrame, doc: str, order: str, english: bool = Fal
 
 
 def _fragments(payload: str, frame: Callable[[str, int, int], str], limit: int) -> list[str]:
-    """The payload in framed parts that fit; the number of parts is in the frame, so it is found by trying."""
-    total = 1
-    for _ in range(20):
-        parts, at = [], 0
-        while at < len(payload):
-            room = 4 * limit + 3 - len(frame("", len(parts) + 1, total))
-            if room < 1:
-                raise ValueError("the frame of a cell leaves no room for its content")
-            parts.append(payload[at : at + room])
-            at += room
-        if len(parts) == total:
-            return [frame(p, k, total) for k, p in enumerate(parts, 1)]
-        total = len(parts)
-    raise ValueError("the number of a cell's parts does not settle")
+    """The payload in framed parts that fit. A frame shows a part's number and the number of parts, so the room in it depends on how
+    many digits these have only: for a total of d digits, 9 parts have one digit, 90 two, and so on up to d."""
+    if not payload:
+        return []
+    for digits in range(1, len(str(len(payload))) + 1):
+        rooms = [4 * limit + 3 - len(frame("", 10**k, 10 ** (digits - 1))) for k in range(digits)]
+        if rooms[-1] < 1:
+            break
+        left, total = len(payload), 0
+        for k, room in enumerate(rooms):
+            parts = min(9 * 10**k, -(-left // room))
+            left, total = max(0, left - parts * room), total + parts
+        if not left and len(str(total)) <= digits:
+            cuts = [0]
+            for k in range(1, total + 1):
+                cuts.append(min(len(payload), cuts[-1] + rooms[len(str(k)) - 1]))
+            return [frame(payload[a:b], k, total) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1)]
+    raise ValueError("the frame of a cell leaves no room for its content")
 
 
 def _letters(column: int) -> str:
@@ -384,34 +393,75 @@ def semantic_chunks(blocks: DataFrame, doc: str, order: str, size: int = C.SIZE,
     return chunks.join(small, doc, "left_anti").unionByName(windows)
 
 
+def collapsed(text: str) -> tuple[str, list[int]]:
+    """A text with single blanks for runs of white space, and for each character its place in the text."""
+    runs = [m.span() for m in re.finditer(r"\s+", text)]
+    places, at = [], 0
+    for a, b in runs:
+        places += range(at, a + 1)
+        at = b
+    return re.sub(r"\s+", " ", text), [*places, *range(at, len(text))]
+
+
+def locate(full: str, parts: list[str]) -> list[tuple[int, int]]:
+    """Where each part starts and stops in the full text: as it is, from the start of the one before on or else anywhere; or with
+    blanks that differ, the same way; what is not found stands where the one before stopped."""
+    out, at, stop, smooth = [], 0, 0, None
+    for part in parts:
+        found = full.find(part, at)
+        if found < 0:
+            found = full.find(part)
+        if found < 0 and (words := " ".join(part.split())):
+            smooth = smooth or collapsed(full)
+            found = smooth[0].find(words, bisect.bisect_left(smooth[1], at))
+            if found < 0:
+                found = smooth[0].find(words)
+            found = smooth[1][found] if found >= 0 else found
+        start = stop if found < 0 else found
+        at, stop = max(at, start), start + len(part)
+        out.append((start, stop))
+    return out
+
+
+def covered(spans: DataFrame, pieces: DataFrame, doc: str, key: str) -> DataFrame:
+    """(doc, key, low, high): for each span (doc, key, start, stop) the numbers of the pieces (doc, number from 1, p_start, p_stop; in
+    order, apart from each other) that it meets; null where it meets none.
+
+    One sweep: ends of pieces and of spans are put in order once, and two running counts tell how many pieces have ended
+    by the span's start, and how many have begun before its stop."""
+    tagged = lambda df, at, turn, ended, begun, k: df.select(doc, F.col(at).cast("long").alias("at"), F.lit(turn).alias("turn"), F.lit(ended).alias("ended"), F.lit(begun).alias("begun"), k.alias("key"))
+    none = F.lit(None).cast(dict(spans.dtypes)[key])
+    events = tagged(pieces, "p_stop", 0, 1, 0, none).unionByName(tagged(spans, "start", 1, 0, 0, F.col(key))).unionByName(tagged(spans, "stop", 2, 0, 0, F.col(key))).unionByName(tagged(pieces, "p_start", 3, 0, 1, none))
+    so_far = Window.partitionBy(doc).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumns({"low": F.sum("ended").over(so_far) + 1, "high": F.sum("begun").over(so_far)}).filter(F.col("turn").isin(1, 2))
+    ends = counted.groupBy(doc, F.col("key").alias(key)).agg(F.max(F.when(F.col("turn") == 1, F.col("low"))).alias("low"), F.max(F.when(F.col("turn") == 2, F.col("high"))).alias("high"))
+    meets = F.col("low") <= F.col("high")
+    return ends.select(doc, key, F.when(meets, F.col("low")).alias("low"), F.when(meets, F.col("high")).alias("high"))
+
+
 def finalise(chunks: DataFrame, blocks: DataFrame, doc: str, order: str) -> DataFrame:
     """``chunks`` (doc, idx, text) with start and stop in the text of the stripped blocks joined by line breaks, first_block, n_blocks,
     kinds, page, and the box (x0, y0, x1, y1) around its blocks on that page. blocks: doc, order, text, kind, page, x0 .. y1.
 
-    A chunk is looked for after the start of the one before; what is not found stands where that ended."""
+    Chunks are found by :func:`locate`; the blocks that they meet by one sweep a document, and only these are joined."""
     spans = C.canonical_source(blocks.select(doc, order, "text"), doc, order, "text")
+    spans = spans.withColumn("number", F.row_number().over(Window.partitionBy(doc).orderBy(order)).cast("long"))
     full = spans.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("full"))
 
     def fold(items: list[dict]) -> list[tuple]:
-        out, at, end = [], 0, 0
-        for item in items:
-            text = (item["text"] or "").strip()
-            start = items[0]["full"].find(text, at)
-            start = end if start < 0 else start
-            end = start + len(text)
-            at = start + 1
-            out.append((item["idx"], text, start, end))
-        return out
+        texts = [(item["text"] or "").strip() for item in items]
+        return [(item["idx"], text, *span) for item, text, span in zip(items, texts, locate(items[0]["full"], texts), strict=True)]
 
     first = F.row_number().over(Window.partitionBy(doc).orderBy("idx")) == 1  # the text goes along once
     placed = per_document(chunks.join(full, doc).withColumn("full", F.when(first, F.col("full"))), doc, "idx", ["text", "full"], fold, "idx int, text string, start int, stop int")
-    boxed = spans.select(doc, order, F.col("start").alias("b_start"), F.col("stop").alias("b_stop")).join(blocks.drop("text"), [doc, order])
-    met = placed.join(boxed, doc).filter((F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")))
-    led = met.groupBy(doc, "idx").agg(F.min_by("page", order).alias("page"))
-    near = (F.col("page") == F.col("lead")) | (F.col("page").isNull() & F.col("lead").isNull())
+    numbered = spans.select(doc, order, "number", F.col("start").alias("p_start"), F.col("stop").alias("p_stop"))
+    met = covered(placed.filter("start < stop"), numbered, doc, "idx").filter("low is not null").select(doc, "idx", F.explode(F.sequence("low", "high")).alias("number"))
+    met = met.join(numbered.select(doc, order, "number").join(blocks.drop("text"), [doc, order]), [doc, "number"])
+    led = met.groupBy(doc, "idx").agg(F.min_by("page", "number").alias("lead"))
+    near = F.col("page").eqNullSafe(F.col("lead"))
     box = lambda f, c: f(F.when(near, F.col(c))).alias(c)
-    found = met.join(led.withColumnRenamed("page", "lead"), [doc, "idx"]).groupBy(doc, "idx").agg(
-        F.min(order).alias("first_block"), F.count("*").alias("n_blocks"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.min("lead").alias("page"), box(F.min, "x0"), box(F.min, "y0"), box(F.max, "x1"), box(F.max, "y1")
+    found = met.join(led, [doc, "idx"]).groupBy(doc, "idx").agg(
+        F.min_by(order, "number").alias("first_block"), F.count("*").alias("n_blocks"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.min("lead").alias("page"), box(F.min, "x0"), box(F.min, "y0"), box(F.max, "x1"), box(F.max, "y1")
     )
     return placed.join(found, [doc, "idx"], "left")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import chunking as C
+from ..operators import profiles as P
 from ..operators import retrieval as R
 from ..functions import text as T
 from ..functions import values as V
@@ -50,6 +51,112 @@ def chk07_children(t):
     return B.children(_lines(t).withColumnRenamed("ord", "idx"), "doc_id", ".,").select("doc_id", "idx", F.md5("text").alias("part"), F.md5("parent").alias("parent"))
 
 
+#: Every third document a manual whose blocks have levels, a manual known by its lines, or a law.
+_TYPED = {
+    "level": "case when doc_id % 3 = 0 and ord % 5 = 0 then 1 + ord % 4 % 3 else 0 end",
+    "text": """case when doc_id % 3 = 0 or ord % 3 = 1 and ord % 7 > 0 then text
+        when doc_id % 3 = 1 then case when ord % 5 = 0 then concat(1 + ord // 5, case when ord % 2 = 0 then '.' || ord % 4 else '.' end, ' ', left(text, 30)) when ord % 11 = 3 then left(text, 9) || ':' else text end
+        when ord % 7 = 0 then concat('第', ord // 7 + 1, '章 ', left(text, 20)) when ord % 3 = 0 then concat('第', ord, '条 ', left(text, 40)) when ord % 3 = 2 and ord % 2 = 0 then concat(ord % 9, '.', ord % 5, ' ', text) else text end""",
+}
+_TYPED_SQL = f"""{_LINES_SQL},
+ typed as (select doc_id, ord, kind, {_TYPED['level']} as level, trim({_TYPED['text']}, ' ') as text from lines),
+ kept as (select *, max(level) over (partition by doc_id) as own from typed where text <> ''),
+ headed as (select doc_id, ord, kind, text, doc_id % 3 = 2 as law,
+   case when doc_id % 3 = 2 then case when regexp_matches(text, '^第[0-9]+章') then 1 when regexp_matches(text, '^第[0-9]+条') then 3 when regexp_matches(text, '^[0-9]+[.][0-9]+ ') then 2 when regexp_matches(text, '^[0-9]+[.]? ') then 1 end
+     when own > 0 then nullif(level, 0)
+     when length(text) <= 30 and text like '%:' then 1 when length(text) <= 60 and regexp_matches(text, '^[0-9]+([.][0-9]+)*([.] | ).') then least(3, 1 + length(regexp_extract(text, '^([0-9]+([.][0-9]+)*)', 1)) - length(replace(regexp_extract(text, '^([0-9]+([.][0-9]+)*)', 1), '.', ''))) end as lvl,
+   doc_id % 3 = 2 and regexp_matches(text, '^(第[0-9]+条|[0-9]+[.][0-9]+ )') as article
+   from kept where not (doc_id % 3 = 2 and regexp_matches(text, '[.]{{3,}} *[0-9]+$'))),
+ last as (select *, max(case when lvl = 1 then ord end) over w as l1, max(case when lvl = 2 then ord end) over w as l2, max(case when lvl = 3 then ord end) over w as l3, max(case when lvl > 0 then ord end) over w as section
+   from headed window w as (partition by doc_id order by ord)),
+ opened as (select *, case when l2 > coalesce(l1, -1) then l2 end as o2, case when l3 > greatest(coalesce(l1, -1), coalesce(l2, -1)) then l3 end as o3 from last),
+ units as (select o.doc_id, o.section, law, string_agg(o.text, chr(10) order by o.ord) as text, any_value(l1) as l1, any_value(o2) as o2, any_value(o3) as o3, max(case when o.ord = o.section then lvl else 0 end) as level,
+   bool_or(article and o.ord = o.section) as article, min(o.ord) as first_block, max(o.ord) as last_block, count(*) as n, case when o.section is not null and count(distinct o.kind) = 1 then any_value(o.kind) else 'text' end as kind
+   from opened o group by o.doc_id, o.section, law),
+ named as (select u.*, concat_ws(' > ', a.text, b.text, c.text) as path from units u left join kept a on a.doc_id = u.doc_id and a.ord = u.l1 left join kept b on b.doc_id = u.doc_id and b.ord = u.o2 left join kept c on c.doc_id = u.doc_id and c.ord = u.o3),
+ laws as (select doc_id, row_number() over (partition by doc_id order by section) - 1 as idx, 'text' as kind, text, path, level, case when article then 'article' else 'section' end as node, first_block, last_block, n from named where law and section is not null and (article or n > 1)),
+ ranked as (select *, row_number() over (partition by doc_id order by first_block) as rn from named where not law),
+ fold as (select doc_id, rn, 0 as idx, length(text) as size, section from ranked where rn = 1
+   union all select r.doc_id, r.rn, f.idx + (not joins)::int, case when joins then f.size + 1 + length(r.text) else length(r.text) end, case when joins then f.section else r.section end
+   from (select f.*, r.text, r.section as own, r.kind, r.doc_id as d, r.rn as k, greatest(1, f.size // 4) < 32 or greatest(1, f.size // 4) < 1024 and (r.section is not distinct from f.section or r.kind <> 'text') as joins from fold f join ranked r on r.doc_id = f.doc_id and r.rn = f.rn + 1) f join ranked r on r.doc_id = f.d and r.rn = f.k),
+ manuals as (select r.doc_id, f.idx, arg_min(r.kind, r.rn) as kind, string_agg(r.text, chr(10) order by r.rn) as text, arg_min(r.path, r.rn) as path, arg_min(r.level, r.rn) as level,
+   case when arg_min(coalesce(r.section, -1), r.rn) < 0 then 'root' else 'section' end as node, min(first_block) as first_block, max(last_block) as last_block, sum(n) as n
+   from fold f join ranked r on r.doc_id = f.doc_id and r.rn = f.rn group by r.doc_id, f.idx)"""
+
+
+def _typed(t):
+    exprs = {c: e.replace("//", "div") for c, e in _TYPED.items()}
+    return _lines(t).withColumns({"level": F.expr(exprs["level"]), "text": F.expr(exprs["text"])}).drop("document_type")
+
+
+@query(f"""with recursive {_TYPED_SQL}
+ select doc_id, idx::int as idx, kind, md5(text) as text_md5, path, level::int as level, node, first_block::int as first_block, last_block::int as last_block, n::bigint as n_blocks from (select * from laws union all by name select * from manuals)""")
+def chk06_chk10_sections_by_type(t):
+    types = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 2, "laws").otherwise(" Manual").alias("document_type"))
+    found = P.chunks_by_type(_typed(t), types, "doc_id", "ord").filter("node is not null")
+    return found.select("doc_id", "idx", "kind", F.md5("text").alias("text_md5"), F.array_join("section_path", " > ").alias("path"), F.col("section_level").alias("level"), "node", "first_block", "last_block", "n_blocks")
+
+
+@query()
+def chk06_chunks_by_type(t):
+    """All four ways in one result: levels, rules, laws, and general documents around their tables and images or packed."""
+    types = t.documents.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 2, "laws").otherwise("manual").alias("document_type"))
+    return P.chunks_by_type(_typed(t), types, "doc_id", "ord", least=C.LEAST)
+
+
+_SPANS_SQL = f"""{_LINES_SQL}, x as (select doc_id, ord, trim(text, ' ') as text, kind from lines where trim(text, ' ') <> ''),
+ blocks as (select *, sum(length(text) + 1) over (partition by doc_id order by ord) - length(text) - 1 as b_start from x),
+ whole as (select doc_id, string_agg(text, chr(10) order by ord) as body from x group by doc_id),
+ windows as (select doc_id, body, k, trim(substr(body, 300 * k + 1, 340), ' ' || chr(10)) as part from whole, unnest(range((length(body) + 299) // 300)) as s(k)),
+ asked as (select doc_id, k, row_number() over (partition by doc_id order by k) as rn, translate(body, chr(10), ' ') as body, translate(part, chr(10), ' ') as words, part, body as raw from windows where part <> ''),
+ walk as (select doc_id, rn, k, part, pos, pos + length(part) + case when k % 2 = 1 then length(part) - length(replace(part, ' ', '')) else 0 end as stop
+   from (select *, case when k % 2 = 0 then strpos(raw, part) - 1 else strpos(body, words) - 1 end as pos from asked where rn = 1)
+   union all
+   select doc_id, rn, k, part, pos, pos + length(part) + case when k % 2 = 1 then length(part) - length(replace(part, ' ', '')) else 0 end
+   from (select a.*, w.pos + strpos(substr(case when a.k % 2 = 0 then a.raw else a.body end, (w.pos + 1)::bigint), case when a.k % 2 = 0 then a.part else a.words end) - 1 as pos from walk w join asked a on a.doc_id = w.doc_id and a.rn = w.rn + 1)),
+ met as (select w.doc_id, w.k, w.pos, w.stop, b.ord, b.kind, b.b_start, length(b.text) as n, b.ord // 40 as page, first_value(b.ord // 40) over (partition by w.doc_id, w.k order by b.ord) as lead
+   from walk w join blocks b on b.doc_id = w.doc_id and w.pos < b.b_start + length(b.text) and b.b_start < w.stop)"""
+
+
+@query(f"""with recursive {_SPANS_SQL}
+ select doc_id, k::int as idx, any_value(pos)::int as start, any_value(stop)::int as stop, min(ord)::int as first_block, count(*) as n_blocks, string_agg(distinct kind, ',' order by kind) as kinds, any_value(lead)::int as page,
+  min(case when page = lead then 10.0::double end) as x0, min(case when page = lead then ord % 40 * 12 end)::double as y0, max(case when page = lead then 10.0 + n end)::double as x1, max(case when page = lead then ord % 40 * 12 + 12 end)::double as y1
+ from met group by doc_id, k""")
+def chk07_str14_spans_and_boxes(t):
+    """Windows of the whole text looked for again; in every other one the blanks are doubled."""
+    boxed = _boxed(t).withColumn("x1", F.expr("10.0D + length(trim(text))"))
+    kept = boxed.withColumn("text", F.trim("text")).filter("text <> ''")
+    whole = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    parts = whole.select("doc_id", F.posexplode(F.expr("transform(sequence(0, (length(body) + 299) div 300 - 1), k -> substr(body, cast(300 * k + 1 as int), 340))")).alias("idx", "text"))
+    parts = parts.withColumn("text", F.regexp_replace("text", "^[ \n]+|[ \n]+$", "")).filter("text <> ''")
+    doubled = parts.withColumn("text", F.when(F.col("idx") % 2 == 1, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text")))
+    return B.finalise(doubled, boxed, "doc_id", "ord").drop("text")
+
+
+_LEVELS = "case when length(text) < 40 then 1 when text {0} '^[A-C]' then 2 when text {0} '^[D-H]' then 3 when text {0} '^[I-L]' then 4 else 5 end"
+_MERGE_SQL = f"""{_LINES_SQL}, leveled as (select doc_id, ord, text, {_LEVELS.format("~")} as lvl from (select doc_id, ord, text from lines where length(trim(split_part(text, '@', 1), ' ')) > 1 and not regexp_full_match(trim(split_part(text, '@', 1), ' '), '[0-9]+'))),
+ above as (select *, max(case when lvl = 1 then ord end) over w as p1, max(case when lvl = 2 then ord end) over w as p2, max(case when lvl = 3 then ord end) over w as p3, max(case when lvl = 4 then ord end) over w as p4
+   from leveled window w as (partition by doc_id order by ord rows between unbounded preceding and 1 preceding)),
+ chains as (select doc_id, ord, text, lvl, list_reduce(list_concat([[ord]], list_transform(list_filter([case when lvl > 4 then p4 end, case when lvl > 3 then p3 end, case when lvl > 2 then p2 end, case when lvl > 1 and lvl <> 2 then p1 end], lambda p: p is not null), lambda p: [p])),
+   lambda c, p: case when p[1] > c[len(c)] then list_concat(c[:len(c) - 1], p) else list_concat(c, p) end) as chain from above),
+ t1 as (select * from chains where lvl = 5), u1 as (select distinct doc_id, unnest(chain) as ord from t1),
+ t2 as (select c.* from chains c anti join u1 using (doc_id, ord) where lvl = 4), u2 as (select * from u1 union select doc_id, unnest(chain) from t2),
+ t3 as (select c.* from chains c anti join u2 using (doc_id, ord) where lvl = 3),
+ every as (select * from t1 union all select * from t2 union all select * from t3),
+ texts as (select e.doc_id, e.lvl, e.ord, (select string_agg(l.text, chr(10) order by list_position(e.chain, l.ord) desc) from leveled l where l.doc_id = e.doc_id and list_contains(e.chain, l.ord)) as text, len(e.chain) as k from every e),
+ ranked as (select *, row_number() over (partition by doc_id order by lvl desc, ord) as rn from texts),
+ fold as (select doc_id, rn, text, case when k = 1 and greatest(1, length(text) // 4) < 218 then 0 else 1 end as idx, case when k = 1 then greatest(1, length(text) // 4) else 218 end as used from ranked where rn = 1
+   union all select r.doc_id, r.rn, r.text, f.idx + (not (r.k = 1 and f.used + greatest(1, length(r.text) // 4) < 218))::int, case when r.k > 1 then 218 when f.used + greatest(1, length(r.text) // 4) < 218 then f.used + greatest(1, length(r.text) // 4) else greatest(1, length(r.text) // 4) end
+   from fold f join ranked r on r.doc_id = f.doc_id and r.rn = f.rn + 1)"""
+
+
+@query(f"""with recursive {_MERGE_SQL}
+ select doc_id, (dense_rank() over (partition by doc_id order by idx) - 1)::int as idx, md5(string_agg(text, chr(10) order by rn)) as text_md5 from fold group by doc_id, idx""")
+def chk14_hierarchical_merge(t):
+    leveled = _lines(t).withColumn("level", F.expr(_LEVELS.format("rlike")))
+    return P.hierarchical_merge(leveled, "doc_id", "ord", 3, 5).select("doc_id", "idx", F.md5("text").alias("text_md5"))
+
+
 @query()
 def chk10_manual_chunks(t):
     units = _lines(t).withColumn("section", F.substring("text", 1, 1))
