@@ -37,14 +37,20 @@ def minmax(df: DataFrame, value: str, scope: list[str]) -> DataFrame:
     return df.withColumn("score", F.when(high == low, 0.5).otherwise((F.col(value) - low) / (high - low)))
 
 
+def meet_queries(rows: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Every row with every query of a stated set: one scan of the rows for each block of QUERY_BLOCK queries, the only part that
+    is broadcast."""
+    parts = -(-queries.count() // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64(key), F.lit(max(1, parts)))
+    blocks = [queries] if parts <= 1 else [queries.filter(block == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, (rows.join(F.broadcast(b)) for b in blocks))
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine top-k. queries: query_id, q — a stated set, broadcast in blocks of
     QUERY_BLOCK at most."""
     rows = vectors if scope is None else vectors.join(scope, "vec_id", "left_semi")
-    parts = -(-queries.count() // QUERY_BLOCK)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts)))
-    blocks = [queries] if parts <= 1 else [queries.filter(block == i) for i in range(parts)]
-    met = reduce(DataFrame.unionByName, (rows.join(F.broadcast(b)).select("query_id", "vec_id", "embedding", "q") for b in blocks))
+    met = meet_queries(rows, queries, "query_id").select("query_id", "vec_id", "embedding", "q")
     scored = met.select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)
@@ -168,10 +174,77 @@ def rerank(hits: DataFrame, scorer: Column, original_weight: float = 0.4, boosts
 
 
 def token_similarity(query: DataFrame, docs: DataFrame) -> DataFrame:
-    """Share of the query's token weight that a document has. query: query_id, tok, weight; docs: id, tok (distinct)."""
+    """Share of the query's token weight that a document has. query: query_id, tok, weight; docs: id, tok (distinct).
+
+    Tokens meet by an equi-join, whose sides Spark broadcasts if their size allows it; each query row carries its own share."""
     total = query.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    hit = docs.join(F.broadcast(query), "tok").groupBy("query_id", "id").agg(F.sum("weight").alias("s"))
-    return hit.join(F.broadcast(total), "query_id").select("query_id", "id", (F.col("s") / F.col("total")).alias("similarity"))
+    shares = query.join(total, "query_id").select("query_id", "tok", (F.col("weight") / F.col("total")).alias("share"))
+    return docs.join(shares, "tok").groupBy("query_id", "id").agg(F.sum("share").alias("similarity"))
+
+
+# Shares of a token and of it with the next one, how often each field counts, and what the parts of a score weigh.
+TOKEN_SHARE, PAIR_SHARE = 0.4, 0.6
+FIELD_TIMES = {"title": 2, "important": 5, "question": 6}
+TOKEN_WEIGHT, VECTOR_WEIGHT, FEATURE_WEIGHT = 0.3, 0.7, 10.0
+
+
+def query_grams(keywords: DataFrame) -> DataFrame:
+    """(query_id, grams): of each query a map from tokens, and from neighbours written together, to weights. keywords: query_id, pos,
+    tok, weight. A query is one row of at most as many terms as it has."""
+    items = F.array_sort(F.collect_list(F.struct("pos", "tok", F.col("weight").cast("double").alias("weight"))))
+    pairs = f"""concat(transform(items, x -> struct(x.tok as tok, {TOKEN_SHARE}D * x.weight as w)),
+        transform(sequence(1, greatest(size(items) - 1, 1)), i -> struct(if(i < size(items), items[i - 1].tok || items[i].tok, null) as tok, {PAIR_SHARE}D * greatest(items[i - 1].weight, if(i < size(items), items[i].weight, 0D)) as w)))"""
+    flat = keywords.groupBy("query_id").agg(items.alias("items")).select("query_id", F.explode(F.expr(pairs)).alias("g")).filter("g.tok is not null")
+    summed = flat.groupBy("query_id", F.col("g.tok").alias("tok")).agg(F.sum("g.w").alias("w"))
+    return summed.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tok", "w")))).alias("grams"))
+
+
+def field_grams(content: Column, **fields: Column) -> Column:
+    """The tokens of a chunk, and its neighbours written together: the content's different tokens, then each field's as often
+    as FIELD_TIMES says."""
+    lists = [F.array_distinct(content), *(F.coalesce(c, F.array().cast("array<string>")) for name, c in fields.items() for _ in range(FIELD_TIMES[name]))]
+    every = F.concat(*lists)
+    after = F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))
+    return F.array_distinct(F.concat(every, F.zip_with(F.slice(every, F.lit(1), F.greatest(F.size(every) - 1, F.lit(0))), after, lambda a, b: F.concat(a, b))))
+
+
+def hybrid_rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, token_weight: float = TOKEN_WEIGHT, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
+    """(query_id, id, score, token_part, vector_part) of a search's hits (query_id, id).
+
+    Token part: the share of the query's gram weight that the chunk has. Vector part: the cosine, 0 for a chunk without a vector; where
+    it is 0 for all hits of a query together, tokens alone count, unscaled. Tags: the cosine of the query's and the chunk's tag
+    weights (0 without any, and where the query has none), times FEATURE_WEIGHT; the page rank is added.
+    chunks: id, grams (array), embedding, tags (map to weights), pagerank; queries: query_id, grams (map), q, tags (map)."""
+    rows = hits.join(chunks, "id").join(queries.select("query_id", F.col("grams").alias("asked"), "q", F.col("tags").alias("wanted")), "query_id")
+    token = "aggregate(array_intersect(map_keys(asked), grams), 1e-9D, (s, k) -> s + asked[k]) / aggregate(map_values(asked), 1e-9D, (s, w) -> s + w)"
+    square = lambda m: f"aggregate(map_values({m}), 0D, (s, w) -> s + w * w)"
+    common = "aggregate(array_intersect(map_keys(wanted), map_keys(tags)), 0D, (s, k) -> s + wanted[k] * tags[k])"
+    feature = f"if(coalesce(size(tags), 0) <= 0 or coalesce(size(wanted), 0) <= 0, 0D, {FEATURE_WEIGHT}D * coalesce({common} / sqrt({square('tags')}) / sqrt({square('wanted')}), 0D))"
+    parts = rows.select("query_id", "id", F.expr(token).alias("token_part"), F.coalesce(V.cosine(F.col("embedding"), F.col("q")), F.lit(0.0)).alias("vector_part"), F.expr(feature).alias("_feature"), F.coalesce("pagerank", F.lit(0.0)).alias("_rank"))
+    none = F.sum("vector_part").over(Window.partitionBy("query_id")) == 0
+    mixed = F.when(none, F.col("token_part")).otherwise(vector_weight * F.col("vector_part") + token_weight * F.col("token_part"))
+    return parts.select("query_id", "id", (mixed + F.col("_feature") + F.col("_rank")).alias("score"), "token_part", "vector_part")
+
+
+def score_fusion(hits: DataFrame, parts: dict[str, float], k: int, item: str, pagerank: str | None = None) -> DataFrame:
+    """The k best rows by ``score``: the weighted sum of score columns (a missing one counts 0), and the page rank."""
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in parts.items()), F.lit(0.0))
+    if pagerank:
+        total = total + F.coalesce(F.col(pagerank), F.lit(0.0))
+    return hits.withColumn("score", total).orderBy(F.desc("score"), item).limit(k)
+
+
+def toc_boost(hits: DataFrame, chosen: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(id, doc, score): hits with the chunks that a table of contents names. Only the document whose hits have the largest sum
+    (of equal ones the smallest) is looked at: its chosen chunks gain their score, those that were not found join with it.
+
+    hits: id, doc, score; chosen: doc, id, gain (what a model picked from each document's contents); chunks: id, doc."""
+    best = hits.groupBy("doc").agg(F.sum("score").alias("s")).orderBy(F.desc(F.round("s", 9)), "doc").limit(1).select("doc")
+    gains = chosen.join(F.broadcast(best), "doc").groupBy("id").agg(F.sum("gain").alias("gain"))  # best is one row
+    named = chunks.join(gains, "id").select("id", "doc", "gain")
+    both = hits.select("id", "doc", "score").join(named.withColumnRenamed("doc", "_doc"), "id", "full_outer")
+    scored = both.select("id", F.coalesce("doc", "_doc").alias("doc"), (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
 def tag_portions(tags: DataFrame, smoothing: int = 1000) -> DataFrame:
@@ -189,19 +262,26 @@ def tag_items(matches: DataFrame, priors: DataFrame, top: int, smoothing: int =
     return s.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("id", "tag", "score")
 
 
+# The similarity a citation needs at first, how the bound falls, where it ends, and how near to the best others must be.
+CITE_FIRST, CITE_STEP, CITE_LEAST, CITE_NEAR = 0.63, 0.8, 0.3, 0.99
+
+
 def cite(sentences: DataFrame, chunks: DataFrame, most: int = 4) -> DataFrame:
     """(sentence_id, chunk_id): chunks whose similarity reaches .99 of the sentence's best, if that passes the
-    threshold, which falls from .63 by a fifth at a time down to .3. Every sentence of a stated set meets every chunk."""
-    pairs = sentences.crossJoin(chunks).select("sentence_id", "chunk_id", V.cosine(F.col("s"), F.col("c")).alias("sim"))
-    pairs = pairs.withColumn("best", F.max("sim").over(Window.partitionBy("sentence_id")))
-    levels, t = [], 0.63
-    while t > 0.3:
+    threshold, which falls from .63 by a fifth at a time down to .3. Every sentence of a stated set meets every chunk.
+
+    Two scans of the chunks: the first keeps each sentence's best in a task, the second only what comes near to it, so that no
+    pair is shuffled but these."""
+    sim = V.cosine(F.col("s"), F.col("c"))
+    best = meet_queries(chunks, sentences, "sentence_id").select("sentence_id", sim.alias("sim")).groupBy("sentence_id").agg((F.max("sim") * CITE_NEAR).alias("near"))
+    levels, t = [], CITE_FIRST
+    while t > CITE_LEAST:
         levels.append(t)
-        t *= 0.8
+        t *= CITE_STEP
     # the highest level that some sentence passes holds for all
-    levels_hit = [F.max(F.when(F.col("best") * 0.99 >= x, x)) for x in levels]
-    level = pairs.agg(F.coalesce(F.greatest(*levels_hit), F.lit(9.0)).alias("level"))
-    kept = pairs.join(F.broadcast(level)).filter((F.col("best") * 0.99 >= F.col("level")) & (F.col("sim") >= F.col("best") * 0.99))
+    level = best.agg(F.coalesce(F.greatest(*(F.max(F.when(F.col("near") >= x, x)) for x in levels)), F.lit(9.0)).alias("level"))
+    passing = sentences.join(best, "sentence_id").join(F.broadcast(level)).filter("near >= level").drop("level")  # level is one row
+    kept = meet_queries(chunks, passing, "sentence_id").select("sentence_id", "chunk_id", sim.alias("sim"), "near").filter("sim >= near")
     w = Window.partitionBy("sentence_id").orderBy(F.desc("sim"), "chunk_id")
     return kept.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("sentence_id", "chunk_id")
 
@@ -217,7 +297,7 @@ def contextual(layers: DataFrame, chunks: DataFrame, queries: DataFrame, k: int,
     l0 = layer("l0", max(4 * top_files, 80), None)
     l1 = layer("l1", top_files, l0.select(F.col("file_id").alias("vec_id")).distinct())
     files = l0.join(l1, ["query_id", "file_id"])
-    scoped = chunks.join(F.broadcast(files), "file_id").join(F.broadcast(queries), "query_id")
+    scoped = chunks.join(files, "file_id").join(queries, "query_id")
     scored = scoped.select("query_id", "file_id", "vec_id", "l0", "l1", V.cosine(F.col("embedding"), F.col("q")).alias("raw"))
     w = Window.partitionBy("query_id", "file_id").orderBy(F.desc("raw"), "vec_id")
     near = minmax(scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_file), "raw", ["query_id"])

@@ -217,12 +217,12 @@ _SEARCH_SQL = f"""qs as (select item_id as query_id, list_distinct(regexp_extrac
  select query_id, id, round(0.05 * share + 0.95 * sim, 6) as score from k where (strict or not has) and 0.05 * share + 0.95 * sim >= 0.2""")
 def ret10_flt18_hybrid_with_retry(t):
     """Words (a share of the query's) and vectors, fused by weighted sum; queries that find nothing search once more with looser bounds."""
-    q = t.benchmark.filter(F.col("item_id") % ONE_IN == 0).select(F.col("item_id").alias("query_id"), F.array_distinct(T.words(F.col("text"))).alias("qw"))
-    d = t.documents.select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("w"))
-    shares = d.join(F.broadcast(q)).select("query_id", "id", (F.size(F.array_intersect("qw", "w")) / F.size("qw")).alias("share")).filter("share >= 0.1")
-    vectors = t.embeddings.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    sims = t.embeddings.join(F.broadcast(vectors)).select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("embedding"), F.col("q")).alias("sim")).filter("sim >= 0.17")
+    words = lambda rows, key: rows.select(key, F.explode(F.array_distinct(T.words(F.col("text")))).alias("tok"))
+    q = words(t.benchmark.filter(F.col("item_id") % ONE_IN == 0).withColumnRenamed("item_id", "query_id"), "query_id").withColumn("weight", F.lit(1.0))
+    shares = R.token_similarity(q, words(t.documents.withColumnRenamed("doc_id", "id"), "id")).select("query_id", "id", F.col("similarity").alias("share")).filter("share >= 0.1 - 1e-9")
+    vectors = t.embeddings.join(q.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    sims = R.meet_queries(t.embeddings, vectors, "query_id").select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("embedding"), F.col("q")).alias("sim")).filter("sim >= 0.17")
     hits = shares.join(sims, ["query_id", "id"], "full_outer").fillna(0.0, ["share", "sim"])
-    kept = R.retry_where_empty(hits, (F.col("share") >= 0.3) | (F.col("sim") >= 0.2))
+    kept = R.retry_where_empty(hits, (F.col("share") >= 0.3 - 1e-9) | (F.col("sim") >= 0.2))
     bound = R.similarity_bound(0.2, vector_weight=0.95, ids_given=False)
     return kept.withColumn("score", 0.05 * F.col("share") + 0.95 * F.col("sim")).filter(F.col("score") >= bound).select("query_id", "id", F.round("score", 6).alias("score"))

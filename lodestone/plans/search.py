@@ -67,11 +67,14 @@ def ret05_exact_boost(t):
     return s.filter("exact or score > 3").select("query_id", "id", F.round(F.col("score") + F.when(F.col("exact"), R.EXACT_BOOST).otherwise(0), 6).alias("score"))
 
 
-@query(f"with {_TERMS_SQL}, wanted as (select query_id, doc_id as id from (select distinct query_id from q), documents) select x.query_id, x.id, round(coalesce(bm.score, 0), 6) as score from wanted x left join bm on bm.query_id = x.query_id and bm.id = x.id")
+@query(f"with {_TERMS_SQL}, n as (select query_id, row_number() over (order by query_id) - 1 as k, count(*) over () as m from (select distinct query_id from q)), wanted as (select query_id, doc_id as id from n join documents on doc_id % m = k) select x.query_id, x.id, round(coalesce(bm.score, 0), 6) as score from wanted x left join bm on bm.query_id = x.query_id and bm.id = x.id")
 def ret06_bounded_scores(t):
-    scope = t.documents.select(F.col("doc_id").alias("id"))
-    wanted = scope.join(F.broadcast(_query_terms(t).select("query_id").distinct()))
-    return wanted.join(_bm25(t, scope), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    """Each document is asked for by one query; what a query does not meet scores 0."""
+    asked = _query_terms(t).select("query_id").distinct()
+    numbered = asked.withColumns({"k": F.row_number().over(Window.orderBy("query_id")) - 1, "m": F.count("*").over(Window.partitionBy(F.lit(0)))})  # the stated queries
+    docs = t.documents.select(F.col("doc_id").alias("id"))
+    wanted = docs.join(F.broadcast(numbered.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("k", "query_id"))).alias("qs")))).select("id", F.expr("qs[cast(id % m as int)].query_id as query_id"))
+    return wanted.join(_bm25(t, docs), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 @query(f"""with q as (select p_partkey as query_id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) as qw from part where p_partkey % {ONE_IN} = 0), d as (select p_partkey as id, string_split(lower(p_name), ' ') as f1, string_split(lower(p_type), ' ') as f2 from part)
@@ -150,9 +153,47 @@ def ret17_token_similarity(t):
     return R.token_similarity(q, d).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("select p_partkey, round(p_retailprice * 0.4 + p_size / 100.0, 6) as total, round(atan(p_retailprice) / 1.5707963267948966, 6) as normal from part")
+_RERANK_SQL = f"""{_TERMS_SQL},
+ top as (select query_id, id from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as r from bm) where r <= 64),
+ c as (select doc_id as id, list_concat(list_filter(ws, lambda x, i: list_position(ws, x) = i), [lang, source], [lang, source], [source], [source], [source], [source], [source], [lang], [lang], [lang], [lang], [lang], [lang]) as every,
+   [lang, source] as tags, case when doc_id % 5 = 0 then [] else [1.0 + doc_id % 3, 2.0] end as tag_weights, (doc_id % 7)::double / 10 as pagerank from (select *, regexp_extract_all(lower(text), '{_W}') as ws from documents)),
+ g as (select id, list_distinct(list_concat(every, list_transform(range(1, len(every)), lambda i: every[i] || every[i + 1]))) as grams, tags, tag_weights, pagerank from c),
+ kw as (select query_id, w, i, 1.0::double / (1 + i % 4) as weight from (select query_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select query_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) as ws from qw))),
+ qg as (select query_id, tok, sum(x) as x from (select query_id, w as tok, 0.4 * weight as x from kw union all
+   select query_id, w || lead(w) over o, 0.6 * greatest(weight, lead(weight) over o) from kw window o as (partition by query_id order by i)) where tok is not null group by 1, 2),
+ tk as (select t.query_id, t.id, (1e-9 + coalesce(sum(case when list_contains(grams, tok) then x end), 0)) / (1e-9 + sum(x)) as tk from top t join g using (id) join qg on qg.query_id = t.query_id group by 1, 2),
+ vt as (select t.query_id, t.id, coalesce(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0) as vt from top t left join embeddings e on e.vec_id = t.id left join embeddings q on q.vec_id = t.query_id),
+ parts as (select t.query_id, t.id, tk, vt, sum(vt) over (partition by t.query_id) = 0 as none, pagerank,
+   case when len(tag_weights) = 0 then 0 else 10 * (case when list_contains(tags, 'en') then 3.0 * tag_weights[list_position(tags, 'en')] else 0 end + case when list_contains(tags, 'src0') then 4.0 * tag_weights[list_position(tags, 'src0')] else 0 end) / sqrt(tag_weights[1] ** 2 + tag_weights[2] ** 2) / 5 end as feature
+   from tk t join vt v on v.query_id = t.query_id and v.id = t.id join g on g.id = t.id)"""
+
+
+@query(f"with {_RERANK_SQL} select query_id, id, round(case when none then tk else 0.7 * vt + 0.3 * tk end + feature + pagerank, 6) as score, round(tk, 6) as token_part, round(vt, 6) as vector_part from parts")
+def ret17_hybrid_rerank(t):
+    """The 64 best of each query, scored by words, vectors, tags (of language and source) and rank; for most queries no vector is known."""
+    hits = R.topk(_bm25(t).withColumn("score", F.round("score", 9)), 64, "id").select("query_id", "id")
+    d = t.documents
+    tags = F.when(F.col("doc_id") % 5 == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))).otherwise(F.map_from_arrays(F.array("lang", "source"), F.array(1.0 + F.col("doc_id") % 3, F.lit(2.0))))
+    grams = R.field_grams(T.words(F.col("text")), title=F.array("lang", "source"), important=F.array("source"), question=F.array("lang"))
+    chunks = d.select(F.col("doc_id").alias("id"), grams.alias("grams"), tags.alias("tags"), ((F.col("doc_id") % 7).cast("double") / 10).alias("pagerank"))
+    chunks = chunks.join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    q = t.benchmark.filter(F.col("item_id") % ONE_IN == 0).select(F.col("item_id").alias("query_id"), F.posexplode(F.array_distinct(T.words(F.col("text")))).alias("pos", "tok"))
+    keywords = q.withColumn("weight", 1.0 / (1 + (F.col("pos") + 1) % 4))
+    asked = R.query_grams(keywords).join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left")
+    wanted = F.create_map(F.lit("en"), F.lit(3.0), F.lit("src0"), F.lit(4.0))
+    found = R.hybrid_rerank(hits, chunks, asked.withColumn("tags", wanted))
+    return found.select("query_id", "id", *(F.round(c, 6).alias(c) for c in ("score", "token_part", "vector_part")))
+
+
+@query("select p_partkey, round(p_retailprice * 0.4 + p_size * 0.01 + p_partkey % 10, 6) as score from part order by p_retailprice * 0.4 + p_size * 0.01 + p_partkey % 10 desc, p_partkey limit 500")
 def ret19_score_fusion(t):
-    return t.part.select("p_partkey", F.round(F.col("p_retailprice") * 0.4 + F.col("p_size") / 100.0, 6).alias("total"), F.round(F.atan("p_retailprice") / 1.5707963267948966, 6).alias("normal"))
+    parts = t.part.withColumns({"dense": F.col("p_retailprice"), "sparse": F.col("p_size").cast("double"), "rank": (F.col("p_partkey") % 10).cast("double")})
+    return R.score_fusion(parts, {"dense": 0.4, "sparse": 0.01}, 500, "p_partkey", "rank").select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query("select p_partkey, round(atan(p_retailprice) / 1.5707963267948966, 6) as normal from part")
+def ret19_normal_scores(t):
+    return t.part.select("p_partkey", F.round(F.atan("p_retailprice") / 1.5707963267948966, 6).alias("normal"))
 
 
 @query("""with pr as (select p_brand as tag, round((count(*) + 1) / ((select count(*) from part) + 1000)::double, 9) as portion from part group by 1), c as (select l_suppkey as id, p_brand as tag, count(*) as c from lineitem join part on l_partkey = p_partkey group by 1, 2), n as (select *, sum(c) over (partition by id) as n from c)
@@ -172,11 +213,15 @@ def ret21_citations(t):
     return R.cite(s, c)
 
 
-@query("""with d as (select l_partkey as doc, sum(l_discount) as s from lineitem group by 1 order by round(s, 6) desc, doc limit 1) select l_orderkey, l_linenumber, l_suppkey, round(l_extendedprice * (case when l_returnflag = 'R' then 1.5 else 1 end), 4) as score from lineitem join d on l_partkey = d.doc""")
+@query("""with h as (select o_orderkey as id, o_custkey as doc, o_totalprice / 1000000 as score from orders where o_orderstatus = 'F'),
+ d as (select doc from h group by 1 order by round(sum(score), 9) desc, doc limit 1),
+ g as (select o_orderkey as id, o_custkey as doc, (o_orderkey % 10) / 10.0 as gain from orders where o_orderkey % 2 = 1 and o_custkey in (select doc from d))
+ select id, doc, round(s, 6) as score from (select coalesce(h.id, g.id) as id, coalesce(h.doc, g.doc) as doc, coalesce(score, 0) + coalesce(gain, 0) as s from h full join g on h.id = g.id) order by s desc, id limit 1000""")
 def ret22_toc_boost(t):
-    best = t.lineitem.groupBy(F.col("l_partkey")).agg(F.round(F.sum("l_discount"), 6).alias("s")).orderBy(F.desc("s"), "l_partkey").limit(1)
-    j = t.lineitem.join(F.broadcast(best.select("l_partkey")), "l_partkey", "left_semi")
-    return j.select("l_orderkey", "l_linenumber", "l_suppkey", F.round(F.col("l_extendedprice") * F.when(F.col("l_returnflag") == "R", 1.5).otherwise(1.0), 4).alias("score"))
+    """Finished orders as hits, those with odd keys as what the contents of a customer name."""
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("doc"), (F.col("o_totalprice") / 1000000).alias("score"), (F.col("o_orderkey") % 10 / 10.0).alias("gain"), "o_orderstatus")
+    hits = orders.filter("o_orderstatus = 'F'").select("id", "doc", "score")
+    return R.toc_boost(hits, orders.filter("id % 2 = 1").select("doc", "id", "gain"), orders.select("id", "doc"), 1000).select("id", "doc", F.round("score", 6).alias("score"))
 
 
 @query("""with k as (select c_nationkey as ws, c_custkey as item, c_acctbal as score, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer) select item, score, ws from k where r <= 5 order by score desc, item limit 20""")
@@ -192,6 +237,15 @@ def ret26_sql_passthrough(t):
     return run_sql(t.spark, "select event_type, count(*) as n from {events} where contains(props, '\"k\": 1') group by 1 order by n desc", {"events": t.events}, limit=3)
 
 
+@query("select p_brand, count(*) as n from (select p_brand, string_split(lower(p_name || ' ' || p_type), ' ') as ws from part) where len(list_intersect(ws, ['green', 'small', 'steel', 'brass'])) >= 1 group by 1")
+def ret26_token_conditions(t):
+    """A text written for a search dialect, its conditions on tokens as matches."""
+    from ..sources.store import rewrite_token_conditions, run_sql
+
+    parts = t.part.withColumn("content_ltks", F.concat_ws(" ", "p_name", "p_type"))
+    return run_sql(t.spark, rewrite_token_conditions("select p_brand, count(*) as n from {parts} where content_ltks like '%green small steel brass%' group by 1"), {"parts": parts})
+
+
 @query("""with a as (select l_orderkey as q, count(*) as n from lineitem where l_returnflag = 'A' group by 1), c as (select l_orderkey as q, count(*) as n from lineitem where l_returnflag = 'R' group by 1) select coalesce(a.q, c.q) as q, coalesce(a.n, 0) as active, coalesce(c.n, 0) as candidate from a full join c on a.q = c.q where ('0x' || substr(sha256(coalesce(a.q, c.q)::varchar), 1, 8))::bigint / 4294967295.0::double < 0.2""")
 def ret27_shadow_comparison(t):
     side = lambda flag, name: t.lineitem.filter(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("q")).agg(F.count("*").alias(name))

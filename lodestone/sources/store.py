@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,23 @@ def adjust_pagerank(c: Column, change: Column) -> Column:
     return F.nullif(F.least(F.greatest(F.coalesce(c, F.lit(0)) + change, F.lit(0)), F.lit(100)), F.lit(0))
 
 
+#: A condition on a column of tokens, and the share of its words that must be met.
+_TOKEN_CONDITION, _MATCH_SHARE = re.compile(r" ([a-z_]+_l?tks)( like | ?= ?)'([^']+)'"), 0.3
+
+
+def rewrite_token_conditions(sql: str) -> str:
+    """Conditions ``x_tks like '...'`` and ``x_tks = '...'`` as matches: three tenths of the words (one at least) stand in the column.
+    Per cents and repeated blanks go, as in the dialect that such texts are written for."""
+
+    def match(m: re.Match) -> str:
+        words = list(dict.fromkeys(re.findall(r"\w+", m[3].lower())))
+        need = max(1, int(_MATCH_SHARE * len(words)))
+        listed = ", ".join(f"'{w}'" for w in words)
+        return f" size(array_intersect(split(lower({m[1]}), ' '), array({listed}))) >= {need} "
+
+    return _TOKEN_CONDITION.sub(match, re.sub(r"[ `]+", " ", sql).replace("%", ""))
+
+
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int | None = MOST_ROWS) -> DataFrame:
     """Ad-hoc SQL over DataFrames as named views ({name} in the text); a limit is set unless the text has one."""
     text = sql.rstrip().rstrip(";")
