@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import chunking as C
+from ..operators import headings as H
 from ..operators import profiles as P
 from ..operators import retrieval as R
 from ..functions import text as T
@@ -104,6 +105,33 @@ def chk06_chunks_by_type(t):
     return P.chunks_by_type(_typed(t), types, "doc_id", "ord", least=C.LEAST)
 
 
+_HEADED = "case when ord % 6 = 0 then concat('Chapter ', 1 + ord // 6, ' ', left(text, 30)) when ord % 6 = 2 then concat(1 + ord // 6, '.', 1 + ord % 4, ' ', left(text, 30)) else text end"
+_HEADED_SQL = f"""{_LINES_SQL}, b as (select doc_id, ord, kind, {_HEADED} as text, case when ord % 2 = 0 then 'title' else 'text' end as layout, (10 + ord % 3 + case when ord % 6 = 4 then 0.5 else 0 end)::double as style from lines),
+ c as (select *, trim(text, ' ') <> '' and kind = 'text' and length(trim(text, ' ')) <= 180 and (layout = 'title' or regexp_matches(trim(text, ' '), '^[0-9]+([.][0-9]+){{1,5}}([.:\\s]|$)')) and not regexp_matches(trim(text, ' '), '^[\\s\\-]*[0-9]{{1,4}}[\\s\\-]*$') and not regexp_matches(trim(text, ' '), '[.]{{2,}}\\s*[0-9]+\\s*$') as cand from b),
+ n as (select *, case when cand and ord % 6 = 0 then 1 when cand and regexp_matches(text, '^[0-9]+[.][0-9]+ ') then 2 end as lvl from c),
+ anchors as (select doc_id, style as a_style, min(ord) as a_ord, arg_min(lvl, ord) as a_lvl from n where lvl > 0 group by 1, 2),
+ near as (select n.doc_id, n.ord, arg_min(a_lvl, (abs(style - a_style) / greatest(style, a_style), a_ord)) as lvl from n join anchors a on a.doc_id = n.doc_id and abs(style - a_style) / greatest(style, a_style) <= 0.08 where cand and n.lvl is null group by 1, 2),
+ f as (select n.doc_id, n.ord, n.text, coalesce(n.lvl, near.lvl, 0) as level, case when n.lvl is not null then 'numbering' when near.lvl is not null then 'anchored_style' when cand then 'layout' end as source from n left join near on near.doc_id = n.doc_id and near.ord = n.ord),
+ o as (select *, max(case when level = 1 then ord end) over w as l1, max(case when level = 2 then ord end) over w as l2 from f window w as (partition by doc_id order by ord))"""
+
+
+@query(f"""with {_HEADED_SQL} select o.doc_id, o.ord::int as ord, o.level::int as level, o.source, o.level = 1 and o.source = 'numbering' as hard_boundary, md5(concat_ws(' > ', a.text, b.text)) as path_md5
+ from o left join f a on a.doc_id = o.doc_id and a.ord = o.l1 left join f b on b.doc_id = o.doc_id and b.ord = o.l2 and o.l2 > coalesce(o.l1, -1)""")
+def src16_heading_levels(t):
+    """Chapters and numbered lines among the lines of all documents; other titles by the style of these."""
+    styled = _lines(t).selectExpr("doc_id", "ord", "kind", _HEADED.replace("//", "div") + " as text", "if(ord % 2 = 0, 'title', 'text') as layout", "cast(10 + ord % 3 + if(ord % 6 = 4, 0.5, 0) as double) as style", "2 as page")
+    found = H.heading_levels(styled, None, "doc_id", "ord")
+    return found.select("doc_id", "ord", "level", F.col("sources")[0].alias("source"), "hard_boundary", F.md5(F.array_join("path", " > ")).alias("path_md5"))
+
+
+@query()
+def src16_headings_by_outline(t):
+    """Every sixth line named by an outline whose entries lack their last letters."""
+    lines = _lines(t).withColumn("page", F.expr("cast(ord div 40 as int)")).withColumn("layout", F.when(F.col("ord") % 2 == 0, "title").otherwise("text"))
+    outlines = lines.filter("ord % 6 = 0 and text <> ''").selectExpr("doc_id", "ord as pos", "left(text, 160) as text", "ord % 4 div 2 as depth", "page")
+    return H.heading_levels(lines.withColumn("text", F.expr("left(text, 170)")), outlines, "doc_id", "ord").filter("level > 0")
+
+
 _SPANS_SQL = f"""{_LINES_SQL}, x as (select doc_id, ord, trim(text, ' ') as text, kind from lines where trim(text, ' ') <> ''),
  blocks as (select *, sum(length(text) + 1) over (partition by doc_id order by ord) - length(text) - 1 as b_start from x),
  whole as (select doc_id, string_agg(text, chr(10) order by ord) as body from x group by doc_id),
