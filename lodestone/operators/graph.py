@@ -11,6 +11,10 @@ from ..sources.durable import drop_durable, durable
 
 SEPARATOR = "<SEP>"
 ALPHA, ITERATIONS = 0.85, 100
+#: Descriptions, and sources, that a merged node or edge keeps; a cut description has a dozen parts.
+MOST_PARTS = 64
+#: Edges of a node that paths follow.
+MOST_WAYS = 64
 
 
 def parse_records(records: DataFrame, key: str, text: str, delimiter: str = "<|>") -> tuple[DataFrame, DataFrame]:
@@ -26,17 +30,30 @@ def parse_records(records: DataFrame, key: str, text: str, delimiter: str = "<|>
     return entities, relations
 
 
-def merge_nodes(entities: DataFrame) -> DataFrame:
-    """One row per name: commonest type, sorted distinct descriptions and sources."""
+def _first_of(rows: DataFrame, keys: list[str], value: str, name: str, most: int) -> DataFrame:
+    """(keys, ``name``: the ``most`` smallest different values, n_``value``: how many there are): at most ``most`` of a key leave a task."""
+    different = rows.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
+    counted = different.groupBy(*keys).agg(F.count("*").alias(f"n_{value}"))
+    ranked = different.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).filter(F.col("_r") <= most)
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name)).join(counted, keys)
+
+
+def _described(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    parts = _first_of(rows, keys, "description", "_parts", most).join(_first_of(rows, keys, "source_id", "source_ids", most), keys, "full_outer")
+    return parts.withColumn("description", F.array_join(F.coalesce("_parts", F.array().cast("array<string>")), SEPARATOR)).drop("_parts")
+
+
+def merge_nodes(entities: DataFrame, most: int = MOST_PARTS) -> DataFrame:
+    """One row per name: commonest type, the first ``most`` of its sorted different descriptions and sources (a later step reads no
+    more), and how many there are."""
     types = entities.groupBy("name", "type").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("type", F.struct("n", "type")).alias("type"))
-    rest = entities.groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("description")), SEPARATOR).alias("description"), F.sort_array(F.collect_set("source_id")).alias("source_ids"))
-    return types.join(rest, "name")
+    return types.join(_described(entities, ["name"], most), "name", "left")
 
 
-def merge_edges(relations: DataFrame) -> DataFrame:
-    """One row per pair: weights summed, descriptions and sources collected; no loops."""
+def merge_edges(relations: DataFrame, most: int = MOST_PARTS) -> DataFrame:
+    """One row per pair: weights summed, descriptions and sources as of nodes; no loops."""
     r = relations.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", "description", "source_id").filter("src <> dst")
-    return r.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_join(F.sort_array(F.collect_set("description")), SEPARATOR).alias("description"), F.sort_array(F.collect_set("source_id")).alias("source_ids"))
+    return r.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(_described(r, ["src", "dst"], most), ["src", "dst"], "left")
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -157,9 +174,11 @@ def pagerank(edges: DataFrame, iterations: int = ITERATIONS, tolerance: float =
     return ranks
 
 
-def paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(path, weight): simple paths of 1 to ``hops`` edges from the start names (a stated set)."""
-    ways = both_ways(edges)
+def paths(edges: DataFrame, start: DataFrame, hops: int, most: int = MOST_WAYS) -> DataFrame:
+    """(path, weight): simple paths of 1 to ``hops`` edges from the start names (a stated set). From each node they follow its
+    ``most`` heaviest edges (of equal ones to the smallest names), so that a hub adds no more than any other node."""
+    heavy = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    ways = both_ways(edges).withColumn("_r", F.row_number().over(heavy)).filter(F.col("_r") <= most).drop("_r")
     step = start.select(F.array("name").alias("path"), F.lit(0.0).alias("weight"))
     found = []
     for _ in range(hops):
@@ -172,7 +191,7 @@ def paths(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(name, community) by label propagation: each node takes the label with the largest edge weight, ties to the smallest.
 
-    It stands in for hierarchical modularity clustering, which Spark does not have."""
+    The cheap form: a few joins, one level; :func:`community_levels` has levels by modularity."""
     ways = durable(both_ways(edges), "ways")
     labels = ways.select(F.col("src").alias("name")).distinct().withColumn("community", F.col("name"))
     for turn in range(rounds):
@@ -218,3 +237,119 @@ def latest_rank(nodes: DataFrame) -> DataFrame:
     """Nodes without null names or types, the highest ranked of equal names."""
     w = Window.partitionBy("name").orderBy(F.desc_nulls_last("rank"))
     return nodes.filter("name is not null and type is not null").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+# --- hierarchical communities -----------------------------------------------------------------------
+
+#: Nodes of a community that is not split any more; rounds of local moving a pass, and passes (contractions) a level.
+COMMUNITY_MOST, MOVE_ROUNDS, PASSES = 12, 12, 12
+
+
+def _moved(ways: DataFrame, nodes: DataFrame, keep: DataFrame | None) -> DataFrame:
+    """Labels (g, v, c) after local moving from single nodes (or from the labels ``keep``): in each round every other node, by a
+    hash, takes the neighbouring community whose modularity gain is largest, until a round moves none or gains nothing.
+
+    ways: g, a, b, w (both directions, a <> b); nodes: g, v, k (weighted degree), total (2 m of the graph g)."""
+    labels = durable((nodes.select("g", "v", F.col("v").alias("c")) if keep is None else keep), "labels")
+    quality, still = None, 0
+    for turn in range(MOVE_ROUNDS):
+        held = nodes.join(labels, ["g", "v"])
+        sums = held.groupBy("g", "c").agg(F.sum("k").alias("sum"))
+        # links of each node to each community next to it, and to its own
+        near = ways.join(labels.select("g", F.col("v").alias("b"), "c"), ["g", "b"]).groupBy("g", F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
+        own = held.select("g", "v", "k", "total", F.col("c").alias("own"))
+        choices = near.unionByName(own.select("g", "v", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("g", "v", "c").agg(F.sum("w").alias("w"))
+        scored = choices.join(own, ["g", "v"]).join(sums, ["g", "c"])
+        gain = F.col("w") - F.col("k") * (F.col("sum") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.col("total")
+        best = scored.groupBy("g", "v").agg(F.min_by("c", F.struct(F.round(-gain, 9), (F.col("c") != F.col("own")).alias("moves"), "c")).alias("new"), F.first("own").alias("own"))
+        turns = F.pmod(F.xxhash64("v"), F.lit(2)) == turn % 2
+        new = durable(best.select("g", "v", F.when(turns, F.col("new")).otherwise(F.col("own")).alias("c"), (turns & (F.col("new") != F.col("own"))).alias("moved")), "labels")
+        moved = new.filter("moved").count()
+        reached = _quality(ways, nodes, new)
+        if quality is not None and reached < quality - 1e-12:  # neighbours that moved together may lose: the labels before stay
+            drop_durable(new)
+            break
+        still = 0 if moved else still + 1
+        quality = reached
+        drop_durable(labels)
+        labels = new.drop("moved")
+        if still == 2:
+            break
+    return labels
+
+
+def _quality(ways: DataFrame, nodes: DataFrame, labels: DataFrame) -> float:
+    """Sum of the modularities of all graphs g; contracted nodes count the links inside them (column ``inner`` of nodes)."""
+    side = lambda c, name: labels.select("g", F.col("v").alias(c), F.col("c").alias(name))
+    inside = ways.join(side("a", "ca"), ["g", "a"]).join(side("b", "cb"), ["g", "b"]).filter("ca = cb").groupBy("g", F.col("ca").alias("c")).agg(F.sum("w").alias("w"))
+    sums = nodes.join(labels, ["g", "v"]).groupBy("g", "c", "total").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+    both = sums.join(inside, ["g", "c"], "left")
+    part = (F.coalesce("w", F.lit(0.0)) + F.col("inner")) / F.col("total") - (F.col("k") / F.col("total")) ** 2
+    return both.agg(F.coalesce(F.sum(part), F.lit(0.0))).first()[0]
+
+
+def _contracted(ways: DataFrame, nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph whose nodes are the communities."""
+    side = lambda c, name: labels.select("g", F.col("v").alias(c), F.col("c").alias(name))
+    joined = ways.join(side("a", "ca"), ["g", "a"]).join(side("b", "cb"), ["g", "b"]).groupBy("g", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w"))
+    joined = durable(joined, "contracted")
+    inner = joined.filter("a = b").select("g", F.col("a").alias("v"), F.col("w").alias("loops"))
+    summed = nodes.join(labels, ["g", "v"]).groupBy("g", F.col("c").alias("v"), "total").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+    new = summed.join(inner, ["g", "v"], "left").select("g", "v", "k", "total", (F.col("inner") + F.coalesce("loops", F.lit(0.0))).alias("inner"))
+    return joined.filter("a <> b"), durable(new, "nodes")
+
+
+def modularity_communities(ways: DataFrame) -> DataFrame:
+    """(g, v, c): of every graph g its communities by local moving, refinement and contraction. ways: g, a, b, w, both directions.
+
+    A pass moves nodes, refines each community from single nodes inside it, contracts the refined parts, and goes on from the moved
+    labels; it ends when contraction joins nothing any more. A community's name is that of its smallest node."""
+    degrees_ = ways.groupBy("g", F.col("a").alias("v")).agg(F.sum("w").alias("k"))
+    totals = degrees_.groupBy("g").agg(F.sum("k").alias("total"))
+    nodes = durable(degrees_.join(totals, "g").withColumn("inner", F.lit(0.0)), "nodes")
+    place = nodes.select("g", "v", F.col("v").alias("at"))  # where each first node is in the contracted graph
+    keep, final = None, None
+    for _ in range(PASSES):
+        labels = _moved(ways, nodes, keep)
+        side = lambda c, name: labels.select("g", F.col("v").alias(c), F.col("c").alias(name))  # noqa: B023, E731
+        inside = durable(ways.join(side("a", "ca"), ["g", "a"]).join(side("b", "cb"), ["g", "b"]).filter("ca = cb").select("g", "a", "b", "w"), "inside")
+        refined = _moved(inside, nodes, None)
+        small = labels.join(refined.withColumnRenamed("c", "r"), ["g", "v"])
+        final = durable(place.join(labels.select("g", F.col("v").alias("at"), "c"), ["g", "at"]).select("g", "v", "c"), "members")
+        if small.filter("v <> r").isEmpty():
+            break
+        place = durable(place.join(refined.select("g", F.col("v").alias("at"), "c"), ["g", "at"]).select("g", "v", F.col("c").alias("at")), "place")
+        keep = small.groupBy("g", F.col("r").alias("v")).agg(F.min("c").alias("c"))
+        keep = durable(keep, "keep")
+        ways, nodes = _contracted(ways, nodes, refined)
+    names = final.groupBy("g", "c").agg(F.min("v").alias("name"))
+    return durable(final.join(names, ["g", "c"]).select("g", "v", F.col("name").alias("c")), "communities")
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The edges of the component with most nodes (of equal ones that of the smallest name)."""
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    best = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return edges.join(found.join(F.broadcast(best), "component").select(F.col("node").alias("src")), "src", "left_semi")  # best is one row
+
+
+def community_levels(edges: DataFrame, most: int = COMMUNITY_MOST, levels: int = 8, largest_only: bool = True) -> DataFrame:
+    """(level, name, community, parent, final): communities of the largest component at level 0; those of more than ``most`` nodes are
+    split again at the next level, as graphs of their own, until none is larger, or splits. ``final``: the node has no deeper level.
+
+    edges: src, dst, weight (one row a pair). Communities are named by their smallest node, level by level."""
+    edges = (largest_component(edges) if largest_only else edges).filter("src <> dst and weight > 0")
+    ways = durable(both_ways(edges).select(F.lit("").alias("g"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), F.col("weight").cast("double").alias("w")), "ways")
+    found = []
+    for level in range(levels):
+        members = modularity_communities(ways)
+        sizes = members.groupBy("g", "c").agg(F.count("*").alias("n")).join(members.groupBy("g").agg(F.count("*").alias("all")), "g")
+        again = durable(sizes.filter((F.col("n") > most) & (F.col("n") < F.col("all"))).select("g", "c"), "again")
+        marked = members.join(again.withColumn("_again", F.lit(True)), ["g", "c"], "left")
+        found.append(marked.select(F.lit(level).alias("level"), F.col("v").alias("name"), F.col("c").alias("community"), F.nullif("g", F.lit("")).alias("parent"), F.col("_again").isNull().alias("final")))
+        if again.isEmpty():
+            break
+        chosen = members.join(again, ["g", "c"], "left_semi").select("g", "v", "c")
+        side = lambda v, name: chosen.select("g", F.col("v").alias(v), F.col("c").alias(name))  # noqa: B023, E731
+        ways = durable(ways.join(side("a", "ca"), ["g", "a"]).join(side("b", "cb"), ["g", "b"]).filter("ca = cb").select(F.col("ca").alias("g"), "a", "b", "w"), "ways")
+    return reduce(DataFrame.unionByName, found)

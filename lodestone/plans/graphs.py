@@ -10,14 +10,13 @@ from .registry import Family
 family = Family()
 query = family.query
 
-# customer nation - supplier nation trade as an undirected weighted graph
-_EDGES_SQL = """ed as (select least(c, s) as src, greatest(c, s) as dst, sum(w)::double as weight from (select 'N' || c_nationkey as c, 'N' || s_nationkey as s, 1 as w from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity > 48) where c <> s group by 1, 2)"""
+# parts and the suppliers they were bought from, as an undirected graph weighted by the number of lines
+_EDGES_SQL = """ed as (select 'P' || l_partkey as src, 'S' || l_suppkey as dst, count(*)::double as weight from lineitem group by 1, 2)"""
 
 
 def _edges(t):
-    j = t.lineitem.filter("l_quantity > 48").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    n = lambda c: F.concat(F.lit("N"), c)
-    r = j.select(n("c_nationkey").alias("src"), n("s_nationkey").alias("dst"), F.lit(1.0).alias("weight"), F.lit("").alias("description"), F.col("l_orderkey").alias("source_id"))
+    named = lambda letter, c: F.concat(F.lit(letter), c)
+    r = t.lineitem.select(named("P", "l_partkey").alias("src"), named("S", "l_suppkey").alias("dst"), F.lit(1.0).alias("weight"), F.lit("").alias("description"), F.col("l_orderkey").alias("source_id"))
     return G.merge_edges(r).select("src", "dst", "weight")
 
 
@@ -25,7 +24,7 @@ def _edges(t):
 def grf01_agg15_entities(t):
     text = F.concat(F.lit('("entity"<|>'), "p_brand", F.lit("<|>"), F.substring_index("p_type", " ", 1), F.lit("<|>"), "p_name", F.lit(")"))
     entities, _ = G.parse_records(t.part.select("p_partkey", text.alias("text")), "p_partkey", "text")
-    return G.merge_nodes(entities).select("name", "type", F.size(F.split("description", G.SEPARATOR)).alias("n_desc"))
+    return G.merge_nodes(entities).select("name", "type", F.col("n_description").cast("long").alias("n_desc"))
 
 
 @query(f"with {_EDGES_SQL} select src, dst, weight from ed")
@@ -38,10 +37,11 @@ def grf03_degrees(t):
     return G.degrees(_edges(t))
 
 
-@query(f"with {_EDGES_SQL} select src, dst from ed where substr(src, 2)::int < 15 and substr(dst, 2)::int < 15")
+@query(f"with {_EDGES_SQL} select src, dst from ed where src in (select 'P' || p_partkey from part where p_size > 10) and dst in (select 'S' || s_suppkey from supplier where s_nationkey < 15)")
 def jn16_grf12_valid_edges(t):
-    nodes = t.nation.filter("n_nationkey < 15").select(F.concat(F.lit("N"), "n_nationkey").alias("name"))
-    return G.valid_edges(_edges(t), nodes).select("src", "dst")
+    parts = t.part.filter("p_size > 10").select(F.concat(F.lit("P"), "p_partkey").alias("name"))
+    suppliers = t.supplier.filter("s_nationkey < 15").select(F.concat(F.lit("S"), "s_suppkey").alias("name"))
+    return G.valid_edges(_edges(t), parts.unionByName(suppliers)).select("src", "dst")
 
 
 _STEPS = 8
@@ -69,9 +69,9 @@ def grf06_jn10_resolution(t):
     return G.resolution_candidates(n)
 
 
-@query(f"with {_EDGES_SQL}, m as (select least(a, b) as src, greatest(a, b) as dst, sum(weight) as weight from (select case when src = 'N1' then 'N2' else src end as a, case when dst = 'N1' then 'N2' else dst end as b, weight from ed) where a <> b group by 1, 2) select * from m")
+@query(f"with {_EDGES_SQL}, m as (select least(a, b) as src, greatest(a, b) as dst, sum(weight) as weight from (select case when src = 'S1' then 'S2' else src end as a, case when dst = 'S1' then 'S2' else dst end as b, weight from ed) where a <> b group by 1, 2) select * from m")
 def grf07_merge_nodes(t):
-    mapping = t.nation.filter("n_nationkey = 1").select(F.lit("N1").alias("name"), F.lit("N2").alias("into"))
+    mapping = t.supplier.filter("s_suppkey = 1").select(F.lit("S1").alias("name"), F.lit("S2").alias("into"))
     return G.relabel(_edges(t), mapping)
 
 
@@ -86,6 +86,16 @@ def grf09_communities(t):
     return G.communities(_edges(t))
 
 
+def _repeat_edges(t):
+    return _edges(t).filter("weight > 1")
+
+
+@query()
+def grf09_community_levels(t):
+    """Parts and suppliers that met more than once, in levels by modularity."""
+    return G.community_levels(_repeat_edges(t))
+
+
 @query()
 def grf10_jn17_agg17_community_report(t):
     e = _edges(t)
@@ -94,16 +104,18 @@ def grf10_jn17_agg17_community_report(t):
     return G.community_weights(members, G.degrees(e)).withColumnRenamed("weight", "share").join(inside, "community", "left")
 
 
-@query(f"with {_EDGES_SQL}, wy as (select src, dst, weight from ed union all select dst, src, weight from ed), one as (select ['N0', dst] as path, weight from wy where src = 'N0'), two as (select list_append(path, wy.dst) as path, one.weight + wy.weight as weight from one join wy on wy.src = path[2] and not list_contains(path, wy.dst)) select array_to_string(path, '>') as path, weight from (select * from one union all select * from two)")
+@query(f"""with {_EDGES_SQL}, wy as (select src, dst, weight from (select *, row_number() over (partition by src order by weight desc, dst) as r from (select src, dst, weight from ed union all select dst, src, weight from ed)) where r <= 16),
+ one as (select [src, dst] as path, weight from wy where src in (select 'S' || s_suppkey from supplier where s_nationkey = 0)), two as (select list_append(path, wy.dst) as path, one.weight + wy.weight as weight from one join wy on wy.src = path[2] and not list_contains(path, wy.dst)), three as (select list_append(path, wy.dst) as path, two.weight + wy.weight as weight from two join wy on wy.src = path[3] and not list_contains(path, wy.dst))
+ select array_to_string(path, '>') as path, weight from (select * from one union all select * from two union all select * from three)""")
 def jn18_khop_paths(t):
-    start = t.nation.filter("n_nationkey = 0").select(F.lit("N0").alias("name"))
-    return G.paths(_edges(t), start, 2).select(F.array_join("path", ">").alias("path"), "weight")
+    start = t.supplier.filter("s_nationkey = 0").select(F.concat(F.lit("S"), "s_suppkey").alias("name"))
+    return G.paths(_edges(t), start, 3, 16).select(F.array_join("path", ">").alias("path"), "weight")
 
 
 @query()
 def grf11_graph_search(t):
     e = _edges(t)
-    similar = t.nation.filter("n_nationkey < 3").select(F.concat(F.lit("N"), "n_nationkey").alias("name"), (1.0 / (1 + F.col("n_nationkey"))).alias("sim"))
+    similar = t.supplier.filter("s_nationkey < 3").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), (1.0 / (1 + F.col("s_nationkey"))).alias("sim"))
     return G.graph_search(similar, G.pagerank(e, iterations=5), e, 10).withColumn("score", F.round("score", 6))
 
 
