@@ -45,13 +45,15 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Repeated passages are runs of 50 words or more under repeated strings of so many bytes (50 words of the test tables have 239 at least).
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+#: Of the passages that op5 counts beside its own strings: the least for which windows are as wide as for these.
+COUNTED_BYTES = 3 * suffix_dedup.WINDOW + suffix_dedup.GRAM - 1
 
 
 def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Besides the contract's columns n_passages: maximal runs of bytes under strings of PASSAGE_BYTES that also start anywhere
+    """Besides the contract's columns n_passages: maximal runs of bytes under strings of COUNTED_BYTES (231) that also start anywhere
     else, which shows repeated passages of 50 words and more that are shorter than 400 bytes, too."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, also=(PASSAGE_BYTES,)))
+    cut = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, also=(COUNTED_BYTES,)))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return cut.select(
         "doc_id",
@@ -59,7 +61,7 @@ def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_bytes - F.octet_length("kept")).alias("n_removed"),
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
-        F.when(F.col(f"spans_{PASSAGE_BYTES}").isNull(), 0).otherwise(F.size(f"spans_{PASSAGE_BYTES}")).cast("long").alias("n_passages"),
+        F.when(F.col(f"spans_{COUNTED_BYTES}").isNull(), 0).otherwise(F.size(f"spans_{COUNTED_BYTES}")).cast("long").alias("n_passages"),
     )
 
 

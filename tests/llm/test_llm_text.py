@@ -251,7 +251,7 @@ def test_op5_equals_brute_force(spark, sf_dir):
     assert order(tuple(r)[:5] for r in got) == order(brute_cut(docs))
     # a run of first ranks is a window (71 bytes) shorter at each end at most; what stands in no repeated string of 160 bytes is none
     n = {r["doc_id"]: r["n_passages"] for r in got}
-    assert n == {d: len(runs) for d, runs in brute_runs(docs, queries.PASSAGE_BYTES)} and 0 in n.values() and max(n.values()) > 0
+    assert n == {d: len(runs) for d, runs in brute_runs(docs, queries.COUNTED_BYTES)} and 0 in n.values() and max(n.values()) > 0
 
 
 def test_columns_of_clashing_names(awkward):
