@@ -8,6 +8,7 @@ are a quarter of the characters, at least one."""
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Callable
 
@@ -94,21 +95,24 @@ def take_sentences(text: str, need: int, from_end: bool) -> str:
 
 
 def media_context(pieces: list[dict], size: int) -> None:
-    """Give each table and image the texts before and after it, ``size`` tokens on each side, the last of them cut by sentences."""
+    """Give each table and image the texts next to it, nearest first, ``size`` tokens on each side.
+
+    With the tokens of all texts summed up from the start, the texts before a piece that count are those that end less than
+    ``size`` before its own sum; the farthest is cut by sentences if it reaches beyond. Below it is the same from the other side."""
+    texts = [p["text"] for p in pieces if p["kind"] == "text"]
+    sums = [0, *itertools.accumulate(map(tokens, texts))]
+    before = [0, *itertools.accumulate(p["kind"] == "text" for p in pieces)]
     for at, piece in enumerate(pieces):
         if piece["kind"] not in MEDIA or size <= 0:
             continue
-        for name, others, from_end in (("above", pieces[at - 1 :: -1] if at else [], True), ("below", pieces[at + 1 :], False)):
-            left, taken = size, []
-            for other in others:
-                if other["kind"] != "text":
-                    continue
-                n = tokens(other["text"])
-                taken.append(take_sentences(other["text"], left, from_end) if n >= left else other["text"])
-                left -= n
-                if left <= 0:
-                    break
-            piece[name] = "".join(reversed(taken) if from_end else taken)
+        here = before[at]
+        low = bisect.bisect_right(sums, sums[here] - size, 0, here + 1)  # texts from low on lie within reach as a whole
+        high = bisect.bisect_left(sums, sums[here] + size, here)
+        cut = [take_sentences(texts[low - 1], size - (sums[here] - sums[low]), True)] if low and sums[here] - sums[low] < size else []
+        piece["above"] = "".join(cut + texts[low:here])
+        rest = size - (sums[high - 1] - sums[here]) if high > here else 0
+        last = [take_sentences(texts[high - 1], rest, False)] if high > here and high <= len(texts) else []
+        piece["below"] = "".join(texts[here : high - 1 if last else len(texts)] + last)
 
 
 def merge_around_media(pieces: list[dict], limit: int, least: int = 0, alone: bool = False) -> list[dict]:
@@ -143,27 +147,20 @@ def docx_chunks(blocks: DataFrame, doc: str, order: str, limit: int = C.SIZE, le
 
 def token_chunks(blocks: DataFrame, doc: str, order: str, limit: int = 512, overlap_percent: int = 0) -> DataFrame:
     """(doc, idx, kind, text): neighbouring texts join until the chunk has passed the limit; media close it. The next
-    chunk starts with the tail of the last one."""
-    most = limit * (100 - overlap_percent) / 100
-
-    def fold(items: list[dict]) -> list[tuple]:
-        out: list[list] = []
-        size, is_open = 0, False
-        for item in items:
-            text = item["text"] or ""
-            if item["kind"] in MEDIA:
-                out.append([item["kind"], text])
-                is_open = False
-            elif not is_open or size > most:
-                tail = out[-1][1][int(len(out[-1][1]) * (100 - overlap_percent) / 100) :] if is_open and overlap_percent else ""
-                out.append(["text", tail + text])
-                size, is_open = tokens(tail + text), True
-            else:
-                out[-1][1] += "\n" * bool(out[-1][1] and text) + text
-                size += tokens(text)
-        return [(k, *x) for k, x in enumerate(out)]
-
-    return per_document(blocks, doc, order, ["text", "kind"], fold, "idx int, kind string, text string")
+    chunk starts with the tail of the last one. The chunks so far are the state of a fold in the JVM."""
+    share = (100 - overlap_percent) / 100
+    items = F.array_sort(F.collect_list(F.struct(order, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("kind").isin(*MEDIA), F.lit(False)).alias("media"), "kind")))
+    size = "greatest(1, length({0}) div 4)".format
+    tail = f"if(s.open and {overlap_percent} > 0, substring(s.last, cast(floor(length(s.last) * {share}D) as int) + 1), '')"
+    put = "if(s.last is null, s.done, concat(s.done, array(struct(s.kind as kind, s.last as text))))"
+    state = lambda done, kind, last, n, is_open: f"named_struct('done', {done}, 'kind', {kind}, 'last', {last}, 'n', {n}, 'open', {is_open})"
+    fresh = f"{tail} || x.text"
+    step = f"""case when x.media then {state(put, 'x.kind', 'x.text', '0L', 'false')}
+        when not s.open or s.n > {limit * share}D then {state(put, "'text'", fresh, f"cast({size(fresh)} as bigint)", 'true')}
+        else {state('s.done', "'text'", "s.last || if(s.last <> '' and x.text <> '', '\n', '') || x.text", f"s.n + {size('x.text')}", 'true')} end"""
+    start = state("cast(array() as array<struct<kind:string,text:string>>)", "cast(null as string)", "cast(null as string)", "0L", "false")
+    folded = blocks.groupBy(doc).agg(items.alias("items")).select(doc, F.expr(f"aggregate(items, {start}, (s, x) -> {step}, s -> {put})").alias("chunks"))
+    return folded.select(doc, F.posexplode("chunks").alias("idx", "c")).select(doc, "idx", "c.kind", "c.text")
 
 
 # --- profiles --------------------------------------------------------------------------------------

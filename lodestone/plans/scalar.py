@@ -235,12 +235,11 @@ def jsn05_fingerprint(t):
     return t.events.select("event_type").distinct().select("event_type", F.sha2(F.to_json(F.struct("event_type")), 256).alias("fingerprint"))
 
 
-@query(r"""select o_orderkey, [lower(o_orderpriority), 'ord-' || o_orderkey || '_a'] as terms from orders where o_orderpriority <> '4-NOT SPECIFIED' """)
+@query(r"""select o_orderkey, [split_part(lower(o_orderpriority), ' ', 1), 'ord-' || o_orderkey || '_a'] as terms from orders""")
 def str04_exact_terms(t):
     from ..functions.terms import exact_terms
 
-    o = t.orders.filter("o_orderpriority <> '4-NOT SPECIFIED'")
-    return o.select("o_orderkey", exact_terms(F.concat_ws(" ", "o_orderpriority", F.concat(F.lit("see ORD-"), "o_orderkey", F.lit("_A")), F.lit("now"))).alias("terms"))
+    return t.orders.select("o_orderkey", exact_terms(F.concat_ws(" ", "o_orderpriority", F.concat(F.lit("see ORD-"), "o_orderkey", F.lit("_A")), F.lit("now"))).alias("terms"))
 
 
 @query(r"""select conv_id, turn, case when x = '' then text else x end as bare from (select *, regexp_replace(regexp_replace(text, '(?i)(^| )(what|who|how|which|where|why)(''re|''s)? ', ' ', 'g'), '(?i)(^| )(is|are|the|a|an|of|to|and|in|on|at|for|with|by|as|so|be|or|if|it''s|do|has|have|was|were|there|you|me|my|i|up|out|go|your|mine|just|please|may|did|does|done|will|would|should|down|they) ', ' ', 'g') as x from conversations where role = 'user')""")

@@ -205,11 +205,11 @@ def test_scan_bm25_equals_the_index(spark, sf_dir):
 def test_terms(spark):
     from lodestone.functions import terms as X
 
-    assert X.find_identifiers("see GB/T 19001-2016, a-b_c and A1B2C, ＡB-12; word") == ["gb/t 19001-2016", "a-b_c", "a1b2c", "ab-12"]
-    assert X.find_identifiers("") == []
+    texts = ["see GB/T 19001-2016, a-b_c and A1B2C, ＡB-12; word", "", None, "x/y/z-1 GB/T  7-8.9 gb/t 7-8.9 ab12 abc12 12345", "v1.2.", "y" * 130 + "-1"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.exact_terms(F.col("t"))).collect()]
+    assert got == [["gb/t 19001-2016", "a-b_c", "a1b2c", "ab-12"], [], [], ["x/y/z-1", "gb/t 7-8.9", "abc12"], ["v1.2"], []]
     numbers = {"42": 42, "-3": -3, "twenty one": 21, "two hundred and five": 205, "十二": 12, "一百零三": 103, "两万三千": 23000, "XIV": 14, "none": -1, "": -1}
     assert {t: X.read_number(t) for t in numbers} == numbers
-    assert X.find_collapsed("a  b\nc", "b c") == (3, 6) and X.find_collapsed("abc", "x") == (-1, -1)
     df = spark.createDataFrame([("what is the plan",), ("is the",), (None,)], "q string")
     assert [r[0] for r in df.select(X.without_question_words(F.col("q"))).collect()][0] == " the plan"  # one pass: the blank before "the" is used up
     fixed = spark.createDataFrame([("```json\n{\"a\": [1,],}\n```",), ("none",)], "t string").select(X.repair_json("t")).collect()
