@@ -353,3 +353,71 @@ def community_levels(edges: DataFrame, most: int = COMMUNITY_MOST, levels: int =
         side = lambda v, name: chosen.select("g", F.col("v").alias(v), F.col("c").alias(name))  # noqa: B023, E731
         ways = durable(ways.join(side("a", "ca"), ["g", "a"]).join(side("b", "cb"), ["g", "b"]).filter("ca = cb").select(F.col("ca").alias("g"), "a", "b", "w"), "ways")
     return reduce(DataFrame.unionByName, found)
+
+
+# --- node embeddings by walks ------------------------------------------------------------------------
+
+#: Neighbours of one row of the lists that steps are drawn from: a hub has many rows, and a step reads one of them.
+LIST_WAYS = 256
+
+
+def _drawn(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on ``parts`` only."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
+
+
+def _lists(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, bounds): running weights of a node's lists; (src, part, names, bounds): the lists, of LIST_WAYS neighbours at most."""
+    place = Window.partitionBy("src").orderBy("dst")
+    cut = ways.withColumn("part", F.floor((F.row_number().over(place) - 1) / LIST_WAYS).cast("int"))
+    running = "transform(xs, (x, i) -> aggregate(slice(xs, 1, i + 1), 0D, (s, y) -> s + y.weight))"
+    lists = cut.groupBy("src", "part").agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("xs"))
+    lists = lists.select("src", "part", F.expr("transform(xs, x -> x.dst)").alias("names"), F.expr(running).alias("bounds"))
+    whole = lists.select("src", F.struct("part", F.element_at("bounds", -1).alias("weight")).alias("x")).groupBy("src").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return whole.select("src", F.expr(running).alias("tops")), lists
+
+
+def random_walks(edges: DataFrame, walks: int = 10, length: int = 40, back: float = 1.0, away: float = 1.0, seed: int = 86) -> DataFrame:
+    """(walk, path): ``walks`` walks of ``length`` nodes from every node, steps drawn by edge weight, divided by ``back`` for the node
+    the walk came from, and by ``away`` for nodes that are not next to that one. The same seed gives the same walks.
+
+    A step draws a list of the node, then a neighbour in it: one joined row a walk, also at hubs. A draw is kept with a chance in
+    proportion to its factor, else drawn again (only walks that wait go on); each step is a durable table."""
+    ways = durable(both_ways(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "ways")
+    tops, lists = (durable(x, "lists") for x in _lists(ways))
+    pairs = ways.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.lit(True).alias("near"))
+    top = max(1.0, 1.0 / back, 1.0 / away)
+    state = tops.select(F.col("src").alias("cur"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("n"))
+    state = durable(state.select(F.concat_ws("#", "cur", "n").alias("walk"), F.lit(None).cast("string").alias("prev"), "cur", F.array("cur").alias("path")), "walks")
+    for step in range(1, length):
+        waiting, done, turn = state, None, 0
+        while True:
+            number = lambda name: _drawn(F.lit(seed), F.lit(step), F.lit(turn), F.lit(name), F.col("walk"))  # noqa: B023, E731
+            first = "cast(size(filter(tops, b -> b <= u * element_at(tops, -1))) as int)"
+            second = "cast(size(filter(bounds, b -> b <= v * element_at(bounds, -1))) as int)"
+            drawn = waiting.join(tops.withColumnRenamed("src", "cur"), "cur").withColumn("u", number("list")).withColumn("part", F.expr(f"least({first}, size(tops) - 1)"))
+            drawn = drawn.drop("tops", "u").join(lists.withColumnRenamed("src", "cur"), ["cur", "part"]).withColumn("v", number("way")).withColumn("next", F.expr(f"names[least({second}, size(names) - 1)]")).drop("part", "names", "bounds", "v")
+            if top > 1.0 or away > 1.0 or back > 1.0:
+                drawn = drawn.join(pairs, ["prev", "next"], "left")
+                factor = F.when(F.col("prev").isNull(), top).when(F.col("next") == F.col("prev"), 1.0 / back).when(F.col("near"), 1.0).otherwise(1.0 / away)
+                drawn = drawn.withColumn("kept", number("keep") * top < factor).drop("near")
+            else:
+                drawn = drawn.withColumn("kept", F.lit(True))
+            drawn = durable(drawn, "drawn")
+            moved = drawn.filter("kept").select("walk", F.col("cur").alias("prev"), F.col("next").alias("cur"), F.concat("path", F.array("next")).alias("path"))
+            done = moved if done is None else done.unionByName(moved)
+            waiting, turn = drawn.filter("not kept").select("walk", "prev", "cur", "path"), turn + 1
+            if waiting.isEmpty():
+                break
+        state = durable(done, "walks")
+    return state.select("walk", "path")
+
+
+def node_embeddings(edges: DataFrame, dimensions: int = 64, walks: int = 10, length: int = 40, window: int = 2, iterations: int = 3, back: float = 1.0, away: float = 1.0, seed: int = 86, largest_only: bool = True) -> DataFrame:
+    """(name, embedding): word vectors over the walks of the largest component."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    paths_ = random_walks(largest_component(edges) if largest_only else edges, walks, length, back, away, seed)
+    model = Word2Vec(vectorSize=dimensions, windowSize=window, maxIter=iterations, minCount=0, seed=seed, inputCol="path", outputCol="v", maxSentenceLength=length).fit(paths_.orderBy("walk"))
+    return model.getVectors().select(F.col("word").alias("name"), vector_to_array("vector").alias("embedding"))

@@ -96,6 +96,12 @@ def grf09_community_levels(t):
     return G.community_levels(_repeat_edges(t))
 
 
+@query()
+def grf14_node_embeddings(t):
+    """Parts and suppliers that met more than twice: short walks, vectors of eight numbers."""
+    return G.node_embeddings(_edges(t).filter("weight > 2"), dimensions=8, walks=2, length=6, largest_only=False)
+
+
 @query()
 def grf10_jn17_agg17_community_report(t):
     e = _edges(t)

@@ -96,3 +96,10 @@ def stm05_stm09_upsert_stream(t):
 @query("select event_type, count(*) as n from events group by 1")
 def stm07_deduplicated_stream(t):
     return jobs.deduplicated(t.spark, t.folder)
+
+
+@query("select event_type, count(*) as n, sum(case when event_id % 7 = 0 then 1 else 0 end)::bigint as again from events group by 1")
+def stm07_acknowledged_stream(t):
+    """A consumer that acknowledges every seventh event at its second delivery only."""
+    done = jobs.acknowledged(t.spark, t.folder, lambda messages: messages.filter("event_id % 7 > 0 or deliveries > 1"))
+    return done.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("deliveries") > 1).cast("long")).alias("again"))

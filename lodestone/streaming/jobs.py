@@ -8,13 +8,13 @@ takes a new folder in the shared one."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.durable import shared_folder
+from ..sources.durable import durable, shared_folder
 
 
 def _folder(spark: SparkSession, out: str | None = None) -> str:
@@ -130,3 +130,46 @@ def expiring_cache(stream: DataFrame, ttl: str = "24 hours") -> DataFrame:
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
     return stream.groupBy("key").applyInPandasWithState(step, "key string, value string, hit boolean", "value string, until long", "append", "EventTimeTimeout")
+
+
+def acknowledged(spark: SparkSession, folder: str, handle: Callable[[DataFrame], DataFrame], most: int = 5, out: str | None = None) -> DataFrame:
+    """(event_id, event_type, deliveries): events that a consumer has acknowledged, with the number of deliveries that took.
+
+    ``handle(messages)`` works on a delivery (event_id, event_type, deliveries) and returns the event_ids that it acknowledges. The rest
+    stays pending, in a state table beside the checkpoint, and is delivered again with the next batch, and when the stream has
+    ended until nothing is pending; after ``most`` deliveries a message goes to the table of dead ones instead. If ``handle`` fails,
+    the batch is not committed: started again, the same batch is delivered once more together with what was pending before it, so
+    every message comes once at least. Each batch writes its own folders anew, so a replay replaces what it left."""
+    out = _folder(spark, out)
+
+    def deliver(messages: DataFrame, number: int, turn: int = 0) -> None:
+        """Delivery ``turn`` of batch ``number`` (later turns come after the stream has ended)."""
+        messages = messages.withColumn("deliveries", F.col("deliveries") + 1)
+        acks = durable(handle(messages).select("event_id").distinct(), "acks")
+        rest = messages.join(acks, "event_id", "left_anti")
+        messages.join(acks, "event_id", "left_semi").write.mode("overwrite").parquet(f"{out}/done/{number}-{turn}")
+        rest.filter(F.col("deliveries") >= most).write.mode("overwrite").parquet(f"{out}/dead/{number}-{turn}")
+        # numbers of states: batches leave room for turns
+        rest.filter(F.col("deliveries") < most).write.mode("overwrite").parquet(f"{out}/state-{number * _TURNS + turn}")
+
+    def pending(below: int) -> tuple[int, DataFrame] | None:
+        found = _states(spark, out)
+        last = max((k for k in found if k < below), default=None)
+        return None if last is None else (last, spark.read.parquet(found[last]))
+
+    def batch(rows: DataFrame, number: int) -> None:
+        new = rows.select("event_id", "event_type", F.lit(0).alias("deliveries"))
+        before = pending(number * _TURNS)
+        deliver(new if before is None else new.unionByName(before[1]), number)
+
+    q = events(spark, folder, out).writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    while (left := pending(1 << 62)) is not None and not left[1].isEmpty():
+        deliver(left[1], left[0] // _TURNS, left[0] % _TURNS + 1)
+    if left is None:  # no file has come yet
+        return spark.createDataFrame([], "event_id long, event_type string, deliveries int")
+    return spark.read.parquet(f"{out}/done/*")
+
+
+#: Deliveries of a batch at most.
+_TURNS = 1000

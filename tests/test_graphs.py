@@ -96,3 +96,49 @@ def test_modularity_of_random_groups(spark):
 def test_no_edges(spark):
     empty = spark.createDataFrame([], "src string, dst string, weight double")
     assert G.community_levels(empty).count() == 0
+
+
+def test_paths_at_a_hub(spark):
+    edges = [("a", "hub", 1.0)] + [("hub", f"n{i:03}", float(i % 7)) for i in range(300)]
+    found = [r["path"] for r in G.paths(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a",)], "name string"), 2, 10).collect()]
+    assert len(found) == 11 and all(int(p[2][1:]) % 7 == 6 for p in found if len(p) == 3)
+
+
+def test_merged_descriptions_are_bounded(spark):
+    rows = [("HUB", "T", f"d{i:03}", i) for i in range(200)] + [("X", "U", "one", 1), ("X", "T", "one", 2), ("X", "U", None, None)]
+    got = {r["name"]: r for r in G.merge_nodes(spark.createDataFrame(rows, "name string, type string, description string, source_id long"), 5).collect()}
+    assert got["HUB"]["description"] == G.SEPARATOR.join(f"d{i:03}" for i in range(5)) and (got["HUB"]["n_description"], got["HUB"]["n_source_id"]) == (200, 200)
+    assert (got["X"]["type"], got["X"]["description"], got["X"]["source_ids"]) == ("U", "one", [1, 2])
+
+
+@pytest.mark.parametrize(("back", "away"), [(1.0, 1.0), (0.25, 4.0)])
+def test_walks_follow_their_law(spark, back, away):
+    """Shares of second and third steps against the transition weights; a hub of 600 neighbours in lists of 256."""
+    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "d", 2.0)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    found = G.random_walks(df, walks=3000, length=3, back=back, away=away)
+    paths = [r["path"] for r in found.collect()]
+    assert len(paths) == 12_000 and [r["path"] for r in G.random_walks(df, walks=3000, length=3, back=back, away=away).orderBy("walk").limit(50).collect()] == [r["path"] for r in found.orderBy("walk").limit(50).collect()]
+    ways = defaultdict(dict)
+    for x, y, w in edges:
+        ways[x][y] = ways[y][x] = w
+    second = Counter(p[1] for p in paths if p[0] == "a")
+    assert abs(second["c"] / second.total() - 0.75) < 0.04
+    third = Counter(p[2] for p in paths if p[:2] == ["a", "c"])
+    law = {n: w * (1 / back if n == "a" else 1 if n in ways["a"] else 1 / away) for n, w in ways["c"].items()}
+    for n, w in law.items():
+        assert abs(third[n] / third.total() - w / sum(law.values())) < 0.05
+
+
+def test_walks_through_a_hub(spark):
+    edges = spark.createDataFrame([("hub", f"n{i:03}", 1.0) for i in range(600)], "src string, dst string, weight double")
+    paths = [r["path"] for r in G.random_walks(edges, walks=2, length=3).collect()]
+    assert len(paths) == 1202 and all("hub" in p[:2] for p in paths)
+    assert len({p[2] for p in paths if p[1] == "hub"}) > 450  # drawn from all three lists
+    assert max(r["n"] for r in G._lists(G.both_ways(edges))[1].select(F.size("names").alias("n")).collect()) == G.LIST_WAYS
+
+
+def test_embeddings_keep_neighbours_together(spark):
+    df = spark.createDataFrame(ring_of_cliques(4, 5), "src string, dst string, weight double")
+    found = {r["name"]: r["embedding"] for r in G.node_embeddings(df, dimensions=8, walks=6, length=8, iterations=5).collect()}
+    assert len(found) == 20 and all(len(v) == 8 for v in found.values())
