@@ -19,8 +19,8 @@ RRF_K = 60
 EXACT_BOOST = 8.0
 #: Terms, or queries, of one search call (a query is at most this many terms).
 MAX_TERMS = 256
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 4096
+#: Query vectors, and queries of a scan of texts (about as many), that are broadcast at once.
+QUERY_BLOCK, SCAN_QUERIES = 4096, 512
 
 
 def ranked_unique(hits: DataFrame, scope: str, item: str, order: list[str]) -> DataFrame:
@@ -94,7 +94,15 @@ def scan_bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, s
     (query_id, term): all term counts of a document are worked out inside its row, so that nothing but one row a
     query term is shuffled, and the top-k that follows keeps k rows a task.
 
-    Two passes over the texts: document frequencies and lengths, then scores. A null text has no words."""
+    Two passes over the texts for each block of SCAN_QUERIES queries, whose terms are all that is broadcast: document frequencies
+    and lengths, then scores. A null text has no words."""
+    parts = -(-queries.select("query_id").distinct().count() // SCAN_QUERIES)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts)))
+    blocks = [queries] if parts <= 1 else [queries.filter(block == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, (_scan_block(docs, id_col, text_col, b, scope) for b in blocks))
+
+
+def _scan_block(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, scope: DataFrame | None) -> DataFrame:
     terms = queries.select("query_id", "term").distinct()
     wanted = terms.agg(F.array_sort(F.collect_set("term")).alias("wanted"))
     words = F.coalesce(T.words(F.col(text_col)), F.array().cast("array<string>"))

@@ -350,4 +350,4 @@ def clu01_cluster_tree(t):
 
     nodes = t.embeddings.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("text"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     mean = F.transform(F.get("embeddings", F.lit(0)), lambda x, i: F.aggregate("embeddings", F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.size("embeddings"))
-    return cluster_tree(nodes, lambda g: g.select("cluster", F.get("texts", F.lit(0)).alias("text"), mean.alias("embedding")), levels=1)
+    return cluster_tree(nodes, lambda g: g.select("cluster", F.get("texts", F.lit(0)).alias("text"), mean.alias("embedding")), levels=3)

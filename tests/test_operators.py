@@ -246,6 +246,14 @@ def test_clusters_of_two_clouds(spark):
     even = {got[i] for i in got if int(i) % 2 == 0}
     assert even.isdisjoint({got[i] for i in got if int(i) % 2})
     assert K.best_clusters(spark.createDataFrame(rows[:2], "id string, embedding array<double>"), "id", "embedding").count() == 2
+    # overlapping clouds: the first cluster of more than a tenth, not the likeliest
+    rng = random.Random(2)
+    near = spark.createDataFrame([(f"{c}{i}", [rng.gauss(2.6 * c, 1.0), rng.gauss(0, 1.0)]) for c in range(2) for i in range(150)], "id string, embedding array<double>")
+    soft = K.best_clusters(near, "id", "embedding", 2).collect()
+    assert all(abs(sum(r["memberships"]) - 1) < 1e-6 and r["cluster"] == next(k for k, p in enumerate(r["memberships"]) if p > K.MEMBERSHIP) for r in soft)
+    assert any(r["memberships"][r["cluster"]] < max(r["memberships"]) for r in soft)
+    skipped = spark.createDataFrame([(".XLSX", False), ("pdf", True), ("pdf", False), ("txt", True)], "e string, t boolean").select(K.skip_clustering(F.col("e"), F.col("t"))).collect()
+    assert [r[0] for r in skipped] == [True, True, False, False]
 
 
 def test_expiring_cache(spark, tmp_path):
