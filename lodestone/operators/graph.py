@@ -421,3 +421,28 @@ def node_embeddings(edges: DataFrame, dimensions: int = 64, walks: int = 10, len
     paths_ = random_walks(largest_component(edges) if largest_only else edges, walks, length, back, away, seed)
     model = Word2Vec(vectorSize=dimensions, windowSize=window, maxIter=iterations, minCount=0, seed=seed, inputCol="path", outputCol="v", maxSentenceLength=length).fit(paths_.orderBy("walk"))
     return model.getVectors().select(F.col("word").alias("name"), vector_to_array("vector").alias("embedding"))
+
+
+# --- mind maps ----------------------------------------------------------------------------------------
+
+
+def merge_trees(nodes: DataFrame) -> DataFrame:
+    """(path, name, depth, place, n_trees): trees merged into one. Nodes with the same path of names are one node, and its children
+    are those of all of its trees: first the children in the last tree, then what earlier ones add, each in its own order (``place``
+    counts from 1). Asterisks in names go; a node without a name is left out with all below it. If several names stand at
+    the top, they come below one called root.
+
+    nodes: tree (number), path (array of names from the top), pos (order in its tree); inner nodes may be listed or not. The merge
+    of path rows is an aggregate, so trees may come in any order and be merged in any grouping."""
+    clean = F.transform("path", lambda x: F.regexp_replace(x, r"\*+", ""))
+    named = nodes.withColumn("path", clean).filter(F.size("path") > 0)
+    named = named.withColumn("_whole", F.expr("aggregate(path, 0, (s, x) -> if(s < 0 or x is null or x = '', if(s < 0, s, -1 - s), s + 1))"))
+    named = named.withColumn("path", F.when(F.col("_whole") < 0, F.slice("path", F.lit(1), -F.col("_whole") - 1)).otherwise(F.col("path"))).filter(F.size("path") > 0)
+    prefixes = named.select("tree", "pos", F.explode(F.expr("transform(sequence(1, size(path)), k -> slice(path, 1, k))")).alias("path"))
+    found = durable(prefixes.groupBy("path").agg(F.min(F.struct((-F.col("tree")).alias("turn"), "pos")).alias("first"), F.countDistinct("tree").alias("n_trees")), "trees")
+    tops = found.filter(F.size("path") == 1).limit(2).count()
+    if tops > 1:
+        root = found.agg(F.lit(1).alias("n")).select(F.array(F.lit("root")).alias("path"), F.lit(None).cast(dict(found.dtypes)["first"]).alias("first"), F.lit(None).cast("long").alias("n_trees"))
+        found = found.withColumn("path", F.concat(F.array(F.lit("root")), "path")).unionByName(root)
+    siblings = Window.partitionBy(F.slice("path", F.lit(1), F.size("path") - 1), F.size("path")).orderBy("first", F.element_at("path", -1))
+    return found.select("path", F.element_at("path", -1).alias("name"), F.size("path").alias("depth"), F.row_number().over(siblings).alias("place"), "n_trees")

@@ -102,6 +102,16 @@ def grf14_node_embeddings(t):
     return G.node_embeddings(_edges(t).filter("weight > 2"), dimensions=8, walks=2, length=6, largest_only=False)
 
 
+@query("""with p as (select p_partkey % 3 as tree, p_partkey as pos, list_concat([p_brand], string_split(p_type, ' ')) as path from part),
+ x as (select tree, pos, path[:k] as path from p, unnest(range(1, len(path) + 1)) as s(k)), g as (select path, min(row(-tree, pos)) as first, count(distinct tree) as n_trees from x group by path),
+ r as (select path, path[len(path)] as name, len(path) + 1 as depth, row_number() over (partition by path[:len(path) - 1], len(path) order by first, path[len(path)]) as place, n_trees from g)
+ select 'root>' || array_to_string(path, '>') as path, name, depth::int as depth, place::int as place, n_trees from r union all select 'root', 'root', 1, 1, 0""")
+def grf15_merged_trees(t):
+    """Brands and their types as three trees of parts, merged."""
+    nodes = t.part.select((F.col("p_partkey") % 3).alias("tree"), F.concat(F.array("p_brand"), F.split("p_type", " ")).alias("path"), F.col("p_partkey").alias("pos"))
+    return G.merge_trees(nodes).withColumn("path", F.array_join("path", ">")).fillna(0, ["n_trees"])
+
+
 @query()
 def grf10_jn17_agg17_community_report(t):
     e = _edges(t)

@@ -142,3 +142,46 @@ def test_embeddings_keep_neighbours_together(spark):
     df = spark.createDataFrame(ring_of_cliques(4, 5), "src string, dst string, weight double")
     found = {r["name"]: r["embedding"] for r in G.node_embeddings(df, dimensions=8, walks=6, length=8, iterations=5).collect()}
     assert len(found) == 20 and all(len(v) == 8 for v in found.values())
+
+
+def fold_trees(trees):
+    """The rule, tree by tree: names of the later one first, then what the earlier one adds."""
+    def merge(a, b):
+        out = dict(b)
+        for k, v in a.items():
+            out[k] = merge(v, b[k]) if k in b else v
+        return out
+
+    whole = {}
+    for t in trees:
+        whole = merge(whole, t)
+    return whole
+
+
+def listed(tree, path=()):
+    for k, v in tree.items():
+        yield (*path, k)
+        yield from listed(v, (*path, k))
+
+
+def test_merged_trees_equal_the_fold(spark):
+    trees = [{"a": {"x": {}, "y": {"p": {}}}, "b": {}}, {"a": {"y": {"q": {}, "p": {}}, "z": {}}}, {"c": {}, "a": {"w": {}, "x": {"r": {}}}}]
+    want = {("root", *p) for p in listed(fold_trees(trees))} | {("root",)}
+    order = {("root",): 1}
+
+    def places(tree, path):
+        for k, (name, below) in enumerate(tree.items(), 1):
+            order[(*path, name)] = k
+            places(below, (*path, name))
+
+    places(fold_trees(trees), ("root",))
+    rows = [(t, list(p), k) for t, tree in enumerate(trees) for k, p in enumerate(listed(tree))]
+    for shuffled in (rows, rows[::-1]):
+        found = G.merge_trees(spark.createDataFrame(shuffled, "tree int, path array<string>, pos int")).collect()
+        assert {tuple(r["path"]) for r in found} == want
+        assert {tuple(r["path"]): r["place"] for r in found} == order
+    assert {r["name"]: r["n_trees"] for r in found if r["depth"] == 2} == {"a": 3, "b": 1, "c": 1}
+    # merged in two steps: the leaves of a merged pair, then the third
+    odd = G.merge_trees(spark.createDataFrame([(1, ["*top*", "**", "lost"], 0), (1, ["top", "kept*"], 1), (1, [], 2), (1, ["", "lost"], 3)], "tree int, path array<string>, pos int"))
+    assert {tuple(r["path"]) for r in odd.collect()} == {("top",), ("top", "kept")}
+    assert G.merge_trees(spark.createDataFrame([], "tree int, path array<string>, pos int")).count() == 0
