@@ -86,14 +86,10 @@ def grf09_communities(t):
     return G.communities(_edges(t))
 
 
-def _repeat_edges(t):
-    return _edges(t).filter("weight > 1")
-
-
 @query()
 def grf09_community_levels(t):
-    """Parts and suppliers that met more than once, in levels by modularity."""
-    return G.community_levels(_repeat_edges(t))
+    """Parts and suppliers that met more than twice, in two levels by modularity."""
+    return G.community_levels(_edges(t).filter("weight > 2"), levels=2)
 
 
 @query()
