@@ -177,9 +177,12 @@ def lexical_idf(frequency: Column, total: float) -> Column:
 
 
 def shingles(c: Column, n: int) -> Column:
-    """Distinct word n-grams."""
+    """Distinct word n-grams; of fewer words all of them together. The words are found once a step, not once an n-gram."""
     w = words(c)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    grams = w
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(w, F.lit(k + 1), F.size(w)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(F.array_compact(grams)))
 
 
 def utf8_truncate(c: Column, n: int) -> Column:

@@ -263,15 +263,25 @@ def str30_numerals(t):
     return t.part.select("p_partkey", *(number_of(F.expr(w)).cast("long").alias(name) for name, w in written.items()))
 
 
-@query(f"""with w as (select item_id, regexp_extract_all(lower(text), '{_W}') as ws from benchmark), s as (select distinct item_id, array_to_string(ws[i:i + 2], ' ') as g from (select item_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w)), n as (select item_id, count(*) as n from s group by 1)
-  select a.item_id as left_id, b.item_id as right_id, round(count(*) / (x.n + y.n - count(*))::double, 6) as jaccard from s a join s b on a.g = b.g and a.item_id < b.item_id join n x on x.item_id = a.item_id join n y on y.item_id = b.item_id group by 1, 2, x.n, y.n""")
+@query(f"""with w as (select doc_id, regexp_extract_all(lower(text), '{_W}') as ws from documents), s as (select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from w)),
+  k as (select min(doc_id) as id, gs, len(gs) as n from (select doc_id, list_sort(list(g)) as gs from s group by 1) group by gs), e as (select id, n, unnest(gs) as g from k)
+  select a.id as left_id, b.id as right_id, round(count(*) / (a.n + b.n - count(*))::double, 6) as jaccard from e a join e b on a.g = b.g and a.id < b.id group by a.id, b.id, a.n, b.n having count(*) >= 0.6 * (a.n + b.n - count(*))""")
 def str35_str36_shingle_jaccard(t):
-    s = t.benchmark.select("item_id", F.explode(T.shingles(F.col("text"), 3)).alias("g"))
-    n = s.groupBy("item_id").agg(F.count("*").alias("n"))
-    a, b = s.withColumnRenamed("item_id", "left_id"), s.withColumnRenamed("item_id", "right_id")
-    common = a.join(b, "g").filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("c"))
-    sized = common.join(n.withColumnsRenamed({"item_id": "left_id", "n": "nl"}), "left_id").join(n.withColumnsRenamed({"item_id": "right_id", "n": "nr"}), "right_id")
-    return sized.select("left_id", "right_id", F.round(F.col("c") / (F.col("nl") + F.col("nr") - F.col("c")), 6).alias("jaccard"))
+    """Documents of which three fifths of the three-word shingles are common; equal sets as one."""
+    from ..operators.cleaning import similar_sets
+
+    found = similar_sets(t.documents.withColumn("gs", T.shingles(F.col("text"), 3)), "doc_id", "gs", 0.6)
+    return found.withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("""with a as (select p_brand as id, list_sort(list_distinct(list(p_name))) as vs from part where p_size > 5 group by 1), k as (select min(id) as id, vs from a group by vs)
+  select x.id as left_id, y.id as right_id, round(len(list_intersect(x.vs, y.vs)) / len(list_distinct(list_concat(x.vs, y.vs)))::double, 6) as jaccard from k x join k y on x.id < y.id where len(list_intersect(x.vs, y.vs)) >= 0.5 * len(list_distinct(list_concat(x.vs, y.vs)))""")
+def str36_outline_overlap(t):
+    """Brands whose lists of names overlap, as outlines of documents do."""
+    from ..operators.cleaning import similar_sets
+
+    outlines = t.part.filter("p_size > 5").groupBy("p_brand").agg(F.collect_set("p_name").alias("lines"))
+    return similar_sets(outlines, "p_brand", "lines", 0.5).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()

@@ -137,3 +137,21 @@ def test_fragments_number_themselves():
         assert [p.split("\n")[0] for p in parts] == [f"{k}/{len(parts)}" for k in range(1, len(parts) + 1)]
     with pytest.raises(ValueError, match="no room"):
         B._fragments("x", lambda p, k, n: "f" * 99 + p, 4)
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    from lodestone.operators.cleaning import similar_sets
+
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(30)]
+    rows = [(i, sorted({"hot", *rng.sample(base, rng.randint(1, 9))} - ({"hot"} if i % 4 == 0 else set()))) for i in range(120)]
+    rows += [(200, rows[5][1]), (201, [])]
+    classes = {}
+    for i, vs in rows:
+        if vs:
+            classes[tuple(vs)] = min(i, classes.get(tuple(vs), i))
+    sets = sorted((i, set(vs)) for vs, i in classes.items())
+    for threshold in (0.2, 0.5, 1.0):
+        want = {(i, j, round(len(a & b) / len(a | b), 9)) for n, (i, a) in enumerate(sets) for j, b in sets[n + 1 :] if len(a & b) >= threshold * len(a | b)}
+        found = similar_sets(spark.createDataFrame(rows, "id int, vs array<string>"), "id", "vs", threshold)
+        assert {(r["left_id"], r["right_id"], round(r["jaccard"], 9)) for r in found.collect()} == want
