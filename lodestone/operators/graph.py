@@ -419,8 +419,10 @@ def node_embeddings(edges: DataFrame, dimensions: int = 64, walks: int = 10, len
     from pyspark.ml.functions import vector_to_array
 
     paths_ = random_walks(largest_component(edges) if largest_only else edges, walks, length, back, away, seed)
+    if paths_.isEmpty():
+        return edges.sparkSession.createDataFrame([], "name string, embedding array<float>")
     model = Word2Vec(vectorSize=dimensions, windowSize=window, maxIter=iterations, minCount=0, seed=seed, inputCol="path", outputCol="v", maxSentenceLength=length).fit(paths_.orderBy("walk"))
-    return model.getVectors().select(F.col("word").alias("name"), vector_to_array("vector").alias("embedding"))
+    return model.getVectors().select(F.col("word").alias("name"), vector_to_array("vector", "float32").alias("embedding"))
 
 
 # --- mind maps ----------------------------------------------------------------------------------------
