@@ -185,3 +185,27 @@ def test_merged_trees_equal_the_fold(spark):
     odd = G.merge_trees(spark.createDataFrame([(1, ["*top*", "**", "lost"], 0), (1, ["top", "kept*"], 1), (1, [], 2), (1, ["", "lost"], 3)], "tree int, path array<string>, pos int"))
     assert {tuple(r["path"]) for r in odd.collect()} == {("top",), ("top", "kept")}
     assert G.merge_trees(spark.createDataFrame([], "tree int, path array<string>, pos int")).count() == 0
+
+
+def test_weights_without_descriptions(spark):
+    rows = [("b", "a", 1.0, "x", 1), ("a", "b", 2.0, "y", 2), ("c", "c", 1.0, "x", 1), ("c", "a", 4.0, None, 3)]
+    relations = spark.createDataFrame(rows, "src string, dst string, weight double, description string, source_id long")
+    found = G.edge_weights(relations)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, G.merge_edges(relations).select("src", "dst", "weight").collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+@pytest.mark.parametrize("run", [lambda e: G.pagerank(e, iterations=3, tolerance=0.0), lambda e: G.communities(e, rounds=2)])
+def test_edges_are_worked_out_once(spark, run):
+    """Before, each direction and each step over the edges worked them out anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(ring_of_cliques(4, 5), "src string, dst string, weight double")
+    run(edges.mapInArrow(counted, edges.schema)).collect()
+    assert seen.value == len(ring_of_cliques(4, 5))
