@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,17 +36,29 @@ def tokens(text: str) -> int:
 def per_document(rows: DataFrame, doc: str, order: str, columns: list[str], fold: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
     """(doc, columns of ``schema``): ``fold`` of each document's rows in order, as dicts of ``columns`` and the order."""
     gathered = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("items"))
-    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
-
-    def task(batches):
-        for batch in batches:
-            found = [(d, *r) for d, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in fold(items)]
-            types = [batch.schema.field(0).type, *(_ARROW[k] for k in kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=[doc, *names])
-
-    return gathered.mapInArrow(task, f"`{doc}` {dict(rows.dtypes)[doc]}, {schema}")
+    return gathered.mapInArrow(lambda batches: folded_batches(batches, doc, fold, schema), f"`{doc}` {dict(rows.dtypes)[doc]}, {schema}")
 
 
+def folded_batches(batches: Iterable[pa.RecordBatch], doc: str, fold: Callable[[list[dict]], list[tuple]], schema: str) -> Iterator[pa.RecordBatch]:
+    """``fold`` of batches of documents (doc, items). One document at a time becomes Python rows, and what is found is passed on
+    after ROWS_AT_ONCE of them, so that a task's memory does not grow with the documents of a batch."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    for batch in batches:
+        types = [batch.schema.field(0).type, *(_ARROW[k] for k in kinds)]
+        pack = lambda found: pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=[doc, *names])  # noqa: B023, E731
+        found, held = [], 0
+        for at in range(batch.num_rows):
+            d, items = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            found += [(d, *r) for r in fold(items)]
+            held += len(items)
+            if held >= ROWS_AT_ONCE:
+                yield pack(found)
+                found, held = [], 0
+        yield pack(found)
+
+
+#: Rows of documents whose results a task holds.
+ROWS_AT_ONCE = 4096
 _ARROW = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
 

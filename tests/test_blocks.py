@@ -1,5 +1,6 @@
 """Golden cases of the chunkers over block rows, and what they keep of whole tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,20 @@ def test_dense_topk_in_blocks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(R, "QUERY_BLOCK", 7)
     assert sorted(map(tuple, R.dense_topk(vectors, asked, 5).collect())) == want and len(want) == 5 * asked.count()
     assert R.dense_topk(vectors, asked.limit(0), 5).count() == 0
+
+
+def test_one_document_at_a_time():
+    """Before, a task turned a whole batch of documents into Python rows before it passed anything on."""
+    folded = []
+
+    def fold(items):
+        folded.append(len(items))
+        return [(i, x["text"]) for i, x in enumerate(items)]
+
+    items = pa.array([[{"ord": i, "text": "x"} for i in range(3)]] * 4000, pa.list_(pa.struct([("ord", pa.int32()), ("text", pa.string())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), items], names=["doc", "items"])
+    found = B.folded_batches([batch], "doc", fold, "idx int, text string")
+    first = next(found)
+    assert 0 < len(folded) < 2000 and first.num_rows == 3 * len(folded)
+    rest = [r for b in [first, *found] for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert rest == [(d, i, "x") for d in range(4000) for i in range(3)]
