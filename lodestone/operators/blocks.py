@@ -48,7 +48,7 @@ def folded_batches(batches: Iterable[pa.RecordBatch], doc: str, fold: Callable[[
         pack = lambda found: pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=[doc, *names])  # noqa: B023, E731
         found, held = [], 0
         for at in range(batch.num_rows):
-            d, items = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            d, items = batch.column(0)[at].as_py(), _dicts(batch.column(1)[at].values)
             found += [(d, *r) for r in fold(items)]
             held += len(items)
             if held >= ROWS_AT_ONCE:
@@ -57,6 +57,12 @@ def folded_batches(batches: Iterable[pa.RecordBatch], doc: str, fold: Callable[[
         yield pack(found)
 
 
+def _dicts(rows: pa.StructArray) -> list[dict]:
+    """Rows as dicts, read column by column (row by row takes several times as long)."""
+    names = [f.name for f in rows.type]
+    return [dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in rows.flatten()), strict=True)]
+
+
 #: Rows of documents whose results a task holds.
 ROWS_AT_ONCE = 4096
 _ARROW = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
@@ -448,31 +454,53 @@ def covered(spans: DataFrame, pieces: DataFrame, doc: str, key: str) -> DataFram
     return ends.select(doc, key, F.when(meets, F.col("low")).alias("low"), F.when(meets, F.col("high")).alias("high"))
 
 
+def placed_batches(batches: Iterable[pa.RecordBatch], found: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Batches of documents (doc, places, texts of the blocks, chunks) as (doc, places, chunks): each with its span, the first of the blocks
+    that it meets (from 0), and their number. A block is met if it ends after the span's start and starts before its stop."""
+    for batch in batches:
+        held, done, out = 0, 0, []
+        pack = lambda stop: pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, stop - done) for i in (0, 1)), pa.array(out, found)], names=["doc", "places", "found"])  # noqa: B023, E731
+        for at in range(batch.num_rows):
+            texts, chunks = batch.column(2)[at].as_py(), _dicts(batch.column(3)[at].values)
+            starts = [0, *itertools.accumulate(len(t) + 1 for t in texts)][:-1]
+            stops = [a + len(t) for a, t in zip(starts, texts, strict=True)]
+            parts = [(c["text"] or "").strip() for c in chunks]
+            rows = []
+            for chunk, text, (start, stop) in zip(chunks, parts, locate("\n".join(texts), parts), strict=True):
+                low, high = bisect.bisect_right(stops, start), bisect.bisect_left(starts, stop)
+                rows.append({"idx": chunk["idx"], "text": text, "start": start, "stop": stop, "low": low, "n": max(0, high - low) if start < stop else 0})
+            out.append(rows)
+            held += len(texts) + len(chunks)
+            if held >= ROWS_AT_ONCE:
+                yield pack(at + 1)
+                held, done, out = 0, at + 1, []
+        yield pack(batch.num_rows)
+
+
 def finalise(chunks: DataFrame, blocks: DataFrame, doc: str, order: str) -> DataFrame:
     """``chunks`` (doc, idx, text) with start and stop in the text of the stripped blocks joined by line breaks, first_block, n_blocks,
     kinds, page, and the box (x0, y0, x1, y1) around its blocks on that page. blocks: doc, order, text, kind, page, x0 .. y1.
 
-    Chunks are found by :func:`locate`; the blocks that they meet by one sweep a document, and only these are joined."""
-    spans = C.canonical_source(blocks.select(doc, order, "text"), doc, order, "text")
-    spans = spans.withColumn("number", F.row_number().over(Window.partitionBy(doc).orderBy(order)).cast("long"))
-    full = spans.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("full"))
-
-    def fold(items: list[dict]) -> list[tuple]:
-        texts = [(item["text"] or "").strip() for item in items]
-        return [(item["idx"], text, *span) for item, text, span in zip(items, texts, locate(items[0]["full"], texts), strict=True)]
-
-    first = F.row_number().over(Window.partitionBy(doc).orderBy("idx")) == 1  # the text goes along once
-    placed = per_document(chunks.join(full, doc).withColumn("full", F.when(first, F.col("full"))), doc, "idx", ["text", "full"], fold, "idx int, text string, start int, stop int")
-    numbered = spans.select(doc, order, "number", F.col("start").alias("p_start"), F.col("stop").alias("p_stop"))
-    met = covered(placed.filter("start < stop"), numbered, doc, "idx").filter("low is not null").select(doc, "idx", F.explode(F.sequence("low", "high")).alias("number"))
-    met = met.join(numbered.select(doc, order, "number").join(blocks.drop("text"), [doc, order]), [doc, "number"])
-    led = met.groupBy(doc, "idx").agg(F.min_by("page", "number").alias("lead"))
-    near = F.col("page").eqNullSafe(F.col("lead"))
-    box = lambda f, c: f(F.when(near, F.col(c))).alias(c)
-    found = met.join(led, [doc, "idx"]).groupBy(doc, "idx").agg(
-        F.min_by(order, "number").alias("first_block"), F.count("*").alias("n_blocks"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.min("lead").alias("page"), box(F.min, "x0"), box(F.min, "y0"), box(F.max, "x1"), box(F.max, "y1")
-    )
-    return placed.join(found, [doc, "idx"], "left")
+    A document's blocks and its chunks become one row each and meet once. Python finds the chunks (:func:`locate`) and the blocks they
+    meet; what is known of these comes from slices of the document's blocks in the JVM, and no text goes along with each chunk."""
+    known = ["kind", "page", "x0", "y0", "x1", "y1"]
+    held = blocks.withColumn("text", F.trim("text")).filter("text <> ''").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, *known, "text"))).alias("_blocks"))
+    pieces = held.select(doc, F.transform("_blocks", lambda x: F.struct(*(x[c].alias(c) for c in (order, *known)))).alias("places"), F.transform("_blocks", lambda x: x["text"]).alias("texts"))
+    parts = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "text"))).alias("chunks"))
+    rows = pieces.join(parts, doc)
+    span = "array<struct<idx:int,text:string,start:int,stop:int,low:int,n:int>>"
+    arrow = pa.list_(pa.struct([(n, pa.string() if n == "text" else pa.int32()) for n in ("idx", "text", "start", "stop", "low", "n")]))
+    types = dict(rows.dtypes)
+    placed = rows.mapInArrow(lambda batches: placed_batches(batches, arrow), f"doc {types[doc]}, places {types['places']}, found {span}")
+    spans = placed.select(F.col("doc").alias(doc), F.explode(F.transform("found", lambda c: F.struct(c.alias("c"), F.slice("places", c["low"] + 1, c["n"]).alias("met")))).alias("x")).select(doc, "x.c.*", "x.met")
+    first = F.get("met", F.lit(0))
+    near = spans.withColumns({"page": first["page"], "near": F.filter("met", lambda x: x["page"].eqNullSafe(first["page"]))})
+    any_ = F.col("n") > 0
+    box = lambda f, c: f(F.transform("near", lambda x: x[c])).alias(c)
+    return near.select(
+        doc, "idx", "text", "start", "stop",
+        first[order].alias("first_block"), F.when(any_, F.col("n").cast("long")).alias("n_blocks"), F.when(any_, F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.transform("met", lambda x: x["kind"])))), ",")).alias("kinds"), "page", box(F.array_min, "x0"), box(F.array_min, "y0"), box(F.array_max, "x1"), box(F.array_max, "y1"),
+    )
 
 
 def children(chunks: DataFrame, doc: str, delimiters: str) -> DataFrame:
