@@ -152,13 +152,18 @@ def merge_around_media(pieces: list[dict], limit: int, least: int = 0, alone: bo
     return out
 
 
+def media_chunks(items: list[dict], limit: int, least: int = 0, marks: tuple[str, ...] = (), context: int = 0) -> list[dict]:
+    """Chunks (text, kind, above, below) of one document's blocks."""
+    pieces = split_marked([x for x in items if (x["text"] or "").strip()], list(marks))
+    media_context(pieces, context)
+    return merge_around_media(pieces, limit, least, bool(marks))
+
+
 def docx_chunks(blocks: DataFrame, doc: str, order: str, limit: int = C.SIZE, least: int = 0, marks: tuple[str, ...] = (), context: int = 0) -> DataFrame:
     """(doc, idx, kind, text, above, below) of documents with media. blocks: doc, order, text, kind (null or other: text)."""
 
     def fold(items: list[dict]) -> list[tuple]:
-        pieces = split_marked([x for x in items if (x["text"] or "").strip()], list(marks))
-        media_context(pieces, context)
-        return [(k, p["kind"], p["text"], p.get("above"), p.get("below")) for k, p in enumerate(merge_around_media(pieces, limit, least, bool(marks)))]
+        return [(k, p["kind"], p["text"], p.get("above"), p.get("below")) for k, p in enumerate(media_chunks(items, limit, least, marks, context))]
 
     return per_document(blocks.withColumn("text", F.trim("text")), doc, order, ["text", "kind"], fold, "idx int, kind string, text string, above string, below string")
 
@@ -185,8 +190,8 @@ def token_chunks(blocks: DataFrame, doc: str, order: str, limit: int = 512, over
 
 
 def running_groups(rows: DataFrame, doc: str, item: Column) -> DataFrame:
-    """(doc, at, idx): the chunk of each unit of a document in order. A unit joins the one before if that is short, or of the same
-    section (or the unit is a table or an image) and not long yet. item: struct(at, text, section, kind)."""
+    """(doc, idx, unit): the units of a document in order with the chunk of each. A unit joins the one before if that is short, or of the
+    same section (or the unit is a table or an image) and not long yet. item: struct(at, text, section, kind, ...)."""
     gathered = rows.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("items"))
     lengths = F.transform("items", lambda x: F.struct(F.length(F.coalesce(x["text"], F.lit(""))).cast("long").alias("n"), x["section"].alias("section"), x["kind"].alias("kind")))
     section = dict(gathered.select(lengths.alias("x")).select("x.section").dtypes)["section"].removeprefix("array<").removesuffix(">")
@@ -196,14 +201,13 @@ def running_groups(rows: DataFrame, doc: str, item: Column) -> DataFrame:
         named_struct('idx', s.idx + 1, 'n', x.n, 'section', x.section, 'places', concat(s.places, array(s.idx + 1))))"""
     start = f"named_struct('idx', -1, 'n', 0L, 'section', cast(null as {section}), 'places', cast(array() as array<int>))"
     found = gathered.withColumn("_lengths", lengths).withColumn("_places", F.expr(f"aggregate(_lengths, {start}, {step}).places"))
-    return found.select(doc, F.explode(F.arrays_zip(F.col("items.at").alias("at"), F.col("_places").alias("idx"))).alias("x")).select(doc, "x.at", "x.idx")
+    return found.select(doc, F.explode(F.arrays_zip(F.col("_places").alias("idx"), F.col("items").alias("unit"))).alias("x")).select(doc, "x.idx", "x.unit")
 
 
 def manual_chunks(units: DataFrame, doc: str, order: str) -> DataFrame:
     """(doc, idx, section, kinds, text): units joined by :func:`running_groups`. units: doc, order, section, kind, text."""
     units = units.withColumns({"kind": F.coalesce("kind", F.lit("text")), "text": F.coalesce("text", F.lit(""))})
-    placed = running_groups(units, doc, F.struct(F.col(order).alias("at"), "text", "section", "kind"))
-    joined = units.join(placed.withColumnRenamed("at", order), [doc, order]).groupBy(doc, "idx").agg(F.array_sort(F.collect_list(F.struct(order, "section", "kind", "text"))).alias("us"))
+    joined = running_groups(units, doc, F.struct(F.col(order).alias("at"), "text", "section", "kind")).groupBy(doc, "idx").agg(F.array_sort(F.collect_list("unit")).alias("us"))
     return joined.select(doc, "idx", F.col("us")[0]["section"].alias("section"), F.array_join(F.array_sort(F.array_distinct("us.kind")), ",").alias("kinds"), F.array_join("us.text", "\n").alias("text"))
 
 
@@ -391,21 +395,21 @@ def sheet_chunks(rows: DataFrame, sheet: str, order: str, headers: list[str], li
 
 def semantic_chunks(blocks: DataFrame, doc: str, order: str, size: int = C.SIZE, overlap: int = C.OVERLAP, least: int = 0, context: int = 0) -> DataFrame:
     """(doc, idx, kind, text): documents with tables or images are merged around these, others packed section by section; where
-    that leaves one chunk of a text longer than ``size``, fixed windows take over."""
+    that leaves one chunk of a text longer than ``size``, fixed windows take over. Each document is gathered and folded once; ``context``
+    does not show in these columns."""
     kept = blocks.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("kind", F.when(F.col("kind").isin(*MEDIA), F.col("kind")).otherwise("text"))
-    traits = kept.groupBy(doc).agg(F.max((F.col("kind") != "text").cast("int")).alias("media"), F.sum(F.length("text")).alias("length"))
-    media = traits.filter("media = 1").select(doc)
-    around = docx_chunks(kept.join(media, doc, "left_semi"), doc, order, size, least, context=context).select(doc, "idx", "kind", "text")
 
     def fold(items: list[dict]) -> list[tuple]:
-        return [(k, "text", c) for k, c in enumerate(C.merge_sections([x["text"] for x in items], size, min(100, overlap * 100 // size), least))]
-
-    plain = per_document(kept.join(media, doc, "left_anti"), doc, order, ["text"], fold, "idx int, kind string, text string")
-    chunks = around.unionByName(plain)
-    small = chunks.filter(F.trim("text") != "").groupBy(doc).agg(F.count("*").alias("n")).join(traits, doc).filter((F.col("n") <= 1) & (F.col("length") > size)).select(doc)
-    whole = C.whole_document(kept.join(small, doc, "left_semi"), doc, order, "text")
-    windows = C.fixed_windows(whole, doc, "text", size, overlap).select(doc, "idx", F.lit("text").alias("kind"), "text")
-    return chunks.join(small, doc, "left_anti").unionByName(windows)
+        texts = [x["text"] for x in items]
+        if any(x["kind"] != "text" for x in items):
+            found = [(p["kind"], p["text"]) for p in media_chunks(items, size, least)]
+        else:
+            found = [("text", c) for c in C.merge_sections(texts, size, min(100, overlap * 100 // size), least)]
+        if sum(c.strip(" ") != "" for _, c in found) == 1 and sum(map(len, texts)) > size:
+            return [(k, "text", c) for k, c in C.text_windows("\n".join(texts), size, overlap)]
+        return [(k, *c) for k, c in enumerate(found)]
+
+    return per_document(kept, doc, order, ["text", "kind"], fold, "idx int, kind string, text string")
 
 
 def collapsed(text: str) -> tuple[str, list[int]]:

@@ -31,6 +31,13 @@ def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE,
     return rows.select(id_col, "idx", F.col("start").cast("int").alias("start"), F.trim(F.substr(F.col(text_col), F.col("start") + 1, F.lit(size))).alias("text")).filter("text <> ''")
 
 
+def text_windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, str]]:
+    """(idx, text): the windows of :func:`fixed_windows` in one text, for folds over documents."""
+    step = size - overlap
+    starts = range(0, max(0, -(-(len(text) - overlap) // step) - 1) * step + 1, step) if text else ()
+    return [(k, w) for k, w in enumerate(text[a : a + size].strip(" ") for a in starts) if w]
+
+
 def keep_delimiter(c: Column, delimiters: str) -> Column:
     """Parts that end with their delimiter."""
     return F.filter(F.regexp_extract_all(c, F.lit(f"[^{delimiters}]*[{delimiters}]?"), F.lit(0)), lambda x: x != "")
