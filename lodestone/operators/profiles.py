@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import durable
 from . import blocks as B
 from . import chunking as C
 
@@ -114,10 +115,8 @@ def manual_by_type(blocks: DataFrame, doc: str, order: str) -> DataFrame:
 
     Which do depends on the length so far: a running fold over a document's sections, in the JVM."""
     units = manual_units(blocks, doc, order).withColumn("kind", F.when(F.col("section").isNotNull() & (F.size("kinds") == 1), F.col("kinds")[0]).otherwise("text"))
-    names = ["first_block", "section", "path", "level", "kind", "kinds", "last_block", "n_blocks", "text"]
-    rows = units.select(doc, F.struct(*names).alias("u"))
-    placed = B.running_groups(rows, doc, F.struct(F.col("u.first_block").alias("at"), F.col("u.text").alias("text"), F.coalesce(F.col("u.section").cast("long"), F.lit(-1)).alias("section"), F.col("u.kind").alias("kind")))
-    joined = rows.withColumn("at", F.col("u.first_block")).join(placed, [doc, "at"]).groupBy(doc, "idx").agg(F.array_sort(F.collect_list("u")).alias("us"))
+    unit = F.struct(F.col("first_block").alias("at"), "text", F.coalesce(F.col("section").cast("long"), F.lit(-1)).alias("section"), "kind", F.col("section").alias("own"), "path", "level", "kinds", "last_block", "n_blocks")
+    joined = B.running_groups(units, doc, unit).groupBy(doc, "idx").agg(F.array_sort(F.collect_list("unit")).alias("us"))
     return joined.select(
         doc,
         "idx",
@@ -125,9 +124,9 @@ def manual_by_type(blocks: DataFrame, doc: str, order: str) -> DataFrame:
         F.array_join(F.col("us")["text"], "\n").alias("text"),
         F.col("us")[0]["path"].alias("section_path"),
         F.col("us")[0]["level"].alias("section_level"),
-        F.when(F.col("us")[0]["section"].isNull(), "root").otherwise("section").alias("node"),
+        F.when(F.col("us")[0]["own"].isNull(), "root").otherwise("section").alias("node"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten("us.kinds"))), ",").alias("kinds"),
-        F.array_min("us.first_block").alias("first_block"),
+        F.array_min("us.at").alias("first_block"),
         F.array_max("us.last_block").alias("last_block"),
         F.aggregate("us.n_blocks", F.lit(0).cast("long"), lambda t, x: t + x).alias("n_blocks"),
     )
@@ -164,10 +163,11 @@ def chunks_by_type(blocks: DataFrame, types: DataFrame, doc: str, order: str, si
     known = F.when(named == "", "general").when(named.isin(*TYPES), named).otherwise(F.raise_error(F.concat(F.lit("no such document type: "), "document_type")))
     typed = blocks.join(types.select(doc, known.alias("document_type")), doc, "left").fillna("general", ["document_type"])
     sections = [f(typed.filter(F.col("document_type") == name), doc, order).withColumn("document_type", F.lit(name)) for name, f in (("manual", manual_by_type), ("laws", laws_by_type))]
-    by_section = sections[0].unionByName(sections[1])
+    by_section = durable(sections[0].unionByName(sections[1]), "sections")  # read for its documents, too
     rest = typed.join(by_section.select(doc).distinct(), doc, "left_anti")
     plain = B.semantic_chunks(rest.select(doc, order, "text", "kind"), doc, order, size, overlap, least, context)
-    return by_section.unionByName(plain.join(rest.select(doc, "document_type").distinct(), doc), allowMissingColumns=True)
+    named_types = types.select(doc, known.alias("document_type"))
+    return by_section.unionByName(plain.join(named_types, doc, "left").fillna("general", ["document_type"]), allowMissingColumns=True)
 
 
 def hierarchical_merge(lines: DataFrame, doc: str, order: str, depth: int, levels: int) -> DataFrame:
