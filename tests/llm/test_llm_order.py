@@ -311,6 +311,17 @@ def test_descriptors_turn_with_the_image():
     assert (near <= 20).mean() > 0.4
 
 
+def test_stacked_images_are_described_as_alone(monkeypatch):
+    """Images of one width share numpy's calls; small, odd and empty ones among them."""
+    images = [picture(300 + i, h, w).astype(np.float32) for i, (h, w) in enumerate([(60, 128), (61, 128), (90, 128), (75, 75), (128, 60), (47, 128)])]
+    images += [np.full((h, 128), 9, dtype=np.float32) for h in (1, 22, 23)] + [np.zeros((0, 0), dtype=np.float32)]
+    for pixels in (1, 9000, 1 << 18):
+        monkeypatch.setattr(media, "STACK_PIXELS", pixels)
+        rows, counts = media.describe_all(images)
+        assert [len(media.describe(x)) for x in images] == list(counts) and counts.max() > 0
+        assert np.array_equal(rows, np.concatenate([media.describe(x) for x in images]))
+
+
 def test_images_empty(spark):
     assert media.image_copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
