@@ -297,8 +297,7 @@ def _proper(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class _Suffixes:
     """The ranked suffixes of a batch of texts, flat, with their ranks at all levels (starts, ends, two names)."""
 
-    def __init__(self, batch: pa.RecordBatch, shape: Shape, n_levels: int):
-        self.shape = shape
+    def __init__(self, batch: pa.RecordBatch, n_levels: int):
         self.rows, self.x = _flat(batch, "suffixes")
         self.n = batch.column(batch.schema.get_field_index("n")).to_numpy()
         self.place = self.rows * _GAP + self.x["pos"]
@@ -312,12 +311,12 @@ class _Suffixes:
             k = k[order]
             self.ranks.append((place[order], rows[k] * _GAP + x["end"][k], x["r1"][k], x["r2"][k]))
 
-    def starts(self, side: str) -> tuple[np.ndarray, np.ndarray]:
+    def starts(self, side: str, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix the starts p of strings of which it is, around the string (out), the one that begins at
         the last anchor at or before p, and the one whose first rank ends at the first anchor whose gram reaches the
         string's end; or inside the string (in), the one that begins at the minimum of p's own window, and the one
         whose first rank ends at the minimum of the string's last window. The inner ones depend on the string only."""
-        x, t, w = {c: v.astype(np.int64) for c, v in self.x.items() if c not in ("r1", "r2")}, self.shape.threshold, self.shape.window
+        x, t, w = {c: v.astype(np.int64) for c, v in self.x.items() if c not in ("r1", "r2")}, shape.threshold, shape.window
         base, pos = self.rows * _GAP, x["pos"]
         most = np.maximum(self.n[self.rows] - t + 1, 0)
         last, end, reach, inner = pos + x["last"], pos + x["last"] + x["last_gap"], t - GRAM, t - (w + GRAM - 1)
@@ -329,10 +328,10 @@ class _Suffixes:
         }[side]
         return base + np.clip(a, 0, most), base + np.clip(b, 0, most)
 
-    def sequences(self, left: str, right: str):
+    def sequences(self, left: str, right: str, shape: Shape):
         """Starts, stops, the first suffix, and two names of the sequence of phrases from it on, for sequences that
         two overlapping ranks cover."""
-        (ls, le, lk), (rs, re, rk) = (_proper(*self.starts(side)) for side in (left, right))
+        (ls, le, lk), (rs, re, rk) = (_proper(*self.starts(side, shape)) for side in (left, right))
         starts, stops, i, j = _overlay((ls, le), (rs, re))
         i, j = lk[i], rk[j]
         left, right = self.place[i], self.end[j]
@@ -354,10 +353,20 @@ class _Suffixes:
         return starts[known], stops[known], i[known], first[known], second[known]
 
 
-def _sure_starts(levels: DataFrame, n_levels: int, n_keys: int, shape: Shape) -> DataFrame:
-    """(k1, k2, start, stop, lead): starts of strings that lie in a sequence of phrases found twice or more;
-    lead marks one occurrence of each sequence at least."""
-    bits, owners, types = bucket_bits(n_keys), [np.int64, np.int64], [np.uint32, np.uint8, np.uint8, np.uint8, np.uint32]
+def _apart(names: np.ndarray, which: int) -> np.ndarray:
+    """Keys of the names that are not alike for two thresholds."""
+    return names + np.uint64(which) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _listed(rows: DataFrame, n_shapes: int, name: str, *columns: str) -> DataFrame:
+    """(k1, k2, name_0, ...): per text the columns of the rows of each threshold (number ``which``), sorted."""
+    return rows.groupBy(*_KEY).agg(*(F.sort_array(F.collect_set(F.when(F.col("which") == c, F.struct(*columns)))).alias(f"{name}_{c}") for c in range(n_shapes)))
+
+
+def _sure_starts(levels: DataFrame, n_levels: int, n_keys: int, shapes: list[Shape]) -> DataFrame:
+    """(k1, k2, which, start, stop, lead): starts of strings that lie in a sequence of phrases found twice or more;
+    lead marks one occurrence of each sequence at least. All thresholds share one pass over the ranks."""
+    bits, owners, types = bucket_bits(n_keys * len(shapes)), [np.int64, np.int64], [np.uint32, np.uint8, np.uint8, np.uint8, np.uint8, np.uint32]
 
     def lead(rank, check, shift, length):
         # one occurrence of each sequence and of each part of it that its surroundings leave
@@ -370,30 +379,33 @@ def _sure_starts(levels: DataFrame, n_levels: int, n_keys: int, shape: Shape) ->
         return out
 
     def settle(keys, items, _):
-        start, length, shift, _, check = items
+        start, length, shift, _, _, check = items
         items[3][lead(keys, check, shift, length)] = 1
         return _settled(keys, check, _repeated(keys, check))
 
     def task(batches):
         own = Packer(bits, owners, types, key_bytes=7, settle=settle)
         for batch in batches:
-            starts, stops, i, first, second = (s := _Suffixes(batch, shape, n_levels)).sequences("left_out", "right_out")
-            own.add(first, starts // _GAP, [starts % _GAP, stops - starts, starts % _GAP - s.x["pos"][i], np.zeros(len(starts)), second >> np.uint64(32)], [batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            yield from own.flush()
+            s, keys = _Suffixes(batch, n_levels), [batch.column(c).to_numpy() for c in (0, 1)]
+            for c, shape in enumerate(shapes):
+                starts, stops, i, first, second = s.sequences("left_out", "right_out", shape)
+                own.add(_apart(first, c), starts // _GAP, [starts % _GAP, stops - starts, starts % _GAP - s.x["pos"][i], np.zeros(len(starts)), np.full(len(starts), c), second >> np.uint64(32)], keys)
+                yield from own.flush()
         yield from own.flush(force=True)
 
     def reducer(blobs: pd.DataFrame) -> pd.DataFrame:
-        rank, (k1, k2), (start, length, shift, first, check), settled, sent = Packer(bits, owners, types, key_bytes=7).open(blobs)
+        rank, (k1, k2), (start, length, shift, first, which, check), settled, sent = Packer(bits, owners, types, key_bytes=7).open(blobs)
         keep = settled | (~sent & _repeated(rank, check))
         leads = np.where(settled, first > 0, lead(rank, check, shift, length))
-        return pd.DataFrame({"k1": k1[keep], "k2": k2[keep], "start": start[keep].astype(np.int32), "stop": (start[keep] + length[keep]).astype(np.int32), "lead": leads[keep]})
+        return pd.DataFrame({"k1": k1[keep], "k2": k2[keep], "which": which[keep].astype(np.int32), "start": start[keep].astype(np.int32), "stop": (start[keep] + length[keep]).astype(np.int32), "lead": leads[keep]})
 
-    return reduce_buckets(levels.mapInArrow(task, BLOB_SCHEMA), reducer, "k1 long, k2 long, start int, stop int, lead boolean")
+    return reduce_buckets(levels.mapInArrow(task, BLOB_SCHEMA), reducer, "k1 long, k2 long, which int, start int, stop int, lead boolean")
 
 
-def _open_starts(ranked: DataFrame, n_levels: int, n_keys: int, shape: Shape) -> DataFrame:
-    """(k1, k2, start, stop, open): starts to compare byte by byte, open ones and what may equal them."""
-    bits, owners, types = bucket_bits(n_keys), [np.int64, np.int64], [np.uint32, np.uint8, np.uint8, np.uint32]
+def _open_starts(ranked: DataFrame, n_levels: int, n_keys: int, shapes: list[Shape]) -> DataFrame:
+    """(k1, k2, which, start, stop, open): starts to compare byte by byte, open ones and what may equal them.
+    ranked: levels with sure_0, ... (the sure starts by threshold)."""
+    bits, owners, types = bucket_bits(n_keys * len(shapes)), [np.int64, np.int64], [np.uint32, np.uint8, np.uint8, np.uint8, np.uint32]
 
     def alike(rank, check, is_open) -> np.ndarray:
         order = np.lexsort((check, rank))
@@ -404,26 +416,28 @@ def _open_starts(ranked: DataFrame, n_levels: int, n_keys: int, shape: Shape) ->
         return (np.bincount(group)[group] > 1) & (np.bincount(group, weights=is_open)[group] > 0)
 
     def task(batches):
-        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items, _: _settled(keys, items[3], alike(keys, items[3], items[2]), items[2]))
+        own = Packer(bits, owners, types, key_bytes=7, settle=lambda keys, items, _: _settled(keys, items[4], alike(keys, items[4], items[2]), items[2]))
         for batch in batches:
-            starts, stops, _, first, second = _Suffixes(batch, shape, n_levels).sequences("left_in", "right_in")
-            sure_rows, s = _flat(batch, "sure")
-            ss, se = sure_rows * _GAP + s["start"], sure_rows * _GAP + s["stop"]
-            lead = s["lead"].astype(bool) if len(sure_rows) else np.zeros(0, dtype=bool)
-            # the gaps between sure starts, over all rows at once
-            gs, ge, _ = _proper(np.append(0, se), np.append(ss, len(batch) * _GAP))
-            for family, is_open in (((ss[lead], se[lead]), 0), ((gs, ge), 1)):
-                a, b, k, _ = _overlay((starts, stops), family)
-                own.add(first[k], a // _GAP, [a % _GAP, b - a, np.full(len(a), is_open), second[k] >> np.uint64(32)], [batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            yield from own.flush()
+            suffixes, keys = _Suffixes(batch, n_levels), [batch.column(c).to_numpy() for c in (0, 1)]
+            for c, shape in enumerate(shapes):
+                starts, stops, _, first, second = suffixes.sequences("left_in", "right_in", shape)
+                sure_rows, s = _flat(batch, f"sure_{c}")
+                ss, se = sure_rows * _GAP + s["start"], sure_rows * _GAP + s["stop"]
+                lead = s["lead"].astype(bool) if len(sure_rows) else np.zeros(0, dtype=bool)
+                # the gaps between sure starts, over all rows at once
+                gs, ge, _ = _proper(np.append(0, se), np.append(ss, len(batch) * _GAP))
+                for family, is_open in (((ss[lead], se[lead]), 0), ((gs, ge), 1)):
+                    a, b, k, _ = _overlay((starts, stops), family)
+                    own.add(_apart(first[k], c), a // _GAP, [a % _GAP, b - a, np.full(len(a), is_open), np.full(len(a), c), second[k] >> np.uint64(32)], keys)
+                yield from own.flush()
         yield from own.flush(force=True)
 
     def reducer(blobs: pd.DataFrame) -> pd.DataFrame:
-        rank, (k1, k2), (start, length, is_open, check), settled, sent = Packer(bits, owners, types, key_bytes=7).open(blobs)
+        rank, (k1, k2), (start, length, is_open, which, check), settled, sent = Packer(bits, owners, types, key_bytes=7).open(blobs)
         keep = settled | ~sent & alike(rank, check, is_open)
-        return pd.DataFrame({"k1": k1[keep], "k2": k2[keep], "start": start[keep].astype(np.int32), "stop": (start[keep] + length[keep]).astype(np.int32), "open": is_open[keep] > 0})
+        return pd.DataFrame({"k1": k1[keep], "k2": k2[keep], "which": which[keep].astype(np.int32), "start": start[keep].astype(np.int32), "stop": (start[keep] + length[keep]).astype(np.int32), "open": is_open[keep] > 0})
 
-    return reduce_buckets(ranked.mapInArrow(task, BLOB_SCHEMA), reducer, "k1 long, k2 long, start int, stop int, open boolean")
+    return reduce_buckets(ranked.mapInArrow(task, BLOB_SCHEMA), reducer, "k1 long, k2 long, which int, start int, stop int, open boolean")
 
 
 def _union(rows: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -488,19 +502,15 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THR
     levels, n_levels = _levels(ranked, max(shapes, key=lambda s: s.far))
     drop_durable(ranked)
     n_pairs = 2 * (levels.agg(F.sum(F.size("suffixes"))).first()[0] or 0)
-    sure = levels.select(*_KEY, "n", "copies")
+    found = _listed(_sure_starts(levels, n_levels, n_pairs, shapes), len(shapes), "found", "start", "stop", "lead")
+    sure = levels.select(*_KEY, "n", "copies").join(found, _KEY, "left")
     for c, shape in enumerate(shapes):
-        found = _sure_starts(levels, n_levels, n_pairs, shape).groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "lead"))).alias("found"))
         # all strings of a text that stands twice are repeated, and stand for what other texts share with it
         whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("n") - (shape.threshold - 1)).cast("int").alias("stop"), F.lit(True).alias("lead")))
-        sure = sure.join(found, _KEY, "left").withColumn(f"sure_{c}", F.when(F.col("copies") & (F.col("n") >= shape.threshold), whole).otherwise(F.col("found"))).drop("found")
+        sure = sure.withColumn(f"sure_{c}", F.when(F.col("copies") & (F.col("n") >= shape.threshold), whole).otherwise(F.col(f"found_{c}"))).drop(f"found_{c}")
     sure = durable(sure.drop("n", "copies"), "sure")
-    checks = None
-    for c, shape in enumerate(shapes):
-        found = _open_starts(levels.join(sure.select(*_KEY, F.col(f"sure_{c}").alias("sure")), _KEY, "left"), n_levels, n_pairs, shape)
-        found = found.groupBy(*_KEY).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "open"))).alias(f"checks_{c}"))
-        checks = found if checks is None else checks.join(found, _KEY, "full")
-    checks = durable(checks, "checks")
+    open_ = _open_starts(levels.drop("copies").join(sure, _KEY, "left"), n_levels, n_pairs, shapes)
+    checks = durable(_listed(open_, len(shapes), "checks", "start", "stop", "open"), "checks")
     drop_durable(levels)
     total = sum(F.coalesce(F.expr(f"aggregate(checks_{c}, 0L, (t, x) -> t + x.stop - x.start)"), F.lit(0)) for c in range(len(shapes)))
     n_checks = checks.agg(F.sum(total)).first()[0] or 0

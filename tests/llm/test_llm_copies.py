@@ -1,8 +1,9 @@
-"""Votes by leaders come from the exchange that finds shared values."""
+"""Votes by leaders come from the exchange that finds shared values; thresholds of repeated spans share their passes."""
 
 import numpy as np
+import pandas as pd
 
-from lodestone.llm import media
+from lodestone.llm import media, suffix_dedup
 
 
 def corners(rows):
@@ -44,3 +45,22 @@ def test_entries_hold_each_vote_once(spark, monkeypatch):
         votes = rows[rows["other"].notna()].groupby(["id", "other"])["repeats"].sum()
         # five images have the leader, if not a leader of their task, in all of their 80 values
         assert votes.max() <= 80 and votes.sum() == 5 * 80
+
+
+def test_thresholds_share_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    long, short = word(500), word(300)
+    docs = spark.createDataFrame([(i, word(199) + chr(65 + i) + (long if i % 2 else short) + chr(75 + i) + word(250)) for i in range(6)], "doc_id long, text string")
+    calls = []
+    for name in ("_sure_starts", "_open_starts"):
+        plain = getattr(suffix_dedup, name)
+        monkeypatch.setattr(suffix_dedup, name, lambda *a, plain=plain, name=name: calls.append(name) or plain(*a))
+    both = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, also=(231,))).toPandas().set_index("doc_id")
+    assert sorted(calls) == ["_open_starts", "_sure_starts"]
+    alone = suffix_dedup.cut_spans(docs, suffix_dedup.repeated_spans(docs, threshold=231)).toPandas().set_index("doc_id")
+    for i in range(6):
+        found = both.loc[i, "spans"]
+        assert [(s["start"], s["stop"]) for s in found] == [(200, 700)] if i % 2 else found is None
+        assert [tuple(s) for s in both.loc[i, "spans_231"]] == [tuple(s) for s in alone.loc[i, "spans"]]
+        assert pd.notna(both.loc[i, "kept"])
