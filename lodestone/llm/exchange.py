@@ -61,12 +61,14 @@ class Packer:
     """Collects keyed items of a task and cuts them into one blob per bucket.
 
     ``owner_types`` are the columns known once per document (its key first), ``item_types``
-    the columns known per item. ``key_bytes`` of each key are kept below the bucket's bits.
+    the columns known per item. ``key_bytes`` of each key are kept below the bucket's bits, of many buckets what is
+    left of 64 bits.
     ``settle(keys, items, owner keys)`` gives the masks of settled and of sent items of a chunk
     (sent ones are settled, too); it may write to the items."""
 
     def __init__(self, bits: int, owner_types: list, item_types: list, key_bytes: int = 5, settle=None):
         self.bits, self.owner_types, self.item_types, self.key_bytes, self.settle = bits, owner_types, [*item_types, np.uint8], key_bytes, settle
+        self.low = min(8 * key_bytes, 64 - bits)
         self._items: list[tuple] = []
         self._owners: list[tuple] = []
         self.n_items = self.n_owners = self.n_chunks = 0
@@ -92,7 +94,7 @@ class Packer:
         owners = [np.concatenate(x) for x in zip(*self._owners, strict=True)]
         self._items, self._owners, self.n_items, self.n_owners = [], [], 0, 0
         order = np.argsort(keys)
-        keys, owner, items = keys[order] >> np.uint64(64 - self.bits - 8 * self.key_bytes), owner[order], [x[order] for x in items]
+        keys, owner, items = keys[order] >> np.uint64(64 - self.bits - self.low), owner[order], [x[order] for x in items]
         items.append(np.zeros(len(keys), dtype=np.uint8))
         rows: list[tuple] = []
         if self.settle:
@@ -104,15 +106,14 @@ class Packer:
             left = ~settled | sent
             keys, owner, items = keys[left], owner[left], [x[left] for x in items]
         self.n_chunks += 1
-        bucket = (keys >> np.uint64(8 * self.key_bytes)).astype(np.int64)
+        bucket = (keys >> np.uint64(self.low)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        keys = keys & np.uint64((1 << 8 * self.key_bytes) - 1)
+        keys = keys & np.uint64((1 << self.low) - 1)
         for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
             if b > a:
                 rows.append(self._blob(int(bucket[a]), keys[a:b], owner[a:b], [x[a:b] for x in items], owners))
         del keys, owner, items, owners, bucket, order
-        if force:
-            give_back()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     def open(self, blobs: pd.DataFrame) -> tuple:
@@ -120,7 +121,7 @@ class Packer:
         keys, items, owners, settled = [], [], [], []
         for bucket, n, m, i, o in blobs[["bucket", "n_items", "n_owners", "items", "owners"]].itertuples(index=False):
             delta, local, *rest = unpack(i, n, [np.uint64, np.uint32, *self.item_types], self._widths(bucket))
-            keys.append(np.cumsum(delta, dtype=np.uint64).astype(np.int64) | (int(bucket) << (8 * self.key_bytes) if bucket >= 0 else 0))
+            keys.append((np.cumsum(delta, dtype=np.uint64) | np.uint64(int(bucket) << self.low if bucket >= 0 else 0)).view(np.int64))
             items.append(rest)
             owners.append([x[local] for x in unpack(o, m, self.owner_types, [np.dtype(t).itemsize for t in self.owner_types])])
             settled.append(np.full(n, bucket < 0))
