@@ -252,6 +252,8 @@ def _block_links(percent: int):
             if a != b:
                 parent[b] = a
                 found.append((u, v))
+        del fits, linked, left, right
+        give_back()
         forest = pd.DataFrame({"a": [f[0] for f in found], "b": [f[1] for f in found], "met": 0})
         counts = pd.concat([pd.DataFrame({"a": d[c > 0], "met": c[c > 0]}) for d, c in met])
         return pd.concat([forest.astype({"a": "int64", "b": "Int64", "met": "int64"}), counts.assign(b=pd.NA).astype({"a": "int64", "b": "Int64", "met": "int64"})[["a", "b", "met"]]])

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, bound_batches, drop_durable, durable, give_way, gram_hashes, mix, span_hashes, text_slices
+from .common import PIECE_BYTES, bound_batches, drop_durable, durable, give_back, give_way, gram_hashes, mix, span_hashes, text_slices
 from .exchange import BLOB_SCHEMA, Packer, bucket_bits, reduce_buckets
 
 #: Bytes of a repeated string.
@@ -248,6 +248,7 @@ def _doubled(state: DataFrame, most: int) -> DataFrame:
             r1, r2 = _names(x["r1"][k], x["r2"][k], x["r1"][o], x["r2"][o], x["pos"][o] - x["pos"][k])
             k1, k2 = (batch.column(c).to_numpy()[rows[k]] for c in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, x["pos"][k], x["end"][o], r1.view(np.int64), r2.view(np.int64), _repeated(r1, r2))], schema=schema)
+        give_back()
 
     ranks = state.select("k1", "k2", "now").mapInArrow(pairs, "k1 long, k2 long, pos int, end int, r1 long, r2 long, known boolean")
     again = ranks.groupBy("r1", "r2").agg(F.count("*").alias("times")).filter("times > 1").select("r1", "r2")
@@ -527,6 +528,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", threshold: int = THR
                 r, s, e = _union(rows, x["start"].astype(np.int64), x["stop"].astype(np.int64) + shape.threshold - 1)
                 lists.append(_span_lists(len(batch), r, s, e))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=[*_KEY, *names])
+        give_back()
 
     none = F.array().cast(_SPAN)
     both = sure.join(exact, _KEY, "left").select(
@@ -588,5 +590,6 @@ def cut_text(docs: DataFrame, spans: DataFrame, text_col: str = "text", min_word
                     texts[i] = "".join([*kept, raw[at:].decode(errors="ignore")])
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(j) for j, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        give_back()
 
     return _with_spans(docs, spans, text_col).select(*docs.columns, "_spans").mapInArrow(task, schema)
