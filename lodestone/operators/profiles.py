@@ -5,6 +5,9 @@ that came later closes it. Sections and chunks are then aggregates by the innerm
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +81,24 @@ def law_heading(text: Column) -> tuple[Column, Column]:
     return level, article
 
 
-def _kept(blocks: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """What stands around a line and goes, headings of manuals and of laws, lines of a list of contents, and whether a manual without a
+    heading is one section (else it has none). A caller may state other forms than the usual ones."""
+
+    strip: Callable[[str], Column] = stripped
+    manual: Callable[[Column], Column] = manual_level
+    law: Callable[[Column], tuple[Column, Column]] = law_heading
+    contents: str = CONTENTS_LINE
+    headless: bool = False
+
+
+USUAL = Rules()
+
+
+def _kept(blocks: DataFrame, rules: Rules) -> DataFrame:
     kind = F.lower(F.coalesce("kind", F.lit("text")))
-    return blocks.withColumns({"text": stripped("text"), "kind": F.when(kind.isin(*B.MEDIA), kind).otherwise("text")}).filter("text <> ''")
+    return blocks.withColumns({"text": rules.strip("text"), "kind": F.when(kind.isin(*B.MEDIA), kind).otherwise("text")}).filter("text <> ''")
 
 
 def _units(rows: DataFrame, doc: str, order: str) -> DataFrame:
@@ -101,20 +119,21 @@ def _units(rows: DataFrame, doc: str, order: str) -> DataFrame:
     )
 
 
-def manual_units(blocks: DataFrame, doc: str, order: str) -> DataFrame:
+def manual_units(blocks: DataFrame, doc: str, order: str, rules: Rules = USUAL) -> DataFrame:
     """Sections of manuals, by the levels that the blocks have or, where a document has none, by the rules for lines.
-    blocks: doc, order, text, kind, level. Documents without a heading have no rows."""
-    rows = _kept(blocks).withColumn("_own", F.max(F.coalesce("level", F.lit(0))).over(Window.partitionBy(doc)))
-    rows = rows.withColumn("_level", F.when(F.col("_own") > 0, F.col("level")).otherwise(manual_level(F.col("text"))))
-    rows = rows.withColumn("_any", F.max(F.coalesce("_level", F.lit(0))).over(Window.partitionBy(doc))).filter("_any > 0")
+    blocks: doc, order, text, kind, level. Documents without a heading have no rows, or one if the rules say so."""
+    rows = _kept(blocks, rules).withColumn("_own", F.max(F.coalesce("level", F.lit(0))).over(Window.partitionBy(doc)))
+    rows = rows.withColumn("_level", F.when(F.col("_own") > 0, F.col("level")).otherwise(rules.manual(F.col("text"))))
+    if not rules.headless:
+        rows = rows.withColumn("_any", F.max(F.coalesce("_level", F.lit(0))).over(Window.partitionBy(doc))).filter("_any > 0")
     return _units(with_sections(rows, doc, order, "_level", "text").withColumn("article", F.lit(False)), doc, order)
 
 
-def manual_by_type(blocks: DataFrame, doc: str, order: str) -> DataFrame:
+def manual_by_type(blocks: DataFrame, doc: str, order: str, rules: Rules = USUAL) -> DataFrame:
     """Chunks of manuals: sections that follow a short one join it, media sections join what is not long yet.
 
     Which do depends on the length so far: a running fold over a document's sections, in the JVM."""
-    units = manual_units(blocks, doc, order).withColumn("kind", F.when(F.col("section").isNotNull() & (F.size("kinds") == 1), F.col("kinds")[0]).otherwise("text"))
+    units = manual_units(blocks, doc, order, rules).withColumn("kind", F.when(F.col("section").isNotNull() & (F.size("kinds") == 1), F.col("kinds")[0]).otherwise("text"))
     unit = F.struct(F.col("first_block").alias("at"), "text", F.coalesce(F.col("section").cast("long"), F.lit(-1)).alias("section"), "kind", F.col("section").alias("own"), "path", "level", "kinds", "last_block", "n_blocks")
     joined = B.running_groups(units, doc, unit).groupBy(doc, "idx").agg(F.array_sort(F.collect_list("unit")).alias("us"))
     return joined.select(
@@ -132,11 +151,11 @@ def manual_by_type(blocks: DataFrame, doc: str, order: str) -> DataFrame:
     )
 
 
-def laws_by_type(blocks: DataFrame, doc: str, order: str) -> DataFrame:
+def laws_by_type(blocks: DataFrame, doc: str, order: str, rules: Rules = USUAL) -> DataFrame:
     """Chunks of laws: one an article, and one for each chapter or section with lines of its own; lists of contents and what
     stands before the first heading are left out."""
-    rows = _kept(blocks).filter(~F.col("text").rlike(CONTENTS_LINE))
-    level, article = law_heading(F.col("text"))
+    rows = _kept(blocks, rules).filter(~F.col("text").rlike(rules.contents))
+    level, article = rules.law(F.col("text"))
     units = _units(with_sections(rows.withColumn("_level", level), doc, order, "_level", "text").withColumn("article", article & level.isNotNull()), doc, order)
     kept = units.filter(F.col("section").isNotNull() & (F.col("article") | (F.col("n_blocks") > 1)))
     return kept.select(
@@ -154,7 +173,7 @@ def laws_by_type(blocks: DataFrame, doc: str, order: str) -> DataFrame:
     )
 
 
-def chunks_by_type(blocks: DataFrame, types: DataFrame, doc: str, order: str, size: int = C.SIZE, overlap: int = C.OVERLAP, least: int = 0, context: int = 0) -> DataFrame:
+def chunks_by_type(blocks: DataFrame, types: DataFrame, doc: str, order: str, size: int = C.SIZE, overlap: int = C.OVERLAP, least: int = 0, context: int = 0, rules: Rules = USUAL) -> DataFrame:
     """Chunks of all documents, each by its type: manuals and laws by their sections; general documents, and those of the other
     types without a heading, around their media or by packing (:func:`blocks.semantic_chunks`).
 
@@ -162,7 +181,7 @@ def chunks_by_type(blocks: DataFrame, types: DataFrame, doc: str, order: str, si
     named = F.lower(F.trim(F.coalesce("document_type", F.lit(""))))
     known = F.when(named == "", "general").when(named.isin(*TYPES), named).otherwise(F.raise_error(F.concat(F.lit("no such document type: "), "document_type")))
     typed = blocks.join(types.select(doc, known.alias("document_type")), doc, "left").fillna("general", ["document_type"])
-    sections = [f(typed.filter(F.col("document_type") == name), doc, order).withColumn("document_type", F.lit(name)) for name, f in (("manual", manual_by_type), ("laws", laws_by_type))]
+    sections = [f(typed.filter(F.col("document_type") == name), doc, order, rules).withColumn("document_type", F.lit(name)) for name, f in (("manual", manual_by_type), ("laws", laws_by_type))]
     by_section = durable(sections[0].unionByName(sections[1]), "sections")  # read for its documents, too
     rest = typed.join(by_section.select(doc).distinct(), doc, "left_anti")
     plain = B.semantic_chunks(rest.select(doc, order, "text", "kind"), doc, order, size, overlap, least, context)
